@@ -14,6 +14,7 @@ from hardwood.operators.percentiles import group_averages, weighted_percentiles
 from hardwood.operators.reshape import keep_first
 from hardwood.plans.teams import team_totals
 from hardwood.schemas import PLAYER_COUNTS
+from hardwood.session import materialize
 
 # output percentile -> (value, weight)
 PERCENTILE_SPECS = {
@@ -129,6 +130,11 @@ def player_season(player_box: DataFrame, per: int = 36, honour_dnp: bool = True,
     return add_player_rates(joined, per).withColumn("neg_opp_efg", -F.col("opp_efg"))
 
 
+def stored_player_season(player_box: DataFrame, **kw) -> DataFrame:
+    """The season table written once: ranking reads it several times and it is far smaller than the box."""
+    return materialize(player_season(player_box, **kw))
+
+
 def player_percentiles(
     season: DataFrame, group: Sequence[str] = ("position",), specs: dict | None = None,
 ) -> DataFrame:

@@ -2,16 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import types as T
-
-
-def _struct(spec: str) -> T.StructType:
-    return T.StructType.fromDDL(spec)
-
+# Schemas are DDL texts: readers take them as they are and no session is needed to import them.
 
 BOX_COUNTS = ["pts", "fga", "fgm", "fg3m", "fta", "oreb", "dreb", "tov"]
 
-TEAM_BOX = _struct(
+TEAM_BOX = (
     "game_id string, team_id string, season int, season_type int, game_date date, "
     "team_home_away string, pts double, fga double, fgm double, fg3m double, fta double, "
     "oreb double, dreb double, tov double"
@@ -22,13 +17,13 @@ PLAYER_COUNTS = [
     "blk", "tov", "pf",
 ]
 
-PLAYER_BOX = _struct(
+PLAYER_BOX = (
     "season int, game_id string, game_date date, team_id string, athlete_id string, "
     "athlete_name string, position_raw string, minutes double, starter boolean, "
     "did_not_play boolean, " + ", ".join(f"{c} double" for c in PLAYER_COUNTS)
 )
 
-SCHEDULE = _struct(
+SCHEDULE = (
     "game_id string, season int, game_date date, home_id string, away_id string, "
     "home_abbreviation string, away_abbreviation string, home_display_name string, "
     "away_display_name string, home_conference_id string, away_conference_id string, "
@@ -36,7 +31,7 @@ SCHEDULE = _struct(
     "neutral_site boolean, notes_headline string, groups_id string, groups_short_name string"
 )
 
-PBP = _struct(
+PBP = (
     "league string, game_id string, sequence_number double, period_number int, "
     "clock_display_value string, team_id string, type_text string, text string, "
     "scoring_play boolean, score_value double, athlete_id_1 string, athlete_id_2 string, "
@@ -45,20 +40,20 @@ PBP = _struct(
     "game_date date"
 )
 
-POSSESSIONS = _struct(
+POSSESSIONS = (
     "game_id string, period int, poss_id int, off_team string, def_team string, "
     "clock_start string, clock_end string, seconds double, points int, context string, "
     "start_reason string, end_reason string, had_oreb boolean, start_idx int, end_idx int"
 )
 
-STINTS = _struct(
+STINTS = (
     "game_id string, team string, opponent string, date date, stint_id int, period int, "
     "clock_start string, clock_end string, player_id_1 string, player_id_2 string, "
     "player_id_3 string, player_id_4 string, player_id_5 string, team_pts int, opp_pts int, "
     "stint_seconds double, lineup_valid boolean"
 )
 
-PROFILE = _struct(
+PROFILE = (
     "league string, season int, population string, team string, dimension string, "
     "category string, unit string, source string, off_n bigint, off_freq double, "
     "off_ppp double, off_ppp_pctl double, def_n bigint, def_ppp double, def_ppp_pctl double"

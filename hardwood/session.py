@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -40,6 +41,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: rows are written once to shared storage and re-read from there."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write the rows once as a table in the shared folder and go on from there.
+
+    Cuts lineage, survives lost executors and lets later readers prune columns. One pass, unlike
+    `checkpoint()`, which computes the last stage twice.
+    """
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark)}/hardwood-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
