@@ -27,8 +27,8 @@ def seconds_to_clock(secs) -> Column:
 
 def period_seconds(league, period) -> Column:
     reg = league_rule(league, "reg_periods")
-    return F.when(_c(period) <= reg, league_rule(league, "period_seconds")).otherwise(
-        league_rule(league, "ot_seconds")
+    return F.when(_c(period) <= reg, league_rule(league, "period_seconds")).when(
+        _c(period) > reg, league_rule(league, "ot_seconds")
     )
 
 
@@ -36,4 +36,6 @@ def seconds_left_in_game(league, period, secs) -> Column:
     """Remaining regulation time; an overtime period counts only itself."""
     reg = league_rule(league, "reg_periods")
     period, secs = _c(period), _c(secs)
-    return F.when(period <= reg, secs + (reg - period) * league_rule(league, "period_seconds")).otherwise(secs)
+    return F.when(period <= reg, secs + (reg - period) * league_rule(league, "period_seconds")).when(
+        period > reg, secs
+    )
