@@ -157,7 +157,8 @@ def unit_phrase(unit) -> Column:
 
 
 def two_decimals(x) -> Column:
-    return F.format_string("%.2f", _c(x))
+    # half-even before printing: the formatter itself would round ties up
+    return F.format_string("%.2f", F.bround(_c(x), 2))
 
 
 def whole_percent(share) -> Column:
@@ -212,12 +213,17 @@ def standing(pctl, n, population, mode: str = "auto", defense: bool = False) ->
 
 
 def split_at_dash(sentence) -> tuple[Column, Column]:
-    """(evidence, action): text before and after the last em dash; no dash means no action."""
+    """(action, evidence): the part after the last em dash as a headline, the part before it.
+
+    Without a dash the whole sentence is the action and the evidence is empty.
+    """
     s = _c(sentence)
-    action = F.substring_index(s, " — ", -1)
+    tail = F.substring_index(s, " — ", -1)
+    head = F.left(s, F.length(s) - F.length(tail) - F.lit(3))
+    bare = F.regexp_replace(tail, r"\.$", "")
+    action = F.concat(F.upper(F.substring(bare, 1, 1)), F.substr(bare, F.lit(2)))
     has = s.contains(" — ")
-    evidence = F.when(has, F.left(s, F.length(s) - F.length(action) - F.lit(3))).otherwise(s)
-    return evidence, F.when(has, action)
+    return F.when(has, action).otherwise(s), F.when(has, head).otherwise(F.lit(""))
 
 
 def build_url(prefix: str, ident, suffix: str) -> Column:
