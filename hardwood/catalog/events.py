@@ -159,8 +159,8 @@ TRIPS = """, ct AS (SELECT *, sum(live::int) OVER g AS nl, sum(foul::int) OVER g
  fr AS (SELECT *, CASE WHEN lag(idx) OVER g IS NULL OR nl > lag(nl) OVER g OR nf > lag(nf) OVER g OR team_id IS NULL OR lag(team_id) OVER g IS NULL
      OR team_id <> lag(team_id) OVER g OR coalesce(athlete_id_1 <> lag(athlete_id_1) OVER g, false) THEN 1 ELSE 0 END AS fresh
    FROM ct WHERE ft WINDOW g AS (PARTITION BY game_id ORDER BY idx)),
- tr AS (SELECT *, sum(fresh) OVER (PARTITION BY game_id ORDER BY idx) AS trip_id FROM fr),
- trips AS (SELECT *, row_number() OVER (PARTITION BY game_id, trip_id ORDER BY idx) AS shot_num, count(*) OVER (PARTITION BY game_id, trip_id) AS trip_size FROM tr)"""
+ ftr AS (SELECT *, sum(fresh) OVER (PARTITION BY game_id ORDER BY idx) AS trip_id FROM fr),
+ trips AS (SELECT *, row_number() OVER (PARTITION BY game_id, trip_id ORDER BY idx) AS shot_num, count(*) OVER (PARTITION BY game_id, trip_id) AS trip_size FROM ftr)"""
 
 
 @query(

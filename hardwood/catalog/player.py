@@ -234,7 +234,7 @@ def position_medians(t):
 @query(
     "division_dataset", ("player_box", "roster"),
     """, box AS (SELECT b.* EXCLUDE (position_raw), coalesce(r.position, b.position_raw) AS position_raw, r.roster_gs FROM player_box b
-                 LEFT JOIN roster r ON b.athlete_id = r.athlete_id WHERE cast(b.team_id AS bigint) % 2 = 0 AND b.minutes > 0),
+                 LEFT JOIN roster r ON b.athlete_id = r.athlete_id WHERE b.minutes > 0),
      la AS (SELECT season, athlete_id, position_raw AS position, team_id FROM (SELECT *, row_number() OVER (PARTITION BY season, athlete_id
               ORDER BY game_date DESC, seq DESC, team_id DESC) AS rn FROM box) q WHERE rn = 1)
      SELECT b.season, b.athlete_id, la.position, la.team_id, count(DISTINCT b.game_id) AS games_played, min(b.roster_gs) AS games_started_season,
@@ -243,8 +243,7 @@ def position_medians(t):
      GROUP BY b.season, b.athlete_id, la.position, la.team_id HAVING count(DISTINCT b.game_id) >= 2""",
 )
 def division_dataset(t):
-    keep = t.player_box.select("team_id").distinct().where(F.col("team_id").cast("bigint") % 2 == 0)
-    d = players.division_dataset(t.player_box, t.roster, keep, min_games=2)
+    d = players.division_dataset(t.player_box, t.roster, min_games=2)
     out = d.select(
         "season", "athlete_id", "position", "team_id", "games_played", "games_started_season", "pts_per_40", "efg_pct"
     )

@@ -126,7 +126,7 @@ def matchup_card(t):
 
 
 _SHOWN = """SELECT p.team, p.dimension, p.category, coalesce(l.display_label, p.category) AS label, coalesce(l.bulletable, true) AS bulletable,
-   CASE WHEN p.dimension = 'ball_security' THEN concat(cast(round_even(off_freq * 100, 0) AS int), '% of possessions')
+   CASE WHEN off_freq IS NULL THEN NULL WHEN p.dimension = 'ball_security' THEN concat(cast(round_even(off_freq * 100, 0) AS int), '% of possessions')
         ELSE concat(cast(round_even(off_freq * 100, 0) AS int), '% ', CASE unit WHEN 'possession' THEN 'of possessions' WHEN 'attempt' THEN 'of attempts' ELSE 'of made FGs' END,
              ' · ', printf('%.2f', off_ppp), ' points per ', CASE unit WHEN 'made_fg' THEN 'made FG' ELSE unit END) END AS meta,
    cast(round_even(n - off_ppp_pctl * (n - 1) / 100e0, 0) AS int) AS rank, cast(100 - def_ppp_pctl AS int) AS def_display_percentile

@@ -1 +1,152 @@
+"""Rating queries."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from hardwood.catalog.registry import query
+from hardwood.plans import ratings as RT
+from hardwood.session import materialize
+
+GAMES = """, gm AS (SELECT h.game_id, h.season, h.game_date AS date, h.team_id AS home, a.team_id AS away, h.pts AS home_final, a.pts AS away_final,
+     ((h.fga + 0.44e0 * h.fta + h.tov - h.oreb) + (a.fga + 0.44e0 * a.fta + a.tov - a.oreb)) / 2 AS pace
+   FROM team_box h JOIN team_box a ON h.game_id = a.game_id AND h.team_home_away = 'home' AND a.team_home_away = 'away' AND h.team_id <> a.team_id),
+ games AS (SELECT gm.*, 100e0 * (home_final - away_final) / pace AS home_net, coalesce(s.neutral_site, false) AS neutral
+   FROM gm LEFT JOIN schedule s ON s.game_id = gm.game_id WHERE pace > 20)"""
+
+MARGIN = GAMES + """, sd AS (SELECT season, date, home AS team, home_net AS net FROM games UNION ALL SELECT season, date, away, -home_net FROM games),
+ gr AS (SELECT d.season, d.date, t.team FROM (SELECT DISTINCT season, date FROM games) d JOIN (SELECT DISTINCT season, team FROM sd) t ON d.season = t.season),
+ dy AS (SELECT season, team, date, count(*) AS n, sum(net) AS net FROM sd GROUP BY 1, 2, 3),
+ rn AS (SELECT gr.season, gr.team, gr.date, coalesce(sum(dy.n) OVER w, 0) AS n_games, coalesce(sum(dy.net) OVER w, 0e0) AS s FROM gr
+   LEFT JOIN dy ON dy.season = gr.season AND dy.team = gr.team AND dy.date = gr.date
+   WINDOW w AS (PARTITION BY gr.season, gr.team ORDER BY gr.date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+ rw AS (SELECT *, n_games / (n_games + 0.3e0) AS w, CASE WHEN n_games > 0 THEN s / n_games ELSE 0 END AS m FROM rn),
+ en AS (SELECT season, team, arg_max(w, date) AS w, arg_max(m, date) AS m FROM rw GROUP BY 1, 2),
+ pri AS (WITH RECURSIVE c AS (
+     SELECT season, team, 0e0 AS b0, w * m AS r FROM en WHERE season = (SELECT min(season) FROM en)
+     UNION ALL SELECT e.season, e.team, coalesce(c.r, 0) * 0.9e0, e.w * e.m + (1 - e.w) * coalesce(c.r, 0) * 0.9e0
+     FROM (SELECT max(season) + 1 AS s FROM c) x JOIN en e ON e.season = x.s LEFT JOIN c ON c.team = e.team AND c.season = e.season - 1)
+   SELECT * FROM c),
+ tr AS (SELECT season, date, CASE WHEN sum(hn) OVER w > 0 THEN sum(hs) OVER w / sum(hn) OVER w ELSE 0 END AS home_term,
+     CASE WHEN sum(nn) OVER w > 0 THEN sum(ns) OVER w / sum(nn) OVER w ELSE 0 END AS neutral_term
+   FROM (SELECT season, date, sum((NOT neutral)::int) AS hn, sum(CASE WHEN NOT neutral THEN home_net ELSE 0 END) AS hs, sum(neutral::int) AS nn,
+     sum(CASE WHEN neutral THEN home_net ELSE 0 END) AS ns FROM games GROUP BY 1, 2) q
+   WINDOW w AS (PARTITION BY season ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+ mr AS (SELECT rw.season, rw.date, rw.team, rw.w * rw.m + (1 - rw.w) * pri.b0 AS rating, cast(n_games AS int) AS n_games, home_term, neutral_term
+   FROM rw JOIN pri ON pri.season = rw.season AND pri.team = rw.team JOIN tr ON tr.season = rw.season AND tr.date = rw.date WHERE n_games > 0 OR pri.b0 <> 0),
+ sc AS (SELECT g.*, coalesce(h.rating, 0) AS r_home, coalesce(a.rating, 0) AS r_away, coalesce(h.n_games, 0) AS n_home, coalesce(a.n_games, 0) AS n_away,
+     (coalesce(h.rating, 0) - coalesce(a.rating, 0) + coalesce(CASE WHEN g.neutral THEN h.neutral_term ELSE h.home_term END, 0)) * g.pace / 100 AS spread_home,
+     home_net * pace / 100 AS actual
+   FROM games g LEFT JOIN mr h ON h.season = g.season AND h.date = g.date AND h.team = g.home LEFT JOIN mr a ON a.season = g.season AND a.date = g.date AND a.team = g.away)"""
+
+
+def _games(t):
+    return RT.game_frame(t.team_box, t.schedule)
+
+
+def _margin(t):
+    return RT.margin_ratings(_games(t))
+
+
+@query("game_frame", ("schedule",), GAMES + " SELECT game_id, season, date, home, away, pace, home_net, neutral FROM games")
+def game_frame(t):
+    return _games(t).select("game_id", "season", "date", "home", "away", "pace", "home_net", "neutral")
+
+
+@query(
+    "rating_margin_asof", ("schedule",),
+    MARGIN + " SELECT season, date, team, round(rating, 6) AS rating, n_games, round(home_term, 6) AS home_term, round(neutral_term, 6) AS neutral_term FROM mr",
+)
+def rating_margin_asof(t):
+    r = lambda c: F.round(c, 6).alias(c)
+    return _margin(t).select("season", "date", "team", r("rating"), "n_games", r("home_term"), r("neutral_term"))
+
+
+@query("rating_ridge_asof")
+def rating_ridge_asof(t):
+    """Adjusted ratings; equality with a direct dense solve is tested on a fixture."""
+    return RT.ridge_ratings(materialize(_games(t)))
+
+
+@query("rating_ridge_sweep")
+def rating_ridge_sweep(t):
+    """Accuracy of a small (lambda, decay) grid."""
+    g = materialize(_games(t))
+    cells = [(lam, d) for lam in (1.0, 3.0) for d in (0.0, 0.9)]
+    return RT.method_report(g, RT.ridge_ratings(g, cells))
+
+
+@query(
+    "rating_ondate_margin", ("schedule",),
+    MARGIN + """, o AS (SELECT team, count(*) AS n, sum(net) AS s FROM sd WHERE date < DATE '1998-02-01' GROUP BY 1)
+      SELECT team, round(s / n * (n / (n + 0.3e0)), 6) AS rating, cast(n AS int) AS n_games FROM o""",
+)
+def rating_ondate_margin(t):
+    return RT.ratings_on(_games(t), "1998-02-01", "margin").select("team", F.round("rating", 6).alias("rating"), "n_games")
+
+
+@query(
+    "spread_attach", ("schedule",),
+    MARGIN + " SELECT game_id, round(spread_home, 6) AS spread_home, round(actual, 6) AS actual, n_home, n_away FROM sc",
+)
+def spread_attach(t):
+    g = materialize(_games(t))
+    return RT.attach_ratings(g, RT.margin_ratings(g)).select(
+        "game_id", F.round("spread_home", 6).alias("spread_home"), F.round("actual", 6).alias("actual"), "n_home", "n_away"
+    )
+
+
+_SCORES = "count(*) AS n, round(sqrt(avg((actual - spread_home) * (actual - spread_home))), 6) AS rmse, round(corr(actual, spread_home), 6) AS cor, round(regr_slope(actual, spread_home), 6) AS calib_slope"
+
+
+@query(
+    "rating_scores_by_month", ("schedule",),
+    MARGIN + f" SELECT cast(month(date) AS int) AS month, {_SCORES} FROM sc WHERE n_home >= 1 AND n_away >= 1 GROUP BY 1",
+)
+def rating_scores_by_month(t):
+    g = materialize(_games(t))
+    rep = RT.method_report(g, RT.margin_ratings(g), by=[], extra=[F.month("date").alias("month")])
+    return rep.select("month", "n", *[F.round(c, 6).alias(c) for c in ("rmse", "cor", "calib_slope")])
+
+
+@query(
+    "spread_quantiles", ("schedule",),
+    MARGIN + " SELECT " + ", ".join(f"round(quantile_cont(spread_home, {q}), 6) AS p{int(q * 100):02d}" for q in (0.01, 0.1, 0.5, 0.9, 0.99)) + " FROM sc",
+)
+def spread_quantiles(t):
+    g = materialize(_games(t))
+    q = RT.spread_quantiles(RT.attach_ratings(g, RT.margin_ratings(g)))
+    return q.select(*[F.round(c, 6).alias(c) for c in q.columns])
+
+
+def _requests(t):
+    return t.schedule.select(
+        F.col("game_id").alias("request_id"), F.date_add("game_date", 3).alias("date"), F.col("home_id").alias("home"),
+        F.col("away_id").alias("away"), F.col("neutral_site").alias("neutral"),
+    )
+
+
+@query(
+    "rating_asof_lookup", ("schedule",),
+    MARGIN + """, rq AS (SELECT game_id AS request_id, game_date + 3 AS date, home_id AS home, away_id AS away, neutral_site AS neutral FROM schedule),
+      hh AS (SELECT rq.*, m.rating AS rh, m.home_term AS ht FROM rq ASOF LEFT JOIN mr m ON rq.home = m.team AND m.date <= rq.date),
+      aa AS (SELECT hh.*, m.rating AS ra FROM hh ASOF LEFT JOIN mr m ON hh.away = m.team AND m.date <= hh.date)
+      SELECT request_id, round((coalesce(rh, 0) - coalesce(ra, 0) + coalesce(CASE WHEN neutral THEN 0 ELSE ht END, 0)) * 70.6e0 / 100, 6) AS spread_home FROM aa""",
+)
+def rating_asof_lookup(t):
+    s = RT.matchup_spreads(_requests(t), materialize(_margin(t)))
+    return s.select("request_id", F.round("spread_home", 6).alias("spread_home"))
+
+
+@query(
+    "rating_board", ("schedule",),
+    MARGIN + """, pc AS (SELECT team, round_even(round(avg(pace), 8), 1) AS pace, count(*) AS k FROM (SELECT home AS team, pace FROM games WHERE season = (SELECT max(season) FROM games)
+        UNION ALL SELECT away, pace FROM games WHERE season = (SELECT max(season) FROM games)) q GROUP BY team HAVING count(*) >= 15)
+      SELECT mr.team, concat('Team ', mr.team) AS name, round(rating, 6) AS rating, n_games, coalesce(pc.pace, 70.6e0) AS pace, pc.k AS pace_games
+      FROM mr LEFT JOIN pc ON pc.team = mr.team WHERE mr.date = (SELECT max(date) FROM mr)""",
+)
+def rating_board(t):
+    g = materialize(_games(t))
+    names = t.schedule.groupBy(F.col("home_id").alias("team")).agg(F.max_by("home_display_name", "game_date").alias("name"))
+    b = RT.rating_board(RT.margin_ratings(g), g, names)
+    return b.select("team", "name", F.round("rating", 6).alias("rating"), "n_games", "pace", "pace_games")

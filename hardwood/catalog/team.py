@@ -8,7 +8,7 @@ from hardwood.catalog.registry import query
 from hardwood.functions.metrics import quadrant, with_team_metrics
 from hardwood.operators.aggregates import aggregate_games, axis_half_width
 from hardwood.operators.filters import (
-    drop_nonstandard, season_type_filter, valid_team_games,
+    drop_nonstandard, keep_members, season_type_filter, valid_team_games,
 )
 from hardwood.operators.pairing import malformed_games, pair_opponents, pair_two_sided
 from hardwood.plans import teams
@@ -130,16 +130,16 @@ def team_efficiency_first_n(t):
 
 
 @query(
-    "college_efficiency", ("team_box",),
+    "college_efficiency", ("team_box", "team_region"),
     ", ok AS (SELECT * FROM team_box WHERE season_type = 2 AND pts IS NOT NULL AND fga > 0), "
-    f"prs AS ({pairs_sql('ok')}), kept AS (SELECT * FROM prs WHERE cast(team_id AS bigint) % 3 <> 0) "
+    f"prs AS ({pairs_sql('ok')}), kept AS (SELECT * FROM prs WHERE team_id IN (SELECT team_id FROM team_region WHERE region_name IN ('AMERICA', 'EUROPE'))) "
     + _ratings("kept", "season, team_id"),
 )
 def college_efficiency(t):
     """Valid regular games; opponents stay complete because the team list applies after pairing."""
     paired = pair_two_sided(valid_team_games(t.team_box), carry=["season"])
-    listed = t.team_box.select("team_id").distinct().where(F.col("team_id").cast("bigint") % 3 != 0)
-    kept = paired.join(listed, "team_id", "left_semi")
+    listed = t.team_region.where(F.col("region_name").isin("AMERICA", "EUROPE"))
+    kept = keep_members(paired, listed, "team_id")
     return aggregate_games(kept, "season", "team_id").select("season", "team_id", *RATINGS)
 
 

@@ -187,13 +187,13 @@ def uncredited_points(pbp: DataFrame) -> DataFrame:
     return possession_rows(prepared_events(pbp)).groupBy("game_id").agg(F.sum("lost_pts").alias("uncredited"))
 
 
-def game_states(pbp: DataFrame) -> DataFrame:
-    """Possession starts (pure) and free-throw moments in one table.
+def game_states(pbp: DataFrame | None, events: DataFrame | None = None) -> DataFrame:
+    """Possession starts (pure) and free-throw moments in one table, from a feed or prepared events.
 
     A free throw sees the filled score of the row before it, so no moment lacks a score.
     """
     c = F.col
-    ev = prepared_events(pbp)
+    ev = prepared_events(pbp) if events is None else events
     rows = possession_rows(ev)
     state = F.create_map(*[F.lit(x) for kv in START_STATE.items() for x in kv])
     none = F.lit(None).cast("int")
