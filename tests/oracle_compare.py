@@ -55,5 +55,6 @@ def compare(df, con, sql: str) -> tuple[bool, str]:
     a, b = normalized(rows, df.columns), normalized(other, names)
     if a == b:
         return True, f"{len(a)} rows"
-    left, right = [x for x in a if x not in set(b)], [x for x in b if x not in set(a)]
+    in_a, in_b = set(a), set(b)
+    left, right = [x for x in a if x not in in_b], [x for x in b if x not in in_a]
     return False, f"{len(a)} vs {len(b)} rows; cols {sorted(names)}; spark-only {left[:2]} duck-only {right[:2]}"
