@@ -15,19 +15,21 @@ from pyspark.sql import DataFrame, SparkSession
 GAME_BLOCK = 10000
 GAME_SLOTS = 150
 
+# The game key is made before the ranking window, so that the exchange on it also serves the join
+# with orders and every later grouping by game.
 _TEAM_SIDES = """
-SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, side
+SELECT game_id, l_partkey, l_suppkey, l_linenumber, l_quantity, side
 FROM (
-  SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity,
-         row_number() OVER (PARTITION BY l_orderkey
+  SELECT game_id, l_partkey, l_suppkey, l_linenumber, l_quantity,
+         row_number() OVER (PARTITION BY game_id
                             ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) AS side
-  FROM {lineitem}
+  FROM (SELECT cast(l_orderkey AS string) AS game_id, l_partkey, l_suppkey, l_linenumber, l_quantity FROM {lineitem}) keyed
 ) ranked
 WHERE side <= 2
 """
 
 _TEAM_BOX = """
-SELECT cast(l_orderkey AS string) AS game_id,
+SELECT game_id,
        cast(l_suppkey % 360 AS string) AS team_id,
        cast(year(o_orderdate) AS int) AS season,
        cast(CASE o_orderpriority WHEN '1-URGENT' THEN 3 WHEN '2-HIGH' THEN 5 ELSE 2 END AS int) AS season_type,
@@ -36,7 +38,7 @@ SELECT cast(l_orderkey AS string) AS game_id,
        2 * fgm + fg3m + floor(0.7e0 * fta) AS pts,
        fga, fgm, fg3m, fta, oreb, dreb, tov
 FROM (
-  SELECT s.l_orderkey, s.l_suppkey, s.side, o.o_orderdate, o.o_orderpriority,
+  SELECT s.game_id, s.l_suppkey, s.side, o.o_orderdate, o.o_orderpriority,
          50 + l_quantity AS fga,
          floor(0.3e0 * (50 + l_quantity)) + cast(l_partkey % 12 AS double) AS fgm,
          cast(l_partkey % 11 AS double) AS fg3m,
@@ -44,7 +46,9 @@ FROM (
          cast(4 + l_partkey % 9 AS double) AS oreb,
          cast(20 + 2 * l_linenumber AS double) AS dreb,
          cast(8 + l_partkey % 7 AS double) AS tov
-  FROM {team_sides} s JOIN {orders} o ON s.l_orderkey = o.o_orderkey
+  FROM {team_sides} s
+  JOIN (SELECT cast(o_orderkey AS string) AS order_game, o_orderdate, o_orderpriority FROM {orders}) o
+    ON s.game_id = o.order_game
 ) counted
 """
 
@@ -109,7 +113,7 @@ SELECT h.game_id, h.season, h.game_date, h.team_id AS home_id, a.team_id AS away
        concat('Conf ', hs.region_name) AS groups_short_name
 FROM {team_box} h
 JOIN {team_box} a ON h.game_id = a.game_id
-JOIN {orders} o ON cast(h.game_id AS bigint) = o.o_orderkey
+JOIN {orders} o ON h.game_id = cast(o.o_orderkey AS string)
 JOIN {team_region} hs ON h.team_id = hs.team_id
 JOIN {team_region} aw ON a.team_id = aw.team_id
 WHERE h.team_home_away = 'home' AND a.team_home_away = 'away' AND h.team_id <> a.team_id
