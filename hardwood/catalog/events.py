@@ -239,10 +239,55 @@ STATES = WALK + TRIPS + f""", pure AS (SELECT game_id, poss_id, period, period >
 
 @query("game_states", ("pbp",), STATES + " SELECT * FROM states")
 def game_states(t):
-    return P.game_states(t.pbp)
-
-
-@query("stints")
+    return P.game_states(P.possession_rows(P.prepared_events(t.pbp)))
+
+
+# Step-by-step walk of the floor: one event of every game per step, lineups as lists.
+FLOOR = SUBS + """, su AS (SELECT * FROM sg WHERE period_number IS NOT NULL),
+ sq AS (SELECT *, row_number() OVER (PARTITION BY game_id ORDER BY idx) AS k,
+     coalesce(team_id IN (home_team_id, away_team_id), false) AND is_sub AND sub_dir IS NOT NULL AS moves,
+     CASE WHEN league = 'mbb' AND period_number > 2 THEN 300e0 WHEN league = 'mbb' THEN 1200e0 WHEN period_number > 4 THEN 300e0 WHEN league = 'nba' THEN 720e0 ELSE 600e0 END AS plen
+   FROM su),
+ g0 AS (SELECT s.game_id, list(CASE WHEN st.team_id = s.h THEN st.athlete_id END) FILTER (WHERE st.starter AND st.team_id = s.h) AS fh,
+     list(st.athlete_id) FILTER (WHERE st.starter AND st.team_id = s.a) AS fa
+   FROM (SELECT game_id, min(home_team_id) AS h, min(away_team_id) AS a FROM sq GROUP BY 1) s JOIN starters st ON st.game_id = s.game_id GROUP BY 1),
+ fw AS (WITH RECURSIVE w AS (
+   SELECT game_id, 0::bigint AS k, NULL::int AS per, NULL::double AS start_s, fh, fa, 0 AS no, false AS e1, NULL::double AS s1, NULL::int AS p1,
+          false AS e2, NULL::double AS s2, NULL::double AS x2, NULL::int AS no_pts, fh AS bh, fa AS ba, false AS live FROM g0
+   UNION ALL
+   SELECT game_id, k, p, CASE WHEN grp_end THEN secs WHEN grp_start THEN NULL ELSE st0 END,
+     CASE WHEN moves AND team_id = home_team_id THEN nf ELSE fh END, CASE WHEN moves AND team_id = away_team_id THEN nf ELSE fa END,
+     no0 + grp_start::int, newp AND live0, prev_s, prev_p, grp_start, st0, secs, no0 + 1, fh, fa, grp_end OR NOT grp_start
+   FROM (SELECT *, CASE sub_dir WHEN 'in' THEN list_distinct(list_append(f, athlete_id_1)) WHEN 'out' THEN list_filter(f, lambda x: x <> athlete_id_1)
+                   ELSE list_distinct(list_append(list_filter(f, lambda x: x <> athlete_id_2), athlete_id_1)) END AS nf
+     FROM (SELECT w.game_id, q.k, q.period_number AS p, q.secs, q.grp_start, q.grp_end, q.moves, q.team_id, q.home_team_id, q.away_team_id, q.sub_dir,
+             q.athlete_id_1, q.athlete_id_2, w.fh, w.fa, w.per IS DISTINCT FROM q.period_number AS newp, w.live AND w.per IS NOT NULL AS live0,
+             w.start_s AS prev_s, w.per AS prev_p, w.no + (w.per IS DISTINCT FROM q.period_number AND w.live AND w.per IS NOT NULL)::int AS no0,
+             CASE WHEN w.per IS DISTINCT FROM q.period_number THEN q.plen ELSE w.start_s END AS st0,
+             coalesce(CASE WHEN q.team_id = q.home_team_id THEN w.fh ELSE w.fa END, []) AS f
+           FROM w JOIN sq q ON q.game_id = w.game_id AND q.k = w.k + 1) z) y)
+  SELECT * FROM w WHERE k > 0),
+ fin AS (SELECT game_id, max(k) AS k FROM fw GROUP BY 1),
+ spn AS (SELECT game_id, no_pts - 1 AS stint_id, p1 AS period, s1 AS s, 0e0 AS e, bh, ba FROM fw WHERE e1
+   UNION ALL SELECT game_id, no_pts, per, s2, coalesce(x2, s2), bh, ba FROM fw WHERE e2
+   UNION ALL SELECT f.game_id, f.no + 1, f.per, f.start_s, 0e0, f.fh, f.fa FROM fw f JOIN fin ON fin.game_id = f.game_id AND fin.k = f.k),
+ pts AS (SELECT q.game_id, f.no_pts AS stint_id, sum(CASE WHEN q.team_id = q.home_team_id THEN v END) AS hp, sum(CASE WHEN q.team_id = q.away_team_id THEN v END) AS ap
+   FROM (SELECT *, CASE WHEN score_value > 0 THEN score_value WHEN regexp_matches(text, 'three', 'i') THEN 3 WHEN regexp_matches(text, 'free throw', 'i') THEN 1 ELSE 2 END AS v
+         FROM sq WHERE NOT is_sub AND team_id IN (home_team_id, away_team_id) AND (made OR coalesce(regexp_matches(text, 'makes', 'i'), false))) q
+   JOIN fw f ON f.game_id = q.game_id AND f.k = q.k GROUP BY 1, 2),
+ bad AS (SELECT game_id FROM sq GROUP BY 1 HAVING sum((is_sub AND NOT moves)::int) > 0.1e0 * sum(is_sub::int)),
+ gi AS (SELECT game_id, min(home_team_abbrev) AS ha, min(away_team_abbrev) AS aa, min(game_date) AS date FROM sq GROUP BY 1),
+ two AS (SELECT spn.*, ha AS team, aa AS opponent, date, list_sort(list_distinct(bh)) AS five, coalesce(hp, 0) AS tp, coalesce(ap, 0) AS op
+     FROM spn JOIN gi ON gi.game_id = spn.game_id LEFT JOIN pts ON pts.game_id = spn.game_id AND pts.stint_id = spn.stint_id
+   UNION ALL SELECT spn.*, aa, ha, date, list_sort(list_distinct(ba)), coalesce(ap, 0), coalesce(hp, 0)
+     FROM spn JOIN gi ON gi.game_id = spn.game_id LEFT JOIN pts ON pts.game_id = spn.game_id AND pts.stint_id = spn.stint_id),
+ stints AS (SELECT game_id, team, opponent, date, stint_id, period, """ + f"CASE WHEN s IS NOT NULL THEN {clock_sql('s')} END AS clock_start, CASE WHEN e IS NOT NULL THEN {clock_sql('e')} END AS clock_end" + """,
+   five[1] AS player_id_1, five[2] AS player_id_2, five[3] AS player_id_3, five[4] AS player_id_4, five[5] AS player_id_5,
+   cast(tp AS int) AS team_pts, cast(op AS int) AS opp_pts, CASE WHEN s - e < 0 THEN 0 ELSE s - e END AS stint_seconds, coalesce(len(five), 0) = 5 AS lineup_valid
+   FROM two WHERE game_id NOT IN (SELECT game_id FROM bad))"""
+
+
+@query("stints", ("pbp", "starters"), FLOOR + " SELECT * FROM stints")
 def stints(t):
     return S.lineup_stints(t.pbp, t.starters)
 
@@ -258,6 +303,9 @@ def stint_report(t):
     return S.stint_report(t.pbp, t.starters).select("game_id", "n_subs", "n_unresolved", "failed")
 
 
-@query("team_stints")
+@query(
+    "team_stints", ("pbp", "starters"),
+    FLOOR + " SELECT *, team_pts - opp_pts AS plus_minus FROM stints WHERE stint_seconds >= 10",
+)
 def team_stints(t):
     return S.team_stints(S.lineup_stints(t.pbp, t.starters), min_seconds=10)

@@ -63,7 +63,14 @@ def lineup_search_core2(t):
     return _shown(LU.best_additions(pool, CORE2, "small", 12))
 
 
-@query("lineup_roster")
+def _roster_sql() -> str:
+    head, tail = search_sql(CORE3, LU.LINEUP_PRESETS["big"], 2).rsplit("SELECT added_players, round", 1)
+    return f"""{head.rstrip()}, opt AS (SELECT added_players, round{tail}),
+      mem AS (SELECT added_players, projected_net, unnest(list_concat([{_in(CORE3)}], string_split(added_players, ', '))) AS player FROM opt)
+      SELECT mem.added_players, mem.projected_net, mem.player, pool.position FROM mem JOIN pool ON pool.player = mem.player"""
+
+
+@query("lineup_roster", ("lineup_pool",), _roster_sql())
 def lineup_roster(t):
     pool = materialize(LU.candidate_pool(t.lineup_pool, CORE3, 2))
     return LU.lineup_roster(LU.best_additions(pool, CORE3, "big"), pool, CORE3)

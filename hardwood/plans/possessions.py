@@ -147,10 +147,10 @@ def _possession_facts(rows: DataFrame) -> DataFrame:
     return g.withColumn("points", (c("own") + F.coalesce(F.lead("bonus").over(w), F.lit(0.0))).cast("int"))
 
 
-def possession_state(events: DataFrame) -> DataFrame:
-    """Possessions with the score, margin and time left at their start."""
+def possession_state(rows: DataFrame) -> DataFrame:
+    """Possessions with the score, margin and time left at their start, from `possession_rows`."""
     c = F.col
-    f = _possession_facts(possession_rows(events))
+    f = _possession_facts(rows)
     end_secs = F.when(c("e_reason").isNull(), F.lit(0.0)).otherwise(F.coalesce("e_secs", "o_secs"))
     quick = (c("o_secs") - c("shot_secs")) <= TRANSITION_SECONDS
     context = (
@@ -179,7 +179,7 @@ def possession_state(events: DataFrame) -> DataFrame:
 
 
 def possessions(pbp: DataFrame) -> DataFrame:
-    return possession_state(prepared_events(pbp)).select(*POSSESSION_COLUMNS)
+    return possession_state(possession_rows(prepared_events(pbp))).select(*POSSESSION_COLUMNS)
 
 
 def uncredited_points(pbp: DataFrame) -> DataFrame:
@@ -187,17 +187,15 @@ def uncredited_points(pbp: DataFrame) -> DataFrame:
     return possession_rows(prepared_events(pbp)).groupBy("game_id").agg(F.sum("lost_pts").alias("uncredited"))
 
 
-def game_states(pbp: DataFrame | None, events: DataFrame | None = None) -> DataFrame:
-    """Possession starts (pure) and free-throw moments in one table, from a feed or prepared events.
+def game_states(rows: DataFrame) -> DataFrame:
+    """Possession starts (pure) and free-throw moments in one table, from `possession_rows`.
 
     A free throw sees the filled score of the row before it, so no moment lacks a score.
     """
     c = F.col
-    ev = prepared_events(pbp) if events is None else events
-    rows = possession_rows(ev)
     state = F.create_map(*[F.lit(x) for kv in START_STATE.items() for x in kv])
     none = F.lit(None).cast("int")
-    pure = possession_state(ev).select(
+    pure = possession_state(rows).select(
         "game_id", "poss_id", "period", "is_ot", "secs_left_period", "secs_left_game",
         F.lit("possession").alias("state_type"), state[c("start_reason")].alias("state"), F.lit(True).alias("is_pure"),
         c("off_team").alias("ball_team"), c("off_is_home").alias("ball_is_home"), "home_score", "away_score", "home_margin",

@@ -9,7 +9,7 @@ from hardwood.functions.geometry import shot_zone
 from hardwood.operators import events as E
 from hardwood.operators.filters import population_games
 from hardwood.operators.percentiles import average_rank_percentile
-from hardwood.plans.possessions import possession_state, prepared_events
+from hardwood.plans.possessions import possession_rows, possession_state, prepared_events
 from hardwood.schemas import FREQ_BAD_CATEGORIES, FREQ_RANKED_DIMENSIONS, MIN_POSS_FOR_PERCENTILE
 
 KEYS = ["off_team", "def_team", "dimension", "category", "unit"]
@@ -50,7 +50,7 @@ def shot_categories(events: DataFrame) -> DataFrame:
 def category_rows(pbp: DataFrame, per_game: bool = False) -> DataFrame:
     """Counts and points per offence, defence, dimension and category."""
     ev = prepared_events(pbp)
-    rows = possession_categories(possession_state(ev)).unionByName(shot_categories(ev))
+    rows = possession_categories(possession_state(possession_rows(ev))).unionByName(shot_categories(ev))
     keys = ["game_id", *KEYS] if per_game else KEYS
     return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.sum("points").alias("points"))
 

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from hardwood.functions.metrics import _c, clamp, net_per_100
 from hardwood.operators.aggregates import bucket_label, calibration_table, leader_probability, log_loss, brier
 from hardwood.operators.filters import quarantine
-from hardwood.plans.possessions import game_states, possession_state, prepared_events
+from hardwood.plans.possessions import game_states, possession_rows, possession_state, prepared_events
 from hardwood.plans.ratings import attach_ratings, margin_ratings
 from hardwood.schemas import FT_MAKE, FT_OREB_KEEP
 from hardwood.session import materialize
@@ -31,7 +31,7 @@ AXES = {
 
 
 def event_games(ev: DataFrame) -> DataFrame:
-    """One row per game of prepared events: sides, final score, possessions-based pace, winner."""
+    """One row per game of possession rows: sides, final score, possessions-based pace, winner."""
     g = ev.groupBy("game_id").agg(
         F.max("season").alias("season"), F.max("game_date").alias("date"), F.max("home_team_abbrev").alias("home"),
         F.max("away_team_abbrev").alias("away"), F.max("home_fill").alias("home_final"), F.max("away_fill").alias("away_final"),
@@ -61,10 +61,10 @@ def training_rows(states: DataFrame, games: DataFrame, ratings: DataFrame) -> tu
 
 
 def training_set(pbp: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Feed to labelled moments. Prepared events and games are written once, being read repeatedly."""
-    ev = materialize(prepared_events(pbp))
-    games = materialize(event_games(ev))
-    return training_rows(game_states(None, ev), games, margin_ratings(games))
+    """Feed to labelled moments. Possession rows and games are written once, being read repeatedly."""
+    rows = materialize(possession_rows(prepared_events(pbp)))
+    games = materialize(event_games(rows))
+    return training_rows(game_states(rows), games, margin_ratings(games))
 
 
 def features(rows: DataFrame) -> DataFrame:

@@ -26,7 +26,7 @@ def by_game(df):
 
 def test_possessions_equal_a_row_walk(tables):
     events = by_game(PO.prepared_events(tables.pbp))
-    got = by_game(PO.possession_state(PO.prepared_events(tables.pbp)))
+    got = by_game(PO.possession_state(PO.possession_rows(PO.prepared_events(tables.pbp))))
     for game, rows in events.items():
         rows.sort(key=lambda r: r["idx"])
         want, lost = walk_possessions(rows)
