@@ -221,19 +221,17 @@ FROM (
 ) fields
 """
 
+# @SLOTS is the one spot where the dialects differ: a select-list generator of 0..9.
 _STARTERS = """
-SELECT game_id, team_id, athlete_id, starter
+SELECT game_id, team_id, cast((cast(team_id AS bigint) - 1000) * 100 + j AS string) AS athlete_id,
+       j < CASE WHEN g % 13 = 0 THEN 4 ELSE 5 END AS starter
 FROM (
-  SELECT game_id, side_team AS team_id,
-         cast((cast(side_team AS bigint) - 1000) * 100 + j AS string) AS athlete_id,
-         j < CASE WHEN g % 13 = 0 THEN 4 ELSE 5 END AS starter
+  SELECT game_id, g, team_id, @SLOTS AS j
   FROM (
-    SELECT game_id, g, home_team_id AS side_team FROM {event_games}
+    SELECT game_id, g, home_team_id AS team_id FROM {event_games}
     UNION ALL
-    SELECT game_id, g, away_team_id AS side_team FROM {event_games}
+    SELECT game_id, g, away_team_id AS team_id FROM {event_games}
   ) sides
-  CROSS JOIN (SELECT 0 AS j UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3 UNION ALL SELECT 4
-              UNION ALL SELECT 5 UNION ALL SELECT 6 UNION ALL SELECT 7 UNION ALL SELECT 8 UNION ALL SELECT 9) slots
 ) boxed
 """
 
@@ -299,6 +297,7 @@ def load_view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     if name not in VIEWS:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
     text, deps = VIEWS[name]
+    text = text.replace("@SLOTS", "explode(sequence(0, 9))")
     return spark.sql(text, **{d: load_view(spark, sf_dir, d) for d in deps})
 
 
@@ -307,5 +306,6 @@ def view_ctes(*names: str) -> str:
     parts = []
     for n in _order(names):
         text, deps = VIEWS[n]
+        text = text.replace("@SLOTS", "unnest(generate_series(0, 9))")
         parts.append(f"{n} AS ({text.format(**{d: d for d in deps})})")
     return ",\n".join(parts)
