@@ -69,11 +69,11 @@ FROM (
          CASE WHEN l.l_returnflag = 'R' AND l.l_orderkey % 5 = 0 THEN 0e0 ELSE l.l_quantity END AS minutes,
          l.l_linenumber <= 2 AS starter,
          CASE WHEN l.l_orderkey % 29 = 0 THEN NULL ELSE l.l_orderkey % 23 = 0 END AS did_not_play,
-         floor(0.45e0 * ((l.l_partkey + l.l_linenumber) % 9)) AS fgm,
+         cast(floor(0.45e0 * ((l.l_partkey + l.l_linenumber) % 9)) AS double) AS fgm,
          cast((l.l_partkey + l.l_linenumber) % 9 AS double) AS fga,
-         floor(0.2e0 * ((l.l_partkey + l.l_linenumber) % 9)) AS fg3m,
-         floor(0.5e0 * ((l.l_partkey + l.l_linenumber) % 9)) AS fg3a,
-         floor(0.75e0 * (l.l_partkey % 5)) AS ftm,
+         cast(floor(0.2e0 * ((l.l_partkey + l.l_linenumber) % 9)) AS double) AS fg3m,
+         cast(floor(0.5e0 * ((l.l_partkey + l.l_linenumber) % 9)) AS double) AS fg3a,
+         cast(floor(0.75e0 * (l.l_partkey % 5)) AS double) AS ftm,
          cast(l.l_partkey % 5 AS double) AS fta,
          cast(l.l_suppkey % 4 AS double) AS oreb,
          cast(l.l_orderkey % 6 AS double) AS dreb,
