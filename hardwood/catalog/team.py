@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from hardwood.catalog.registry import query
-from hardwood.functions.metrics import quadrant, with_team_metrics
+from hardwood.functions.metrics import quadrant
 from hardwood.operators.aggregates import aggregate_games, axis_half_width
 from hardwood.operators.filters import (
     drop_nonstandard, keep_members, season_type_filter, valid_team_games,

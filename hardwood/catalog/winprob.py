@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from hardwood.catalog.events import STATES
 from hardwood.catalog.rating import GAMES, MARGIN
 from hardwood.catalog.registry import query
-from hardwood.operators.aggregates import base_rate_log_loss, bucket_label, leader_probability, log_loss
+from hardwood.operators.aggregates import base_rate_log_loss, bucket_label, log_loss
 from hardwood.operators.reshape import to_wide
 from hardwood.plans import winprob as WP
 from hardwood.session import materialize

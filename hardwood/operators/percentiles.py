@@ -20,10 +20,6 @@ from hardwood.operators.aggregates import weighted_mean
 from hardwood.session import materialize
 
 
-def _same(left: DataFrame, right: DataFrame, cols: Sequence[str]) -> Column:
-    return reduce(lambda a, b: a & b, [left[c].eqNullSafe(right[c]) for c in cols])
-
-
 def _join_null_safe(left: DataFrame, right: DataFrame, cols: Sequence[str], how: str = "inner") -> DataFrame:
     """Join on keys where NULL equals NULL, keeping the left key columns once."""
     renamed = right.select(*[
