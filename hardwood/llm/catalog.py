@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from hardwood.llm import exact, packing, wavelet
+from hardwood.llm import exact, oddsketch, packing, wavelet
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _ORACLES: dict[str, str] = {}
@@ -54,3 +54,8 @@ def op4(spark, sf_dir):
 @query("op5_cost_packing")
 def op5(spark, sf_dir):
     return packing.pack_documents(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query("op6_odd_sketch_dedup")
+def op6(spark, sf_dir):
+    return oddsketch.near_duplicates(_documents(spark, sf_dir), percent=85)

@@ -37,11 +37,11 @@ def table_bits(rows: int) -> int:
     return min(MOST_BITS, max(PIECE, 1 << max(0, rows * BITS_PER_ROW - 1).bit_length()))
 
 
-def repeat_table(keys: DataFrame, key: str, bits: int) -> DataFrame:
-    """One row `bits`: array of 4 KB bitmaps (null: no bit set) of the slots in which two rows or more meet."""
+def slot_table(keys: DataFrame, key: str, bits: int, meet: int = 2) -> DataFrame:
+    """One row `bits`: array of 4 KB bitmaps (null: no bit set) of the slots in which `meet` rows or more meet."""
     hits = (
         keys.select(F.explode(F.array(*_slots(F.col(key), bits))).alias("slot"))
-        .groupBy("slot").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+        .groupBy("slot").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= meet)
     )
     pieces = hits.groupBy(F.expr(f"slot div {PIECE}").alias("piece")).agg(
         F.bitmap_construct_agg(F.expr(f"slot % {PIECE}")).alias("bitmap")
@@ -51,8 +51,8 @@ def repeat_table(keys: DataFrame, key: str, bits: int) -> DataFrame:
     return filled.agg(F.array_sort(F.collect_list(F.struct("piece", "bitmap"))).alias("p")).select(F.col("p.bitmap").alias("bits"))
 
 
-def maybe_repeated(table: DataFrame, key: Column, bits: int) -> Column:
-    """False only where no other row has this key."""
+def in_table(table: DataFrame, key: Column, bits: int) -> Column:
+    """Whether all slots of the key are set: true for every key that put `meet` rows into the table, false for nearly all others."""
     held = table.scalar()
 
     def bit(slot: Column) -> Column:
@@ -80,8 +80,8 @@ def label_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     """
     prints = fingerprints(docs, doc_id, text)
     bits = table_bits(prints.count())
-    table = materialize(repeat_table(prints, "sha", bits))
-    marked = prints.withColumn("again", maybe_repeated(table, F.col("sha"), bits))
+    table = materialize(slot_table(prints, "sha", bits))
+    marked = prints.withColumn("again", in_table(table, F.col("sha"), bits))
     single = marked.filter(~F.col("again")).select(
         "doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"),
         F.col("sha").alias("text_sha256"),
@@ -105,10 +105,10 @@ def drop_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     """
     prints = fingerprints(docs, doc_id, text)
     bits = table_bits(prints.count())
-    table = materialize(repeat_table(prints, "sha", bits))
+    table = materialize(slot_table(prints, "sha", bits))
     own = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     marked = docs.select(own.alias("row"), text_sha256(F.col(text)).alias("sha"), F.col(doc_id).cast("long").alias("id"))
-    marked = marked.withColumn("again", maybe_repeated(table, F.col("sha"), bits))
+    marked = marked.withColumn("again", in_table(table, F.col("sha"), bits))
     single = marked.filter(~F.col("again")).select("row.*")
     shared = marked.filter("again").groupBy("sha").agg(F.min_by("row", F.struct(F.col("id").isNull(), "id")).alias("row")).select("row.*")
     return single.unionByName(shared)

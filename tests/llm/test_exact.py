@@ -43,7 +43,7 @@ def test_kept_rows_keep_their_columns(make):
 def test_table_misses_no_repeat(spark, make):
     keys = spark.range(3000).select((F.col("id") % 2000).cast("string").alias("sha"))
     bits = exact.table_bits(3000)
-    marked = keys.withColumn("again", exact.maybe_repeated(exact.repeat_table(keys, "sha", bits), F.col("sha"), bits))
+    marked = keys.withColumn("again", exact.in_table(exact.slot_table(keys, "sha", bits), F.col("sha"), bits))
     assert marked.filter("sha < 0 or cast(sha as int) < 1000").filter("NOT again").count() == 0
     assert marked.filter("cast(sha as int) >= 1000").filter("again").count() < 100
     assert exact.table_bits(1 << 40) == exact.MOST_BITS and exact.table_bits(0) == exact.PIECE
