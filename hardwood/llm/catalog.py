@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from hardwood.llm import exact, oddsketch, packing, wavelet
+from hardwood.llm import exact, oddsketch, packing, secrets, wavelet
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _ORACLES: dict[str, str] = {}
@@ -59,3 +59,8 @@ def op5(spark, sf_dir):
 @query("op6_odd_sketch_dedup")
 def op6(spark, sf_dir):
     return oddsketch.near_duplicates(_documents(spark, sf_dir), percent=85)
+
+
+@query("op7_entropy_secrets")
+def op7(spark, sf_dir):
+    return secrets.scan(_documents(spark, sf_dir))
