@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from hardwood.llm import exact, oddsketch, packing, secrets, wavelet
+from hardwood.llm import exact, importance, language, oddsketch, packing, rules, secrets, wavelet
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _ORACLES: dict[str, str] = {}
@@ -64,3 +64,62 @@ def op6(spark, sf_dir):
 @query("op7_entropy_secrets")
 def op7(spark, sf_dir):
     return secrets.scan(_documents(spark, sf_dir))
+
+
+def _rules_sql() -> str:
+    """The counts by string functions and windows, and the sketches as counts of bins."""
+    m, base = rules.METRICS, rules.BASE
+    union = " UNION ALL ".join(f"SELECT lang_key, source_key, '{k}' AS metric, {k} AS v FROM measured WHERE NOT base_failed" for k in m)
+    slack = "CASE metric " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in m.items()) + " END"
+
+    def level(keys: str) -> str:
+        group = f"{keys}, " if keys else ""
+        return f"""
+  SELECT {group}metric, n, q1 - {rules.REACH} * (q3 - q1) - {slack} AS low, q3 + {rules.REACH} * (q3 - q1) + {slack} AS high FROM (
+    SELECT {group}metric, max(total) AS n, min(CASE WHEN upto >= 0.25 * total THEN value END) AS q1, min(CASE WHEN upto >= 0.75 * total THEN value END) AS q3
+    FROM (SELECT {group}metric, CASE WHEN bin IS NULL THEN 0.0::DOUBLE ELSE 2 * pow({base}::DOUBLE, bin) / (1 + {base}::DOUBLE) END AS value,
+            sum(n) OVER (PARTITION BY {group}metric ORDER BY bin NULLS FIRST) AS upto, sum(n) OVER (PARTITION BY {group}metric) AS total
+          FROM (SELECT {group}metric, bin, sum(n) AS n FROM bins GROUP BY ALL)) GROUP BY {group}metric)"""
+
+    fails = " ".join(f"WHEN {k} < low_{k} OR {k} > high_{k} THEN '{k}'" for k in m)
+    pick = ", ".join(f"max(CASE WHEN metric = '{k}' THEN {c} END) AS {c}_{k}" for k in m for c in ("low", "high"))
+    return rf"""
+WITH t AS (SELECT row_number() OVER () AS r, doc_id, lang, source, coalesce(text, '') AS text FROM documents),
+w AS (SELECT r, unnest(ws) AS word, unnest(range(len(ws))) AS i FROM (SELECT r, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS ws FROM t)),
+g AS (SELECT r, i, word, lead(word) OVER p AS w2, lead(word, 2) OVER p AS w3 FROM w WINDOW p AS (PARTITION BY r ORDER BY i)),
+twice AS (SELECT r, i, w3 IS NOT NULL AND count(*) OVER (PARTITION BY r, word, w2, w3) > 1 AS t FROM g),
+rep AS (SELECT r, count(*) AS n_words, count(*) FILTER (t OR b1 OR b2) AS n_repeat_words
+  FROM (SELECT r, t, lag(t, 1, false) OVER p AS b1, lag(t, 2, false) OVER p AS b2 FROM twice WINDOW p AS (PARTITION BY r ORDER BY i)) GROUP BY r),
+l AS (SELECT r, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup_lines
+  FROM (SELECT r, unnest(string_split(text, chr(10))) AS line FROM t) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY r),
+counted AS (SELECT t.*, coalesce(n_words, 0) AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g')) AS word_chars,
+  length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(n_lines, 0) AS n_lines
+  FROM t LEFT JOIN rep USING (r) LEFT JOIN l USING (r)),
+measured AS (SELECT *, CASE WHEN n_words > 0 THEN word_chars / n_words ELSE 0 END AS word_length, CASE WHEN n_words > 0 THEN n_symbols / n_words ELSE 0 END AS symbol_rate,
+  CASE WHEN n_lines > 0 THEN n_dup_lines / n_lines ELSE 0 END AS dup_line_rate, CASE WHEN n_words > 0 THEN n_repeat_words / n_words ELSE 0 END AS repeat_rate,
+  n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, coalesce('=' || lang, '?') AS lang_key, coalesce('=' || source, '?') AS source_key FROM counted),
+bins AS (SELECT lang_key, source_key, metric, CASE WHEN v > 0 THEN ceil(ln(v) / ln({base}::DOUBLE))::INT END AS bin, count(*) AS n FROM ({union}) GROUP BY ALL),
+cell AS ({level("lang_key, source_key")}), by_lang AS ({level("lang_key")}), every AS ({level("")}),
+cells AS (SELECT DISTINCT lang_key, source_key FROM measured),
+limits AS (SELECT lang_key, source_key, {pick} FROM (
+  SELECT k.lang_key, k.source_key, e.metric, CASE WHEN c.n >= {rules.LEAST} THEN c.low WHEN b.n >= {rules.LEAST} THEN b.low ELSE e.low END AS low,
+    CASE WHEN c.n >= {rules.LEAST} THEN c.high WHEN b.n >= {rules.LEAST} THEN b.high ELSE e.high END AS high
+  FROM cells k CROSS JOIN every e LEFT JOIN cell c ON c.lang_key = k.lang_key AND c.source_key = k.source_key AND c.metric = e.metric
+  LEFT JOIN by_lang b ON b.lang_key = k.lang_key AND b.metric = e.metric) GROUP BY lang_key, source_key),
+judged AS (SELECT m.*, CASE WHEN base_failed THEN 'base' {fails} END AS failed_rule FROM measured m LEFT JOIN limits USING (lang_key, source_key))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, failed_rule IS NULL AS kept, failed_rule FROM judged"""
+
+
+@query("op10_adaptive_rules", _rules_sql())
+def op10(spark, sf_dir):
+    return rules.judge(_documents(spark, sf_dir))
+
+
+@query("op1_importance_quality")
+def op1(spark, sf_dir):
+    return importance.classify(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+@query("op2_kernel_language")
+def op2(spark, sf_dir):
+    return language.identify(_documents(spark, sf_dir))

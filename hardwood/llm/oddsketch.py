@@ -31,7 +31,7 @@ BLOCK, QUOTA = 512, 16
 _SEEDS = mix(np.arange(1, 2 * SAMPLES + 1, dtype=np.uint64))
 _MUL, _ADD = (_SEEDS[:SAMPLES] | np.uint64(1)).astype(np.uint32), _SEEDS[SAMPLES:].astype(np.uint32)
 _WORDS = SKETCH_BITS // 64
-SIGNATURE = f"doc_id long, n_shingles long, d1 long, d2 long, sketch array<long>, bands array<long>"
+SIGNATURE = "doc_id long, n_shingles long, d1 long, d2 long, sketch array<long>, bands array<long>"
 
 
 def missed(similarity: float) -> float:
@@ -104,9 +104,9 @@ def _lists(x: np.ndarray, has: np.ndarray) -> pa.Array:
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hashes = WordHashes()
     for batch in batches:
-        names, texts = batch.column(0), batch.column(1).to_pylist()
-        for low, high in slices(texts):
-            sets = shingle_sets(texts[low:high], hashes)
+        names = batch.column(0)
+        for low, high, texts in slices(batch.column(1)):
+            sets = shingle_sets(texts, hashes)
             has = np.array([len(s) > 0 for s in sets])
             full = [s for s in sets if len(s)]
             sketch, bands = signatures_of(full) if full else (np.zeros((0, _WORDS), np.uint64), np.zeros((0, BANDS), np.uint64))

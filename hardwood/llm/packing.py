@@ -17,13 +17,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hardwood.llm.text import slices
-from hardwood.llm.tokens import CachedEncoder, cut_keeping_spaces
+from hardwood.llm.tokens import encoder
 
 CAPACITY, END_ID = 2048, 1
 #: Cost of a token by itself, and of a token seen by a token of its piece.
 LINEAR, QUADRATIC = 1.0, 1.0 / 2048
 #: Tokens that are packed together; bounds the memory of a task.
 GROUP_TOKENS = 2_000_000
+#: Bytes of text encoded at once.
+SLICE = 1_000_000
 
 SCHEMA = (
     "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, cost double"
@@ -75,7 +77,7 @@ def pack(lengths: np.ndarray, capacity: int = CAPACITY) -> list[tuple[int, int,
 
 def _packer(path: str, capacity: int, group_tokens: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = CachedEncoder(path, cut_keeping_spaces)
+        held_encoder = encoder(path, keeping=True)
         task = TaskContext.get()
         following = (task.partitionId() if task else 0) << 33
         held: list[tuple[list, np.ndarray, np.ndarray]] = []
@@ -100,9 +102,9 @@ def _packer(path: str, capacity: int, group_tokens: int):
 
         waiting = 0
         for batch in batches:
-            names, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for low, high in slices(texts):
-                ids, lengths = encoder.encode(texts[low:high], END_ID)
+            names = batch.column(0).to_pylist()
+            for low, high, texts in slices(batch.column(1), SLICE):
+                ids, lengths = held_encoder.encode(texts, END_ID)
                 held.append((names[low:high], ids, lengths))
                 waiting += len(ids)
                 if waiting >= group_tokens:

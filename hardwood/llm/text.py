@@ -5,25 +5,25 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 
-#: Characters handled at once by a Python worker; one longer text is a slice of its own.
-SLICE_CHARS = 4_000_000
+#: Bytes of text handled at once by a Python worker; one longer text is a slice of its own.
+SLICE_BYTES = 2_000_000
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
-def slices(texts: list[str | None], limit: int = SLICE_CHARS) -> Iterator[tuple[int, int]]:
-    """Ranges of neighbouring texts of at most `limit` characters together (one text at least)."""
-    low, size = 0, 0
-    for i, t in enumerate(texts):
-        n = len(t or "")
-        if i > low and size + n > limit:
-            yield low, i
-            low, size = i, 0
-        size += n
-    if low < len(texts):
-        yield low, len(texts)
+def slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int, list[str | None]]]:
+    """(low, high, texts) of neighbouring rows of at most `limit` bytes together (one row at least); only one slice is held as strings."""
+    ends = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(column), 0)).astype(np.int64))
+    low = 0
+    while low < len(column):
+        before = int(ends[low - 1]) if low else 0
+        high = max(low + 1, int(np.searchsorted(ends, before + limit, "right")))
+        yield low, high, column.slice(low, high - low).to_pylist()
+        low = high
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -40,7 +40,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 class WordHashes(dict):
     """Word (bytes) -> signed 64-bit hash, remembered for at most `limit` words; the value never depends on the memory."""
 
-    def __init__(self, limit: int = 500_000):
+    def __init__(self, limit: int = 300_000):
         super().__init__()
         self.limit = limit
 

@@ -7,6 +7,8 @@ are the ids of the whole text. Words repeat, so most pieces come from the memory
 from __future__ import annotations
 
 import re
+from functools import lru_cache
+from itertools import repeat
 
 import numpy as np
 from tokenizers import Tokenizer
@@ -38,62 +40,108 @@ def cut_keeping_spaces(text: str) -> list[str]:
     return out
 
 
+#: Between pieces that are encoded in one call. A character of no merge, so its id stands where one piece ends.
+MARK = "\0"
+#: Pieces whose ids don't depend on a mark before or after them.
+_PLAIN_KEEPING = re.compile(r"(?:[ \n](?=\S)|(?=[^\W\d_]))[^\0]*[^\0\s]")
+_PLAIN_DROPPING = re.compile(r"[^\0]+")
+#: Pieces of one call, and of one request of the library.
+TOGETHER = 2_000
+
+
 class CachedEncoder:
     """ids of many texts; remembers the ids of at most `limit` pieces of at most `longest` characters."""
 
-    def __init__(self, path: str, cut, limit: int = 400_000, longest: int = 64):
+    def __init__(self, path: str, cut, limit: int = 250_000, longest: int = 64):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.cut, self.limit, self.longest = cut, limit, longest
+        keeping = cut is cut_keeping_spaces
+        self.plain, self.join = (_PLAIN_KEEPING, MARK) if keeping else (_PLAIN_DROPPING, f" {MARK} ")
+        self.mark = self._ids(MARK)
         self.known: dict[str, int] = {}
         self.pool = np.zeros(1 << 16, np.uint32)
         self.starts = np.zeros(1 << 12, np.int64)
         self.sizes = np.zeros(1 << 12, np.int64)
         self.used = self.count = 0
 
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+
+    def _store(self, ids: np.ndarray, sizes: np.ndarray) -> None:
+        """Put the ids of one piece after another into the pool."""
+        while self.used + len(ids) > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
+        while self.count + len(sizes) > len(self.starts):
+            self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
+            self.sizes = np.concatenate([self.sizes, np.zeros_like(self.sizes)])
+        self.pool[self.used : self.used + len(ids)] = ids
+        self.starts[self.count : self.count + len(sizes)] = self.used + np.cumsum(sizes) - sizes
+        self.sizes[self.count : self.count + len(sizes)] = sizes
+        self.used += len(ids)
+        self.count += len(sizes)
+
     def _add(self, pieces: list[str]) -> dict[str, int]:
-        """Encode the pieces and put their ids into the pool."""
-        found = {}
-        for low in range(0, len(pieces), 20_000):
-            part = pieces[low : low + 20_000]
-            for piece, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                ids = e.ids
-                if self.count == len(self.starts):
-                    self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
-                    self.sizes = np.concatenate([self.sizes, np.zeros_like(self.sizes)])
-                while self.used + len(ids) > len(self.pool):
-                    self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
-                self.pool[self.used : self.used + len(ids)] = ids
-                self.starts[self.count], self.sizes[self.count] = self.used, len(ids)
+        """Encode the pieces, most of them many in one call, and say where each one's ids are."""
+        found: dict[str, int] = {}
+        plain = [p for p in pieces if len(p) <= self.longest and self.plain.fullmatch(p)] if len(self.mark) == 1 else []
+        for low in range(0, len(plain), TOGETHER):
+            part = plain[low : low + TOGETHER]
+            ids = self._ids(self.join.join(part))
+            at = np.flatnonzero(ids == self.mark[0])
+            if len(at) != len(part) - 1:
+                continue
+            sizes = np.diff(at, prepend=-1, append=len(ids)) - 1
+            found |= zip(part, range(self.count, self.count + len(part)))
+            self._store(np.delete(ids, at), sizes)
+        for piece in pieces:
+            if piece not in found:
                 found[piece] = self.count
-                self.used += len(ids)
-                self.count += 1
+                ids = self._ids(piece)
+                self._store(ids, np.array([len(ids)], np.int64))
         return found
 
     def encode(self, texts: list[str | None], end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """All ids one text after another (uint32), and the number of ids of each text; `end` closes each text."""
-        cuts = [self.cut(t) if t else [] for t in texts]
-        words = [w for c in cuts for w in c]
-        at = np.fromiter((self.known.get(w, -1) for w in words), np.int64, len(words))
+        words: list[str] = []
+        cuts = np.zeros(len(texts) + 1, np.int64)
+        for i, t in enumerate(texts):
+            if t:
+                words += self.cut(t)
+            cuts[i + 1] = len(words)
+        at = np.fromiter(map(self.known.get, words, repeat(-1)), np.int64, len(words))
         new = np.flatnonzero(at < 0)
         keep_used, keep_count = self.used, self.count
         if len(new):
-            fresh = dict.fromkeys(words[i] for i in new.tolist())
-            short = [w for w in fresh if len(w) <= self.longest][: max(0, self.limit - len(self.known))]
-            found = self._add(short)
-            self.known |= found
-            keep_used, keep_count = self.used, self.count
-            found |= self._add([w for w in fresh if w not in found])
-            at[new] = [found[words[i]] for i in new.tolist()]
-        sizes, starts = self.sizes[at], self.starts[at]
-        total = int(sizes.sum())
-        flat = np.arange(total, dtype=np.int64)
-        flat += np.repeat(starts - (np.cumsum(sizes) - sizes), sizes)
+            missing = [words[i] for i in new.tolist()]
+            fresh = list(dict.fromkeys(missing))
+            found: dict[str, int] = {}
+            if (free := self.limit - len(self.known)) > 0:
+                found = self._add([w for w in fresh if len(w) <= self.longest][:free])
+                self.known |= found
+                keep_used, keep_count = self.used, self.count
+            found = found | self._add([w for w in fresh if w not in found])
+            at[new] = np.fromiter(map(found.__getitem__, missing), np.int64, len(missing))
+        sizes = self.sizes[at]
+        ends = np.cumsum(sizes)
+        total = int(ends[-1]) if len(ends) else 0
+        flat = np.repeat(self.starts[at] - ends + sizes, sizes)
+        flat += np.arange(total)
         ids = self.pool[flat]
         self.used, self.count = keep_used, keep_count
-        ends = np.concatenate([[0], np.cumsum(sizes)])[np.cumsum([0, *map(len, cuts)])]
-        lengths = np.diff(ends)
+        bounds = np.concatenate([[0], ends])[cuts]
+        lengths = np.diff(bounds)
         if end is not None:
-            ids = np.insert(ids, ends[1:], end).astype(np.uint32)
-            lengths = lengths + 1
+            closed = np.empty(total + len(texts), np.uint32)
+            last = bounds[1:] + np.arange(len(texts))
+            inner = np.ones(len(closed), bool)
+            inner[last] = False
+            closed[last], closed[inner] = end, ids
+            ids, lengths = closed, lengths + 1
         return ids, lengths
+
+
+@lru_cache(maxsize=2)
+def encoder(path: str, keeping: bool) -> CachedEncoder:
+    """The encoder of this Python worker, which later tasks of the worker go on with."""
+    return CachedEncoder(path, cut_keeping_spaces if keeping else cut_dropping_spaces)

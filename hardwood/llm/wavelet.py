@@ -22,12 +22,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from hardwood.llm.text import slices
-from hardwood.llm.tokens import CachedEncoder, cut_dropping_spaces
+from hardwood.llm.tokens import encoder
 from hardwood.session import ensure_checkpoint_dir, materialize
 
 MAGIC, BLOCK, END_ID = b"HWWM0001", 512, 1
 #: Tokens of one file, about.
 SHARD_TOKENS = 1_000_000
+#: Bytes of text encoded at once.
+SLICE = 1_000_000
 
 
 def build(ids: np.ndarray, doc_ids: np.ndarray, lengths: np.ndarray) -> bytes:
@@ -157,7 +159,7 @@ def _store(base: str, name: str, data: bytes) -> None:
 
 def _writer(tokenizer_path: str, base: str, shard_tokens: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = CachedEncoder(tokenizer_path, cut_dropping_spaces)
+        held_encoder = encoder(tokenizer_path, keeping=False)
         task = TaskContext.get().partitionId()
         held: list[tuple[list, np.ndarray, np.ndarray]] = []
         number = waiting = 0
@@ -177,9 +179,9 @@ def _writer(tokenizer_path: str, base: str, shard_tokens: int):
             )
 
         for batch in batches:
-            names, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for low, high in slices(texts, shard_tokens):
-                ids, lengths = encoder.encode(texts[low:high], END_ID)
+            names = batch.column(0).to_pylist()
+            for low, high, texts in slices(batch.column(1), min(SLICE, shard_tokens)):
+                ids, lengths = held_encoder.encode(texts, END_ID)
                 held.append((names[low:high], ids, lengths))
                 waiting += len(ids)
                 if waiting >= shard_tokens:

@@ -16,7 +16,7 @@ from hardwood.llm.tokens import CachedEncoder, cut_dropping_spaces, cut_keeping_
 SF = "/root/testdata/sf0.001"
 PATHS = {"word_bpe_49k.json": cut_dropping_spaces, "byte_bpe_50k.json": cut_keeping_spaces}
 ODD = ["", " ", "a  b", " \n\n x \t y ", "don't  stop  now", "a\x1c b\x01 c", "<|endoftext|> x<|startoftext|>", "é é   ü",
-       "12 345  6", "\r\n a\n b", "x" * 5000, "日本語 テキスト。 ok", "a\u0085 b", "Ünï ŞİK ΣΑΣ"]
+       "12 345  6", "\r\n a\n b", "x" * 5000, "日本語 テキスト。 ok", "a\0b \0 c 's", "'s 't", "a\u0085 b", "Ünï ŞİK ΣΑΣ"]
 
 
 def crc(ids):
@@ -48,7 +48,7 @@ def test_cached_ids_of_any_text(plain, name):
     encoder = CachedEncoder(public_tokenizers.path(name), PATHS[name])
 
     @settings(max_examples=150, deadline=None)
-    @given(st.text(st.sampled_from("ab'sS1 \n\t\r\x1c\x1f  é́!<|日"), max_size=30))
+    @given(st.text(st.sampled_from("ab'sS1 \n\t\r\x1c\x1f  é́!<|日"), max_size=30) | st.text(st.sampled_from("a \n's!\0"), max_size=9))
     def check(t):
         assert encoder.encode([t])[0].tolist() == plain[name].encode(t, add_special_tokens=False).ids
 
