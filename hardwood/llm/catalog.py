@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from hardwood.llm import exact, importance, language, oddsketch, packing, rules, secrets, wavelet
+from hardwood.llm import exact, importance, language, licenses, oddsketch, packing, pieces, rules, secrets, wavelet
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _ORACLES: dict[str, str] = {}
@@ -123,3 +123,13 @@ def op1(spark, sf_dir):
 @query("op2_kernel_language")
 def op2(spark, sf_dir):
     return language.identify(_documents(spark, sf_dir))
+
+
+@query("op8_streaming_pieces")
+def op8(spark, sf_dir):
+    return pieces.digest(_documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query("op9_license_windows")
+def op9(spark, sf_dir):
+    return licenses.scan(_documents(spark, sf_dir))

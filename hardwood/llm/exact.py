@@ -112,3 +112,16 @@ def drop_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     single = marked.filter(~F.col("again")).select("row.*")
     shared = marked.filter("again").groupBy("sha").agg(F.min_by("row", F.struct(F.col("id").isNull(), "id")).alias("row")).select("row.*")
     return single.unionByName(shared)
+
+
+def without_ids(docs: DataFrame, gone: DataFrame, doc_id: str = "doc_id") -> DataFrame:
+    """`docs` without the rows whose id is in the stored one-column table `gone`.
+
+    Rows that the bit table of the ids rules out pass straight through; only the others meet the ids. Rows without an id stay.
+    """
+    gone = gone.toDF("__gone").filter("__gone IS NOT NULL").distinct()
+    bits = table_bits(gone.count())
+    table = materialize(slot_table(gone, "__gone", bits, meet=1))
+    key = F.col(f"`{doc_id}`").cast("long")
+    maybe = key.isNotNull() & in_table(table, key, bits)
+    return docs.filter(~maybe).unionByName(docs.filter(maybe).join(gone, key == F.col("__gone"), "left_anti"))

@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from hardwood.llm.exact import without_ids
 from hardwood.llm.text import WordHashes, mix, slices
 from hardwood.session import materialize
 
@@ -152,7 +153,6 @@ def classify(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: s
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """`docs` without the documents that the classifier rejects; a row without a doc_id follows its own key like any other."""
-    out = classify(docs, labels, doc_id, text)
-    gone = materialize(out.filter("NOT kept").select(F.col("doc_id").alias("__gone")).distinct())
-    return docs.join(gone, F.col(f"`{doc_id}`").cast("long").eqNullSafe(F.col("__gone")), "left_anti")
+    """`docs` without the documents that the classifier rejects, all columns as they were; a row without a doc_id stays."""
+    rejected = classify(docs, labels, doc_id, text).filter("NOT kept").select("doc_id")
+    return without_ids(docs, materialize(rejected), doc_id)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hardwood.llm.exact import in_table, slot_table, table_bits
+from hardwood.llm.exact import in_table, slot_table, table_bits, without_ids
 from hardwood.llm.text import WordHashes, mix, slices, split_words, windows
 from hardwood.session import materialize
 
@@ -279,3 +279,9 @@ def near_duplicates(docs: DataFrame, percent: int = 80, doc_id: str = "doc_id",
         "doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"),
         F.coalesce(F.col("doc_id") == F.coalesce("component", "doc_id"), F.lit(True)).alias("kept"),
     )
+
+
+def drop_near_copies(docs: DataFrame, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """`docs` with one document of each component, that of the smallest doc_id; all columns as they were."""
+    gone = near_duplicates(docs, percent, doc_id, text).filter("NOT kept").select("doc_id")
+    return without_ids(docs, materialize(gone), doc_id)

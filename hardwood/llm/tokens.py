@@ -55,10 +55,14 @@ class CachedEncoder:
     def __init__(self, path: str, cut, limit: int = 250_000, longest: int = 64):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.cut, self.limit, self.longest = cut, limit, longest
+        self.cut = cut
         keeping = cut is cut_keeping_spaces
         self.plain, self.join = (_PLAIN_KEEPING, MARK) if keeping else (_PLAIN_DROPPING, f" {MARK} ")
         self.mark = self._ids(MARK)
+        self._begin(limit, longest)
+
+    def _begin(self, limit: int, longest: int) -> None:
+        self.limit, self.longest = limit, longest
         self.known: dict[str, int] = {}
         self.pool = np.zeros(1 << 16, np.uint32)
         self.starts = np.zeros(1 << 12, np.int64)
