@@ -145,32 +145,41 @@ def college_efficiency(t):
 
 @query(
     "pair_malformed", ("team_box",),
-    """, three AS (SELECT game_id, cast(l_suppkey AS string) AS team_id, pts FROM (
-           SELECT cast(l_orderkey AS string) AS game_id, l_suppkey, l_quantity AS pts, row_number() OVER (
-             PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) AS side FROM lineitem) r
-         WHERE side <= CASE WHEN cast(game_id AS bigint) % 5 = 0 THEN 3 ELSE 2 END)
+    """, sides AS (SELECT cast(l_orderkey AS string) AS game_id, cast(l_suppkey AS string) AS team_id, sum(l_quantity) AS pts
+                   FROM lineitem GROUP BY 1, 2)
        SELECT a.game_id, a.team_id, a.pts, b.team_id AS opp_team_id, b.pts AS opp_pts
-       FROM three a JOIN three b ON a.game_id = b.game_id AND a.team_id <> b.team_id""",
+       FROM sides a JOIN sides b ON a.game_id = b.game_id AND a.team_id <> b.team_id""",
 )
 def pair_malformed(t):
-    """Three-row games give every ordered pair, one-row games none."""
-    return pair_opponents(_three_sided(t), counts=["pts"]).select("game_id", "team_id", "pts", "opp_team_id", "opp_pts")
+    """Games of one to seven sides: every ordered pair of teams, none for a side that is alone."""
+    return pair_opponents(_supplier_sides(t), counts=["pts"]).select("game_id", "team_id", "pts", "opp_team_id", "opp_pts")
 
 
-def _three_sided(t):
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
-    sides = (
-        t.lineitem.select("l_orderkey", "l_suppkey", "l_quantity", "l_linenumber", "l_partkey")
-        .withColumn("side", F.row_number().over(w)).where(F.col("side") <= 3)
-    )
-    return sides.where((F.col("l_orderkey") % 5 == 0) | (F.col("side") <= 2)).select(
-        F.col("l_orderkey").cast("string").alias("game_id"),
-        F.col("l_suppkey").cast("string").alias("team_id"), F.col("l_quantity").alias("pts"),
+def _supplier_sides(t):
+    """Each supplier of an order as a side of its own, with all its lines."""
+    return t.lineitem.groupBy(F.col("l_orderkey").cast("string").alias("game_id"), F.col("l_suppkey").cast("string").alias("team_id")).agg(
+        F.sum("l_quantity").alias("pts")
     )
 
 
+@query(
+    "pair_strict", ("team_box",),
+    """, sides AS (SELECT cast(l_orderkey AS string) AS game_id, cast(l_suppkey AS string) AS team_id, sum(l_quantity) AS pts
+                   FROM lineitem GROUP BY 1, 2),
+       two AS (SELECT game_id FROM sides GROUP BY game_id HAVING count(*) = 2)
+       SELECT a.game_id, a.team_id, a.pts, b.team_id AS opp_team_id, b.pts AS opp_pts, true AS well_formed
+       FROM sides a JOIN sides b ON a.game_id = b.game_id AND a.team_id <> b.team_id WHERE a.game_id IN (SELECT game_id FROM two)
+       UNION ALL
+       SELECT game_id, NULL, NULL, NULL, count(*), false FROM sides GROUP BY game_id HAVING count(*) <> 2""",
+)
+def pair_strict(t):
+    """Only games of two sides are paired, and the others are reported with their number of sides."""
+    sides = _supplier_sides(t)
+    paired = pair_two_sided(sides, counts=["pts"]).withColumn("well_formed", F.lit(True))
+    left_out = malformed_games(sides).select("game_id", F.col("n_rows").cast("double").alias("opp_pts"), F.lit(False).alias("well_formed"))
+    return paired.unionByName(left_out, allowMissingColumns=True)
+
+
 @query(
     "malformed_games", ("team_box",),
     " SELECT game_id, count(*) AS n_rows FROM team_box GROUP BY game_id HAVING count(*) <> 2",

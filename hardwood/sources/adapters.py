@@ -1,9 +1,9 @@
 """Basketball-shaped views over the generic order and event tables.
 
 Each view is one SQL text in the subset that Spark and DuckDB read alike, so a result can be
-checked against an independent engine on identical input. The views bound the domain the way a
-league does: at most 360 teams, and games cut so that none exceeds GAME_BLOCK events however
-skewed the source keys are.
+checked against an independent engine on identical input. Every row of a source table is read. There are at
+most 360 teams. The game of an event is its user's slot (of 150) in its block of 10,000 event ids: that
+block is part of the game key, so no game has more events however skewed the users are.
 """
 
 from __future__ import annotations
@@ -12,25 +12,22 @@ from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 
-GAME_BLOCK = 10000
-GAME_SLOTS = 150
-
-# The game key is made before the ranking window, so that the exchange on it also serves the join
-# with orders and every later grouping by game.
+# An order is a game and its odd and even lines are the two sides. Every line counts: a side's figures are made of the
+# sums over its lines. Its team is that of its smallest supplier, so both sides can name one team (no pair then), and an
+# order with one line is a game with one side.
 _TEAM_SIDES = """
-SELECT game_id, l_partkey, l_suppkey, l_linenumber, l_quantity, side
+SELECT game_id, side, min(l_suppkey) AS team_no, count(*) AS n_lines,
+       cast(sum(l_quantity) AS double) AS quantity, cast(sum(l_partkey) AS bigint) AS parts, cast(sum(l_suppkey) AS bigint) AS suppliers
 FROM (
-  SELECT game_id, l_partkey, l_suppkey, l_linenumber, l_quantity,
-         row_number() OVER (PARTITION BY game_id
-                            ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) AS side
-  FROM (SELECT cast(l_orderkey AS string) AS game_id, l_partkey, l_suppkey, l_linenumber, l_quantity FROM {lineitem}) keyed
-) ranked
-WHERE side <= 2
+  SELECT cast(l_orderkey AS string) AS game_id, l_partkey, l_suppkey, l_quantity, 2 - l_linenumber % 2 AS side
+  FROM {lineitem}
+) keyed
+GROUP BY game_id, side
 """
 
 _TEAM_BOX = """
 SELECT game_id,
-       cast(l_suppkey % 360 AS string) AS team_id,
+       cast(team_no % 360 AS string) AS team_id,
        cast(year(o_orderdate) AS int) AS season,
        cast(CASE o_orderpriority WHEN '1-URGENT' THEN 3 WHEN '2-HIGH' THEN 5 ELSE 2 END AS int) AS season_type,
        cast(o_orderdate AS date) AS game_date,
@@ -38,15 +35,14 @@ SELECT game_id,
        2 * fgm + fg3m + floor(0.7e0 * fta) AS pts,
        fga, fgm, fg3m, fta, oreb, dreb, tov
 FROM (
-  SELECT s.game_id, s.l_suppkey, s.side, o.o_orderdate, o.o_orderpriority,
-         50 + l_quantity AS fga,
-         floor(0.3e0 * (50 + l_quantity)) + cast(l_partkey % 12 AS double) AS fgm,
-         cast(l_partkey % 11 AS double) AS fg3m,
-         cast(10 + l_suppkey % 17 AS double) AS fta,
-         cast(4 + l_partkey % 9 AS double) AS oreb,
-         cast(20 + 2 * l_linenumber AS double) AS dreb,
-         cast(8 + l_partkey % 7 AS double) AS tov
-  FROM {team_sides} s
+  SELECT s.game_id, s.team_no, s.side, o.o_orderdate, o.o_orderpriority,
+         fga, floor(0.3e0 * fga) + cast(parts % 12 AS double) AS fgm,
+         cast(parts % 11 AS double) AS fg3m,
+         cast(10 + suppliers % 17 AS double) AS fta,
+         cast(4 + parts % 9 AS double) AS oreb,
+         cast(20 + 2 * n_lines AS double) AS dreb,
+         cast(8 + parts % 7 AS double) AS tov
+  FROM (SELECT *, 45 + floor(0.3e0 * quantity) AS fga FROM {team_sides}) s
   JOIN (SELECT cast(o_orderkey AS string) AS order_game, o_orderdate, o_orderpriority FROM {orders}) o
     ON s.game_id = o.order_game
 ) counted
@@ -119,11 +115,14 @@ JOIN {team_region} aw ON a.team_id = aw.team_id
 WHERE h.team_home_away = 'home' AND a.team_home_away = 'away' AND h.team_id <> a.team_id
 """
 
+# A team's region is the smallest one of its suppliers.
 _TEAM_REGION = """
-SELECT cast(s.s_suppkey % 360 AS string) AS team_id, min(r.r_regionkey) AS region_no, min(r.r_name) AS region_name
-FROM {supplier} s JOIN {nation} n ON s.s_nationkey = n.n_nationkey JOIN {region} r ON n.n_regionkey = r.r_regionkey
-WHERE s.s_suppkey < 360
-GROUP BY 1
+SELECT t.team_id, t.region_no, r.r_name AS region_name
+FROM (
+  SELECT cast(s.s_suppkey % 360 AS string) AS team_id, min(n.n_regionkey) AS region_no
+  FROM {supplier} s JOIN {nation} n ON s.s_nationkey = n.n_nationkey
+  GROUP BY 1
+) t JOIN {region} r ON t.region_no = r.r_regionkey
 """
 
 _EVENT_ROWS = """
