@@ -71,7 +71,7 @@ def planted(seed, groups, size):
 @pytest.mark.parametrize("percent,seed", [(85, 1), (80, 2)])
 def test_planted_groups(make, percent, seed, monkeypatch):
     monkeypatch.setattr(oddsketch, "BLOCK", 8)
-    monkeypatch.setattr(oddsketch, "QUOTA", 1)
+    monkeypatch.setattr(oddsketch, "BLOCK_SHINGLES", 900)
     rows = planted(seed, 25, 12)
     assert got(oddsketch.near_duplicates(make(rows), percent)) == brute(rows, percent)
 
