@@ -4,18 +4,21 @@ A document's MinHash samples (place, minimum) are folded into a parity bitmap, a
 the sketch of the samples that differ, so its population count estimates a high similarity precisely; only pairs that it
 doesn't rule out (by six standard deviations) have their shingle sets compared.
 
-Groups of any size stay cheap: texts with equal sets are one representative; in each bucket of a band all members are
-compared with the smallest one first; and after that only members of different components, in blocks of a bounded size.
+Groups of any size stay cheap, and no step gives a row for each pair of a group. Texts with equal sets are one
+representative. In each bucket of a band the members are compared with the smallest one. Where a bucket still has several
+components, a spanning forest of its near sketches is taken, which gathers everything that could be linked; such a
+gathering is then compared in pairs of bounded blocks, each of which gives back a spanning forest of its links.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from functools import reduce
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,8 +28,8 @@ from hardwood.session import materialize
 
 SHINGLE, BANDS, ROWS, SKETCH_BITS = 5, 32, 5, 512
 SAMPLES = BANDS * ROWS
-#: Members of a bucket that meet at once, and pairs of two components that one round verifies at first.
-BLOCK, QUOTA = 512, 16
+#: Members of a block, and shingles of a block, about; two blocks meet in a task at once.
+BLOCK, BLOCK_SHINGLES = 512, 500_000
 
 _SEEDS = mix(np.arange(1, 2 * SAMPLES + 1, dtype=np.uint64))
 _MUL, _ADD = (_SEEDS[:SAMPLES] | np.uint64(1)).astype(np.uint32), _SEEDS[SAMPLES:].astype(np.uint32)
@@ -118,88 +121,134 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
+def _set(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The shingle set of each text."""
+    hashes = WordHashes()
+    for batch in batches:
+        for low, high, texts in slices(batch.column(1)):
+            sets = shingle_sets(texts, hashes)
+            offsets = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in sets])]).astype(np.int32))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).slice(low, high - low), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(sets).view(np.int64)))], names=["rep", "shingles"]
+            )
+
+
+def _alike(one: np.ndarray, other: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets are similar enough."""
+    if len(one) > len(other):
+        one, other = other, one
+    if 100 * len(one) < percent * len(other):
+        return False
+    both = int((other[np.minimum(np.searchsorted(other, one), len(other) - 1)] == one).sum())
+    return 100 * both >= percent * (len(one) + len(other) - both)
+
+
+def _lists_of(column: pa.Array) -> list[np.ndarray]:
+    flat = column.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+    ends = np.cumsum(np.asarray(pc.list_value_length(column)))
+    return np.split(flat, ends[:-1])
+
+
 def _verifier(percent: int):
+    """Those of the pairs (a, b, sa, sb) whose sets are alike."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
-        kept: tuple[int | None, np.ndarray | None] = (None, None)
         for batch in batches:
-            a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            ta, tb = batch.column(2), batch.column(3)
-            ok = []
-            for i, (x, y) in enumerate(zip(a, b, strict=True)):
-                if kept[0] != x:
-                    kept = (x, shingle_sets([ta[i].as_py()], hashes)[0])
-                one, other = kept[1], shingle_sets([tb[i].as_py()], hashes)[0]
-                both = len(np.intersect1d(one, other, assume_unique=True))
-                ok.append(100 * both >= percent * (len(one) + len(other) - both))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
+            for low in range(0, batch.num_rows, 500):
+                part = batch.slice(low, 500)
+                ok = [_alike(np.sort(x), np.sort(y), percent) for x, y in zip(_lists_of(part.column(2)), _lists_of(part.column(3)), strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1)], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     return run
 
 
-def _close_pairs(rep: np.ndarray, comp: np.ndarray, sketch: np.ndarray, most: int, quota: int) -> tuple[np.ndarray, np.ndarray, bool]:
-    """Pairs of different components within `most` bits: the `quota` nearest ones of any two components; and whether some were left."""
-    found = []
-    for low in range(0, len(rep), 64):
-        apart = np.bitwise_count(sketch[low : low + 64, None, :] ^ sketch[None, low:, :]).sum(2, dtype=np.int64)
-        near = (apart <= most) & (comp[low : low + 64, None] != comp[None, low:])
-        i, j = np.nonzero(near)
-        i, j, d = i + low, j + low, apart[i, j]
-        found.append(np.stack([i, j, d])[:, i < j])
-    i, j, d = np.concatenate(found, axis=1)
-    if not len(i):
-        return i, j, False
-    lo, hi = np.minimum(comp[i], comp[j]), np.maximum(comp[i], comp[j])
-    order = np.lexsort((d, hi, lo))
-    i, j, lo, hi = i[order], j[order], lo[order], hi[order]
-    new = np.concatenate([[True], (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])])
-    rank = np.arange(len(i)) - np.flatnonzero(new)[np.cumsum(new) - 1]
-    keep = rank < quota
-    return rep[i[keep]], rep[j[keep]], not keep.all()
-
-
-def _comparer(most: int, quota: int):
-    """Rows come sorted by (key, lo, hi); each such group has at most two blocks of members."""
+def _near(sketch: np.ndarray, most: int) -> np.ndarray:
+    """Which pairs of sketches are within `most` bits."""
+    out = np.empty((len(sketch), len(sketch)), bool)
+    for low in range(0, len(sketch), 64):
+        out[low : low + 64] = np.bitwise_count(sketch[low : low + 64, None, :] ^ sketch[None, :, :]).sum(2, dtype=np.int32) <= most
+    return out
+
+
+def _near_forest(rep: np.ndarray, comp: np.ndarray, own: np.ndarray, sketch: np.ndarray, sets: list | None, most: int) -> list[tuple[int, int]]:
+    """Pairs of near sketches that, with the components, connect all that near pairs connect."""
+    near = _near(sketch, most)
+    near |= comp[:, None] == comp[None, :]
+    left, out = np.ones(len(rep), bool), []
+    for first in range(len(rep)):
+        if not left[first]:
+            continue
+        left[first] = False
+        front = np.array([first])
+        while len(front):
+            reach = near[front] & left
+            found = np.flatnonzero(reach.any(0))
+            parent = front[reach[:, found].argmax(0)]
+            out += [(int(rep[i]), int(rep[j])) for i, j in zip(parent, found, strict=True) if comp[i] != comp[j]]
+            left[found] = False
+            front = found
+    return out
+
+
+def _links(rep: np.ndarray, comp: np.ndarray, own: np.ndarray, sketch: np.ndarray, sets: list | None, most: int, percent: int) -> list[tuple[int, int]]:
+    """A spanning forest of the links that the components don't have yet. Pairs of one block count where the block is alone."""
+    near = _near(sketch, most) & (comp[:, None] != comp[None, :])
+    if (own != own[0]).any():
+        near &= own[:, None] != own[None, :]
+    i, j = np.nonzero(np.triu(near, 1))
+    up = {int(c): int(c) for c in comp}
+
+    def top(c: int) -> int:
+        while up[c] != c:
+            up[c] = c = up[up[c]]
+        return c
+
+    out = []
+    for x, y in zip(i.tolist(), j.tolist(), strict=True):
+        a, b = top(int(comp[x])), top(int(comp[y]))
+        if a != b and _alike(sets[x], sets[y], percent):
+            up[max(a, b)] = min(a, b)
+            out.append((int(rep[x]), int(rep[y])))
+    return out
+
+
+def _by_group(work, with_sets: bool):
+    """Runs `work` on each run of rows with equal (key, lo, hi); a run has at most two blocks. Columns: key, lo, hi, own, rep, comp, sketch[, shingles]."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest: np.ndarray | None = None
+        rows, sketch, sets = np.empty((0, 6), np.int64), np.empty((0, _WORDS), np.uint64), []
 
-        def pairs(rows: np.ndarray) -> pa.RecordBatch:
-            new = np.concatenate([[True], (rows[1:, :3] != rows[:-1, :3]).any(1)])
-            cuts = np.append(np.flatnonzero(new), len(rows))
-            a, b, more = [], [], False
+        def done(cut: int) -> pa.RecordBatch:
+            new = np.concatenate([[True], (rows[1:cut, :3] != rows[: cut - 1, :3]).any(1)])
+            cuts = np.append(np.flatnonzero(new), cut)
+            pairs = []
             for s, e in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-                x, y, left = _close_pairs(rows[s:e, 3], rows[s:e, 4], rows[s:e, 5:].view(np.uint64), most, quota)
-                a.append(np.minimum(x, y))
-                b.append(np.maximum(x, y))
-                more |= left
-            a, b = np.concatenate(a), np.concatenate(b)
-            tail = [None] * more
-            return pa.RecordBatch.from_arrays(
-                [pa.array([*a.tolist(), *tail], pa.int64()), pa.array([*b.tolist(), *tail], pa.int64())], names=["a", "b"]
-            )
+                held = [np.sort(x) for x in sets[s:e]] if with_sets else None
+                pairs += work(rows[s:e, 4], rows[s:e, 5], rows[s:e, 3], sketch[s:e], held)
+            return pa.RecordBatch.from_arrays([pa.array([min(p) for p in pairs], pa.int64()), pa.array([max(p) for p in pairs], pa.int64())], names=["a", "b"])
 
         for batch in batches:
-            sketch = batch.column(5).flatten().to_numpy().reshape(-1, _WORDS)
-            rows = np.column_stack([*(batch.column(i).to_numpy(zero_copy_only=False) for i in range(5)), sketch]).astype(np.int64)
-            rows = rows if rest is None else np.concatenate([rest, rows])
-            if not len(rows):
-                continue
-            same = (rows[:, :3] == rows[-1, :3]).all(1)
-            last = int(np.flatnonzero(~same)[-1]) + 1 if not same.all() else 0
-            if last:
-                yield pairs(rows[:last])
-            rest = rows[last:]
-        if rest is not None and len(rest):
-            yield pairs(rest)
+            for low in range(0, batch.num_rows, 2 * BLOCK):
+                part = batch.slice(low, 2 * BLOCK)
+                rows = np.concatenate([rows, np.column_stack([part.column(i).to_numpy(zero_copy_only=False) for i in range(6)]).astype(np.int64)])
+                sketch = np.concatenate([sketch, part.column(6).flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(-1, _WORDS)])
+                if with_sets:
+                    sets += _lists_of(part.column(7))
+                same = (rows[:, :3] == rows[-1, :3]).all(1)
+                cut = 0 if same.all() else int(np.flatnonzero(~same)[-1]) + 1
+                if cut:
+                    yield done(cut)
+                    rows, sketch, sets = rows[cut:].copy(), sketch[cut:].copy(), sets[cut:]
+        if len(rows):
+            yield done(len(rows))
 
     return run
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """node, comp (smallest node reachable) of every node of the edges (a, b). Rounds of neighbour minima and pointer jumps, each stored."""
-    both = materialize(edges.select("a", "b").union(edges.select("b", "a")).distinct())
-    labels = materialize(both.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("comp")))
+    """node, comp (smallest node reachable) of every node of the stored edges (a, b). Rounds of neighbour minima and pointer jumps, each stored."""
+    both = edges.select("a", "b").union(edges.select("b", "a"))
+    labels = both.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("comp"))
     while True:
         near = both.join(labels.select(F.col("node").alias("b"), "comp"), "b").groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("least"))
         hooked = labels.join(near, "node").select("node", F.col("comp").alias("old"), F.least("comp", "least").alias("up"))
@@ -229,49 +278,51 @@ def near_duplicates(docs: DataFrame, percent: int = 80, doc_id: str = "doc_id",
     able = signed.filter("n_shingles > 0 AND doc_id IS NOT NULL")
     groups = materialize(able.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep")))
     reps = able.join(groups.select("rep", F.col("d1").alias("e1"), F.col("d2").alias("e2")), (F.col("doc_id") == F.col("rep")) & (F.col("d1") == F.col("e1")) & (F.col("d2") == F.col("e2")))
-    reps = materialize(reps.select("rep", "sketch", "bands"))
+    reps = materialize(reps.select("rep", "n_shingles", "sketch", "bands"))
 
     spread = reps.select("rep", F.explode("bands").alias("key"))
     leaders = materialize(spread.groupBy("key").agg(F.min("rep").alias("leader"), F.count(F.lit(1)).alias("n")).filter("n > 1"))
     members = materialize(spread.join(leaders.select("key", "leader"), "key"))
-    sketches = reps.select("rep", "sketch")
-    most = most_apart(percent)
-
-    def linked(pairs: DataFrame) -> DataFrame:
-        """Those of the stored pairs (a, b) whose sets are alike enough."""
-        ids = materialize(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
-        bits = table_bits(ids.count())
-        table = materialize(slot_table(ids, "id", bits, meet=1))
-        needed = rows.filter(F.col("doc_id").isNotNull() & in_table(table, F.col("doc_id"), bits))
-        held = materialize(needed.join(ids, F.col("doc_id") == F.col("id"), "left_semi").dropDuplicates(["doc_id"]))
-        both = pairs.join(held.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a")
-        both = both.join(held.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
-        return materialize(both.select("a", "b", "ta", "tb").mapInArrow(_verifier(percent), "a long, b long"))
+    ids = materialize(members.select(F.col("rep").alias("id")).distinct())
+    bits = table_bits(ids.count())
+    table = materialize(slot_table(ids, "id", bits, meet=1))
+    held = rows.filter(F.col("doc_id").isNotNull() & in_table(table, F.col("doc_id"), bits))
+    held = held.join(ids, F.col("doc_id") == F.col("id"), "left_semi").dropDuplicates(["doc_id"])
+    sets = materialize(held.mapInArrow(_set, "rep long, shingles array<long>"))
+    sketches, most = reps.select("rep", "sketch"), most_apart(percent)
 
     first = members.filter("rep <> leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct()
-    first = first.join(sketches.toDF("a", "sa"), "a").join(sketches.toDF("b", "sb"), "b").filter(_apart("sa", "sb") <= most)
-    tried = materialize(first.select("a", "b"))
-    edges = linked(tried)
-    quota = QUOTA
-    while True:
-        comps = components(edges)
-        now = members.select("key", "rep").join(comps, F.col("rep") == F.col("node"), "left")
-        now = materialize(now.select("key", "rep", F.coalesce("comp", "rep").alias("comp")))
-        open_ = now.groupBy("key").agg(F.min("comp").alias("least"), F.max("comp").alias("last"), F.count(F.lit(1)).alias("n"))
-        open_ = materialize(open_.filter("least < last").select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")))
-        own = F.pmod(F.xxhash64("rep"), F.col("blocks"))
-        met = now.join(open_, "key").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        met = met.select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "rep", "comp").join(sketches, "rep")
-        met = met.select("key", "lo", "hi", "rep", "comp", "sketch").repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
-        close = materialize(met.mapInArrow(_comparer(most, quota), "a long, b long").distinct())
-        pairs = materialize(close.filter("a IS NOT NULL").join(tried, ["a", "b"], "left_anti"))
-        if not pairs.isEmpty():
-            tried = materialize(tried.union(pairs))
-            edges = materialize(edges.union(linked(pairs)))
-            comps = components(edges)
-        if close.filter("a IS NULL").isEmpty():
-            break
-        quota *= 16
+    first = first.join(sketches.toDF("a", "ka"), "a").join(sketches.toDF("b", "kb"), "b").filter(_apart("ka", "kb") <= most)
+    pairs = first.select("a", "b").join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b").select("a", "b", "sa", "sb")
+    edges = materialize(pairs.mapInArrow(_verifier(percent), "a long, b long"))
+    comps = components(edges)
+
+    def blocks(grouped: DataFrame, sizes: DataFrame) -> DataFrame:
+        """(key, rep, ...) with the blocks of its key; a row for each pair of blocks that its block is in."""
+        held = grouped.join(sizes, "key").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+        held = held.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        return held.withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other"))
+
+    now = members.select("key", "rep").join(comps, F.col("rep") == F.col("node"), "left").select("key", "rep", F.coalesce("comp", "rep").alias("comp"))
+    open_ = now.groupBy("key").agg(F.min("comp").alias("least"), F.max("comp").alias("last"), F.count(F.lit(1)).alias("n"))
+    open_ = materialize(open_.filter("least < last").select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")))
+    met = blocks(now, open_).join(sketches, "rep").select("key", "lo", "hi", "own", "rep", "comp", "sketch")
+    met = met.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
+    work = partial(_near_forest, most=most)
+    forest = materialize(met.mapInArrow(_by_group(work, False), "a long, b long").distinct())
+    if not forest.isEmpty():
+        gathered = components(materialize(forest.union(edges))).toDF("rep", "key")
+        asked = gathered.join(forest.select(F.explode(F.array("a", "b")).alias("x")).distinct().join(gathered.toDF("x", "k"), "x").select(F.col("k").alias("key")).distinct(), "key", "left_semi")
+        asked = asked.join(comps, F.col("rep") == F.col("node"), "left").select("key", "rep", F.coalesce("comp", "rep").alias("comp"))
+        asked = materialize(asked.join(reps.select("rep", "sketch", "n_shingles"), "rep"))
+        sizes = asked.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("all"))
+        sizes = sizes.select("key", F.ceil(F.greatest(F.col("n") / BLOCK, F.col("all") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+        met = blocks(asked, sizes).join(sets, "rep").select("key", "lo", "hi", "own", "rep", "comp", "sketch", "shingles")
+        met = met.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
+        work = partial(_links, most=most, percent=percent)
+        links = materialize(met.mapInArrow(_by_group(work, True), "a long, b long"))
+        if not links.isEmpty():
+            comps = components(materialize(edges.union(links)))
     labels = groups.join(comps, F.col("rep") == F.col("node"), "left").select("d1", "d2", F.coalesce("comp", "rep").alias("component"))
     labels = materialize(labels)
     named = signed.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("d1")).alias("d1"), "d2").join(labels, ["d1", "d2"], "left")
