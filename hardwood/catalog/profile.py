@@ -12,10 +12,11 @@ from hardwood.plans import profile as PR
 from hardwood.plans import scouting as SC
 from hardwood.session import materialize
 
-MIN_N = 30  # the percentile floor used on the small event table
+MIN_N, MIN_POSS = 5, 8  # floors for the small event table, where a team has few games a season
 
-CATEGORIES = WALK + """, nxp AS (SELECT *, lead(start_reason) OVER (PARTITION BY game_id ORDER BY poss_id) AS nxt FROM po),
- sh AS (SELECT CASE WHEN team_id = home_team_id THEN home_team_abbrev ELSE away_team_abbrev END AS off_team,
+CATEGORIES = WALK + """, gs AS (SELECT game_id, max(season) AS season FROM pbp GROUP BY 1),
+ nxp AS (SELECT po.*, season, lead(start_reason) OVER (PARTITION BY po.game_id ORDER BY poss_id) AS nxt FROM po JOIN gs ON po.game_id = gs.game_id),
+ sh AS (SELECT league, season, CASE WHEN team_id = home_team_id THEN home_team_abbrev ELSE away_team_abbrev END AS off_team,
      CASE WHEN team_id = home_team_id THEN away_team_abbrev ELSE home_team_abbrev END AS def_team, made, assisted,
      CASE WHEN made THEN CASE WHEN is_three THEN 3 ELSE 2 END ELSE 0 END AS points,
      CASE WHEN coordinate_x IS NULL OR coordinate_y IS NULL THEN NULL
@@ -23,28 +24,28 @@ CATEGORIES = WALK + """, nxp AS (SELECT *, lead(start_reason) OVER (PARTITION BY
           WHEN sqrt(pow(abs(coordinate_x) - 41.75e0, 2) + coordinate_y * coordinate_y) <= 4 THEN 'at_rim'
           WHEN abs(coordinate_y) <= 6 AND abs(coordinate_x) >= 28 THEN 'paint' ELSE 'mid_range' END AS zone
    FROM ev WHERE profile_shot AND team_id IN (home_team_id, away_team_id)),
- ca AS (SELECT off_team, def_team, 'context' AS dimension, context AS category, 'possession' AS unit, points FROM nxp
-   UNION ALL SELECT off_team, def_team, 'ball_security', CASE WHEN end_reason <> 'turnover' THEN 'no_turnover' WHEN nxt = 'steal' THEN 'live_ball_to'
+ ca AS (SELECT league, season, off_team, def_team, 'context' AS dimension, context AS category, 'possession' AS unit, points FROM nxp
+   UNION ALL SELECT league, season, off_team, def_team, 'ball_security', CASE WHEN end_reason <> 'turnover' THEN 'no_turnover' WHEN nxt = 'steal' THEN 'live_ball_to'
              ELSE 'dead_ball_to' END, 'possession', points FROM nxp
-   UNION ALL SELECT off_team, def_team, 'shot_zone', zone, 'attempt', points FROM sh WHERE zone IS NOT NULL
-   UNION ALL SELECT off_team, def_team, 'creation', CASE WHEN assisted THEN 'assisted' ELSE 'unassisted' END, 'made_fg', points FROM sh WHERE made)"""
+   UNION ALL SELECT league, season, off_team, def_team, 'shot_zone', zone, 'attempt', points FROM sh WHERE zone IS NOT NULL
+   UNION ALL SELECT league, season, off_team, def_team, 'creation', CASE WHEN assisted THEN 'assisted' ELSE 'unassisted' END, 'made_fg', points FROM sh WHERE made)"""
 
-PROFILE = CATEGORIES + f""", ofs AS (SELECT off_team AS team, dimension, category, unit, count(*) AS off_n, sum(points) AS op FROM ca GROUP BY ALL),
- ofq AS (SELECT *, off_n / cast(sum(off_n) OVER (PARTITION BY team, dimension) AS double) AS off_freq, op / cast(off_n AS double) AS off_ppp FROM ofs),
- dfs AS (SELECT def_team AS team, dimension, category, unit, count(*) AS def_n, sum(points) / cast(count(*) AS double) AS def_ppp FROM ca GROUP BY ALL),
- jn AS (SELECT coalesce(o.team, d.team) AS team, coalesce(o.dimension, d.dimension) AS dimension, coalesce(o.category, d.category) AS category,
+PROFILE = CATEGORIES + f""", ofs AS (SELECT league, season, off_team AS team, dimension, category, unit, count(*) AS off_n, sum(points) AS op FROM ca GROUP BY ALL),
+ ofq AS (SELECT *, off_n / cast(sum(off_n) OVER (PARTITION BY league, season, team, dimension) AS double) AS off_freq, op / cast(off_n AS double) AS off_ppp FROM ofs),
+ dfs AS (SELECT league, season, def_team AS team, dimension, category, unit, count(*) AS def_n, sum(points) / cast(count(*) AS double) AS def_ppp FROM ca GROUP BY ALL),
+ jn AS (SELECT coalesce(o.league, d.league) AS league, coalesce(o.season, d.season) AS season, coalesce(o.team, d.team) AS team, coalesce(o.dimension, d.dimension) AS dimension, coalesce(o.category, d.category) AS category,
      coalesce(o.unit, d.unit) AS unit, off_n, off_freq, off_ppp, def_n, def_ppp FROM ofq o FULL JOIN dfs d
-     ON o.team = d.team AND o.dimension = d.dimension AND o.category = d.category AND o.unit = d.unit),
+     ON o.league = d.league AND o.season = d.season AND o.team = d.team AND o.dimension = d.dimension AND o.category = d.category AND o.unit = d.unit),
  kk AS (SELECT *, CASE WHEN dimension = 'ball_security' THEN CASE WHEN category <> 'no_turnover' THEN -off_freq ELSE off_freq END ELSE off_ppp END AS ok,
-     CASE WHEN dimension = 'ball_security' THEN CASE WHEN category <> 'no_turnover' THEN -1 ELSE 1 END * (def_n / cast(sum(def_n) OVER (PARTITION BY dimension, category) AS double))
+     CASE WHEN dimension = 'ball_security' THEN CASE WHEN category <> 'no_turnover' THEN -1 ELSE 1 END * (def_n / cast(sum(def_n) OVER (PARTITION BY league, season, dimension, category) AS double))
           ELSE def_ppp END AS dk FROM jn),
  fl2 AS (SELECT *, coalesce(ok IS NOT NULL AND off_n >= {MIN_N}, false) AS og, coalesce(dk IS NOT NULL AND def_n >= {MIN_N}, false) AS dg FROM kk),
- prof AS (SELECT team, dimension, category, unit, 'pbp_derived' AS source, off_n, off_freq, off_ppp,
-     CASE WHEN og AND count(*) OVER o >= 2 THEN round_even(100e0 * (rank() OVER (PARTITION BY dimension, category, og ORDER BY ok) + (count(*) OVER (PARTITION BY dimension, category, og, ok) - 1) / 2e0 - 1)
+ prof AS (SELECT league, season, team, dimension, category, unit, 'pbp_derived' AS source, off_n, off_freq, off_ppp,
+     CASE WHEN og AND count(*) OVER o >= 2 THEN round_even(100e0 * (rank() OVER (PARTITION BY league, season, dimension, category, og ORDER BY ok) + (count(*) OVER (PARTITION BY league, season, dimension, category, og, ok) - 1) / 2e0 - 1)
           / (count(*) OVER o - 1), 0) END AS off_ppp_pctl, def_n, def_ppp,
-     CASE WHEN dg AND count(*) OVER d >= 2 THEN round_even(100e0 * (rank() OVER (PARTITION BY dimension, category, dg ORDER BY dk) + (count(*) OVER (PARTITION BY dimension, category, dg, dk) - 1) / 2e0 - 1)
+     CASE WHEN dg AND count(*) OVER d >= 2 THEN round_even(100e0 * (rank() OVER (PARTITION BY league, season, dimension, category, dg ORDER BY dk) + (count(*) OVER (PARTITION BY league, season, dimension, category, dg, dk) - 1) / 2e0 - 1)
           / (count(*) OVER d - 1), 0) END AS def_ppp_pctl
-   FROM fl2 WINDOW o AS (PARTITION BY dimension, category, og), d AS (PARTITION BY dimension, category, dg))"""
+   FROM fl2 WINDOW o AS (PARTITION BY league, season, dimension, category, og), d AS (PARTITION BY league, season, dimension, category, dg))"""
 
 LABELS = """, lab AS (SELECT 'pbp_derived' AS source, * FROM (VALUES ('context', 'transition', 'Transition', true), ('context', 'halfcourt', 'Half court', false),
   ('context', 'second_chance', 'Second chance', true), ('shot_zone', 'at_rim', 'At the rim', true), ('shot_zone', 'paint', 'Paint', true),
@@ -52,22 +53,22 @@ LABELS = """, lab AS (SELECT 'pbp_derived' AS source, * FROM (VALUES ('context',
   ('ball_security', 'live_ball_to', 'Live-ball turnovers', true), ('ball_security', 'dead_ball_to', 'Dead-ball turnovers', true),
   ('ball_security', 'no_turnover', 'Possessions kept', false)) v(dimension, category, display_label, bulletable))"""
 
-GAMES = """, mt AS (SELECT DISTINCT home_team_abbrev AS team, away_team_abbrev AS opponent FROM pbp),
- card AS (SELECT mt.team, mt.opponent, u.dimension, u.category, u.unit, u.source, u.off_n AS poss, u.off_freq AS freq, u.off_ppp AS ppp, u.off_ppp_pctl AS ppp_percentile,
-     t.def_ppp, t.def_ppp_pctl AS def_ppp_percentile FROM mt JOIN prof u ON u.team = mt.team JOIN prof t ON t.team = mt.opponent AND t.dimension = u.dimension AND t.category = u.category),
- rcard AS (SELECT mt.opponent AS team, mt.team AS opponent, u.dimension, u.category, u.unit, u.source, u.off_n AS poss, u.off_freq AS freq, u.off_ppp AS ppp, u.off_ppp_pctl AS ppp_percentile,
-     t.def_ppp, t.def_ppp_pctl AS def_ppp_percentile FROM mt JOIN prof u ON u.team = mt.opponent JOIN prof t ON t.team = mt.team AND t.dimension = u.dimension AND t.category = u.category)"""
+GAMES = """, mt AS (SELECT DISTINCT league, season, home_team_abbrev AS team, away_team_abbrev AS opponent FROM pbp),
+ card AS (SELECT mt.league, mt.season, mt.team, mt.opponent, u.dimension, u.category, u.unit, u.source, u.off_n AS poss, u.off_freq AS freq, u.off_ppp AS ppp, u.off_ppp_pctl AS ppp_percentile,
+     t.def_ppp, t.def_ppp_pctl AS def_ppp_percentile FROM mt JOIN prof u ON u.league = mt.league AND u.season = mt.season AND u.team = mt.team JOIN prof t ON t.league = mt.league AND t.season = mt.season AND t.team = mt.opponent AND t.dimension = u.dimension AND t.category = u.category),
+ rcard AS (SELECT mt.league, mt.season, mt.opponent AS team, mt.team AS opponent, u.dimension, u.category, u.unit, u.source, u.off_n AS poss, u.off_freq AS freq, u.off_ppp AS ppp, u.off_ppp_pctl AS ppp_percentile,
+     t.def_ppp, t.def_ppp_pctl AS def_ppp_percentile FROM mt JOIN prof u ON u.league = mt.league AND u.season = mt.season AND u.team = mt.opponent JOIN prof t ON t.league = mt.league AND t.season = mt.season AND t.team = mt.team AND t.dimension = u.dimension AND t.category = u.category)"""
 
 
 def keys_sql(card: str, side: str) -> str:
     rank = "def_ppp_percentile" if side == "attack" else "ppp_percentile"
     gate = f"{rank} < 30" if side == "weakness" else f"{rank} > 70"
     score = f"freq_rel * (100 - {rank})" if side == "weakness" else f"freq_rel * {rank}"
-    return f"""SELECT *, row_number() OVER (PARTITION BY team, opponent ORDER BY key_score DESC, dimension, freq DESC, category) AS key_no
+    return f"""SELECT *, row_number() OVER (PARTITION BY league, season, team, opponent ORDER BY key_score DESC, dimension, freq DESC, category) AS key_no
       FROM (SELECT *, {score} AS key_score, '{side}' AS side FROM (
         SELECT c.*, CASE WHEN max(freq) OVER g > 0 THEN freq / max(freq) OVER g ELSE 0 END AS freq_rel FROM {card} c
-        WHERE {rank} IS NOT NULL AND poss >= 50 AND EXISTS (SELECT 1 FROM lab WHERE lab.bulletable AND lab.source = c.source AND lab.dimension = c.dimension AND lab.category = c.category)
-        WINDOW g AS (PARTITION BY team, opponent, dimension)) q WHERE {gate}) z QUALIFY key_no <= 3"""
+        WHERE {rank} IS NOT NULL AND poss >= {MIN_POSS} AND EXISTS (SELECT 1 FROM lab WHERE lab.bulletable AND lab.source = c.source AND lab.dimension = c.dimension AND lab.category = c.category)
+        WINDOW g AS (PARTITION BY league, season, team, opponent, dimension)) q WHERE {gate}) z QUALIFY key_no <= 3"""
 
 
 KEYS = PROFILE + LABELS + GAMES + (
@@ -76,7 +77,7 @@ KEYS = PROFILE + LABELS + GAMES + (
 
 
 def _profile(t):
-    return PR.play_profile(t.pbp, "wbb", 2024, min_n=MIN_N)
+    return PR.play_profile(t.pbp, min_n=MIN_N)
 
 
 def _stored_profile(t):
@@ -85,19 +86,19 @@ def _stored_profile(t):
 
 
 def _matchups(t):
-    return t.pbp.select(F.col("home_team_abbrev").alias("team"), F.col("away_team_abbrev").alias("opponent")).distinct()
+    return t.pbp.select("league", "season", F.col("home_team_abbrev").alias("team"), F.col("away_team_abbrev").alias("opponent")).distinct()
 
 
 def _keys(t):
-    return SC.build_keys(_stored_profile(t), _matchups(t), SC.default_labels(t.spark), ("strength", "weakness", "attack"))
+    return SC.build_keys(_stored_profile(t), _matchups(t), SC.default_labels(t.spark), ("strength", "weakness", "attack"), MIN_POSS)
 
 
-@query("category_rows", ("pbp",), CATEGORIES + " SELECT off_team, def_team, dimension, category, unit, count(*) AS n, cast(sum(points) AS bigint) AS points FROM ca GROUP BY ALL")
+@query("category_rows", ("pbp",), CATEGORIES + " SELECT league, season, off_team, def_team, dimension, category, unit, count(*) AS n, cast(sum(points) AS bigint) AS points FROM ca GROUP BY ALL")
 def category_rows(t):
     return PR.category_rows(t.pbp)
 
 
-@query("play_profile", ("pbp",), PROFILE + " SELECT 'wbb' AS league, 2024 AS season, 'national' AS population, * FROM prof")
+@query("play_profile", ("pbp",), PROFILE + " SELECT 'national' AS population, * FROM prof")
 def play_stored_profile(t):
     return _stored_profile(t)
 
@@ -105,7 +106,7 @@ def play_stored_profile(t):
 
 @query(
     "population_profile", ("pbp",),
-    CATEGORIES + """ SELECT off_team AS team, dimension, category, count(*) AS off_n, cast(sum(points) AS bigint) AS points FROM ca
+    CATEGORIES + """ SELECT league, season, off_team AS team, dimension, category, count(*) AS off_n, cast(sum(points) AS bigint) AS points FROM ca
       WHERE off_team IN ('T03', 'T07', 'T11', 'T19') GROUP BY ALL""",
 )
 def population_stored_profile(t):
@@ -115,7 +116,7 @@ def population_stored_profile(t):
 
     rows = PR.category_rows(population_games(t.pbp, pop))
     kept = rows.join(F.broadcast(pop.withColumnRenamed("team", "off_team")), "off_team", "left_semi")
-    return kept.groupBy(F.col("off_team").alias("team"), "dimension", "category").agg(
+    return kept.groupBy("league", "season", F.col("off_team").alias("team"), "dimension", "category").agg(
         F.sum("n").alias("off_n"), F.sum("points").alias("points")
     )
 
@@ -125,12 +126,12 @@ def matchup_card(t):
     return SC.matchup_cards(_stored_profile(t), _matchups(t))
 
 
-_SHOWN = """SELECT p.team, p.dimension, p.category, coalesce(l.display_label, p.category) AS label, coalesce(l.bulletable, true) AS bulletable,
+_SHOWN = """SELECT p.league, p.season, p.team, p.dimension, p.category, coalesce(l.display_label, p.category) AS label, coalesce(l.bulletable, true) AS bulletable,
    CASE WHEN off_freq IS NULL THEN NULL WHEN p.dimension = 'ball_security' THEN concat(cast(round_even(off_freq * 100, 0) AS int), '% of possessions')
         ELSE concat(cast(round_even(off_freq * 100, 0) AS int), '% ', CASE unit WHEN 'possession' THEN 'of possessions' WHEN 'attempt' THEN 'of attempts' ELSE 'of made FGs' END,
              ' · ', printf('%.2f', off_ppp), ' points per ', CASE unit WHEN 'made_fg' THEN 'made FG' ELSE unit END) END AS meta,
    cast(round_even(n - off_ppp_pctl * (n - 1) / 100e0, 0) AS int) AS rank, cast(100 - def_ppp_pctl AS int) AS def_display_percentile
-   FROM prof p LEFT JOIN lab l ON l.source = p.source AND l.dimension = p.dimension AND l.category = p.category, (SELECT count(DISTINCT team) AS n FROM prof) z"""
+   FROM prof p LEFT JOIN lab l ON l.source = p.source AND l.dimension = p.dimension AND l.category = p.category, (SELECT league AS zl, season AS zs, count(DISTINCT team) AS n FROM prof GROUP BY 1, 2) z WHERE zl = p.league AND zs = p.season"""
 _ORD = lambda x: (
     f"concat({x}, CASE WHEN {x} % 100 BETWEEN 11 AND 13 THEN 'th' WHEN {x} % 10 = 1 THEN 'st' WHEN {x} % 10 = 2 THEN 'nd' WHEN {x} % 10 = 3 THEN 'rd' ELSE 'th' END)"
 )
@@ -138,90 +139,94 @@ _ORD = lambda x: (
 
 @query(
     "display_rows", ("pbp",),
-    PROFILE + LABELS + f""", s AS ({_SHOWN}), n AS (SELECT cast(count(DISTINCT team) AS int) AS n FROM prof)
+    PROFILE + LABELS + f""", s AS ({_SHOWN}), n AS (SELECT league, season, cast(count(DISTINCT team) AS int) AS n FROM prof GROUP BY 1, 2)
       SELECT s.*, CASE WHEN rank IS NULL THEN 'unranked' WHEN category IN ('live_ball_to', 'dead_ball_to') THEN
           concat(CASE WHEN rank <= n / 2e0 THEN CASE WHEN rank = 1 THEN 'the fewest' ELSE concat('the ', {_ORD('rank')}, '-fewest') END
                       ELSE CASE WHEN n + 1 - rank = 1 THEN 'the most' ELSE concat('the ', {_ORD('(n + 1 - rank)')}, '-most') END END, ' in the national')
-          ELSE concat({_ORD('rank')}, ' of ', n) END AS standing FROM s, n""",
+          ELSE concat({_ORD('rank')}, ' of ', n) END AS standing FROM s JOIN n USING (league, season)""",
 )
 def display_rows(t):
     p = _stored_profile(t)
     n = SC.population_size(p)
-    rows = SC.profile_rows(p).join(F.broadcast(n))
+    rows = SC.profile_rows(p).join(n, SC.SCOPE)
     out = SC.display_rows(rows, F.col("pop_n"), F.lit("national"), SC.default_labels(t.spark), SC.default_headers(t.spark))
-    return out.select("team", "dimension", "category", "label", "bulletable", "meta", "rank", "def_display_percentile", "standing")
+    return out.select("league", "season", "team", "dimension", "category", "label", "bulletable", "meta", "rank", "def_display_percentile", "standing")
 
 
 @query(
     "leaders", ("pbp",),
-    PROFILE + """ SELECT * FROM (SELECT 'best' AS list, team, off_ppp_pctl AS ppp_percentile FROM prof WHERE dimension = 'context' AND category = 'halfcourt' ORDER BY off_ppp_pctl DESC NULLS LAST, team LIMIT 5) a
-      UNION ALL SELECT * FROM (SELECT 'worst' AS list, team, off_ppp_pctl FROM prof WHERE dimension = 'ball_security' AND category = 'live_ball_to' ORDER BY off_ppp_pctl NULLS LAST, team LIMIT 5) b""",
+    PROFILE + """ SELECT 'best' AS list, league, season, team, off_ppp_pctl AS ppp_percentile, row_number() OVER (PARTITION BY league, season ORDER BY off_ppp_pctl DESC NULLS LAST, team) AS place
+        FROM prof WHERE dimension = 'context' AND category = 'halfcourt' QUALIFY place <= 5
+      UNION ALL SELECT 'worst', league, season, team, off_ppp_pctl, row_number() OVER (PARTITION BY league, season ORDER BY off_ppp_pctl NULLS LAST, team) AS place
+        FROM prof WHERE dimension = 'ball_security' AND category = 'live_ball_to' QUALIFY place <= 5""",
 )
 def leaders(t):
     p = _stored_profile(t)
-    pick = lambda name, df: df.select(F.lit(name).alias("list"), "team", "ppp_percentile")
+    pick = lambda name, df: df.select(F.lit(name).alias("list"), "league", "season", "team", "ppp_percentile", "place")
     return pick("best", SC.leaders(p, "context", "halfcourt")).unionByName(
         pick("worst", SC.leaders(p, "ball_security", "live_ball_to", best=False))
     )
 
 
-@query("keys_selected", ("pbp",), KEYS + " SELECT team, opponent, side, dimension, category, round(freq_rel, 8) AS freq_rel, round(key_score, 6) AS key_score, key_no FROM ks")
+@query("keys_selected", ("pbp",), KEYS + " SELECT league, season, team, opponent, side, dimension, category, round(freq_rel, 8) AS freq_rel, round(key_score, 6) AS key_score, key_no FROM ks")
 def keys_selected(t):
     return _keys(t).select(
-        "team", "opponent", "side", "dimension", "category", F.round("freq_rel", 8).alias("freq_rel"),
+        "league", "season", "team", "opponent", "side", "dimension", "category", F.round("freq_rel", 8).alias("freq_rel"),
         F.round("key_score", 6).alias("key_score"), "key_no",
     )
 
 
 @query(
     "priority_keys", ("pbp",),
-    KEYS + """ SELECT team, opponent, side, dimension, category, row_number() OVER (PARTITION BY team, opponent ORDER BY key_score DESC, side, key_no) AS priority
+    KEYS + """ SELECT league, season, team, opponent, side, dimension, category, row_number() OVER (PARTITION BY league, season, team, opponent ORDER BY key_score DESC, side, key_no) AS priority
       FROM ks WHERE side <> 'attack' QUALIFY priority <= 3""",
 )
 def priority_keys(t):
-    k = SC.build_keys(_stored_profile(t), _matchups(t), SC.default_labels(t.spark))
-    return SC.priority_keys(k).select("team", "opponent", "side", "dimension", "category", "priority")
+    k = SC.build_keys(_stored_profile(t), _matchups(t), SC.default_labels(t.spark), min_poss=MIN_POSS)
+    return SC.priority_keys(k).select("league", "season", "team", "opponent", "side", "dimension", "category", "priority")
 
 
 @query(
     "key_sentences", ("pbp",),
-    KEYS + """, n AS (SELECT count(DISTINCT team) AS n FROM prof)
-      SELECT team, opponent, side, key_no, ks.category, concat(team, ': ', lab.display_label, ', ', cast(round_even(freq * 100, 0) AS int), '% ',
+    KEYS + """, n AS (SELECT league, season, count(DISTINCT team) AS n FROM prof GROUP BY 1, 2)
+      SELECT ks.league, ks.season, team, opponent, side, key_no, ks.category, concat(team, ': ', lab.display_label, ', ', cast(round_even(freq * 100, 0) AS int), '% ',
         CASE unit WHEN 'possession' THEN 'of possessions' ELSE 'of attempts' END, ' at ', CASE WHEN side = 'weakness' THEN 'just ' ELSE '' END,
         printf('%.2f', ppp), ' points per ', unit, ', ', """ + _ORD("cast(round_even(n - ppp_percentile * (n - 1) / 100e0, 0) AS int)") + """, ' of ', n, ' in the league') AS evidence,
         concat('Guard the ', ks.category) AS action
-      FROM ks JOIN lab ON lab.dimension = ks.dimension AND lab.category = ks.category, n WHERE side <> 'attack' AND ks.dimension <> 'ball_security'""",
+      FROM ks JOIN lab ON lab.dimension = ks.dimension AND lab.category = ks.category JOIN n ON n.league = ks.league AND n.season = ks.season WHERE side <> 'attack' AND ks.dimension <> 'ball_security'""",
 )
 def key_sentences(t):
     p = _stored_profile(t)
     labels, headers = SC.default_labels(t.spark), SC.default_headers(t.spark)
-    k = SC.build_keys(p, _matchups(t), labels).where(F.col("dimension") != "ball_security")
+    k = SC.build_keys(p, _matchups(t), labels, min_poss=MIN_POSS).where(F.col("dimension") != "ball_security")
     phrases = labels.select(
         F.explode(F.array(F.lit("strength"), F.lit("weakness"))).alias("side"), "source", "dimension", "category",
         F.concat(F.lit("guard the "), "category").alias("phrase"),
     )
-    k = k.join(F.broadcast(SC.population_size(p)))
+    k = k.join(SC.population_size(p), SC.SCOPE)
     s = SC.key_sentences(k, phrases, labels, headers, F.col("pop_n"), F.lit("league"))
     action, evidence = split_at_dash("sentence")
-    return s.select("team", "opponent", "side", "key_no", "category", evidence.alias("evidence"), action.alias("action"))
+    return s.select("league", "season", "team", "opponent", "side", "key_no", "category", evidence.alias("evidence"), action.alias("action"))
 
 
 @query(
     "shot_identity", ("pbp",),
-    PROFILE + LABELS + """, z AS (SELECT p.*, l.display_label, row_number() OVER (PARTITION BY team ORDER BY off_freq DESC, p.category) AS rn FROM prof p
+    PROFILE + LABELS + """, z AS (SELECT p.*, l.display_label, row_number() OVER (PARTITION BY p.league, p.season, team ORDER BY off_freq DESC, p.category) AS rn FROM prof p
         JOIN lab l ON l.dimension = p.dimension AND l.category = p.category WHERE p.dimension = 'shot_zone' AND off_freq IS NOT NULL)
-      SELECT team, string_agg(concat(display_label, ' ', cast(round_even(off_freq * 100, 0) AS int), '%'), '; ' ORDER BY rn) FILTER (WHERE rn <= 3) AS tags,
-        round(sum(CASE WHEN category IN ('corner_3', 'above_break_3') THEN off_freq ELSE 0 END), 8) AS three_share FROM z GROUP BY team""",
+      SELECT league, season, team, string_agg(concat(display_label, ' ', cast(round_even(off_freq * 100, 0) AS int), '%'), '; ' ORDER BY rn) FILTER (WHERE rn <= 3) AS tags,
+        round(sum(CASE WHEN category IN ('corner_3', 'above_break_3') THEN off_freq ELSE 0 END), 8) AS three_share FROM z GROUP BY 1, 2, 3""",
 )
 def shot_identity(t):
     out = SC.shot_identity(SC.profile_rows(_stored_profile(t)), SC.default_labels(t.spark))
-    return out.select("team", "tags", F.round("three_share", 8).alias("three_share"))
+    return out.select("league", "season", "team", "tags", F.round("three_share", 8).alias("three_share"))
 
 
 @query(
     "rows_as_json", ("pbp",),
-    PROFILE + " SELECT least(60, count(*)) AS shown_rows, count(*) AS total_rows, concat('showing 60 of ', count(*), ' rows') AS note FROM prof",
+    PROFILE + """ SELECT league, season, team, count(*) AS n_rows, concat('[', string_agg(concat('{"dimension":"', dimension, '","category":"', category, '","off_n":',
+        coalesce(off_n::varchar, 'null'), ',"off_ppp_pctl":', coalesce(off_ppp_pctl::varchar, 'null'), '}'), ',' ORDER BY dimension, category), ']') AS payload
+      FROM prof GROUP BY 1, 2, 3""",
 )
 def profile_json(t):
-    p = _stored_profile(t).select("team", "dimension", "category", "off_n", "off_freq", "off_ppp_pctl")
-    return rows_as_json(p, ["team", "dimension", "category"]).select("shown_rows", "total_rows", "note")
+    p = _stored_profile(t).select("league", "season", "team", "dimension", "category", "off_n", "off_ppp_pctl")
+    return rows_as_json(p, ["league", "season", "team"], ["dimension", "category"])

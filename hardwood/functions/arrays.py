@@ -19,22 +19,16 @@ def lineup_slots(players, prefix: str = "player_id_", size: int = 5) -> list[Col
     return [F.get(_c(players), F.lit(k)).alias(f"{prefix}{k + 1}") for k in range(size)]
 
 
-def rows_as_json(df: DataFrame, order: list, max_rows: int = 60, digits: int = 4) -> DataFrame:
-    """Report payload: the first `max_rows` rows as one JSON text plus the true row count."""
+def rows_as_json(df: DataFrame, key: list[str], order: list[str], digits: int = 4) -> DataFrame:
+    """Report payload of each key: all its rows as one JSON text in the given order, and their number. A key is one team's report."""
+    inner = [f for f in df.schema.fields if f.name not in key]
+    first = [f for o in order for f in inner if f.name == o]
     cols = [
         F.bround(F.col(f.name), digits).alias(f.name) if isinstance(f.dataType, T.DoubleType) else F.col(f.name)
-        for f in df.schema.fields
+        for f in [*first, *[f for f in inner if f.name not in order]]
     ]
-    shown = df.orderBy(*order).limit(max_rows).select(F.struct(*cols).alias("r"))
-    body = shown.agg(
-        F.to_json(F.collect_list("r"), {"ignoreNullFields": "false"}).alias("payload"),
-        F.count(F.lit(1)).alias("shown_rows"),
-    )
-    total = df.agg(F.count(F.lit(1)).alias("total_rows"))
-    return body.join(F.broadcast(total)).withColumn(
-        "note",
-        F.when(
-            F.col("total_rows") > F.col("shown_rows"),
-            F.format_string("showing %d of %d rows", F.col("shown_rows"), F.col("total_rows")),
-        ),
+    rows = F.array_sort(F.collect_list(F.struct(*cols)))
+    return df.groupBy(*key).agg(
+        F.to_json(rows, {"ignoreNullFields": "false"}).alias("payload"), F.count(F.lit(1)).alias("n_rows")
     )
+

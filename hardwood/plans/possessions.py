@@ -16,6 +16,7 @@ from hardwood.functions.metrics import league_rule
 from hardwood.operators import events as E
 from hardwood.schemas import LIVE_BALL_STARTS, TRANSITION_SECONDS
 
+# State names and the columns of a possession.
 START_STATE = {
     "made_fg": "after_made_fg", "made_ft": "after_made_ft", "dreb": "after_dreb",
     "steal": "after_steal", "turnover": "after_turnover", "period_start": "period_start",
@@ -135,7 +136,7 @@ def _possession_facts(rows: DataFrame) -> DataFrame:
     parts = F.array_compact(F.array(
         inner, F.when(c("_first"), at_start), F.when(c("ends").isNotNull(), after_end)
     ))
-    keep = ["game_id", "league", "period_number", "_period_end_idx", "home_team_id", "away_team_id",
+    keep = ["game_id", "league", "season", "period_number", "_period_end_idx", "home_team_id", "away_team_id",
             "home_team_abbrev", "away_team_abbrev"]
     flat = rows.where("_open").select(*keep, F.inline(parts))
     g = flat.groupBy(*keep, "poss_id").agg(
@@ -162,7 +163,7 @@ def possession_state(rows: DataFrame) -> DataFrame:
     margin = c("o_home") - c("o_away")
     span = c("o_secs") - end_secs
     return f.select(
-        "league", "game_id", c("period_number").alias("period"), "poss_id",
+        "league", "season", "game_id", c("period_number").alias("period"), "poss_id",
         E.side_abbrev(c("o_off")).alias("off_team"),
         F.when(off_home, c("away_team_abbrev")).otherwise(c("home_team_abbrev")).alias("def_team"),
         seconds_to_clock("o_secs").alias("clock_start"), seconds_to_clock(end_secs).alias("clock_end"),

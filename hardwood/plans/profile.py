@@ -12,7 +12,9 @@ from hardwood.operators.percentiles import average_rank_percentile
 from hardwood.plans.possessions import possession_rows, possession_state, prepared_events
 from hardwood.schemas import FREQ_BAD_CATEGORIES, FREQ_RANKED_DIMENSIONS, MIN_POSS_FOR_PERCENTILE
 
-KEYS = ["off_team", "def_team", "dimension", "category", "unit"]
+#: Team abbreviations are shared by leagues, and a profile is one season.
+SCOPE = ["league", "season"]
+KEYS = [*SCOPE, "off_team", "def_team", "dimension", "category", "unit"]
 
 
 def possession_categories(poss: DataFrame) -> DataFrame:
@@ -25,7 +27,7 @@ def possession_categories(poss: DataFrame) -> DataFrame:
     )
     cat = lambda dim, value: F.struct(F.lit(dim).alias("dimension"), value.alias("category"), F.lit("possession").alias("unit"))
     return poss.withColumn("_next", F.lead("start_reason").over(w)).select(
-        "game_id", "off_team", "def_team", "points",
+        *SCOPE, "game_id", "off_team", "def_team", "points",
         F.inline(F.array(cat("context", c("context")), cat("ball_security", security))),
     )
 
@@ -38,7 +40,7 @@ def shot_categories(events: DataFrame) -> DataFrame:
     cat = lambda dim, value, unit: F.struct(F.lit(dim).alias("dimension"), value.alias("category"), F.lit(unit).alias("unit"))
     zone = shot_zone("coordinate_x", "coordinate_y", "is_three")
     return events.where(c("profile_shot") & side).select(
-        "game_id", E.side_abbrev(c("team_id")).alias("off_team"), E.side_abbrev(E.other_team()).alias("def_team"),
+        *SCOPE, "game_id", E.side_abbrev(c("team_id")).alias("off_team"), E.side_abbrev(E.other_team()).alias("def_team"),
         points.alias("points"),
         F.inline(F.array(
             cat("shot_zone", zone, "attempt"),
@@ -48,7 +50,7 @@ def shot_categories(events: DataFrame) -> DataFrame:
 
 
 def category_rows(pbp: DataFrame, per_game: bool = False) -> DataFrame:
-    """Counts and points per offence, defence, dimension and category."""
+    """Counts and points per league, season, offence, defence, dimension and category; for each game on request."""
     ev = prepared_events(pbp)
     rows = possession_categories(possession_state(possession_rows(ev))).unionByName(shot_categories(ev))
     keys = ["game_id", *KEYS] if per_game else KEYS
@@ -56,25 +58,27 @@ def category_rows(pbp: DataFrame, per_game: bool = False) -> DataFrame:
 
 
 def profile_from_categories(rows: DataFrame, population: DataFrame | None = None, min_n: int = MIN_POSS_FOR_PERCENTILE) -> DataFrame:
-    """Offence and defence side by side with percentiles inside the population.
+    """Offence and defence side by side with percentiles among the population's teams of the same league and season.
 
-    Ranking windows hold one row per team of the population, a few hundred at most.
+    Ranking windows hold one row per team of a league season, a few hundred at most.
     """
     c = F.col
+    scope = [k for k in SCOPE if k in rows.columns]
+    ids = [*scope, "team", "dimension", "category", "unit"]
 
     def side(team: str, n: str, pts: str) -> DataFrame:
         s = rows.withColumnRenamed(team, "team")
         if population is not None:
             s = s.join(population.select("team").distinct(), "team", "left_semi")
-        return s.groupBy("team", "dimension", "category", "unit").agg(F.sum("n").alias(n), F.sum("points").alias(pts))
+        return s.groupBy(*ids).agg(F.sum("n").alias(n), F.sum("points").alias(pts))
 
     off = side("off_team", "off_n", "_op").withColumn(
-        "off_freq", c("off_n") / F.sum("off_n").over(Window.partitionBy("team", "dimension"))
+        "off_freq", c("off_n") / F.sum("off_n").over(Window.partitionBy(*scope, "team", "dimension"))
     ).withColumn("off_ppp", c("_op") / c("off_n")).drop("_op")
     dfn = side("def_team", "def_n", "_dp").withColumn("def_ppp", c("_dp") / c("def_n")).drop("_dp")
-    prof = off.join(dfn, ["team", "dimension", "category", "unit"], "full")
+    prof = off.join(dfn, ids, "full")
 
-    by = ["dimension", "category"]
+    by = [*scope, "dimension", "category"]
     by_freq = c("dimension").isin(FREQ_RANKED_DIMENSIONS)
     sign = F.when(c("category").isin(FREQ_BAD_CATEGORIES), -1.0).otherwise(1.0)
     group_total = F.sum("def_n").over(Window.partitionBy(*by))
@@ -90,14 +94,14 @@ def profile_from_categories(rows: DataFrame, population: DataFrame | None = None
 
 
 def play_profile(
-    pbp: DataFrame, league: str, season: int, population_name: str = "national",
-    population: DataFrame | None = None, min_n: int = MIN_POSS_FOR_PERCENTILE, source: str = "pbp_derived",
+    pbp: DataFrame, population_name: str = "national", population: DataFrame | None = None,
+    min_n: int = MIN_POSS_FOR_PERCENTILE, source: str = "pbp_derived",
 ) -> DataFrame:
-    """Stored-profile table of one league season and population."""
+    """Stored-profile table of every league season in the events, for one population."""
     games = pbp if population is None else population_games(pbp, population)
     prof = profile_from_categories(category_rows(games), population, min_n)
     return prof.select(
-        F.lit(league).alias("league"), F.lit(season).cast("int").alias("season"), F.lit(population_name).alias("population"),
+        "league", F.col("season").cast("int").alias("season"), F.lit(population_name).alias("population"),
         "team", "dimension", "category", "unit", F.lit(source).alias("source"), "off_n", "off_freq", "off_ppp",
         "off_ppp_pctl", "def_n", "def_ppp", "def_ppp_pctl",
     )

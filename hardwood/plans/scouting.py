@@ -18,9 +18,15 @@ HEADER_KEY = ["source", "dimension"]
 LABEL_DDL = "source string, dimension string, category string, display_label string, bulletable boolean"
 HEADER_DDL = "source string, dimension string, unit_noun string, ppp_meaningful boolean"
 PHRASE_DDL = "side string, source string, dimension string, category string, phrase string"
+SCOPE = ["league", "season"]
 RANK_COLUMN = {"strength": "ppp_percentile", "weakness": "ppp_percentile", "attack": "def_ppp_percentile"}
 
 
+def scope_of(df: DataFrame, *others: DataFrame) -> list[str]:
+    """League and season, as far as all the tables have them."""
+    return [k for k in SCOPE if all(k in x.columns for x in (df, *others))]
+
+
 def default_labels(spark: SparkSession, source: str = "pbp_derived") -> DataFrame:
     rows = [
         ("context", "transition", "Transition", True), ("context", "halfcourt", "Half court", False),
@@ -49,16 +55,18 @@ def matchup_cards(profile: DataFrame, matchups: DataFrame, dimension: Sequence[s
     """
     if dimension is not None:
         profile = profile.where(F.col("dimension").isin(list(dimension)))
+    scope = scope_of(profile)
     us = profile.select(
-        "team", "dimension", "category", "unit", "source", F.col("off_n").alias("poss"), F.col("off_freq").alias("freq"),
+        *scope, "team", "dimension", "category", "unit", "source", F.col("off_n").alias("poss"), F.col("off_freq").alias("freq"),
         F.col("off_ppp").alias("ppp"), F.col("off_ppp_pctl").alias("ppp_percentile"),
     )
     them = profile.select(
-        F.col("team").alias("opponent"), "dimension", "category", "def_ppp", F.col("def_ppp_pctl").alias("def_ppp_percentile")
+        *scope, F.col("team").alias("opponent"), "dimension", "category", "def_ppp", F.col("def_ppp_pctl").alias("def_ppp_percentile")
     )
-    pairs = matchups.select("team", "opponent").distinct()
-    return pairs.join(us, "team").join(them, ["opponent", "dimension", "category"]).select(
-        "team", "opponent", "dimension", "category", "unit", "source", "poss", "freq", "ppp", "ppp_percentile",
+    asked = scope_of(profile, matchups)
+    pairs = matchups.select(*asked, "team", "opponent").distinct()
+    return pairs.join(us, [*asked, "team"]).join(them, [*scope, "opponent", "dimension", "category"]).select(
+        *scope, "team", "opponent", "dimension", "category", "unit", "source", "poss", "freq", "ppp", "ppp_percentile",
         "def_ppp", "def_ppp_percentile",
     )
 
@@ -73,12 +81,13 @@ def attack_index_card(profile: DataFrame, team: str, opponent: str, dimension: S
 
 
 def population_size(profile: DataFrame) -> DataFrame:
-    return profile.agg(F.countDistinct("team").cast("int").alias("pop_n"))
+    """Teams of each league season."""
+    return profile.groupBy(*scope_of(profile)).agg(F.countDistinct("team").cast("int").alias("pop_n"))
 
 
 def profile_rows(profile: DataFrame) -> DataFrame:
     return profile.select(
-        "team", "dimension", "category", "unit", "source", F.col("off_n").alias("poss"), F.col("off_freq").alias("freq"),
+        *scope_of(profile), "team", "dimension", "category", "unit", "source", F.col("off_n").alias("poss"), F.col("off_freq").alias("freq"),
         F.col("off_ppp").alias("ppp"), F.col("off_ppp_pctl").alias("ppp_percentile"), "def_ppp",
         F.col("def_ppp_pctl").alias("def_ppp_percentile"),
     )
@@ -89,7 +98,7 @@ def with_labels(rows: DataFrame, labels: DataFrame, headers: DataFrame) -> DataF
     lab = labels.dropDuplicates(LABEL_KEY).withColumnRenamed("bulletable", "_b")
     head = headers.dropDuplicates(HEADER_KEY).select(*HEADER_KEY, F.col("ppp_meaningful").alias("_m"))
     return (
-        rows.join(F.broadcast(lab), LABEL_KEY, "left").join(F.broadcast(head), HEADER_KEY, "left")
+        rows.join(lab, LABEL_KEY, "left").join(head, HEADER_KEY, "left")
         .withColumns({
             "label": F.coalesce("display_label", "category"),
             "bulletable": F.when(F.col("display_label").isNull(), True).otherwise(F.coalesce("_b", F.lit(False))),
@@ -119,18 +128,20 @@ def team_profile(profile, team: str, pop_n, population, labels, headers, bulleta
 
 
 def leaders(profile: DataFrame, dimension: str, category: str, n: int = 5, best: bool = True) -> DataFrame:
-    """Best or worst teams of one category; unranked teams come last either way."""
+    """Best or worst teams of one category in each league season; unranked teams come last either way."""
     key = F.col("ppp_percentile")
     rows = profile_rows(profile).where((F.col("dimension") == dimension) & (F.col("category") == category))
-    return rows.orderBy(key.desc_nulls_last() if best else key.asc_nulls_last(), "team").limit(n)
+    order = [key.desc_nulls_last() if best else key.asc_nulls_last(), F.col("team")]
+    place = F.row_number().over(Window.partitionBy(*scope_of(profile)).orderBy(*order))
+    return rows.withColumn("place", place).where(F.col("place") <= n)
 
 
 def dimensions(labels: DataFrame, headers: DataFrame) -> DataFrame:
-    return labels.join(F.broadcast(headers), HEADER_KEY, "left")
+    return labels.join(headers, HEADER_KEY, "left")
 
 
 def bullet_pool(cards: DataFrame, labels: DataFrame) -> DataFrame:
-    return cards.join(F.broadcast(labels.where("bulletable").select(*LABEL_KEY).distinct()), LABEL_KEY, "left_semi")
+    return cards.join(labels.where("bulletable").select(*LABEL_KEY).distinct(), LABEL_KEY, "left_semi")
 
 
 def select_keys(
@@ -144,9 +155,9 @@ def select_keys(
     if side not in RANK_COLUMN:
         raise ValueError(f"side {side!r} is not one of {sorted(RANK_COLUMN)}")
     c = F.col
-    rank = c(RANK_COLUMN[side])
+    rank, scope = c(RANK_COLUMN[side]), scope_of(cards)
     pool = bullet_pool(cards, labels).where(rank.isNotNull() & (c("poss") >= min_poss))
-    top = F.max("freq").over(Window.partitionBy("team", "opponent", "dimension"))
+    top = F.max("freq").over(Window.partitionBy(*scope, "team", "opponent", "dimension"))
     pool = pool.withColumn("freq_rel", F.when(top > 0, c("freq") / top).otherwise(0.0))
     if side == "weakness":
         gated = pool.where(rank < (KEY_WEAKNESS_MAX if percentile is None else percentile))
@@ -154,7 +165,7 @@ def select_keys(
     else:
         gated = pool.where(rank > (KEY_STRENGTH_MIN if percentile is None else percentile))
         score = c("freq_rel") * rank
-    w = Window.partitionBy("team", "opponent").orderBy(
+    w = Window.partitionBy(*scope, "team", "opponent").orderBy(
         c("key_score").desc(), c("dimension"), c("freq").desc(), c("category")
     )
     return (
@@ -170,7 +181,7 @@ def key_sentences(
     """One sentence per selected row; a strength or attack row without a phrase gives none."""
     c = F.col
     p = phrases.dropDuplicates(["side", *LABEL_KEY])
-    rows = with_labels(keys, labels, headers).join(F.broadcast(p), ["side", *LABEL_KEY], "left")
+    rows = with_labels(keys, labels, headers).join(p, ["side", *LABEL_KEY], "left")
     rows = rows.where((c("side") == "weakness") | c("phrase").isNotNull())
     lit = F.lit
     share = F.concat(X.whole_percent("freq"), lit(" "), X.unit_denominator("unit"))
@@ -192,11 +203,11 @@ def key_sentences(
     return rows.withColumn("sentence", F.when(c("side") == "attack", attack).otherwise(own))
 
 
-def build_keys(profile: DataFrame, matchups: DataFrame, labels: DataFrame, sides: Sequence[str] = ("strength", "weakness")) -> DataFrame:
+def build_keys(profile: DataFrame, matchups: DataFrame, labels: DataFrame, sides: Sequence[str] = ("strength", "weakness"), min_poss: int = KEY_MIN_POSS) -> DataFrame:
     """Selected rows of every matchup: the opponent's card for its strengths and weaknesses, ours to attack."""
-    flipped = matchups.select(F.col("opponent").alias("team"), F.col("team").alias("opponent"))
+    flipped = matchups.select(*scope_of(matchups), F.col("opponent").alias("team"), F.col("team").alias("opponent"))
     parts = [
-        select_keys(matchup_cards(profile, matchups if s == "attack" else flipped), s, labels) for s in sides
+        select_keys(matchup_cards(profile, matchups if s == "attack" else flipped), s, labels, min_poss=min_poss) for s in sides
     ]
     out = parts[0]
     for p in parts[1:]:
@@ -206,7 +217,7 @@ def build_keys(profile: DataFrame, matchups: DataFrame, labels: DataFrame, sides
 
 def priority_keys(keys: DataFrame, k: int = 3) -> DataFrame:
     """Highest scores of both sides together."""
-    w = Window.partitionBy("team", "opponent").orderBy(F.desc("key_score"), "side", "key_no")
+    w = Window.partitionBy(*scope_of(keys), "team", "opponent").orderBy(F.desc("key_score"), "side", "key_no")
     return keys.withColumn("priority", F.row_number().over(w)).where(F.col("priority") <= k)
 
 
@@ -214,12 +225,12 @@ def shot_identity(rows: DataFrame, labels: DataFrame, k: int = 3) -> DataFrame:
     """Top shot zones per team as tags, plus the share of threes."""
     c = F.col
     zones = rows.where((c("dimension") == "shot_zone") & c("freq").isNotNull()).join(
-        F.broadcast(labels.select(*LABEL_KEY, "display_label")), LABEL_KEY, "left"
+        labels.select(*LABEL_KEY, "display_label"), LABEL_KEY, "left"
     )
-    w = Window.partitionBy("team").orderBy(F.desc("freq"), "category")
+    w = Window.partitionBy(*scope_of(rows), "team").orderBy(F.desc("freq"), "category")
     tag = F.concat(F.coalesce("display_label", "category"), F.lit(" "), X.whole_percent("freq"))
     ranked = zones.withColumn("_rn", F.row_number().over(w))
-    return ranked.groupBy("team").agg(
+    return ranked.groupBy(*scope_of(rows), "team").agg(
         F.array_join(F.transform(
             F.array_sort(F.collect_list(F.when(c("_rn") <= k, F.struct("_rn", tag.alias("tag"))))), lambda x: x["tag"]
         ), "; ").alias("tags"),
