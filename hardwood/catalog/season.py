@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from hardwood.catalog.profile import CATEGORIES
 from hardwood.catalog.registry import query
+from hardwood.plans.profile import category_rows
 from hardwood.plans import season as SE
 from hardwood.sources.resolve import resolve_games
 
@@ -43,20 +45,10 @@ def _tidy(df):
     return df.select(*[F.round(c, 8).alias(c) if c in ("pts_per_game", "margin") else F.col(c) for c in _COLS])
 
 
-def _context_counts(t):
-    """Stands for a stored profile: possessions per team taken from its box rows."""
-    return t.team_box.groupBy(F.concat(F.lit("T"), "team_id").alias("team")).agg(
-        F.sum("fga").cast("bigint").alias("off_n")
-    ).withColumn("dimension", F.lit("context"))
-
-
-@query(
-    "season_summary", ("schedule",),
-    _long() + ", pc AS (SELECT concat('T', team_id) AS team, cast(sum(fga) AS bigint) AS possessions FROM team_box GROUP BY 1)"
-    + _SUMMARY.format(pace="possessions, possessions / minutes * 40e0 AS pace", extra="LEFT JOIN pc ON pc.team = bs.team"),
-)
+@query("season_summary", ("schedule",), _long() + _SUMMARY.format(pace="NULL::bigint AS possessions, NULL::double AS pace", extra=""))
 def season_summary(t):
-    return _tidy(SE.season_summary(t.schedule, "wnba", _box(t), _context_counts(t), by=BY))
+    """Orders have no possessions, so no pace here; see season_pace."""
+    return _tidy(SE.season_summary(t.schedule, "wnba", _box(t), by=BY))
 
 
 @query(
@@ -65,22 +57,40 @@ def season_summary(t):
     + _SUMMARY.format(pace="NULL::bigint AS possessions, NULL::double AS pace", extra=""),
 )
 def season_summary_as_of(t):
-    return _tidy(SE.season_summary(t.schedule, "wnba", _box(t), _context_counts(t), as_of="1999-03-31", by=BY))
+    return _tidy(SE.season_summary(t.schedule, "wnba", _box(t), as_of="1999-03-31", by=BY))
+
+
+# the event feed has games, scores and possessions of four leagues
+SCOPED = ["league", "season", "team"]
+PACE = CATEGORIES + """, sc AS (SELECT *, CASE league WHEN 'nba' THEN 48e0 + (greatest(coalesce(status_period, 4), 4) - 4) * 5e0
+     WHEN 'mbb' THEN 40e0 + (greatest(coalesce(status_period, 2), 2) - 2) * 5e0 ELSE 40e0 + (greatest(coalesce(status_period, 4), 4) - 4) * 5e0 END AS minutes FROM event_schedule),
+ lg AS (SELECT league, season, minutes, home_abbreviation AS team, home_score AS pts, away_score AS opp_pts FROM sc
+   UNION ALL SELECT league, season, minutes, away_abbreviation, away_score, home_score FROM sc),
+ bs AS (SELECT league, season, team, count(*) AS games, count(*) FILTER (pts > opp_pts) AS wins, sum(minutes) AS minutes, avg(pts) - avg(opp_pts) AS margin
+   FROM lg WHERE pts IS NOT NULL AND opp_pts IS NOT NULL GROUP BY 1, 2, 3),
+ pc AS (SELECT league, season, off_team AS team, count(*) AS possessions FROM ca WHERE dimension = 'context' GROUP BY 1, 2, 3),
+ pace AS (SELECT bs.*, possessions, possessions / minutes * CASE bs.league WHEN 'nba' THEN 48e0 ELSE 40e0 END AS pace
+   FROM bs LEFT JOIN pc ON pc.league = bs.league AND pc.season = bs.season AND pc.team = bs.team)"""
+
+
+def _event_season(t):
+    counts = category_rows(t.pbp).withColumnsRenamed({"off_team": "team", "n": "off_n"})
+    return SE.season_summary(t.event_schedule, None, profile=counts, by=SCOPED)
+
+
+@query("season_pace", ("pbp", "event_schedule"), PACE + " SELECT league, season, team, games, wins, minutes, possessions, round(pace, 8) AS pace FROM pace")
+def season_pace(t):
+    return _event_season(t).select(*SCOPED, "games", "wins", "minutes", "possessions", F.round("pace", 8).alias("pace"))
 
 
 @query(
-    "header_stats", ("schedule",),
-    _long() + """ SELECT bs.season, bs.team, concat(wins, '-', losses) AS record, printf('%+.1f', round_even(pts_per_game - opp_pts_per_game, 1)) AS margin, NULL::varchar AS pace
-      FROM bs""",
+    "header_stats", ("pbp", "event_schedule"),
+    PACE + """ SELECT league, season, team, concat(wins, '-', games - wins) AS record,
+      CASE WHEN margin < 0 AND round_even(margin, 1) = 0 THEN '-0.0' ELSE printf('%+.1f', round_even(margin, 1)) END AS margin,
+      printf('%.1f', round_even(pace, 1)) AS pace FROM pace""",
 )
 def header_stats(t):
-    s = SE.season_summary(t.schedule, "wnba", by=BY)
-    keyed = s.withColumn("team", F.concat_ws("|", "season", "team"))
-    h = SE.header_stats(keyed)
-    return h.select(
-        F.split_part("team", F.lit("|"), F.lit(1)).cast("int").alias("season"), F.split_part("team", F.lit("|"), F.lit(2)).alias("team"),
-        "record", "margin", "pace",
-    )
+    return SE.header_stats(_event_season(t)).select(*SCOPED, "record", "margin", "pace")
 
 
 _CONF = """, sd AS (SELECT home_id AS team_id, home_abbreviation AS team, home_display_name AS name, home_conference_id AS conf_id FROM schedule

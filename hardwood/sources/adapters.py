@@ -241,6 +241,14 @@ SELECT concat('g', cast(g AS string)) AS game_id, g,
 FROM (SELECT DISTINCT cast(floor(event_id / 10000e0) AS bigint) * 150 + user_id % 150 AS g FROM {events}) games
 """
 
+# The games of the event feed as a schedule: running scores only grow, so the last one is the largest.
+_EVENT_SCHEDULE = """
+SELECT league, season, game_id, min(game_date) AS game_date, home_team_abbrev AS home_abbreviation, away_team_abbrev AS away_abbreviation,
+       cast(max(home_score) AS double) AS home_score, cast(max(away_score) AS double) AS away_score,
+       max(period_number) AS status_period, true AS status_type_completed
+FROM {pbp} GROUP BY league, season, game_id, home_team_abbrev, away_team_abbrev
+"""
+
 _LINEUP_POOL = """
 SELECT concat('P', cast(slot AS string)) AS player, slot,
        CASE slot % 7 WHEN 0 THEN 'G' WHEN 1 THEN 'F' WHEN 2 THEN 'C' WHEN 3 THEN 'G-F' WHEN 4 THEN 'F-C' WHEN 5 THEN 'G' ELSE 'F' END AS position,
@@ -271,6 +279,7 @@ VIEWS: dict[str, tuple[str, list[str]]] = {
     "event_rows": (_EVENT_ROWS, ["events"]),
     "event_text": (_EVENT_TEXT, ["event_rows"]),
     "pbp": (_PBP, ["event_text"]),
+    "event_schedule": (_EVENT_SCHEDULE, ["pbp"]),
     "event_games": (_EVENT_GAMES, ["events"]),
     "starters": (_STARTERS, ["event_games"]),
     "lineup_pool": (_LINEUP_POOL, ["player_box"]),

@@ -222,6 +222,20 @@ def test_season_summary(spark):
     assert SE.season_summary(s, "wnba").first().pace is None
 
 
+def test_season_pace_joins_on_every_key(spark):
+    """Two seasons and two leagues with the same teams, about 70 possessions a game of 40 minutes."""
+    games = [(lg, yr, f"{lg}{yr}{i}", "AAA", "BBB", 70.0 + i, 65.0, 4 if lg == "wnba" else 2) for lg in ("wnba", "mbb") for yr in (2025, 2026) for i in range(4)]
+    s = spark.createDataFrame(games, "league string, season int, game_id string, home_abbreviation string, away_abbreviation string, home_score double, away_score double, status_period int").select(
+        "*", F.to_date(F.lit("2026-01-01")).alias("game_date"), F.lit(True).alias("status_type_completed"))
+    rows = [(lg, yr, t, "context", c, n) for lg, k in (("wnba", 280), ("mbb", 272)) for yr in (2025, 2026) for t in ("AAA", "BBB") for c, n in (("halfcourt", k - 40), ("transition", 40))]
+    prof = spark.createDataFrame(rows, "league string, season int, team string, dimension string, category string, off_n int")
+    got = SE.season_summary(s, None, profile=prof, by=["league", "season", "team"]).collect()
+    assert len(got) == 8 and {(r.league, r.pace) for r in got} == {("wnba", 70.0), ("mbb", 68.0)}
+    assert all(40 < r.pace < 110 and r.games == 4 for r in got)
+    with pytest.raises(ValueError):
+        SE.season_summary(s, None, profile=prof.drop("season"), by=["league", "season", "team"])
+
+
 def test_local_fit_recovers_a_curve():
     rnd = np.random.default_rng(2)
     x = np.column_stack([rnd.uniform(0, 49, 4000), rnd.uniform(-40, 40, 4000), rnd.uniform(-30, 30, 4000)])
