@@ -60,9 +60,9 @@ def training_quarantine(t):
     return _training(t)[1].groupBy("reject_reason").agg(F.count(F.lit(1)).alias("n"))
 
 
-_BIN = lambda a, lo, hi, w: f"floor(least(greatest({a}, {lo}), {hi}) / {w}) * {w} + {w} / 2"
-BINS = f"""SELECT {_BIN('t', '0e0', '49e0', '1e0')} AS t, {_BIN('ball_margin', '-40e0', '40e0', '2e0')} AS ball_margin,
-   {_BIN('round(spread_ball, 9)', '-30e0', '30e0', '3e0')} AS spread_ball, count(*) AS n, cast(sum(ball_win::int) AS bigint) AS wins FROM ft2 GROUP BY 1, 2, 3"""
+_BIN = lambda a, w: f"floor({a} / {w} + 0.5e0) * {w}"
+BINS = f"""SELECT {_BIN('t', '1e0')} AS t, {_BIN('ball_margin', '1e0')} AS ball_margin,
+   {_BIN('round(spread_ball, 9)', '3e0')} AS spread_ball, count(*) AS n, cast(sum(ball_win::int) AS bigint) AS wins FROM ft2 GROUP BY 1, 2, 3"""
 
 
 @query("winprob_binned", ("pbp",), TRAIN + " " + BINS)
@@ -143,7 +143,7 @@ def _ft_sql(j: int, s: int) -> str:
 @query(
     "winprob_ft_states", ("pbp",),
     TRAIN + f""", f AS (SELECT *, sqrt(cast(greatest(secs_left_game, 0) AS double)) AS t FROM good WHERE NOT is_pure AND secs_left_game IS NOT NULL)
-      SELECT game_id, idx, round(CASE WHEN ft_shots_remaining = 1 THEN {_ft_sql(0, 1)} WHEN ft_shots_remaining = 2 THEN {_ft_sql(0, 2)} ELSE {_ft_sql(0, 3)} END, 8) AS win_prob FROM f""",
+      SELECT game_id, idx, round(CASE WHEN ft_shots_remaining = 1 THEN {_ft_sql(0, 1)} WHEN ft_shots_remaining = 2 THEN {_ft_sql(0, 2)} WHEN ft_shots_remaining = 3 THEN {_ft_sql(0, 3)} END, 8) AS win_prob FROM f""",
 )
 def winprob_ft_states(t):
     secs = F.col("secs_left_game")
@@ -155,7 +155,7 @@ def winprob_ft_states(t):
     with_ball = lambda x: wp(x, s)
     without = lambda x: F.lit(1.0) - wp(-x, -s)
     v = lambda k: WP.free_throw_value(with_ball, without, m, k)
-    p = F.when(F.col("ft_shots_remaining") == 1, v(1)).when(F.col("ft_shots_remaining") == 2, v(2)).otherwise(v(3))
+    p = F.when(F.col("ft_shots_remaining") == 1, v(1)).when(F.col("ft_shots_remaining") == 2, v(2)).when(F.col("ft_shots_remaining") == 3, v(3))
     return rows.select("game_id", "idx", F.round(p, 8).alias("win_prob"))
 
 
@@ -190,6 +190,6 @@ def winprob_calculator(t):
     s = rows.select(
         F.concat_ws("|", "game_id", "idx", "state_type").alias("situation_id"), F.col("secs_left_game").alias("secs"),
         F.col("ball_margin").cast("double").alias("ball_margin"), "spread_ball", F.lit(True).alias("has_ball"),
-        F.least(F.coalesce("ft_shots_remaining", F.lit(0)), F.lit(3)).alias("ft_shots"),
+        F.coalesce("ft_shots_remaining", F.lit(0)).alias("ft_shots"),
     )
     return WP.score_situations(s, v)

@@ -22,12 +22,15 @@ from hardwood.plans.ratings import attach_ratings, margin_ratings
 from hardwood.schemas import FT_MAKE, FT_OREB_KEEP
 from hardwood.session import materialize
 
-# Bin width and vertex positions per axis; values beyond the ends fall into the end bins.
+# Bin width and vertex positions per axis. Bins are centred on multiples of the width, so a tie and a one-point lead are
+# bins of their own. Values beyond the outer vertices extrapolate the logit of the end cells.
 AXES = {
-    "t": {"bin": 1.0, "lo": 0.0, "hi": 49.0, "vertices": [0.0, 3.0, 6.0, 10.0, 15.0, 22.0, 30.0, 40.0, 49.0]},
-    "ball_margin": {"bin": 2.0, "lo": -40.0, "hi": 40.0, "vertices": [-40.0, -25.0, -15.0, -8.0, -3.0, 0.0, 3.0, 8.0, 15.0, 25.0, 40.0]},
-    "spread_ball": {"bin": 3.0, "lo": -30.0, "hi": 30.0, "vertices": [-30.0, -18.0, -9.0, 0.0, 9.0, 18.0, 30.0]},
+    "t": {"bin": 1.0, "vertices": [0.0, 3.0, 6.0, 10.0, 15.0, 22.0, 30.0, 40.0, 49.0]},
+    "ball_margin": {"bin": 1.0, "vertices": [-40.0, -25.0, -15.0, -10.0, *[float(m) for m in range(-6, 7)], 10.0, 15.0, 25.0, 40.0]},
+    "spread_ball": {"bin": 3.0, "vertices": [-30.0, -18.0, -9.0, 0.0, 9.0, 18.0, 30.0]},
 }
+#: Free throws of one trip that the calculator values; more give no value.
+MAX_TRIP = 6
 
 
 def event_games(ev: DataFrame) -> DataFrame:
@@ -86,9 +89,8 @@ def split_games(rows: DataFrame, holdout_percent: int = 15, seed: int = 1) -> tu
 
 
 def _bin(axis: str) -> Column:
-    a = AXES[axis]
-    x = clamp(F.col(axis).cast("double"), a["lo"], a["hi"])
-    return (F.floor(x / a["bin"]) * a["bin"] + a["bin"] / 2)
+    width = AXES[axis]["bin"]
+    return F.floor(F.col(axis).cast("double") / width + 0.5) * width
 
 
 def binned(rows: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -140,7 +142,7 @@ def local_logit(x: np.ndarray, n: np.ndarray, wins: np.ndarray, at: np.ndarray,
 def fit_vertices(bins: DataFrame, nn: Sequence[float] = (0.1,), folds: int | None = None) -> DataFrame:
     """Fitted probability per vertex, neighbourhood share and (when folds are given) left-out fold.
 
-    The grid bounds the counts (50 x 41 x 21 bins per fold), so they travel to the tasks as a
+    The bins bound the counts (minutes, points and spread steps of a game, for each fold), so they travel to the tasks as a
     constant; the vertices are what is spread over the cluster.
     """
     spark = bins.sparkSession
@@ -167,9 +169,9 @@ def fit_vertices(bins: DataFrame, nn: Sequence[float] = (0.1,), folds: int | Non
 
 
 def _cell(axis: str) -> tuple[Column, Column]:
-    """(cell index, position inside the cell) of a value on an axis."""
+    """(cell index, position inside the cell) of a value on an axis; outside 0..1 beyond the end vertices."""
     v = AXES[axis]["vertices"]
-    x = clamp(F.col(axis).cast("double"), v[0], v[-1])
+    x = F.col(axis).cast("double")
     cell = F.lit(0)
     pos = (x - v[0]) / (v[1] - v[0])
     for i in range(1, len(v) - 1):
@@ -179,13 +181,15 @@ def _cell(axis: str) -> tuple[Column, Column]:
 
 
 def predict(rows: DataFrame, vertices: DataFrame, by: Sequence[str] = (), out: str = "p") -> DataFrame:
-    """Trilinear probability from the eight corners of each row's cell, clamped away from 0 and 1."""
+    """Probability from the trilinear logit of the eight corners of each row's cell, clamped away from 0 and 1."""
     c = F.col
+    inner = clamp(c("p"), 1e-6, 1 - 1e-6)
+    logit = F.log(inner / (1 - inner))
     corners = F.array(*[F.struct(F.lit(a).alias("di"), F.lit(b).alias("dj"), F.lit(d).alias("dk")) for a in (0, 1) for b in (0, 1) for d in (0, 1)])
     cells = vertices.select(*by, "i", "j", "k", "p", F.inline(corners)).groupBy(
         *by, (c("i") - c("di")).alias("_ci"), (c("j") - c("dj")).alias("_cj"), (c("k") - c("dk")).alias("_ck")
     ).agg(*[
-        F.max(F.when((c("di") == a) & (c("dj") == b) & (c("dk") == d), c("p"))).alias(f"_p{a}{b}{d}")
+        F.max(F.when((c("di") == a) & (c("dj") == b) & (c("dk") == d), logit)).alias(f"_p{a}{b}{d}")
         for a in (0, 1) for b in (0, 1) for d in (0, 1)
     ])
     ci, pi = _cell("t")
@@ -200,7 +204,7 @@ def predict(rows: DataFrame, vertices: DataFrame, by: Sequence[str] = (), out: s
         F.lit(0.0),
     )
     drop = ["_ci", "_cj", "_ck", "_u", "_v", "_w"] + [f"_p{a}{b}{d}" for a in (0, 1) for b in (0, 1) for d in (0, 1)]
-    return joined.withColumn(out, clamp(value, 1e-6, 1 - 1e-6)).drop(*drop)
+    return joined.withColumn(out, clamp(1 / (1 + F.exp(-value)), 1e-6, 1 - 1e-6)).drop(*drop)
 
 
 def cross_validate(rows: DataFrame, nn: Sequence[float] = (0.1, 0.3), folds: int = 5, edges=(0, 5, 30, 120, 300)) -> DataFrame:
@@ -247,7 +251,7 @@ def free_throw_value(with_ball: Callable[[Column], Column], without: Callable[[C
 def score_situations(situations: DataFrame, vertices: DataFrame) -> DataFrame:
     """Win probability of (situation_id, secs, ball_margin, spread_ball, has_ball, ft_shots) rows.
 
-    The margins a situation can reach (at most four) are looked up with and without the ball, then
+    The margins a situation can reach (one for each free throw, up to MAX_TRIP; no value beyond) are looked up with and without the ball, then
     combined; decided and level games at zero seconds follow exact rules.
     """
     c = F.col
@@ -267,7 +271,7 @@ def score_situations(situations: DataFrame, vertices: DataFrame) -> DataFrame:
     ).withColumn("p", F.when(c("_k") == "n", 1 - c("p")).otherwise(c("p")))
     name = lambda k, j: f"_{k}{'o' if j < 0 else j}"
     wide = looked.groupBy("situation_id").agg(*[
-        F.max(F.when((c("_k") == k) & (c("_j") == j), c("p"))).alias(name(k, j)) for k in ("w", "n") for j in (-1, 0, 1, 2, 3)
+        F.max(F.when((c("_k") == k) & (c("_j") == j), c("p"))).alias(name(k, j)) for k in ("w", "n") for j in range(-1, MAX_TRIP + 1)
     ])
     at = lambda k: (lambda m: c(name(k, m)))
 
@@ -280,9 +284,9 @@ def score_situations(situations: DataFrame, vertices: DataFrame) -> DataFrame:
         return value(0, shots)
 
     live = F.when(~c("has_ball"), c("_n0"))
-    for s in (1, 2, 3):
+    for s in range(1, MAX_TRIP + 1):
         live = live.when(c("ft_shots") == s, ft(s))
-    live = live.otherwise(c("_w0"))
+    live = live.when(c("ft_shots") > MAX_TRIP, None).otherwise(c("_w0"))
     done = (c("secs") <= 0) & (F.coalesce(c("ft_shots"), F.lit(0)) == 0)
     p = (
         F.when(done & (c("ball_margin") > 0), 1.0).when(done & (c("ball_margin") < 0), 0.0)

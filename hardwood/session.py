@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
+import atexit
 import uuid
 
+from py4j.protocol import Py4JError
+from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -25,28 +27,41 @@ def build_session(master: str | None = None, app: str = "hardwood", **conf: str)
     return b.getOrCreate()
 
 
+_STORED: list[str] = []
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Folder for cut lineage: the one the cluster names, else a temporary one for local runs."""
+    """Folder for stored tables: the one that spark.checkpoint.dir names, else one in the session's warehouse."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    if not named:
-        if not sc.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a shared folder before running on a cluster")
-        named = tempfile.mkdtemp(prefix="hardwood-checkpoint-")
-    sc.setCheckpointDir(named)
-    return named
+    sc.setCheckpointDir(named or f"{spark.conf.get('spark.sql.warehouse.dir')}/hardwood-stage")
+    return sc.getCheckpointDir()
 
 
 def materialize(df: DataFrame) -> DataFrame:
     """Write the rows once as a table in the shared folder and go on from there.
 
     Cuts lineage, survives lost executors and lets later readers prune columns. One pass, unlike
-    `checkpoint()`, which computes the last stage twice.
+    `checkpoint()`, which computes the last stage twice. The tables go when the driver's Python ends, or by `release`.
     """
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark)}/hardwood-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _STORED.append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+@atexit.register
+def release() -> None:
+    """Delete the tables that this driver stored; frames that read them can't be used afterwards."""
+    gateway = SparkContext._gateway
+    while _STORED and gateway is not None:
+        jvm = gateway.jvm
+        place = jvm.org.apache.hadoop.fs.Path(_STORED.pop())
+        try:
+            place.getFileSystem(jvm.org.apache.hadoop.conf.Configuration()).delete(place, True)
+        except (Py4JError, OSError):  # the JVM is gone; the folder's own retention clears up
+            return

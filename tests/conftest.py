@@ -12,9 +12,10 @@ SF = "/root/testdata/sf0.001"
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     s = build_session("local[8]", "hardwood-tests", **{
         "spark.sql.shuffle.partitions": "8", "spark.driver.memory": "6g",
+        "spark.checkpoint.dir": str(tmp_path_factory.mktemp("stored")), "spark.sql.warehouse.dir": str(tmp_path_factory.mktemp("warehouse")),
     })
     s.sparkContext.setLogLevel("ERROR")
     yield s

@@ -1,6 +1,8 @@
 from collections import defaultdict
 from itertools import combinations
 
+import math
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -255,7 +257,24 @@ def test_calculator_rules(spark):
     assert (r["lead"], r["behind"]) == (1.0, 0.0) and r["level"] == pytest.approx(0.5)
     assert r["mine"] + r["theirs"] == pytest.approx(1 / (1 + np.exp(-.3)) + 1 - 1 / (1 + np.exp(-.3)))
     vert = {(x.i, x.j, x.k): x.p for x in v.collect()}
-    line = lambda m: float(np.interp(m, WP.AXES["ball_margin"]["vertices"], [vert[(0, j, 0)] for j in range(11)]))
+    line = lambda m: float(np.interp(m, WP.AXES["ball_margin"]["vertices"], [vert[(0, j, 0)] for j in range(len(WP.AXES["ball_margin"]["vertices"]))]))
     nb = lambda m: 1 - line(-m)
     f1 = lambda m: .71 * nb(m + 1) + .29 * (.2 * line(m) + .8 * nb(m))
     assert r["one"] == pytest.approx(f1(0)) and r["two"] == pytest.approx(.71 * f1(1) + .29 * f1(0))
+
+
+def test_ties_and_one_point_leads_are_bins_of_their_own(spark):
+    rows = spark.createDataFrame([(1.4, m, 0.4, m > 0) for m in (-60, -2, -1, 0, 0, 1, 2, 60)], "t double, ball_margin int, spread_ball double, ball_win boolean")
+    got = {(r.t, r.ball_margin): (r.n, r.wins) for r in WP.binned(rows).collect()}
+    assert got == {(1.0, float(m)): (2 if m == 0 else 1, int(m > 0)) for m in (-60, -2, -1, 0, 1, 2, 60)}
+
+
+def test_prediction_beats_the_leader_rule_near_the_end(spark):
+    """Where the truth is a steep logistic of the margin, the surface follows it, between vertices and beyond them too."""
+    true = lambda m, t: 1 / (1 + math.exp(-3.0 * m / (1 + 0.1 * t)))
+    v = WP.vertex_table(spark)
+    v = v.withColumn("p", 1 / (1 + F.exp(-3.0 * F.col("ball_margin") / (1 + 0.1 * F.col("t")))))
+    rows = spark.createDataFrame([(t, float(m), 0.0) for t in (0.0, 3.0) for m in (-50, -12, -1, 0, 1, 2, 5, 12, 50)], "t double, ball_margin double, spread_ball double")
+    for r in WP.predict(rows, v).collect():
+        assert r.p == pytest.approx(min(max(true(r.ball_margin, r.t), 1e-6), 1 - 1e-6), abs=2e-3)
+    assert WP.predict(rows.where("ball_margin = 0"), v).agg(F.avg("p")).first()[0] == pytest.approx(0.5)
