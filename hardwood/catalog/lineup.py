@@ -79,17 +79,13 @@ def lineup_roster(t):
 @query(
     "player_insight", ("player_box",),
     _PLAYER + f""", pp AS (SELECT season, athlete_id, {pct_sql('position', 10)} FROM ps),
-      v AS (SELECT season, athlete_id, usage_pctile_pos AS u, efg_pctile_pos AS e, tov_pctile_pos AS t, oreb_pctile_pos AS o, fta_rate_pctile_pos AS f,
-              greatest(efg_pctile_pos, tov_pctile_pos, oreb_pctile_pos, fta_rate_pctile_pos) AS b FROM pp),
-      r AS (SELECT *, CASE WHEN e >= 0.75 AND u <= 0.55 THEN 'Spacer' WHEN t >= 0.75 AND u <= 0.7 THEN 'Connector' WHEN o >= 0.7 OR f >= 0.7 THEN 'Stabilizer' ELSE 'Balanced' END AS role,
-              CASE WHEN e = b THEN 1 WHEN t = b THEN 2 WHEN o = b THEN 3 WHEN f = b THEN 4 END AS k FROM v),
-      s AS (SELECT *, CASE WHEN k IS NULL THEN NULL WHEN k = 1 THEN '-inf'::double ELSE e END AS e2, CASE WHEN k IS NULL THEN NULL WHEN k = 2 THEN '-inf'::double ELSE t END AS t2,
-              CASE WHEN k IS NULL THEN NULL WHEN k = 3 THEN '-inf'::double ELSE o END AS o2, CASE WHEN k IS NULL THEN NULL WHEN k = 4 THEN '-inf'::double ELSE f END AS f2 FROM r),
-      w AS (SELECT *, greatest(e2, t2, o2, f2) AS b2 FROM s),
-      x AS (SELECT *, CASE WHEN e2 = b2 THEN 1 WHEN t2 = b2 THEN 2 WHEN o2 = b2 THEN 3 WHEN f2 = b2 THEN 4 END AS k2 FROM w),
-      n(i, label) AS (VALUES (1, 'High eFG'), (2, 'Low TOV'), (3, 'High OREB'), (4, 'High FTr'))
-      SELECT season, athlete_id, role, CASE WHEN k2 IS NOT NULL AND k2 <> k THEN concat(a.label, ' + ', c.label) ELSE a.label END AS why
-      FROM x LEFT JOIN n a ON a.i = k LEFT JOIN n c ON c.i = k2""",
+      v AS (SELECT row_number() OVER () AS r, season, athlete_id, usage_pctile_pos AS u, efg_pctile_pos AS e, tov_pctile_pos AS t, oreb_pctile_pos AS o, fta_rate_pctile_pos AS f FROM pp),
+      l AS (SELECT r, e AS p, 1 AS i, 'shooting' AS label FROM v UNION ALL SELECT r, t, 2, 'ball care' FROM v UNION ALL SELECT r, o, 3, 'offensive boards' FROM v
+            UNION ALL SELECT r, f, 4, 'drawn fouls' FROM v),
+      k AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY p DESC, i) AS n FROM l WHERE p IS NOT NULL),
+      w AS (SELECT r, string_agg(label, ' and ' ORDER BY n) AS why FROM k WHERE n <= 2 GROUP BY r)
+      SELECT season, athlete_id, CASE WHEN e >= 0.75 AND u <= 0.55 THEN 'shoots without the ball' WHEN t >= 0.75 AND u <= 0.7 THEN 'keeps possessions alive'
+        WHEN o >= 0.7 OR f >= 0.7 THEN 'works inside' ELSE 'does some of everything' END AS role, why FROM v LEFT JOIN w USING (r)""",
 )
 def player_insight(t):
     s = players.player_percentiles(players.stored_player_season(t.player_box), specs=players.PERCENTILE_SPECS)

@@ -141,8 +141,8 @@ _ORD = lambda x: (
     "display_rows", ("pbp",),
     PROFILE + LABELS + f""", s AS ({_SHOWN}), n AS (SELECT league, season, cast(count(DISTINCT team) AS int) AS n FROM prof GROUP BY 1, 2)
       SELECT s.*, CASE WHEN rank IS NULL THEN 'unranked' WHEN category IN ('live_ball_to', 'dead_ball_to') THEN
-          concat(CASE WHEN rank <= n / 2e0 THEN CASE WHEN rank = 1 THEN 'the fewest' ELSE concat('the ', {_ORD('rank')}, '-fewest') END
-                      ELSE CASE WHEN n + 1 - rank = 1 THEN 'the most' ELSE concat('the ', {_ORD('(n + 1 - rank)')}, '-most') END END, ' in the national')
+          concat(CASE WHEN least(rank, n + 1 - rank) > 1 THEN concat({_ORD('least(rank, n + 1 - rank)')}, ' ') ELSE '' END,
+                 CASE WHEN rank <= n / 2e0 THEN 'lowest' ELSE 'highest' END, ' of the national')
           ELSE concat({_ORD('rank')}, ' of ', n) END AS standing FROM s JOIN n USING (league, season)""",
 )
 def display_rows(t):

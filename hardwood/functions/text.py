@@ -175,20 +175,19 @@ def volume_line(freq, ppp, unit, ppp_meaningful) -> Column:
     ).otherwise(vol)
 
 
-def inverted_standing(pctl, n, population, compact: bool = False) -> Column:
-    """Fewest / most reading of a rank whose label names the bad quantity."""
+#: Names of the good and the bad end of a quantity that is better when small.
+ENDS = ("lowest", "highest")
+
+
+def inverted_standing(pctl, n, population, compact: bool = False, ends: tuple[str, str] = ENDS) -> Column:
+    """Place counted from the nearer end, for a rank whose label names the bad quantity."""
     n = _c(n)
-    good = rank_from_percentile(pctl, n)
-    most = n + 1 - good
-    lead, tail = ("", F.lit("")) if compact else ("the ", F.concat(F.lit(" in the "), _c(population)))
-    near_top = good <= n / 2
-    core = (
-        F.when(near_top & (good == 1), F.lit(lead + "fewest"))
-        .when(near_top, F.concat(F.lit(lead), ordinal(good), F.lit("-fewest")))
-        .when(most == 1, F.lit(lead + "most"))
-        .otherwise(F.concat(F.lit(lead), ordinal(most), F.lit("-most")))
-    )
-    return F.when(_c(pctl).isNull(), "unranked").otherwise(F.concat(core, tail))
+    from_good = rank_from_percentile(pctl, n)
+    from_bad = n + 1 - from_good
+    place, end = F.least(from_good, from_bad), F.when(from_good <= n / 2, ends[0]).otherwise(ends[1])
+    text = F.concat(F.when(place > 1, F.concat(ordinal(place), F.lit(" "))).otherwise(""), end)
+    whole = text if compact else F.concat(text, F.lit(" of the "), _c(population))
+    return F.when(_c(pctl).isNull(), "unranked").otherwise(whole)
 
 
 def row_standing(pctl, n, population, dimension, category, compact: bool = False) -> Column:

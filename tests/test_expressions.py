@@ -84,7 +84,7 @@ def test_ranks_and_flip(spark):
         pct=X.standing(F.lit(73.0), F.lit(363), F.lit("nation")), rk=X.standing(F.lit(100.0), F.lit(12), F.lit("league"), defense=True),
     )
     assert (r["top"], r["low"], r["flip"], r["none"]) == (1, 12, 70, None)
-    assert r["fewest"] == "the fewest in the league" and r["most"] == "most"
+    assert r["fewest"] == "lowest of the league" and r["most"] == "highest"
     assert r["pct"] == "73rd percentile offensively" and r["rk"] == "1st of 12 defensively in the league"
 
 

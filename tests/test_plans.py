@@ -1,8 +1,7 @@
+import math
 from collections import defaultdict
 from itertools import combinations
 
-import math
-
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
