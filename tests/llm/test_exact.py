@@ -7,6 +7,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from hardwood.llm import exact
+from hardwood.llm.catalog import oracle_texts, query_table
+from oracle_compare import compare, duck
+
+SF = "/root/testdata/sf0.001"
 
 ROWS = [(5, "a  b"), (3, "a b"), (9, "a\tb"), (4, "a b "), (1, None), (8, ""), (2, " "), (7, "x" * 50_000), (6, "x" * 50_000), (None, "a b"),
         (11, None), (11, None), (12, "only"), (None, "alone"), (13, "a b")]
@@ -47,3 +51,8 @@ def test_table_misses_no_repeat(spark, make):
     assert marked.filter("sha < 0 or cast(sha as int) < 1000").filter("NOT again").count() == 0
     assert marked.filter("cast(sha as int) >= 1000").filter("again").count() < 100
     assert exact.table_bits(1 << 40) == exact.MOST_BITS and exact.table_bits(0) == exact.PIECE
+
+
+def test_query_matches_sql(spark):
+    same, note = compare(query_table()["op4_exact_dedup"](spark, SF), duck(SF), oracle_texts()["op4_exact_dedup"])
+    assert same, note
