@@ -14,11 +14,12 @@ from hardwood.session import materialize
 
 EDGES = (0, 5, 30, 120, 300)
 
-TRAIN = STATES + """, gp AS (SELECT game_id, max(season) AS season, max(game_date) AS date, max(home_team_abbrev) AS home, max(away_team_abbrev) AS away, max(home_fill) AS home_final,
+TRAIN = STATES + """, gp AS (SELECT game_id, cast(CASE max(league) WHEN 'wnba' THEN 10000 WHEN 'wbb' THEN 20000 WHEN 'mbb' THEN 30000 ELSE 40000 END + max(season) AS int) AS season, max(game_date) AS date,
+      concat(max(league), ':', max(home_team_abbrev)) AS home, concat(max(league), ':', max(away_team_abbrev)) AS away, max(home_fill) AS home_final,
       max(away_fill) AS away_final, bool_or(home_team_winner) AS home_win FROM ev GROUP BY 1),
  games AS (SELECT gp.*, k / 2e0 AS pace, 100e0 * (home_final - away_final) / (k / 2e0) AS home_net, false AS neutral FROM gp
    JOIN (SELECT game_id, count(*) AS k FROM po GROUP BY 1) c ON c.game_id = gp.game_id)""" + MARGIN[len(GAMES):] + """,
- tr2 AS (SELECT s.*, sc.season, sc.date, sc.home_win, sc.spread_home, least(n_home, n_away) AS rating_n_min, CASE WHEN ball_is_home THEN spread_home ELSE -spread_home END AS spread_ball,
+ tr2 AS (SELECT s.*, cast(sc.season % 10000 AS int) AS season, sc.date, sc.home_win, sc.spread_home, least(n_home, n_away) AS rating_n_min, CASE WHEN ball_is_home THEN spread_home ELSE -spread_home END AS spread_ball,
       home_win = ball_is_home AS ball_win FROM states s LEFT JOIN sc ON sc.game_id = s.game_id),
  good AS (SELECT * FROM tr2 WHERE home_win IS NOT NULL AND ball_team IS NOT NULL AND ball_win IS NOT NULL),
  ft2 AS (SELECT *, sqrt(cast(greatest(secs_left_game, 0) AS double)) AS t, cast(month(date) AS int) AS mon FROM good WHERE is_pure AND secs_left_game IS NOT NULL),

@@ -105,11 +105,11 @@ def find_team(names: DataFrame, text: str, column: str = "team_name") -> DataFra
 
 
 def resolve_one_team(names: DataFrame, text: str, column: str = "team_name") -> str:
-    """The single match of `find_team`; none or several is an error naming the choices."""
-    hits = [r[0] for r in find_team(names, text, column).select(column).distinct().limit(11).collect()]
-    if len(hits) != 1:
-        raise ValueError(f"{text!r} matches {sorted(hits) if hits else 'no team'}")
-    return hits[0]
+    """The single match of `find_team`; none or several is an error with their number and the first and last in order."""
+    hits = find_team(names, text, column).agg(F.countDistinct(column).alias("n"), F.min(column).alias("low"), F.max(column).alias("high")).first()
+    if hits.n != 1:
+        raise ValueError(f"{text!r} matches {hits.n} teams" + (f", {hits.low!r} to {hits.high!r}; `find_team` lists them" if hits.n else ""))
+    return hits.low
 
 
 def suggest_names(names: DataFrame, text: str, column: str, share: float = 0.3, k: int = 5) -> DataFrame:

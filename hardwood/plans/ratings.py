@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from hardwood.functions.metrics import expected_spread, net_per_100, simple_possessions
 from hardwood.operators.aggregates import regression_scores
-from hardwood.schemas import CARRYOVER_DECAY, DEFAULT_PACE, HOME_TERM_EPS, MIN_PACE_GAMES, RATING_LAMBDA
+from hardwood.schemas import CARRYOVER_DECAY, DEFAULT_PACE, HOME_TERM_EPS, LEAGUE_RULES, MIN_PACE_GAMES, RATING_LAMBDA
 from hardwood.session import materialize
 
 HOME, NEUTRAL, TARGET = "_home", "_neutral", "_y"
@@ -48,6 +48,16 @@ def game_frame(team_box: DataFrame, schedule: DataFrame | None = None, pace_floo
     return g.join(ns, "game_id", "left").withColumn("neutral", F.coalesce("neutral", F.lit(False)))
 
 
+def by_league(games: DataFrame) -> DataFrame:
+    """Games of several leagues (column `league`) with seasons and teams that no other league has, for the ratings.
+
+    Leagues share team names. The season becomes 10000 * the league's number + season, the team is preceded by the league.
+    """
+    number = F.create_map(*[x for i, k in enumerate(LEAGUE_RULES, 1) for x in (F.lit(k), F.lit(i))])[F.col("league")]
+    own = lambda team: F.concat_ws(":", "league", team)
+    return games.withColumns({"season": (number * 10_000 + F.col("season")).cast("int"), "home": own("home"), "away": own("away")})
+
+
 def team_days(games: DataFrame) -> DataFrame:
     """Games and summed net per season, team and date."""
     side = lambda team, sign: F.struct(F.col(team).alias("team"), (F.lit(sign) * F.col("home_net")).alias("net"))

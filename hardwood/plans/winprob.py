@@ -18,7 +18,7 @@ from hardwood.functions.metrics import _c, clamp, net_per_100
 from hardwood.operators.aggregates import bucket_label, calibration_table, leader_probability, log_loss, brier
 from hardwood.operators.filters import quarantine
 from hardwood.plans.possessions import game_states, possession_rows, possession_state, prepared_events
-from hardwood.plans.ratings import attach_ratings, margin_ratings
+from hardwood.plans.ratings import attach_ratings, by_league, margin_ratings
 from hardwood.schemas import FT_MAKE, FT_OREB_KEEP
 from hardwood.session import materialize
 
@@ -36,7 +36,7 @@ MAX_TRIP = 6
 def event_games(ev: DataFrame) -> DataFrame:
     """One row per game of possession rows: sides, final score, possessions-based pace, winner."""
     g = ev.groupBy("game_id").agg(
-        F.max("season").alias("season"), F.max("game_date").alias("date"), F.max("home_team_abbrev").alias("home"),
+        F.max("league").alias("league"), F.max("season").alias("season"), F.max("game_date").alias("date"), F.max("home_team_abbrev").alias("home"),
         F.max("away_team_abbrev").alias("away"), F.max("home_fill").alias("home_final"), F.max("away_fill").alias("away_final"),
         F.bool_or("home_team_winner").alias("home_win"),
     )
@@ -47,10 +47,10 @@ def event_games(ev: DataFrame) -> DataFrame:
 
 
 def training_rows(states: DataFrame, games: DataFrame, ratings: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(labelled moments with rating context, quarantined moments with their reason)."""
+    """(labelled moments with rating context, quarantined moments with their reason). Games and ratings come `by_league`."""
     c = F.col
     ctx = attach_ratings(games, ratings).select(
-        "game_id", "season", "date", "home_win", "spread_home", F.least("n_home", "n_away").alias("rating_n_min")
+        "game_id", (c("season") % 10_000).alias("season"), "date", "home_win", "spread_home", F.least("n_home", "n_away").alias("rating_n_min")
     )
     rows = states.join(ctx, "game_id", "left").withColumns({
         "spread_ball": F.when(c("ball_is_home"), c("spread_home")).otherwise(-c("spread_home")),
@@ -66,7 +66,7 @@ def training_rows(states: DataFrame, games: DataFrame, ratings: DataFrame) -> tu
 def training_set(pbp: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Feed to labelled moments. Possession rows and games are written once, being read repeatedly."""
     rows = materialize(possession_rows(prepared_events(pbp)))
-    games = materialize(event_games(rows))
+    games = materialize(by_league(event_games(rows)))
     return training_rows(game_states(rows), games, margin_ratings(games))
 
 
