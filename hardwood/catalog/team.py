@@ -362,14 +362,27 @@ def four_factor_moments(t):
     return m.select("n", *[F.round(c, 4).alias(c) for c in m.columns if c != "n"])
 
 
-@query("four_factor_ols")
+_OLS = """, c0 AS (SELECT efg - avg(efg) OVER () AS a, tov_pct - avg(tov_pct) OVER () AS b, orb_pct - avg(orb_pct) OVER () AS c, ft_rate - avg(ft_rate) OVER () AS d,
+     net_rtg - avg(net_rtg) OVER () AS y FROM v),
+  r1 AS (SELECT sum(a * b) / sum(a * a) AS ab, sum(a * c) / sum(a * a) AS ac, sum(a * d) / sum(a * a) AS ad FROM c0),
+  c1 AS (SELECT a, b - ab * a AS b, c - ac * a AS c, d - ad * a AS d, y FROM c0, r1),
+  r2 AS (SELECT sum(b * c) / sum(b * b) AS bc, sum(b * d) / sum(b * b) AS bd FROM c1),
+  c2 AS (SELECT a, b, c - bc * b AS c, d - bd * b AS d, y FROM c1, r2),
+  r3 AS (SELECT sum(c * d) / sum(c * c) AS cd FROM c2),
+  c3 AS (SELECT a, b, c, d - cd * c AS d, y FROM c2, r3),
+  g AS (SELECT sum(a * y) / sum(a * a) AS ga, sum(b * y) / sum(b * b) AS gb, sum(c * y) / sum(c * c) AS gc, sum(d * y) / sum(d * d) AS gd, count(*) AS n, sum(y * y) AS yy,
+     pow(sum(a * y), 2) / sum(a * a) + pow(sum(b * y), 2) / sum(b * b) + pow(sum(c * y), 2) / sum(c * c) + pow(sum(d * y), 2) / sum(d * d) AS told FROM c3),
+  w3 AS (SELECT *, gd AS wd, gc - cd * gd AS wc FROM g, r3), w2 AS (SELECT *, gb - bc * wc - bd * wd AS wb FROM w3, r2),
+  w1 AS (SELECT *, ga - ab * wb - ac * wc - ad * wd AS wa FROM w2, r1),
+  mn AS (SELECT avg(efg) AS ma, avg(tov_pct) AS mb, avg(orb_pct) AS mc, avg(ft_rate) AS md, avg(net_rtg) AS my FROM v),
+  o AS (SELECT *, my - wa * ma - wb * mb - wc * mc - wd * md AS w0 FROM w1, mn)
+  SELECT term, round(weight, 5) AS weight, round(told / yy, 8) AS r2, round(sqrt((yy - told) / n), 6) AS rmse FROM (
+    SELECT 'intercept' AS term, w0 AS weight, told, yy, n FROM o UNION ALL SELECT 'efg', wa, told, yy, n FROM o UNION ALL SELECT 'tov_pct', wb, told, yy, n FROM o
+    UNION ALL SELECT 'orb_pct', wc, told, yy, n FROM o UNION ALL SELECT 'ft_rate', wd, told, yy, n FROM o) q"""
+
+
+@query("four_factor_ols", ("player_box",), _FACTOR_ROWS + _OLS)
 def four_factor_ols(t):
     """Weights of net rating on the four factors."""
-    rows = teams.four_factor_rows(t.player_box)
-    model, names = teams.fit_four_factor_weights(rows)
-    coef = [("intercept", float(model.intercept))] + list(zip(names, (float(v) for v in model.coefficients)))
-    s = model.summary
-    return t.spark.createDataFrame(
-        [(n, v, float(s.r2), float(s.rootMeanSquaredError)) for n, v in coef],
-        "term string, weight double, r2 double, rmse double",
-    )
+    w = teams.four_factor_weights(teams.four_factor_rows(t.player_box))
+    return w.select("term", F.round("weight", 5).alias("weight"), F.round("r2", 8).alias("r2"), F.round("rmse", 6).alias("rmse"))

@@ -52,7 +52,7 @@ TOGETHER = 2_000
 class CachedEncoder:
     """ids of many texts; remembers the ids of at most `limit` pieces of at most `longest` characters."""
 
-    def __init__(self, path: str, cut, limit: int = 250_000, longest: int = 64):
+    def __init__(self, path: str, cut, limit: int = 600_000, longest: int = 64):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.cut = cut

@@ -41,12 +41,12 @@ def build(ids: np.ndarray, doc_ids: np.ndarray, lengths: np.ndarray) -> bytes:
     zeros: list[int] = []
     for k in range(planes - 1, -1, -1):
         bit = (x & x.dtype.type(1 << k)) != 0
-        other = ~bit
+        ones, others = np.flatnonzero(bit), np.flatnonzero(~bit)  # taking by place is far cheaper than by mask
         bits = np.packbits(bit, bitorder="little")
         per = np.add.reduceat(bit, np.arange(0, len(bit), BLOCK), dtype=np.uint32) if len(bit) else np.zeros(0, np.uint32)
         sections += [pack(bits.tobytes()), pack((np.cumsum(per) - per).astype("<u4").tobytes())]
-        x = np.concatenate([x[other], x[bit]])
-        zeros.append(int(np.count_nonzero(other)))
+        x = np.concatenate([x.take(others), x.take(ones)])
+        zeros.append(len(others))
     ends = np.cumsum([len(s) for s in sections]).tolist()
     header = json.dumps({"tokens": len(ids), "docs": len(lengths), "planes": planes, "zeros": zeros, "ends": ends}).encode()
     return b"".join([MAGIC, struct.pack("<I", len(header)), header, *sections])
@@ -133,8 +133,8 @@ class WaveletFile:
         for k in range(self.planes - 1, -1, -1):
             bit = np.unpackbits(self._bits(k), count=self.n, bitorder="little").view(bool)
             z, out = self.zeros[k], np.empty_like(value)
-            out[~bit] = value[:z]
-            out[bit] = value[z:] | value.dtype.type(1 << (self.planes - 1 - k))
+            out[np.flatnonzero(~bit)] = value[:z]
+            out[np.flatnonzero(bit)] = value[z:] | value.dtype.type(1 << (self.planes - 1 - k))
             value = out
         return value.astype("<u4")
 

@@ -145,3 +145,30 @@ def four_factor_moments(rows: DataFrame) -> DataFrame:
     for i, a in enumerate(names):
         terms += [F.sum(F.col(a) * F.col(b)).alias(f"x_{a}_{b}") for b in names[i:]]
     return rows.agg(*terms)
+
+
+def four_factor_weights(rows: DataFrame) -> DataFrame:
+    """term, weight, r2, rmse of the least-squares fit, solved in the plan from the one row of moments.
+
+    The centred normal equations are eliminated column by column; each step is a projection of that row.
+    """
+    x, y = ["efg", "tov_pct", "orb_pct", "ft_rate"], "net_rtg"
+    names, c = [*x, y], F.col
+    m = four_factor_moments(rows)
+    m = m.select(
+        "n", *[(c(f"s_{a}") / c("n")).alias(f"mean_{a}") for a in names],
+        *[(c(f"x_{a}_{b}") - c(f"s_{a}") * c(f"s_{b}") / c("n")).alias(f"{a}:{b}") for i, a in enumerate(names) for b in names[i:]],
+    ).withColumn("total", c(f"{y}:{y}"))
+    for k, a in enumerate(x):  # what is left of b and d after the part that a explains
+        m = m.withColumns({
+            f"{b}:{d}": c(f"{b}:{d}") - c(f"{a}:{b}") * c(f"{a}:{d}") / c(f"{a}:{a}")
+            for i, b in enumerate(names[k + 1 :], k + 1) for d in names[i:]
+        })
+    for k in range(len(x) - 1, -1, -1):
+        a = x[k]
+        later = sum((c(f"{a}:{d}") * c(f"w_{d}") for d in x[k + 1 :]), F.lit(0.0))
+        m = m.withColumn(f"w_{a}", (c(f"{a}:{y}") - later) / c(f"{a}:{a}"))
+    intercept = c(f"mean_{y}") - sum((c(f"w_{a}") * c(f"mean_{a}") for a in x), F.lit(0.0))
+    left = c(f"{y}:{y}")
+    terms = F.array(*[F.struct(F.lit(t).alias("term"), w.alias("weight")) for t, w in [("intercept", intercept), *[(a, c(f"w_{a}")) for a in x]]])
+    return m.select(F.inline(terms), (1 - left / c("total")).alias("r2"), F.sqrt(left / c("n")).alias("rmse"))
