@@ -189,8 +189,57 @@ def winprob_calculator(t):
     rows = materialize(_training(t)[0].where(F.col("secs_left_game").isNotNull()))
     v = materialize(WP.fit_vertices(WP.binned(WP.features(rows))))
     s = rows.select(
-        F.concat_ws("|", "game_id", "idx", "state_type").alias("situation_id"), F.col("secs_left_game").alias("secs"),
+        F.concat_ws("|", "game_id", "idx", "state_type", "state", "ball_team").alias("situation_id"), F.col("secs_left_game").alias("secs"),
         F.col("ball_margin").cast("double").alias("ball_margin"), "spread_ball", F.lit(True).alias("has_ball"),
         F.coalesce("ft_shots_remaining", F.lit(0)).alias("ft_shots"),
     )
     return WP.score_situations(s, v)
+
+
+# A given surface: its logit is a product form that linear interpolation in each axis gives back exactly, inside and beyond
+# the vertices, so lookups and rules can be checked without the fit.
+def _given(t):
+    m, s, x = F.col("ball_margin"), F.col("spread_ball"), F.col("t")
+    logit = 0.1 * m + 0.03 * s - 0.01 * x + 0.004 * m * x
+    return WP.vertex_table(t.spark).withColumn("p", F.lit(1.0) / (1 + F.exp(-logit)))
+
+
+def _given_sql(m: str, s: str, x: str) -> str:
+    return f"least(greatest(1 / (1 + exp(-(0.1e0 * ({m}) + 0.03e0 * ({s}) - 0.01e0 * {x} + 0.004e0 * ({m}) * {x}))), 1e-6), 1 - 1e-6)"
+
+
+def _given_trip(j: int, shots: int) -> str:
+    w = lambda k: _given_sql(f"ball_margin + {k}", "spread_ball", "t")
+    n = lambda k: f"(1 - {_given_sql(f'-(ball_margin + {k})', '-spread_ball', 't')})"
+    if shots == 0:
+        return w(j)
+    if shots == 1:
+        return f"(0.71e0 * {n(j + 1)} + 0.29e0 * (0.2e0 * {w(j)} + 0.8e0 * {n(j)}))"
+    return f"(0.71e0 * {_given_trip(j + 1, shots - 1)} + 0.29e0 * {_given_trip(j, shots - 1)})"
+
+
+@query(
+    "winprob_predict_given", ("pbp",),
+    TRAIN + f" SELECT game_id, idx, round({_given_sql('ball_margin', 'spread_ball', 't')}, 8) AS p FROM ft2",
+)
+def winprob_predict_given(t):
+    """Interpolation of a given surface at every training moment."""
+    return WP.predict(_features(t), _given(t)).select("game_id", "idx", F.round("p", 8).alias("p"))
+
+
+@query(
+    "winprob_calculator_given", ("pbp",),
+    TRAIN + f""", f AS (SELECT *, coalesce(ft_shots_remaining, 0) AS k, sqrt(cast(greatest(secs_left_game, 0) AS double)) AS t FROM good WHERE secs_left_game IS NOT NULL)
+      SELECT concat_ws('|', game_id, idx, state_type, state, ball_team) AS situation_id, round(CASE WHEN secs_left_game <= 0 AND k = 0 THEN CASE WHEN ball_margin > 0 THEN 1 WHEN ball_margin < 0 THEN 0
+          ELSE ({_given_sql('0e0', 'spread_ball', 'sqrt(300e0)')} + 1 - {_given_sql('0e0', '-spread_ball', 'sqrt(300e0)')}) / 2 END
+        WHEN k = 0 THEN {_given_trip(0, 0)} WHEN k = 1 THEN {_given_trip(0, 1)} WHEN k = 2 THEN {_given_trip(0, 2)} WHEN k = 3 THEN {_given_trip(0, 3)} END, 8) AS win_prob FROM f""",
+)
+def winprob_calculator_given(t):
+    """The batch calculator's rules on a given surface."""
+    rows = _training(t)[0].where(F.col("secs_left_game").isNotNull())
+    s = rows.select(
+        F.concat_ws("|", "game_id", "idx", "state_type", "state", "ball_team").alias("situation_id"), F.col("secs_left_game").alias("secs"),
+        F.col("ball_margin").cast("double").alias("ball_margin"), "spread_ball", F.lit(True).alias("has_ball"),
+        F.coalesce("ft_shots_remaining", F.lit(0)).alias("ft_shots"),
+    )
+    return WP.score_situations(materialize(s), _given(t)).select("situation_id", F.round("win_prob", 8).alias("win_prob"))

@@ -41,6 +41,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def scratch_folder(spark: SparkSession, kind: str) -> str:
+    """A new folder name for files next to the stored tables; it goes with them."""
+    path = f"{ensure_checkpoint_dir(spark)}/{kind}-{uuid.uuid4().hex}"
+    _STORED.append(path)
+    return path
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write the rows once as a table in the shared folder and go on from there.
 
@@ -48,9 +55,8 @@ def materialize(df: DataFrame) -> DataFrame:
     `checkpoint()`, which computes the last stage twice. The tables go when the driver's Python ends, or by `release`.
     """
     spark = df.sparkSession
-    path = f"{ensure_checkpoint_dir(spark)}/hardwood-{uuid.uuid4().hex}"
+    path = scratch_folder(spark, "hardwood")
     df.write.parquet(path)
-    _STORED.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
