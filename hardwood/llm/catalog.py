@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from hardwood.llm import exact, importance, language, licenses, oddsketch, packing, pieces, rules, secrets, wavelet
+from hardwood.session import scratch_folder
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _ORACLES: dict[str, str] = {}
@@ -37,7 +38,7 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op3_wavelet_tokens")
 def op3(spark, sf_dir):
-    base = wavelet.new_folder(spark)
+    base = scratch_folder(spark, "tokens")
     shards = wavelet.write_shards(_documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), base)
     return wavelet.read_documents(spark, base, shards)
 

@@ -12,6 +12,7 @@ from tokenizers import Tokenizer
 from hardwood.llm import packing, wavelet
 from hardwood.llm.catalog import query_table
 from hardwood.llm.tokens import CachedEncoder, cut_dropping_spaces, cut_keeping_spaces
+from hardwood.session import scratch_folder
 
 SF = "/root/testdata/sf0.001"
 PATHS = {"word_bpe_49k.json": cut_dropping_spaces, "byte_bpe_50k.json": cut_keeping_spaces}
@@ -82,7 +83,7 @@ def test_wavelet_query(spark, plain, texts):
 def test_wavelet_small_tables(spark, make):
     path = public_tokenizers.path("word_bpe_49k.json")
     for rows in ([], [(7, None), (2, ""), (2, "same"), (2, "same"), (None, "no id"), (1, "b " * 30_000)]):
-        base = wavelet.new_folder(spark)
+        base = scratch_folder(spark, "tokens")
         docs = make(rows, "doc_id long, text string, start string, shard string")
         if not rows:
             assert wavelet.write_shards(docs, path, base).count() == 0
