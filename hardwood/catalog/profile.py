@@ -15,8 +15,8 @@ from hardwood.session import materialize
 MIN_N, MIN_POSS = 5, 8  # floors for the small event table, where a team has few games a season
 
 CATEGORIES = WALK + """, gs AS (SELECT game_id, max(season) AS season FROM pbp GROUP BY 1),
- nxp AS (SELECT po.*, season, lead(start_reason) OVER (PARTITION BY po.game_id ORDER BY poss_id) AS nxt FROM po JOIN gs ON po.game_id = gs.game_id),
- sh AS (SELECT league, season, CASE WHEN team_id = home_team_id THEN home_team_abbrev ELSE away_team_abbrev END AS off_team,
+ nxp AS (SELECT po.*, po.game_id AS po_game, season, lead(start_reason) OVER (PARTITION BY po.game_id ORDER BY poss_id) AS nxt FROM po JOIN gs ON po.game_id = gs.game_id),
+ sh AS (SELECT league, season, game_id, CASE WHEN team_id = home_team_id THEN home_team_abbrev ELSE away_team_abbrev END AS off_team,
      CASE WHEN team_id = home_team_id THEN away_team_abbrev ELSE home_team_abbrev END AS def_team, made, assisted,
      CASE WHEN made THEN CASE WHEN is_three THEN 3 ELSE 2 END ELSE 0 END AS points,
      CASE WHEN coordinate_x IS NULL OR coordinate_y IS NULL THEN NULL
@@ -24,11 +24,11 @@ CATEGORIES = WALK + """, gs AS (SELECT game_id, max(season) AS season FROM pbp G
           WHEN sqrt(pow(abs(coordinate_x) - 41.75e0, 2) + coordinate_y * coordinate_y) <= 4 THEN 'at_rim'
           WHEN abs(coordinate_y) <= 6 AND abs(coordinate_x) >= 28 THEN 'paint' ELSE 'mid_range' END AS zone
    FROM ev WHERE profile_shot AND team_id IN (home_team_id, away_team_id)),
- ca AS (SELECT league, season, off_team, def_team, 'context' AS dimension, context AS category, 'possession' AS unit, points FROM nxp
-   UNION ALL SELECT league, season, off_team, def_team, 'ball_security', CASE WHEN end_reason <> 'turnover' THEN 'no_turnover' WHEN nxt = 'steal' THEN 'live_ball_to'
+ ca AS (SELECT league, season, po_game AS game_id, off_team, def_team, 'context' AS dimension, context AS category, 'possession' AS unit, points FROM nxp
+   UNION ALL SELECT league, season, po_game, off_team, def_team, 'ball_security', CASE WHEN end_reason <> 'turnover' THEN 'no_turnover' WHEN nxt = 'steal' THEN 'live_ball_to'
              ELSE 'dead_ball_to' END, 'possession', points FROM nxp
-   UNION ALL SELECT league, season, off_team, def_team, 'shot_zone', zone, 'attempt', points FROM sh WHERE zone IS NOT NULL
-   UNION ALL SELECT league, season, off_team, def_team, 'creation', CASE WHEN assisted THEN 'assisted' ELSE 'unassisted' END, 'made_fg', points FROM sh WHERE made)"""
+   UNION ALL SELECT league, season, game_id, off_team, def_team, 'shot_zone', zone, 'attempt', points FROM sh WHERE zone IS NOT NULL
+   UNION ALL SELECT league, season, game_id, off_team, def_team, 'creation', CASE WHEN assisted THEN 'assisted' ELSE 'unassisted' END, 'made_fg', points FROM sh WHERE made)"""
 
 PROFILE = CATEGORIES + f""", ofs AS (SELECT league, season, off_team AS team, dimension, category, unit, count(*) AS off_n, sum(points) AS op FROM ca GROUP BY ALL),
  ofq AS (SELECT *, off_n / cast(sum(off_n) OVER (PARTITION BY league, season, team, dimension) AS double) AS off_freq, op / cast(off_n AS double) AS off_ppp FROM ofs),
@@ -98,6 +98,11 @@ def category_rows(t):
     return PR.category_rows(t.pbp)
 
 
+@query("category_rows_per_game", ("pbp",), CATEGORIES + " SELECT league, season, game_id, off_team, def_team, dimension, category, unit, count(*) AS n, cast(sum(points) AS bigint) AS points FROM ca GROUP BY ALL")
+def category_rows_per_game(t):
+    return PR.category_rows(t.pbp, per_game=True)
+
+
 @query("play_profile", ("pbp",), PROFILE + " SELECT 'national' AS population, * FROM prof")
 def play_stored_profile(t):
     return _stored_profile(t)

@@ -126,16 +126,27 @@ def _requests(t):
     )
 
 
-@query(
-    "rating_asof_lookup", ("schedule",),
-    MARGIN + """, rq AS (SELECT game_id AS request_id, game_date + 3 AS date, home_id AS home, away_id AS away, neutral_site AS neutral FROM schedule),
-      hh AS (SELECT rq.*, m.rating AS rh, m.home_term AS ht FROM rq ASOF LEFT JOIN mr m ON rq.home = m.team AND m.date <= rq.date),
-      aa AS (SELECT hh.*, m.rating AS ra FROM hh ASOF LEFT JOIN mr m ON hh.away = m.team AND m.date <= hh.date)
-      SELECT request_id, round((coalesce(rh, 0) - coalesce(ra, 0) + coalesce(CASE WHEN neutral THEN 0 ELSE ht END, 0)) * 70.6e0 / 100, 6) AS spread_home FROM aa""",
-)
+_ASKED = MARGIN + """, rq AS (SELECT game_id AS request_id, game_date + 3 AS date, home_id AS home, away_id AS away, neutral_site AS neutral FROM schedule),
+      td AS (SELECT DISTINCT date AS table_date FROM mr), ad AS (SELECT rq.*, table_date FROM rq ASOF LEFT JOIN td ON td.table_date <= rq.date),
+      tp AS (SELECT team, round(avg(pace), 8) AS pace FROM (SELECT home AS team, pace FROM games UNION ALL SELECT away, pace FROM games) q GROUP BY team HAVING count(*) >= 15),
+      am AS (SELECT ad.*, h.rating AS rh, a.rating AS ra, CASE WHEN neutral THEN 0 ELSE h.home_term END AS term, coalesce(round_even(round((p.pace + q.pace) / 2, 8), 1), 70.6e0) AS pace,
+             CASE WHEN table_date IS NULL THEN 'no table yet' WHEN h.rating IS NULL THEN 'home team not rated' WHEN a.rating IS NULL THEN 'away team not rated' END AS reason
+        FROM ad LEFT JOIN mr h ON h.team = ad.home AND h.date = table_date LEFT JOIN mr a ON a.team = ad.away AND a.date = table_date
+        LEFT JOIN tp p ON p.team = ad.home LEFT JOIN tp q ON q.team = ad.away)"""
+
+
+@query("rating_asof_lookup", ("schedule",), _ASKED + " SELECT request_id, round((rh - ra + term) * 70.6e0 / 100, 6) AS spread_home, reason FROM am")
 def rating_asof_lookup(t):
     s = RT.matchup_spreads(_requests(t), materialize(_margin(t)))
-    return s.select("request_id", F.round("spread_home", 6).alias("spread_home"))
+    return s.select("request_id", F.round("spread_home", 6).alias("spread_home"), "reason")
+
+
+@query("matchup_pace_spread", ("schedule",), _ASKED + " SELECT request_id, pace, round((rh - ra + term) * pace / 100, 6) AS spread_home FROM am")
+def matchup_pace_spread(t):
+    """Spread at the pace of the two teams."""
+    g = materialize(_games(t))
+    s = RT.matchup_spreads(_requests(t), materialize(RT.margin_ratings(g)), RT.team_pace(g))
+    return s.select("request_id", "pace", F.round("spread_home", 6).alias("spread_home"))
 
 
 @query(

@@ -325,41 +325,47 @@ def latest_ratings(ratings: DataFrame, as_of=None) -> DataFrame:
     return r.groupBy("team").agg(F.max_by(F.struct("season", "date", "rating", "n_games", "home_term", "neutral_term"), "date").alias("r")).select("team", "r.*")
 
 
-def ratings_as_of(requests: DataFrame, ratings: DataFrame) -> DataFrame:
-    """Latest rating on or before every requested (team, date).
-
-    Only distinct team dates are resolved (a few thousand per team at most, whatever the number of
-    requests); callers join back by equality.
-    """
+def table_dates(requests: DataFrame, ratings: DataFrame) -> DataFrame:
+    """date, table_date: the last date of the rating table on or before each requested date. Dates are a calendar's worth of rows."""
     c = F.col
-    row = F.struct("rating", "home_term", "neutral_term", "n_games")
-    known = ratings.select("team", "date", F.lit(0).alias("_ask"), row.alias("_r"))
-    asked = requests.select("team", "date").distinct().select(
-        "team", "date", F.lit(1).alias("_ask"), F.lit(None).cast(known.schema["_r"].dataType).alias("_r")
-    )
-    w = Window.partitionBy("team").orderBy("date", "_ask").rowsBetween(Window.unboundedPreceding, 0)
-    return known.unionByName(asked).withColumn("_r", F.last("_r", ignorenulls=True).over(w)).where(
-        c("_ask") == 1
-    ).select("team", "date", "_r.*")
+    known = ratings.select("date").distinct().select("date", c("date").alias("table_date"), F.lit(0).alias("_ask"))
+    asked = requests.select("date").distinct().select("date", F.lit(None).cast("date").alias("table_date"), F.lit(1).alias("_ask"))
+    w = Window.orderBy("date", "_ask").rowsBetween(Window.unboundedPreceding, 0)
+    both = known.unionByName(asked).withColumn("table_date", F.last("table_date", ignorenulls=True).over(w))
+    return both.where(c("_ask") == 1).select("date", "table_date")
+
+
+def matchup_pace(home, away, default: float = DEFAULT_PACE) -> Column:
+    """Mean of two teams' paces to one decimal; the default where one is unknown."""
+    mean = (F.col(home) + F.col(away)) / 2
+    return F.coalesce(F.bround(F.round(mean, 8), 1), F.lit(default))
 
 
-def matchup_spreads(requests: DataFrame, ratings: DataFrame, pace: float = DEFAULT_PACE, neutral_mode: str = "zero") -> DataFrame:
-    """As-of spread of requested games (request_id, date, home, away, neutral)."""
+def matchup_spreads(
+    requests: DataFrame, ratings: DataFrame, paces: DataFrame | None = None, neutral_mode: str = "zero", pace: float = DEFAULT_PACE,
+) -> DataFrame:
+    """Spread of requested games (request_id, date, home, away, neutral) from one date of the table for both sides and the site.
+
+    A team that the table doesn't rate on that date gives no spread but a reason. `paces` has a pace for each team.
+    """
     c = F.col
-    sides = requests.select("date", F.explode(F.array("home", "away")).alias("team"))
-    asof = materialize(ratings_as_of(sides, ratings))
-    side = lambda name, cols: asof.select(
-        "date", c("team").alias(name), c("rating").alias(f"r_{name}"), *[c(x) for x in cols]
+    asked = requests.join(table_dates(requests, ratings), "date", "left")
+    side = lambda name, cols: ratings.select(
+        c("date").alias("table_date"), c("team").alias(name), c("rating").alias(f"r_{name}"), *[c(x) for x in cols]
     )
-    out = requests.join(side("home", ["home_term", "neutral_term"]), ["date", "home"], "left").join(
-        side("away", []), ["date", "away"], "left"
+    out = asked.join(side("home", ["home_term", "neutral_term"]), ["table_date", "home"], "left").join(
+        side("away", []), ["table_date", "away"], "left"
     )
+    if paces is None:
+        out = out.withColumn("pace", F.lit(pace))
+    else:
+        one = lambda name: paces.select(c("team").alias(name), c("pace").alias(f"_p_{name}"))
+        out = out.join(one("home"), "home", "left").join(one("away"), "away", "left")
+        out = out.withColumn("pace", matchup_pace("_p_home", "_p_away", pace)).drop("_p_home", "_p_away")
     at_neutral = c("neutral_term") if neutral_mode == "term" else F.lit(0.0)
     term = F.when(c("neutral"), at_neutral).otherwise(c("home_term"))
-    return out.withColumn(
-        "spread_home",
-        expected_spread(F.coalesce("r_home", F.lit(0.0)), F.coalesce("r_away", F.lit(0.0)), F.coalesce(term, F.lit(0.0)), F.lit(pace)),
-    )
+    reason = F.when(c("table_date").isNull(), "no table yet").when(c("r_home").isNull(), "home team not rated").when(c("r_away").isNull(), "away team not rated")
+    return out.withColumns({"spread_home": expected_spread("r_home", "r_away", term, "pace"), "reason": reason})
 
 
 def team_pace(games: DataFrame, min_games: int = MIN_PACE_GAMES) -> DataFrame:

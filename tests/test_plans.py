@@ -173,13 +173,17 @@ def test_ratings_use_only_earlier_games(spark):
     assert key(df) == key(changed)
 
 
-def test_as_of_lookup_takes_latest(spark):
-    r = spark.createDataFrame([("a", "2024-01-01", 1.0), ("a", "2024-01-05", 2.0), ("b", "2024-01-03", 4.0)], "team string, d string, rating double").select(
+def test_as_of_lookup_takes_one_table_date(spark):
+    rated = [("a", "2024-01-01", 1.0), ("b", "2024-01-01", 3.0), ("c", "2024-01-01", 9.0), ("a", "2024-01-05", 2.0), ("b", "2024-01-05", 4.0)]
+    r = spark.createDataFrame(rated, "team string, d string, rating double").select(
         "team", F.to_date("d").alias("date"), "rating", F.lit(3.0).alias("home_term"), F.lit(1.0).alias("neutral_term"), F.lit(1).alias("n_games"))
-    q = spark.createDataFrame([("q1", "2024-01-04", "a", "b", False), ("q2", "2024-01-05", "a", "b", True), ("q3", "2023-01-01", "a", "b", False)],
+    q = spark.createDataFrame([("q1", "2024-01-04", "a", "b", False), ("q2", "2024-01-05", "a", "b", True), ("q3", "2023-01-01", "a", "b", False),
+                               ("q4", "2024-01-09", "c", "a", False), ("q5", "2024-01-09", "a", "c", False)],
                               "request_id string, d string, home string, away string, neutral boolean").withColumn("date", F.to_date("d"))
-    got = {x.request_id: x.spread_home for x in RT.matchup_spreads(q, r, pace=100.0).collect()}
-    assert got == {"q1": 0.0, "q2": -2.0, "q3": 0.0}
+    got = {x.request_id: (x.spread_home, x.reason) for x in RT.matchup_spreads(q, r, pace=100.0).collect()}
+    assert got == {"q1": (1.0, None), "q2": (-2.0, None), "q3": (None, "no table yet"), "q4": (None, "home team not rated"), "q5": (None, "away team not rated")}
+    paces = spark.createDataFrame([("a", 70.1), ("b", 66.0)], "team string, pace double")
+    assert {x.request_id: x.pace for x in RT.matchup_spreads(q, r, paces).collect()} == {"q1": 68.0, "q2": 68.0, "q3": 68.0, "q4": 70.6, "q5": 70.6}
 
 
 def test_lineups_equal_brute_force(spark):
