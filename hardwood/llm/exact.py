@@ -107,10 +107,14 @@ def drop_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     bits = table_bits(prints.count())
     table = materialize(slot_table(prints, "sha", bits))
     own = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    marked = docs.select(own.alias("row"), text_sha256(F.col(text)).alias("sha"), F.col(doc_id).cast("long").alias("id"))
-    marked = marked.withColumn("again", in_table(table, F.col("sha"), bits))
-    single = marked.filter(~F.col("again")).select("row.*")
-    shared = marked.filter("again").groupBy("sha").agg(F.min_by("row", F.struct(F.col("id").isNull(), "id")).alias("row")).select("row.*")
+    marked = docs.select(
+        own.alias("row"), text_sha256(F.col(text)).alias("sha"), F.col(doc_id).cast("long").alias("id"), F.monotonically_increasing_id().alias("row_no")
+    )
+    # row_no keeps the test above this projection, where the fingerprint is there already, and not computed for each slot
+    again, here = in_table(table, F.col("sha"), bits), F.col("row_no") >= 0
+    single = marked.filter(~again & here).select("row.*")
+    first = F.min_by("row", F.struct(F.col("id").isNull(), "id", "row_no"))
+    shared = marked.filter(again & here).groupBy("sha").agg(first.alias("row")).select("row.*")
     return single.unionByName(shared)
 
 
