@@ -68,25 +68,30 @@ def _indices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(low + s, len(packed)), pa.array(packed, pa.binary())], names=["lang", "grams"])
 
 
-def _unit(bits: np.ndarray) -> np.ndarray:
-    x = bits.astype(np.float32)
-    return x / np.sqrt(np.maximum(x.sum(1, keepdims=True), 1))
+#: Bytes of packed grams of a text that are unpacked at once during the fit.
+_PART = 512
 
 
-def fit(bits: np.ndarray, langs: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> tuple[list[str], np.ndarray]:
-    """Classes, and the folded weights: a row per gram, a column per class."""
+def fit(packed: np.ndarray, langs: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> tuple[list[str], np.ndarray]:
+    """Classes, and the folded weights: a row per gram, a column per class. `packed` has the grams of each text as bits."""
     classes = sorted(set(langs))
     own = np.array([classes.index(x) for x in langs])
     order = np.concatenate([np.flatnonzero(own == c)[:landmarks] for c in range(len(classes))])
-    x = _unit(bits)
-    marks = x[order]
-    k_nm, k_mm = x @ marks.T, marks @ marks.T
+    sizes, shared = np.zeros(len(own)), np.zeros((len(own), len(order)))
+    for low in range(0, packed.shape[1], _PART):
+        x = np.unpackbits(packed[:, low : low + _PART], axis=1).astype(np.float32)
+        sizes += x.sum(1)
+        shared += x @ x[order].T
+    norm = np.sqrt(np.maximum(sizes, 1))
+    k_nm = shared / norm[:, None] / norm[order]
+    k_mm = k_nm[order]
     y = np.where(own[:, None] == np.arange(len(classes)), 1.0, -1.0)
     weight = 1.0 / np.bincount(own, minlength=len(classes))[own]  # each class counts the same
-    left = (k_nm * weight[:, None]).T.astype(np.float64) @ k_nm + ridge * k_mm / len(classes)
+    left = (k_nm * weight[:, None]).T @ k_nm + ridge * k_mm / len(classes)
     right = (k_nm * weight[:, None]).T @ y
-    a = np.linalg.solve(left + 1e-6 * np.eye(len(left)), right)
-    return classes, (marks.T @ a).astype(np.float32)
+    a = np.linalg.solve(left + 1e-6 * np.eye(len(left)), right) / norm[order][:, None]
+    parts = [np.unpackbits(packed[order, low : low + _PART], axis=1).T.astype(np.float32) @ a for low in range(0, packed.shape[1], _PART)]
+    return classes, np.concatenate(parts).astype(np.float32)
 
 
 def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = TRAIN) -> tuple[list[str], np.ndarray]:
@@ -103,8 +108,7 @@ def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
     found = some.select("lang", "text").mapInArrow(_indices, "lang string, grams binary").collect()
     if not found:
         return [], np.zeros((GRAMS, 0), np.float32)
-    bits = np.unpackbits(np.stack([np.frombuffer(r.grams, np.uint8) for r in found]), axis=1)
-    return fit(bits, [r.lang for r in found])
+    return fit(np.stack([np.frombuffer(r.grams, np.uint8) for r in found]), [r.lang for r in found])
 
 
 def held_out(doc_id):
