@@ -38,7 +38,8 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of training sequences."""
-    return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    # the workers have served the other stages too: they remember fewer pieces than in a query of its own
+    return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), pieces=60_000)
 
 
 STAGES: list[tuple[str, Stage]] = [

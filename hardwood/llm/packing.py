@@ -24,8 +24,8 @@ CAPACITY, END_ID = 2048, 1
 LINEAR, QUADRATIC = 1.0, 1.0 / 2048
 #: Tokens that are packed together; bounds the memory of a task.
 GROUP_TOKENS = 2_000_000
-#: Bytes of text encoded at once.
-SLICE = 1_000_000
+#: Bytes of text encoded at once, and pieces that a worker remembers.
+SLICE, PIECES = 1_000_000, 250_000
 
 SCHEMA = (
     "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, cost double"
@@ -75,9 +75,9 @@ def pack(lengths: np.ndarray, capacity: int = CAPACITY) -> list[tuple[int, int,
     return out
 
 
-def _packer(path: str, capacity: int, group_tokens: int):
+def _packer(path: str, capacity: int, group_tokens: int, pieces: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held_encoder = encoder(path, keeping=True)
+        held_encoder = encoder(path, True, pieces)
         task = TaskContext.get()
         following = (task.partitionId() if task else 0) << 33
         held: list[tuple[list, np.ndarray, np.ndarray]] = []
@@ -118,13 +118,13 @@ def _packer(path: str, capacity: int, group_tokens: int):
 
 def pack_documents(
     docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, doc_id: str = "doc_id", text: str = "text",
-    group_tokens: int = GROUP_TOKENS,
+    group_tokens: int = GROUP_TOKENS, pieces: int = PIECES,
 ) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, cost.
 
     Null text is the empty text, which is its end id alone; rows that repeat are documents of their own; no rows give
-    no rows. Documents of a task are packed in groups of about `group_tokens`, so nothing shuffles and memory is bounded;
+    no rows. Documents of a task are packed in groups of about `group_tokens`, so nothing shuffles and memory is bounded (`pieces` bounds what a worker remembers);
     sequence ids hold the partition's number above bit 33.
     """
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return rows.mapInArrow(_packer(tokenizer_path, capacity, group_tokens), SCHEMA)
+    return rows.mapInArrow(_packer(tokenizer_path, capacity, group_tokens, pieces), SCHEMA)

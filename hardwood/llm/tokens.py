@@ -52,7 +52,7 @@ TOGETHER = 2_000
 class CachedEncoder:
     """ids of many texts; remembers the ids of at most `limit` pieces of at most `longest` characters."""
 
-    def __init__(self, path: str, cut, limit: int = 600_000, longest: int = 64):
+    def __init__(self, path: str, cut, limit: int = 250_000, longest: int = 64):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.cut = cut
@@ -146,6 +146,6 @@ class CachedEncoder:
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str, keeping: bool) -> CachedEncoder:
-    """The encoder of this Python worker, which later tasks of the worker go on with."""
-    return CachedEncoder(path, cut_keeping_spaces if keeping else cut_dropping_spaces)
+def encoder(path: str, keeping: bool, limit: int) -> CachedEncoder:
+    """The encoder of this Python worker, which later tasks of the worker go on with. A piece takes about 300 bytes."""
+    return CachedEncoder(path, cut_keeping_spaces if keeping else cut_dropping_spaces, limit)

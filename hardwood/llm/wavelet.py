@@ -28,8 +28,8 @@ from hardwood.session import materialize
 MAGIC, BLOCK, END_ID = b"HWWM0001", 512, 1
 #: Tokens of one file, about.
 SHARD_TOKENS = 1_000_000
-#: Bytes of text encoded at once.
-SLICE = 1_000_000
+#: Bytes of text encoded at once, and pieces that a worker remembers.
+SLICE, PIECES = 1_000_000, 600_000
 
 
 def build(ids: np.ndarray, doc_ids: np.ndarray, lengths: np.ndarray) -> bytes:
@@ -159,7 +159,7 @@ def _store(base: str, name: str, data: bytes) -> None:
 
 def _writer(tokenizer_path: str, base: str, shard_tokens: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held_encoder = encoder(tokenizer_path, keeping=False)
+        held_encoder = encoder(tokenizer_path, False, PIECES)
         task = TaskContext.get().partitionId()
         held: list[tuple[list, np.ndarray, np.ndarray]] = []
         number = waiting = 0
