@@ -23,6 +23,8 @@ _LOOK = {"assign": PATTERNS["assign"][0], "access": r"AKIA[A-Z0-9]{16,}", "hex":
 #: Strings whose windows are measured; window; bits that a window needs, by class of the string's characters.
 CANDIDATE, WINDOW = r"[A-Za-z0-9+/_=-]{20,}", 20
 CLASSES = {"hex": (r"^[0-9a-fA-F]+$", 3.0), "alphanumeric": (r"^[A-Za-z0-9]+$", 3.6), "base64": (r"^[A-Za-z0-9+/_=-]+$", 3.7)}
+#: Separators at the ends of a string.
+ENDS = r"^[/_=+-]+|[/_=+-]+$"
 #: Allow-list: words, also joined ones; numbers; UUIDs; words with a trailing number; placeholders; runs of one character.
 ALLOWED = (
     r"^(?:[A-Za-z]+(?:[/_=+-]+[A-Za-z]*)*[0-9]{0,4}|[0-9/_=+-]+|[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12})$"
@@ -82,14 +84,41 @@ def entropy_range(string: Column, bits: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(0), F.length(string) - 1), start, step, lambda acc: F.struct(acc.first.alias("first"), acc.last.alias("last")))
 
 
+def _uncovered(p: Column, base: Column) -> Column:
+    """The parts of the place `p` of WINDOW characters at least that no base span covers, in order."""
+    over = F.array_sort(F.transform(
+        F.filter(base, lambda b: (b.start < p.end) & (p.start < b.end)), lambda b: F.struct(b.start.alias("start"), b.end.alias("end"))
+    ))
+
+    def step(acc: Column, b: Column) -> Column:
+        part = F.struct(F.lit(len(PATTERNS)).alias("kind"), acc.at.alias("start"), b.start.alias("end"))
+        out = F.when(b.start - acc.at >= WINDOW, F.concat(acc.out, F.array(part))).otherwise(acc.out)
+        return F.struct(F.greatest(acc.at, b.end).alias("at"), out.alias("out"))
+
+    def last(acc: Column) -> Column:
+        part = F.struct(F.lit(len(PATTERNS)).alias("kind"), acc.at.alias("start"), p.end.alias("end"))
+        return F.when(p.end - acc.at >= WINDOW, F.concat(acc.out, F.array(part))).otherwise(acc.out)
+
+    return F.aggregate(over, F.struct(p.start.alias("at"), _none().alias("out")), step, last)
+
+
 def _entropy_spans(text: Column, base: Column) -> Column:
-    """Spans of strings outside the base spans with windows of high entropy, but for allowed strings."""
+    """Spans outside the base spans with windows of high entropy, but for allowed strings.
+
+    A string that base spans cover in part is measured in its other parts; separators at the ends of such a part don't
+    count for its class and the allow-list.
+    """
     places = _places(text, CANDIDATE, len(PATTERNS), 0, WINDOW)
-    free = F.filter(places, lambda p: ~F.exists(base, lambda b: (b.start < p.end) & (p.start < b.end)))
-    strings = F.transform(free, lambda p: F.struct(p.start.alias("start"), F.substring(text, p.start + 1, p.end - p.start).alias("string")))
-    strings = F.filter(strings, lambda s: ~s.string.rlike(ALLOWED))
+    free = F.flatten(F.transform(places, lambda p: F.transform(_uncovered(p, base), lambda u: F.struct(
+        u.start.alias("start"), u.end.alias("end"), ((u.start > p.start) | (u.end < p.end)).alias("cut")
+    ))))
+    strings = F.transform(free, lambda p: F.struct(p.start.alias("start"), F.substring(text, p.start + 1, p.end - p.start).alias("string"), p.cut.alias("cut")))
+    strings = F.transform(strings, lambda s: F.struct(
+        s.start.alias("start"), s.string.alias("string"), F.when(s.cut, F.regexp_replace(s.string, ENDS, "")).otherwise(s.string).alias("core")
+    ))
+    strings = F.filter(strings, lambda s: (s.core != "") & ~s.core.rlike(ALLOWED))
     need = lambda s: F.coalesce(*[F.when(s.rlike(p), F.lit(b)) for p, b in CLASSES.values()])
-    ranged = F.transform(strings, lambda s: F.struct(s.start.alias("start"), entropy_range(s.string, need(s.string)).alias("range")))
+    ranged = F.transform(strings, lambda s: F.struct(s.start.alias("start"), entropy_range(s.string, need(s.core)).alias("range")))
     hot = F.filter(ranged, lambda r: r.range.first >= 0)
     return F.transform(hot, lambda r: F.struct(
         F.lit(len(PATTERNS)).alias("kind"), (r.start + r.range.first).alias("start"), (r.start + r.range.last + WINDOW).alias("end")
