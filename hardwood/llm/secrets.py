@@ -25,11 +25,11 @@ CANDIDATE, WINDOW = r"[A-Za-z0-9+/_=-]{20,}", 20
 CLASSES = {"hex": (r"^[0-9a-fA-F]+$", 3.0), "alphanumeric": (r"^[A-Za-z0-9]+$", 3.6), "base64": (r"^[A-Za-z0-9+/_=-]+$", 3.7)}
 #: Separators at the ends of a string.
 ENDS = r"^[/_=+-]+|[/_=+-]+$"
-#: Allow-list: words, also joined ones; numbers; UUIDs; words with a trailing number; placeholders; runs of one character.
-ALLOWED = (
-    r"^(?:[A-Za-z]+(?:[/_=+-]+[A-Za-z]*)*[0-9]{0,4}|[0-9/_=+-]+|[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12})$"
-    r"|(?i:example|placeholder|changeme|xxxx|dummy)|(.)\1{7,}"
-)
+#: Allow-list of whole strings: words, also joined ones and with a trailing number; numbers; UUIDs.
+ALLOWED = r"^(?:[A-Za-z][A-Za-z/_=+-]*[0-9]{0,4}|[0-9/_=+-]+|[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12})$"
+#: Allow-list of windows: those with a placeholder, or with one character this often in a row.
+PLACEHOLDER, RUN = r"(?i:example|placeholder|changeme|x{4,}|dummy)", 8
+_REPEAT = rf"(.)\1{{{RUN - 1},}}"
 
 _SPAN = "struct<kind:int,start:int,end:int>"
 
@@ -84,6 +84,36 @@ def entropy_range(string: Column, bits: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(0), F.length(string) - 1), start, step, lambda acc: F.struct(acc.first.alias("first"), acc.last.alias("last")))
 
 
+def _allowed_out(string: Column) -> Column:
+    """Parts of `string`, in order, that together have every window without a placeholder or run, and no other window."""
+    m = len(PATTERNS)
+    mark = lambda x, need: F.struct((x.start + need - 1).alias("upto"), (x.end - need + 1).alias("after"))
+    word = lambda x: F.when(F.lower(F.substring(string, x.start + 1, 1)) == "x", F.lit(4)).otherwise(x.end - x.start)
+    marks = F.concat(
+        F.transform(_places(string, PLACEHOLDER, m, 0, 0), lambda x: mark(x, word(x))), F.transform(_places(string, _REPEAT, m, 0, 0), lambda x: mark(x, F.lit(RUN)))
+    )
+
+    def step(acc: Column, x: Column) -> Column:
+        part = F.struct(F.lit(m).alias("kind"), acc.at.alias("start"), x.upto.alias("end"))
+        out = F.when(x.upto - acc.at >= WINDOW, F.concat(acc.out, F.array(part))).otherwise(acc.out)
+        return F.struct(F.greatest(acc.at, x.after).alias("at"), out.alias("out"))
+
+    def last(acc: Column) -> Column:
+        part = F.struct(F.lit(m).alias("kind"), acc.at.alias("start"), F.length(string).alias("end"))
+        return F.when(F.length(string) - acc.at >= WINDOW, F.concat(acc.out, F.array(part))).otherwise(acc.out)
+
+    whole = F.array(F.struct(F.lit(m).alias("kind"), F.lit(0).alias("start"), F.length(string).alias("end")))
+    marked = string.rlike(PLACEHOLDER) | string.rlike(_REPEAT)
+    return F.when(marked, F.aggregate(F.array_sort(marks), F.struct(F.lit(0).alias("at"), _none().alias("out")), step, last)).otherwise(whole)
+
+
+def _joined(parts: Column) -> Column:
+    """struct(first, last) over the parts of a string: the first and last window of all (-1: none)."""
+    hot = F.filter(parts, lambda p: p.range.first >= 0)
+    at = lambda which: F.transform(hot, lambda p: p.start + p.range[which])
+    return F.struct(F.coalesce(F.array_min(at("first")), F.lit(-1)).alias("first"), F.coalesce(F.array_max(at("last")), F.lit(-1)).alias("last"))
+
+
 def _uncovered(p: Column, base: Column) -> Column:
     """The parts of the place `p` of WINDOW characters at least that no base span covers, in order."""
     over = F.array_sort(F.transform(
@@ -118,7 +148,10 @@ def _entropy_spans(text: Column, base: Column) -> Column:
     ))
     strings = F.filter(strings, lambda s: (s.core != "") & ~s.core.rlike(ALLOWED))
     need = lambda s: F.coalesce(*[F.when(s.rlike(p), F.lit(b)) for p, b in CLASSES.values()])
-    ranged = F.transform(strings, lambda s: F.struct(s.start.alias("start"), entropy_range(s.string, need(s.core)).alias("range")))
+    parts = lambda s: F.transform(_allowed_out(s.string), lambda w: F.struct(
+        w.start.alias("start"), entropy_range(F.substring(s.string, w.start + 1, w.end - w.start), need(s.core)).alias("range")
+    ))
+    ranged = F.transform(strings, lambda s: F.struct(s.start.alias("start"), _joined(parts(s)).alias("range")))
     hot = F.filter(ranged, lambda r: r.range.first >= 0)
     return F.transform(hot, lambda r: F.struct(
         F.lit(len(PATTERNS)).alias("kind"), (r.start + r.range.first).alias("start"), (r.start + r.range.last + WINDOW).alias("end")
