@@ -46,7 +46,7 @@ def incremental_topup(t):
     """Older release plus newer rows that arrive as text without the season type."""
     cols = ["game_id", "team_id", "game_date", "pts", "season_type"]
     base = as_of(t.team_box.select(*cols), CUT)
-    late = as_of(t.team_box, "2001-05-31").select(
+    late = t.team_box.select(
         "game_id", "team_id", F.col("game_date").cast("string").alias("game_date"), F.col("pts").cast("string").alias("pts"),
         F.lit("x").alias("not_in_base"), "team_home_away",
     )
