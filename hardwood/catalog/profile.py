@@ -12,6 +12,7 @@ from hardwood.plans import profile as PR
 from hardwood.plans import scouting as SC
 from hardwood.session import materialize
 
+SIDES = ("strength", "weakness", "attack")
 MIN_N, MIN_POSS = 5, 8  # floors for the small event table, where a team has few games a season
 
 CATEGORIES = WALK + """, gs AS (SELECT game_id, max(season) AS season FROM pbp GROUP BY 1),
@@ -90,7 +91,7 @@ def _matchups(t):
 
 
 def _keys(t):
-    return SC.build_keys(_stored_profile(t), _matchups(t), SC.default_labels(t.spark), ("strength", "weakness", "attack"), MIN_POSS)
+    return SC.build_keys(_stored_profile(t), _matchups(t), SC.default_labels(t.spark), SIDES, MIN_POSS)
 
 
 @query("category_rows", ("pbp",), CATEGORIES + " SELECT league, season, off_team, def_team, dimension, category, unit, count(*) AS n, cast(sum(points) AS bigint) AS points FROM ca GROUP BY ALL")
@@ -203,10 +204,10 @@ def priority_keys(t):
 def key_sentences(t):
     p = _stored_profile(t)
     labels, headers = SC.default_labels(t.spark), SC.default_headers(t.spark)
-    k = SC.build_keys(p, _matchups(t), labels, min_poss=MIN_POSS).where(F.col("dimension") != "ball_security")
-    phrases = labels.select(
-        F.explode(F.array(F.lit("strength"), F.lit("weakness"))).alias("side"), "source", "dimension", "category",
-        F.concat(F.lit("guard the "), "category").alias("phrase"),
+    k = SC.build_keys(p, _matchups(t), labels, SIDES, MIN_POSS)
+    phrases = labels.select(F.explode(F.array(*map(F.lit, SIDES))).alias("side"), "source", "dimension", "category").select(
+        "side", "source", "dimension", "category",
+        F.concat(F.when(F.col("side") == "attack", "go at the ").otherwise("guard the "), "category").alias("phrase"),
     )
     k = k.join(SC.population_size(p), SC.SCOPE)
     s = SC.key_sentences(k, phrases, labels, headers, F.col("pop_n"), F.lit("league"))
