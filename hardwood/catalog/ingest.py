@@ -40,7 +40,7 @@ def canonical(t):
 @query(
     "incremental_topup", ("team_box",),
     f""" SELECT game_id, team_id, game_date, pts, season_type FROM team_box WHERE game_date <= DATE '{CUT}'
-      UNION ALL SELECT DISTINCT game_id, team_id, game_date, pts, NULL::int FROM team_box WHERE game_date > DATE '{CUT}' AND game_date <= DATE '2001-05-31'""",
+      UNION ALL SELECT DISTINCT game_id, team_id, game_date, pts, NULL::int FROM team_box WHERE game_date > DATE '{CUT}'""",
 )
 def incremental_topup(t):
     """Older release plus newer rows that arrive as text without the season type."""

@@ -143,6 +143,12 @@ _ORD = lambda x: (
 )
 
 
+def _STANDS(place: str, pctl: str, defense: bool, most: int = 50) -> str:
+    """A rank in small populations, a percentile in large ones."""
+    ranked = f"concat({_ORD(place)}, ' of ', n, '{' defensively' if defense else ''} in the league')"
+    return f"CASE WHEN {pctl} IS NULL THEN 'unranked' WHEN n <= {most} THEN {ranked} ELSE concat({_ORD(f'({pctl})')}, ' percentile {'defensively' if defense else 'offensively'}') END"
+
+
 @query(
     "display_rows", ("pbp",),
     PROFILE + LABELS + f""", s AS ({_SHOWN}), n AS (SELECT league, season, cast(count(DISTINCT team) AS int) AS n FROM prof GROUP BY 1, 2)
@@ -195,11 +201,19 @@ def priority_keys(t):
 @query(
     "key_sentences", ("pbp",),
     KEYS + """, n AS (SELECT league, season, count(DISTINCT team) AS n FROM prof GROUP BY 1, 2)
-      SELECT ks.league, ks.season, team, opponent, side, key_no, ks.category, concat(team, ': ', lab.display_label, ', ', cast(round_even(freq * 100, 0) AS int), '% ',
-        CASE unit WHEN 'possession' THEN 'of possessions' ELSE 'of attempts' END, ' at ', CASE WHEN side = 'weakness' THEN 'just ' ELSE '' END,
-        printf('%.2f', ppp), ' points per ', unit, ', ', """ + _ORD("cast(round_even(n - ppp_percentile * (n - 1) / 100e0, 0) AS int)") + """, ' of ', n, ' in the league') AS evidence,
-        concat('Guard the ', ks.category) AS action
-      FROM ks JOIN lab ON lab.dimension = ks.dimension AND lab.category = ks.category JOIN n ON n.league = ks.league AND n.season = ks.season WHERE side <> 'attack' AND ks.dimension <> 'ball_security'""",
+      , kn AS (SELECT ks.*, lab.display_label, n.n, cast(round_even(n.n - ppp_percentile * (n.n - 1) / 100e0, 0) AS int) AS place,
+          cast(round_even(n.n - (100 - def_ppp_percentile) * (n.n - 1) / 100e0, 0) AS int) AS def_place,
+          concat(display_label, ', ', cast(round_even(freq * 100, 0) AS int), '% ', CASE unit WHEN 'possession' THEN 'of possessions' ELSE 'of attempts' END) AS volume
+        FROM ks JOIN lab ON lab.dimension = ks.dimension AND lab.category = ks.category JOIN n ON n.league = ks.league AND n.season = ks.season)
+      SELECT league, season, team, opponent, side, key_no, category, CASE
+          WHEN side = 'attack' THEN concat('Us: ', volume, ' at ', printf('%.2f', round_even(ppp, 2)), ' points per ', unit, '; ', opponent, ' gives up ', printf('%.2f', round_even(def_ppp, 2)), ' there, ',
+            """ + _STANDS("def_place", "100 - cast(def_ppp_percentile AS int)", True) + """)
+          WHEN dimension = 'ball_security' THEN concat(team, ': ', volume, ', ', CASE WHEN ppp_percentile IS NULL THEN 'unranked' ELSE
+            concat(CASE WHEN least(place, n + 1 - place) > 1 THEN concat(""" + _ORD("least(place, n + 1 - place)") + """, ' ') ELSE '' END, CASE WHEN place <= n / 2e0 THEN 'lowest' ELSE 'highest' END, ' of the league') END)
+          ELSE concat(team, ': ', volume, ' at ', CASE WHEN side = 'weakness' THEN 'just ' ELSE '' END, printf('%.2f', round_even(ppp, 2)), ' points per ', unit, ', ',
+            """ + _STANDS("place", "cast(ppp_percentile AS int)", False) + """) END AS evidence,
+        concat(CASE WHEN side = 'attack' THEN 'Go at the ' ELSE 'Guard the ' END, category) AS action
+      FROM kn""",
 )
 def key_sentences(t):
     p = _stored_profile(t)

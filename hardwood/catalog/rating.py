@@ -22,10 +22,11 @@ MARGIN = GAMES + """, sd AS (SELECT season, date, home AS team, home_net AS net
    WINDOW w AS (PARTITION BY gr.season, gr.team ORDER BY gr.date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
  rw AS (SELECT *, n_games / (n_games + 0.3e0) AS w, CASE WHEN n_games > 0 THEN s / n_games ELSE 0 END AS m FROM rn),
  en AS (SELECT season, team, arg_max(w, date) AS w, arg_max(m, date) AS m FROM rw GROUP BY 1, 2),
+ eo AS (SELECT *, dense_rank() OVER (ORDER BY season) AS no FROM en),
  pri AS (WITH RECURSIVE c AS (
-     SELECT season, team, 0e0 AS b0, w * m AS r FROM en WHERE season = (SELECT min(season) FROM en)
-     UNION ALL SELECT e.season, e.team, coalesce(c.r, 0) * 0.9e0, e.w * e.m + (1 - e.w) * coalesce(c.r, 0) * 0.9e0
-     FROM (SELECT max(season) + 1 AS s FROM c) x JOIN en e ON e.season = x.s LEFT JOIN c ON c.team = e.team AND c.season = e.season - 1)
+     SELECT no, season, team, 0e0 AS b0, w * m AS r FROM eo WHERE no = 1
+     UNION ALL SELECT e.no, e.season, e.team, coalesce(c.r, 0) * 0.9e0, e.w * e.m + (1 - e.w) * coalesce(c.r, 0) * 0.9e0
+     FROM (SELECT max(no) + 1 AS s FROM c) x JOIN eo e ON e.no = x.s LEFT JOIN c ON c.team = e.team AND c.no = e.no - 1)
    SELECT * FROM c),
  tr AS (SELECT season, date, CASE WHEN sum(hn) OVER w > 0 THEN sum(hs) OVER w / sum(hn) OVER w ELSE 0 END AS home_term,
      CASE WHEN sum(nn) OVER w > 0 THEN sum(ns) OVER w / sum(nn) OVER w ELSE 0 END AS neutral_term

@@ -136,7 +136,7 @@ def _possession_facts(rows: DataFrame) -> DataFrame:
     parts = F.array_compact(F.array(
         inner, F.when(c("_first"), at_start), F.when(c("ends").isNotNull(), after_end)
     ))
-    keep = ["game_id", "league", "season", "period_number", "_period_end_idx", "home_team_id", "away_team_id",
+    keep = ["game_id", "league", *_season(rows), "period_number", "_period_end_idx", "home_team_id", "away_team_id",
             "home_team_abbrev", "away_team_abbrev"]
     flat = rows.where("_open").select(*keep, F.inline(parts))
     g = flat.groupBy(*keep, "poss_id").agg(
@@ -148,6 +148,11 @@ def _possession_facts(rows: DataFrame) -> DataFrame:
     return g.withColumn("points", (c("own") + F.coalesce(F.lead("bonus").over(w), F.lit(0.0))).cast("int"))
 
 
+def _season(rows: DataFrame) -> list[str]:
+    """The season key, for feeds of several seasons."""
+    return ["season"] if "season" in rows.columns else []
+
+
 def possession_state(rows: DataFrame) -> DataFrame:
     """Possessions with the score, margin and time left at their start, from `possession_rows`."""
     c = F.col
@@ -163,7 +168,7 @@ def possession_state(rows: DataFrame) -> DataFrame:
     margin = c("o_home") - c("o_away")
     span = c("o_secs") - end_secs
     return f.select(
-        "league", "season", "game_id", c("period_number").alias("period"), "poss_id",
+        "league", *_season(rows), "game_id", c("period_number").alias("period"), "poss_id",
         E.side_abbrev(c("o_off")).alias("off_team"),
         F.when(off_home, c("away_team_abbrev")).otherwise(c("home_team_abbrev")).alias("def_team"),
         seconds_to_clock("o_secs").alias("clock_start"), seconds_to_clock(end_secs).alias("clock_end"),
