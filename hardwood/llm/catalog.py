@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from hardwood.llm import exact, importance, language, licenses, oddsketch, packing, pieces, rules, secrets, wavelet
+from hardwood.llm import exact, importance, language, licenses, middle, oddsketch, packing, pieces, rules, secrets, variants, wavelet
 from hardwood.session import scratch_folder
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -134,3 +134,53 @@ def op8(spark, sf_dir):
 @query("op9_license_windows")
 def op9(spark, sf_dir):
     return licenses.scan(_documents(spark, sf_dir))
+
+
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+VARIANTS_SQL = rf"""
+WITH RECURSIVE polynomial AS (SELECT list(list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS entries
+  FROM (SELECT unnest(range(256)) AS i)),
+runs AS (SELECT doc_id, unnest(regexp_extract_all({_LOWER}, '[a-z\x{{C0}}-\x{{FF}}]+')) AS run FROM documents),
+counted AS (SELECT doc_id, run, count(*) AS n FROM runs WHERE length(run) >= {variants.LEAST} GROUP BY ALL),
+hashed AS (SELECT run, n, xor(4294967295, list_reduce(list_prepend(4294967295, flatten(list_transform(string_split(coalesce(doc_id::VARCHAR, '') || ':' || run, ''),
+    lambda x: CASE WHEN unicode(x) < 128 THEN [unicode(x)::BIGINT] ELSE [195::BIGINT, unicode(x)::BIGINT - 64] END))), lambda c, b: xor(c >> 8, entries[xor(c & 255, b) + 1]))) AS h
+  FROM counted, polynomial),
+cut AS (SELECT CASE WHEN h % {variants.ONE_IN} = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n FROM hashed),
+words AS (SELECT word, sum(n)::BIGINT AS n FROM cut WHERE length(word) >= {variants.LEAST} GROUP BY word HAVING sum(n) >= {variants.TWICE}),
+gaps AS (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words)),
+near AS (SELECT DISTINCT * FROM (
+  SELECT a.word, b.word AS other, b.n AS other_n FROM gaps a JOIN gaps b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+  UNION ALL SELECT a.word, b.word, b.n FROM gaps a JOIN words b ON a.rest = b.word
+  UNION ALL SELECT b.word, a.word, a.n FROM gaps a JOIN words b ON a.rest = b.word)),
+best AS (SELECT word, count(*) AS n_near, max(other_n) AS top, min(other) FILTER (other_n = most) AS first FROM (SELECT *, max(other_n) OVER (PARTITION BY word) AS most FROM near) GROUP BY word),
+linked AS (SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN top >= {variants.TIMES} * n THEN first END AS form, CASE WHEN top >= {variants.TIMES} * n THEN top END AS form_n
+  FROM words LEFT JOIN best USING (word)),
+chain AS (SELECT word, word AS root FROM linked UNION ALL SELECT chain.word, linked.form FROM chain JOIN linked ON linked.word = chain.root WHERE linked.form IS NOT NULL),
+last AS (SELECT chain.word, chain.root FROM chain JOIN linked ON linked.word = chain.root WHERE linked.form IS NULL)
+SELECT word, form, root, n, n_near, form_n FROM linked JOIN last USING (word)"""
+
+
+@query("op11_spelling_variants", VARIANTS_SQL)
+def op11(spark, sf_dir):
+    return variants.group_variants(_documents(spark, sf_dir))
+
+
+_P, _S, _M = middle.MARKS
+
+MIDDLE_SQL = rf"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text, sha256('{middle.SEED}' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+u AS (SELECT *, regexp_extract_all(text, '[^\n]*\n|[^\n]+') AS units, {", ".join(f"('0x' || substr(h, {1 + 8 * i}, 8))::BIGINT AS h{i + 1}" for i in range(4))} FROM t),
+c AS (SELECT *, len(units) AS n, least(h1 % (len(units) + 1), h2 % (len(units) + 1)) AS low, greatest(h1 % (len(units) + 1), h2 % (len(units) + 1)) AS high,
+  CASE WHEN text = '' OR contains(text, '{_P}') OR contains(text, '{_S}') OR contains(text, '{_M}') OR h3 % 100 >= {middle.RATE} THEN 'plain'
+    WHEN h4 % 100 < {middle.SPM} THEN 'spm' ELSE 'psm' END AS form FROM u),
+p AS (SELECT *, array_to_string(units[1:low], '') AS prefix, array_to_string(units[low + 1:high], '') AS middle, array_to_string(units[high + 1:], '') AS suffix FROM c)
+SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '{_P}' || prefix || '{_S}' || suffix || '{_M}' || middle ELSE '{_S}' || suffix || '{_P}' || prefix || '{_M}' || middle END) AS output_sha256,
+  sha256(CASE form WHEN 'plain' THEN text ELSE prefix || middle || suffix END) AS restored_sha256
+FROM p"""
+
+
+@query("op12_fill_in_middle", MIDDLE_SQL)
+def op12(spark, sf_dir):
+    return middle.digest(_documents(spark, sf_dir))
