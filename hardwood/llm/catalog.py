@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from hardwood.llm import exact, importance, language, licenses, middle, oddsketch, packing, pieces, rules, secrets, variants, wavelet
+from hardwood.llm import exact, importance, language, licenses, middle, oddsketch, packing, pieces, rules, secrets, suffixes, variants, wavelet
 from hardwood.session import scratch_folder
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -184,3 +184,8 @@ FROM p"""
 @query("op12_fill_in_middle", MIDDLE_SQL)
 def op12(spark, sf_dir):
     return middle.digest(_documents(spark, sf_dir))
+
+
+@query("op13_suffix_blocks")
+def op13(spark, sf_dir):
+    return suffixes.digest(_documents(spark, sf_dir))
