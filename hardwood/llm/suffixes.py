@@ -32,7 +32,7 @@ from hardwood.session import materialize
 LENGTH, PERIOD, COVER = 50, 31, (1, 5, 11, 24, 25, 27)
 SAMPLE = LENGTH - PERIOD + 1
 #: Bytes of a pack (one document at least), of a window of it, and covered places of a bucket, about.
-PACK, WINDOW, BUCKET = 4_000_000, 5_000_000, 1_000_000
+PACK, WINDOW, BUCKET = 2_000_000, 2_500_000, 1_000_000
 
 _IN_COVER = np.isin(np.arange(PERIOD), COVER)
 _C = mix(np.arange(1, 9, dtype=np.uint64)) | np.uint64(1)
@@ -90,11 +90,14 @@ class Pack:
         for low in range(0, self.n, WINDOW):
             yield low, min(low + WINDOW, self.n)
 
-    def docs(self, low: int, high: int) -> np.ndarray:
-        """The document of each byte low .. high - 1."""
+    def within(self, low: int, high: int, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """Places low .. high - 1, counted from low, whose next `size` bytes lie in their document, and the document of each."""
         first, last = np.searchsorted(self.ends, [low, high - 1], "right")
-        over = np.minimum(self.ends[first : last + 1], high) - np.maximum(self.starts[first : last + 1], low)
-        return np.repeat(np.arange(first, last + 1, dtype=np.int32), over)
+        doc = np.arange(first, last + 1)
+        begin = np.maximum(self.starts[doc], low)
+        n = np.maximum(np.minimum(self.ends[doc] - size + 1, high) - begin, 0)
+        at = np.arange(int(n.sum()), dtype=np.int32) + np.repeat((begin - low - np.cumsum(n) + n).astype(np.int32), n)
+        return at, np.repeat(doc.astype(np.int32), n)
 
 
 def words_at(data: np.ndarray) -> np.ndarray:
@@ -112,12 +115,12 @@ def prints(words: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
     return mix(h)
 
 
-def covered(pack: Pack, low: int, high: int, doc: np.ndarray) -> np.ndarray:
-    """Covered places of the window whose sample lies inside the document; documents too short for a match have none."""
-    at = np.arange(low, high, dtype=np.int64)
-    inside = (at - pack.starts[doc]) % PERIOD
-    fits = (at + SAMPLE <= pack.ends[doc]) & (pack.sizes[doc] >= LENGTH)
-    return at[_IN_COVER[inside] & fits]
+def covered(pack: Pack, low: int, high: int) -> tuple[np.ndarray, np.ndarray]:
+    """Covered places of the window whose sample lies inside the document, and their documents; those too short for a match have none."""
+    at, doc = pack.within(low, high, SAMPLE)
+    residue = (at + ((low - pack.starts) % PERIOD).astype(np.int32)[doc]) % PERIOD
+    take = np.flatnonzero(_IN_COVER[residue] & (pack.sizes >= LENGTH)[doc])
+    return at[take].astype(np.int64) + low, doc[take]
 
 
 def _dealt(h: np.ndarray, buckets: int) -> np.ndarray:
@@ -127,11 +130,10 @@ def _dealt(h: np.ndarray, buckets: int) -> np.ndarray:
 
 def sample_keys(pack: Pack, low: int, high: int, words: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Covered places in the order of their keys, the distinct keys, where each one's run begins, and whether two documents of the window have it."""
-    doc = pack.docs(low, high)
-    at = covered(pack, low, high, doc)
+    at, doc = covered(pack, low, high)
     key = _dealt(prints(words, at, SAMPLE), buckets)
     order = np.argsort(key)
-    at, key, rank = at[order], key[order], pack.rank[doc[at[order] - low]]
+    at, key, rank = at[order], key[order], pack.rank[doc[order]]
     first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.empty(0, np.int64)
     both = np.minimum.reduceat(rank, first) != np.maximum.reduceat(rank, first) if len(key) else np.empty(0, bool)
     return at, key[first], first, both
@@ -236,9 +238,11 @@ def ties(pack: Pack, replies: list[dict], words: np.ndarray, buckets: int) -> np
         np.add.at(step, np.maximum(hit - (PERIOD - 1), pack.starts[np.searchsorted(pack.ends, hit, "right")]), 1)
         np.add.at(step, hit + 1, -1)
     may = np.cumsum(step[:-1], dtype=np.int32) > 0
+    out = []
     for low, high in pack.windows():
-        may[low:high] &= np.arange(low, high) + LENGTH <= pack.ends[pack.docs(low, high)]
-    return np.flatnonzero(may)
+        at = pack.within(low, high, LENGTH)[0]
+        out.append(at[may[low + at]].astype(np.int64) + low)
+    return np.concatenate([np.empty(0, np.int64), *out])
 
 
 def same_string(words: np.ndarray, one: np.ndarray, other: np.ndarray) -> np.ndarray:
