@@ -29,6 +29,8 @@ LEAST, TWICE, ONE_IN, TIMES = 7, 2, 31, 10
 GROUPS, LEVELS, PART_WORDS = 12, 4, 20_000
 #: Words of the running count of a task, searches of a slice, columns in which letters are compared at once.
 HELD, SEARCHES, WIDE = 200_000, 2_000, 48
+#: Letters at an end of which an edit elsewhere takes nothing: LEAST letters have two such ends beside the place of the edit.
+END = (LEAST - 1) // 2
 _RUN = re.compile(rf"[a-zÀ-ÿ]{{{LEAST},}}")
 
 
@@ -122,12 +124,14 @@ def one_edit(a: bytes, b: bytes) -> bool:
 
 
 class Words:
-    """Words of one task in columns: padded letters from the left and from the right."""
+    """Words of one task in columns: padded letters from the left and from the right, and the END letters at each end as a number."""
 
     def __init__(self, words: list[bytes]):
         self.words = words
         self.size = np.fromiter(map(len, words), np.int64, len(words))
         width = int(min(WIDE, self.size.max()))
+        self.head = np.array([w[:END] for w in words], "S4").view(np.uint32)
+        self.tail = np.array([w[-END:] for w in words], "S4").view(np.uint32)
         short = [w if len(w) <= width else b"" for w in words]
         self.long = self.size > width
         self.left = np.array([w.ljust(width, b"\0") for w in short], f"S{width}").view(np.uint8).reshape(-1, width)
@@ -135,9 +139,13 @@ class Words:
 
 
 def near(one: Words, i: np.ndarray, other: Words, j: np.ndarray) -> np.ndarray:
-    """Which pairs are one edit apart."""
+    """Which pairs are one edit apart. One edit leaves the first or the last END letters as they are."""
     width = min(one.left.shape[1], other.left.shape[1])
     out = np.zeros(len(i), bool)
+    may = np.flatnonzero((one.head[i] == other.head[j]) | (one.tail[i] == other.tail[j]))
+    if len(may) < len(i):
+        out[may] = near(one, i[may], other, j[may])
+        return out
     gap = one.size[i] - other.size[j]
     long = one.long[i] | other.long[j] | (one.size[i] > width) | (other.size[j] > width)
     for k in np.flatnonzero(long & (np.abs(gap) <= 1)).tolist():
