@@ -29,7 +29,7 @@ MAGIC, BLOCK, END_ID = b"HWWM0001", 512, 1
 #: Tokens of one file, about.
 SHARD_TOKENS = 1_000_000
 #: Bytes of text encoded at once, and pieces that a worker remembers.
-SLICE, PIECES = 1_000_000, 600_000
+SLICE, PIECES = 1_000_000, 800_000
 
 
 def build(ids: np.ndarray, doc_ids: np.ndarray, lengths: np.ndarray) -> bytes:
