@@ -79,4 +79,4 @@ def test_trie_finds_every_near_pair():
             here = (full[j] == top[i] + move).all(1)
             ok = variants.near(mine, i[here], trie.words, j[here])
             found |= {(made[a], trie.words.words[b]) for a, b in zip(i[here][ok].tolist(), j[here][ok].tolist(), strict=True)}
-    assert found == {(a, b) for a in made for b in made if edits(a.decode(), b.decode())} and len(found) > 1000
+    assert found == {(a, b) for a in made for b in made if edits(a.decode(), b.decode())} and len(found) > 200
