@@ -327,7 +327,7 @@ def _tied(buckets: int):
                     low_print = least[at - low]
                     new = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1] + 1) | (low_print[1:] != low_print[:-1])]))
                     size = np.diff(new, append=len(at))
-                    start, dealt = at[new], _dealt(low_print[new], buckets) >> np.uint64(32)
+                    start, dealt = at[new], _dealt(mix(low_print[new]), buckets) >> np.uint64(32)  # least ones are small: mixed, they spread
                     order = np.argsort(dealt, kind="stable")
                     start, size, dealt = start[order], size[order], dealt[order].astype(np.int64)
                     key = pack.keys[np.searchsorted(pack.ends, start, "right")]
