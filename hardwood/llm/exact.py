@@ -123,9 +123,12 @@ def without_ids(docs: DataFrame, gone: DataFrame, doc_id: str = "doc_id") -> Dat
 
     Rows that the bit table of the ids rules out pass straight through; only the others meet the ids. Rows without an id stay.
     """
-    gone = gone.toDF("__gone").filter("__gone IS NOT NULL").distinct()
+    name = "gone"
+    while name in docs.columns:
+        name += "_"
+    gone = gone.toDF(name).filter(F.col(name).isNotNull()).distinct()
     bits = table_bits(gone.count())
-    table = materialize(slot_table(gone, "__gone", bits, meet=1))
+    table = materialize(slot_table(gone, name, bits, meet=1))
     key = F.col(f"`{doc_id}`").cast("long")
     maybe = key.isNotNull() & in_table(table, key, bits)
-    return docs.filter(~maybe).unionByName(docs.filter(maybe).join(gone, key == F.col("__gone"), "left_anti"))
+    return docs.filter(~maybe).unionByName(docs.filter(maybe).join(gone, key == F.col(name), "left_anti"))

@@ -34,7 +34,7 @@ BLOCK, BLOCK_SHINGLES = 512, 500_000
 _SEEDS = mix(np.arange(1, 2 * SAMPLES + 1, dtype=np.uint64))
 _MUL, _ADD = (_SEEDS[:SAMPLES] | np.uint64(1)).astype(np.uint32), _SEEDS[SAMPLES:].astype(np.uint32)
 _WORDS = SKETCH_BITS // 64
-SIGNATURE = "doc_id long, n_shingles long, d1 long, d2 long, sketch array<long>, bands array<long>"
+SIGNATURE = "doc_id long, h long, n_shingles long, d1 long, d2 long, sketch array<long>, bands array<long>"
 
 
 def missed(similarity: float) -> float:
@@ -108,16 +108,16 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hashes = WordHashes()
     for batch in batches:
         names = batch.column(0)
-        for low, high, texts in slices(batch.column(1)):
+        for low, high, texts in slices(batch.column(2)):
             sets = shingle_sets(texts, hashes)
             has = np.array([len(s) > 0 for s in sets])
             full = [s for s in sets if len(s)]
             sketch, bands = signatures_of(full) if full else (np.zeros((0, _WORDS), np.uint64), np.zeros((0, BANDS), np.uint64))
             digest = np.array([[mix(s).sum(), mix(s ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum()] for s in sets], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays(
-                [names.slice(low, high - low), pa.array([len(s) for s in sets], pa.int64()), pa.array(digest[:, 0]), pa.array(digest[:, 1]),
+                [names.slice(low, high - low), batch.column(1).slice(low, high - low), pa.array([len(s) for s in sets], pa.int64()), pa.array(digest[:, 0]), pa.array(digest[:, 1]),
                  _lists(sketch, has), _lists(bands, has)],
-                names=["doc_id", "n_shingles", "d1", "d2", "sketch", "bands"],
+                names=["doc_id", "h", "n_shingles", "d1", "d2", "sketch", "bands"],
             )
 
 
@@ -246,9 +246,12 @@ def _by_group(work, with_sets: bool):
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """node, comp (smallest node reachable) of every node of the stored edges (a, b). Rounds of neighbour minima and pointer jumps, each stored."""
+    """node, comp (smallest node reachable) of every node of the stored edges (a, b). Rounds of neighbour minima and pointer jumps, each stored.
+
+    Labels are stored before each join, so both sides of it are plain shuffles and Spark can split the rows of a hub.
+    """
     both = edges.select("a", "b").union(edges.select("b", "a"))
-    labels = both.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("comp"))
+    labels = materialize(both.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("comp")))
     while True:
         near = both.join(labels.select(F.col("node").alias("b"), "comp"), "b").groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("least"))
         hooked = labels.join(near, "node").select("node", F.col("comp").alias("old"), F.least("comp", "least").alias("up"))
@@ -273,29 +276,44 @@ def near_duplicates(docs: DataFrame, percent: int = 80, doc_id: str = "doc_id",
     component_id, and is kept. Rows that repeat a doc_id share its component. No rows give no rows. A link at the
     threshold is missed with probability `missed(percent / 100)`, under 1e-8 at 85 and 4e-6 at 80.
     """
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(text).alias("h"), F.col(text).alias("text"))
     signed = materialize(rows.mapInArrow(_sign, SIGNATURE))
     able = signed.filter("n_shingles > 0 AND doc_id IS NOT NULL")
-    groups = materialize(able.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep")))
-    reps = able.join(groups.select("rep", F.col("d1").alias("e1"), F.col("d2").alias("e2")), (F.col("doc_id") == F.col("rep")) & (F.col("d1") == F.col("e1")) & (F.col("d2") == F.col("e2")))
-    reps = materialize(reps.select("rep", "n_shingles", "sketch", "bands"))
+    # a node is a set of shingles; its first row, by doc_id and text, is where the set is taken from again
+    nodes = able.groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "h")).alias("first"), *[F.first(c).alias(c) for c in ("n_shingles", "sketch", "bands")])
+    nodes = materialize(nodes.select("d1", "d2", "first.doc_id", "first.h", "n_shingles", "sketch", "bands", F.monotonically_increasing_id().alias("rep")))
+    reps = nodes.select("rep", "n_shingles", "sketch")
 
-    spread = reps.select("rep", F.explode("bands").alias("key"))
+    spread = nodes.select("rep", F.explode("bands").alias("key"))
     leaders = materialize(spread.groupBy("key").agg(F.min("rep").alias("leader"), F.count(F.lit(1)).alias("n")).filter("n > 1"))
     members = materialize(spread.join(leaders.select("key", "leader"), "key"))
-    ids = materialize(members.select(F.col("rep").alias("id")).distinct())
+    ids = materialize(nodes.select("rep", F.col("doc_id").alias("id"), F.col("h").alias("id_h")).join(members.select("rep").distinct(), "rep", "left_semi"))
     bits = table_bits(ids.count())
     table = materialize(slot_table(ids, "id", bits, meet=1))
     held = rows.filter(F.col("doc_id").isNotNull() & in_table(table, F.col("doc_id"), bits))
-    held = held.join(ids, F.col("doc_id") == F.col("id"), "left_semi").dropDuplicates(["doc_id"])
+    held = held.join(ids, (F.col("doc_id") == F.col("id")) & (F.col("h") == F.col("id_h"))).dropDuplicates(["doc_id", "h"]).select("rep", "text")
     sets = materialize(held.mapInArrow(_set, "rep long, shingles array<long>"))
     sketches, most = reps.select("rep", "sketch"), most_apart(percent)
 
-    first = members.filter("rep <> leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct()
-    first = first.join(sketches.toDF("a", "ka"), "a").join(sketches.toDF("b", "kb"), "b").filter(_apart("ka", "kb") <= most)
-    pairs = first.select("a", "b").join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b").select("a", "b", "sa", "sb")
-    edges = materialize(pairs.mapInArrow(_verifier(percent), "a long, b long"))
+    def linked(pairs: DataFrame) -> DataFrame:
+        """Those of the pairs (a, b) whose sets are alike."""
+        near = pairs.join(sketches.toDF("a", "ka"), "a").join(sketches.toDF("b", "kb"), "b").filter(_apart("ka", "kb") <= most)
+        near = near.select("a", "b").join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b").select("a", "b", "sa", "sb")
+        return near.mapInArrow(_verifier(percent), "a long, b long")
+
+    # a member meets one leader a round: the one it shares most bands with that its component doesn't have yet
+    votes = materialize(members.filter("rep <> leader").groupBy("rep", "leader").agg(F.count(F.lit(1)).alias("votes")))
+    best = F.max_by("leader", F.struct("votes", -F.col("leader"))).alias("a")
+    asked = materialize(votes.groupBy(F.col("rep").alias("b")).agg(best).select("a", "b"))
+    edges = materialize(linked(asked))
     comps = components(edges)
+    whole = lambda node: comps.select(F.col("node").alias(node), F.col("comp").alias(f"{node}_comp"))
+    left = votes.join(asked.toDF("gone", "rep"), "rep").filter("leader <> gone").join(whole("rep"), "rep", "left").join(whole("leader"), "leader", "left")
+    left = left.filter("coalesce(rep_comp, rep) <> coalesce(leader_comp, leader)")
+    more = materialize(linked(left.groupBy(F.col("rep").alias("b")).agg(best).select("a", "b")))
+    if not more.isEmpty():
+        edges = materialize(edges.union(more))
+        comps = components(edges)
 
     def blocks(grouped: DataFrame, sizes: DataFrame) -> DataFrame:
         """(key, rep, ...) with the blocks of its key; a row for each pair of blocks that its block is in."""
@@ -323,8 +341,18 @@ def near_duplicates(docs: DataFrame, percent: int = 80, doc_id: str = "doc_id",
         links = materialize(met.mapInArrow(_by_group(work, True), "a long, b long"))
         if not links.isEmpty():
             comps = components(materialize(edges.union(links)))
-    labels = groups.join(comps, F.col("rep") == F.col("node"), "left").select("d1", "d2", F.coalesce("comp", "rep").alias("component"))
-    labels = materialize(labels)
+    twice = able.groupBy("doc_id").agg(F.min(F.struct("d1", "d2")).alias("low"), F.max(F.struct("d1", "d2")).alias("high")).filter("low <> high")
+    twice = materialize(twice.select(F.col("doc_id").alias("id"), "low"))
+    if not twice.isEmpty():  # texts of one doc_id share its component
+        at = nodes.select("d1", "d2", "rep")
+        pairs = able.join(twice, F.col("doc_id") == F.col("id")).select("d1", "d2", F.col("low.d1").alias("l1"), F.col("low.d2").alias("l2")).distinct()
+        pairs = pairs.join(at.withColumnRenamed("rep", "a"), ["d1", "d2"]).join(at.toDF("l1", "l2", "b"), ["l1", "l2"]).filter("a <> b")
+        known = comps.filter("node <> comp").select(F.col("comp").alias("a"), F.col("node").alias("b"))
+        comps = components(materialize(known.union(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())))
+    placed = nodes.select("d1", "d2", "rep", "doc_id").join(comps, F.col("rep") == F.col("node"), "left")
+    placed = materialize(placed.select("d1", "d2", "doc_id", F.coalesce("comp", "rep").alias("comp")))
+    least = placed.groupBy("comp").agg(F.min("doc_id").alias("component"))
+    labels = materialize(placed.join(least, "comp").select("d1", "d2", "component"))
     named = signed.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("d1")).alias("d1"), "d2").join(labels, ["d1", "d2"], "left")
     return named.select(
         "doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"),

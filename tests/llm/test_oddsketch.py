@@ -84,6 +84,19 @@ def test_odd_tables(make):
     assert got(oddsketch.near_duplicates(make(rows, schema))) == brute(rows, 80)
 
 
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_texts_that_share_a_doc_id(make, seed):
+    """Each text of a repeated doc_id has its links, in whatever order the rows come."""
+    r = random.Random(seed)
+    one, two, three = ([r.choice("abcdefgh") + str(i) for i in range(60)] for _ in range(3))
+    text = lambda w, k: " ".join([*w[:-k], *(f"z{k}{i}" for i in range(k))])
+    rows = [(5, text(one, 1)), (5, text(two, 1)), (5, text(two, 1).upper()), (7, text(one, 2)), (8, text(two, 2)), (9, text(three, 1)), (2, text(three, 2)), (12, text(three, 3)), (12, "x y")]
+    r.shuffle(rows)
+    want = brute(rows, 80)
+    assert got(oddsketch.near_duplicates(make(rows))) == want
+    assert {c for d, _, c in want if d in (5, 7, 8)} == {5} and {c for d, _, c in want if d in (2, 9, 12)} == {2}
+
+
 def test_sketch_estimates_and_bounds():
     rng = np.random.default_rng(0)
     base = rng.integers(0, 1 << 63, 2000).astype(np.uint64)
