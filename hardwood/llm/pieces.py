@@ -5,6 +5,9 @@ piece starts. For a BPE vocabulary the best path is the one its merge order give
 the merges of both together leave the two apart; this decides among the candidates, which are at most the longest
 piece's length back. As soon as the pointers of all positions that a later piece can start from meet in one boundary,
 the ids before it are final and are handed out; only the rest stays in memory.
+
+No piece reaches over a space mark, so all paths meet in front of each one: what lies between two such places is a part that
+the window commits by itself, and a worker remembers the parts' ids, commits and windows.
 """
 
 from __future__ import annotations
@@ -76,7 +79,8 @@ class StreamingViterbi:
     def __init__(self, vocabulary: Vocabulary):
         self.v = vocabulary
         self.text, self.back, self.last = "", [0], [None]
-        self.tried = 0
+        #: Times that ids were handed out before the end, and the most positions held.
+        self.commits = self.peak = 0
 
     def feed(self, part: str) -> list[int]:
         whole, reach, apart = self.v.whole.get, self.v.reach.get, self.v.apart
@@ -94,6 +98,7 @@ class StreamingViterbi:
                 else:  # a character outside the vocabulary: no merge reaches over it
                     back.append(end - 1)
                     last.append(None)
+            self.peak = max(self.peak, len(text))
             if len(text) >= 2 * STEP:
                 out += self._commit()
         return out
@@ -113,6 +118,7 @@ class StreamingViterbi:
         (meet,) = at
         if not meet:
             return []
+        self.commits += 1
         ids = self._path(meet)
         self.text = self.text[meet:]
         self.back = [0, *(b - meet for b in self.back[meet + 1 :])]
@@ -147,8 +153,11 @@ class PieceEncoder(CachedEncoder):
         if any(SPACE in p.lstrip(SPACE) or "\n" in p for p in self.v.ids):
             raise ValueError("a piece of this vocabulary reaches over a cut")
         self.viterbi = StreamingViterbi(self.v)
-        self.table = np.array(self.v.pieces, object)
+        self.commits = self.peaks = np.zeros(1 << 12, np.int64)
+        self.table = np.array([p.replace(SPACE, " ") for p in self.v.pieces], object)
         self.byte_of = {i: b for b, i in self.v.bytes.items()}
+        self.is_byte = np.zeros(len(self.v.pieces), bool)
+        self.is_byte[list(self.byte_of)] = True
 
     def cut(self, text: str) -> list[str]:
         held = SPACE + text.replace(" ", SPACE)
@@ -157,13 +166,42 @@ class PieceEncoder(CachedEncoder):
         return [p for p in held.replace(SPACE, "\x01" + SPACE).replace("\n", "\x01\n\x01").split("\x01") if p]
 
     def _add(self, pieces: list[str]) -> dict[str, int]:
-        found, ids = {}, []
+        found, ids, seen = {}, [], []
         for p in pieces:
             found[p] = self.count + len(ids)
+            self.viterbi.commits = self.viterbi.peak = 0
             ids.append(self.viterbi.feed(p) + self.viterbi.close())
+            seen.append((self.viterbi.commits + 1, self.viterbi.peak))
+        while self.count + len(seen) > len(self.peaks):
+            self.commits, self.peaks = (np.concatenate([x, np.zeros_like(x)]) for x in (self.commits, self.peaks))
+        if seen:
+            self.commits[self.count : self.count + len(seen)], self.peaks[self.count : self.count + len(seen)] = np.array(seen).T
         self._store(np.array([i for x in ids for i in x], np.uint32), np.array([len(x) for x in ids], np.int64))
         return found
 
+    def windows(self) -> tuple[np.ndarray, np.ndarray]:
+        """Commits and largest window of each text encoded last."""
+        ends = np.concatenate([[0], np.cumsum(self.commits[self.places])])[self.cuts]
+        peak = np.zeros(len(self.cuts) - 1, np.int64)
+        some = np.flatnonzero(np.diff(self.cuts))
+        if len(some):
+            peak[some] = np.maximum.reduceat(self.peaks[self.places], self.cuts[some])
+        return np.diff(ends), peak
+
+    def texts(self, ids: np.ndarray, lengths: np.ndarray) -> list[str]:
+        """The texts of all ids in a row."""
+        ends = np.cumsum(lengths)
+        odd = np.diff(np.concatenate([[0], np.cumsum(self.is_byte[ids])])[np.concatenate([[0], ends])]) > 0
+        strings = self.table[ids].tolist()
+        out = []
+        for a, b, has_bytes in zip((ends - lengths).tolist(), ends.tolist(), odd.tolist(), strict=True):
+            if has_bytes:
+                out.append(self.decode(ids[a:b].tolist()))
+            else:
+                text = "".join(strings[a:b])
+                out.append(text[1:] if text[:1] == " " else text)
+        return out
+
     def decode(self, ids: list[int]) -> str:
         """The text of the ids: byte pieces as UTF-8, space marks as spaces, the first space taken off."""
         out: list[str] = []
@@ -175,8 +213,8 @@ class PieceEncoder(CachedEncoder):
             if raw:
                 out.append(raw.decode("utf-8", "replace"))
                 raw.clear()
-            out.append(self.v.pieces[i])
-        text = "".join([*out, raw.decode("utf-8", "replace")]).replace(SPACE, " ")
+            out.append(self.table[i])
+        text = "".join([*out, raw.decode("utf-8", "replace")])
         return text[1:] if text[:1] == " " else text
 
 
@@ -194,11 +232,12 @@ def _encode(path: str):
                 ids, lengths = held.encode(texts)
                 ends = np.cumsum(lengths)
                 parts = [ids[e - n : e] for e, n in zip(ends.tolist(), lengths.tolist(), strict=True)]
-                same = [held.decode(p.tolist()) == (t or "") for p, t in zip(parts, texts, strict=True)]
+                same = [x == (t or "") for x, t in zip(held.texts(ids, lengths), texts, strict=True)]
+                commits, peak = held.windows()
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(low, high - low), pa.array(lengths, pa.int64()), pa.array([zlib.crc32(p.astype("<u4", copy=False)) for p in parts], pa.int64()),
-                     pa.array(same)],
-                    names=["doc_id", "n_ids", "ids_crc32", "round_trip"],
+                     pa.array(same), pa.array(commits), pa.array(peak)],
+                    names=["doc_id", "n_ids", "ids_crc32", "round_trip", "n_commits", "max_window"],
                 )
 
     return run
@@ -237,10 +276,11 @@ def decode(encoded: DataFrame, model_path: str) -> DataFrame:
 
 
 def digest(docs: DataFrame, model_path: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per row of `docs`: doc_id, n_ids, ids_crc32 (of the ids as little-endian 32-bit integers), round_trip.
+    """One row per row of `docs`: doc_id, n_ids, ids_crc32 (of the ids as little-endian 32-bit integers), round_trip, n_commits
+    and max_window (times that the search handed out ids, and the most positions it held).
 
     round_trip: whether decoding the ids gives the text again; it does unless the text has the space mark itself. Null and
     empty texts have no ids; repeated rows give equal rows; no rows give no rows; a null doc_id stays null.
     """
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return rows.mapInArrow(_encode(model_path), "doc_id long, n_ids long, ids_crc32 long, round_trip boolean")
+    return rows.mapInArrow(_encode(model_path), "doc_id long, n_ids long, ids_crc32 long, round_trip boolean, n_commits long, max_window long")

@@ -51,7 +51,10 @@ TOGETHER = 100
 
 
 class CachedEncoder:
-    """ids of many texts; remembers the ids of at most `limit` pieces of at most `longest` characters."""
+    """ids of many texts; remembers the ids of at most `limit` pieces of at most `longest` characters.
+
+    After `encode`, `places` are the entries of all pieces of the texts, and `cuts` where each text's pieces begin.
+    """
 
     def __init__(self, path: str, cut, limit: int = 250_000, longest: int = 64):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
@@ -129,6 +132,7 @@ class CachedEncoder:
                 keep_used, keep_count = self.used, self.count
             found = found | self._add([w for w in fresh if w not in found])
             at[new] = np.fromiter(map(found.__getitem__, missing), np.int64, len(missing))
+        self.places, self.cuts = at, cuts
         sizes = self.sizes[at]
         ends = np.cumsum(sizes)
         total = int(ends[-1]) if len(ends) else 0

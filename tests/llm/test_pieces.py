@@ -65,6 +65,17 @@ def test_query(spark, model, texts):
     for d, t in texts.items():
         ids = model.encode(t or "")
         assert (rows[d].n_ids, rows[d].ids_crc32, rows[d].round_trip) == (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()), True)
+        assert rows[d].n_commits <= rows[d].n_ids and rows[d].max_window < 8 * pieces.STEP and (rows[d].n_commits > 0) == bool(t)
+
+
+def test_windows_of_texts(encoder):
+    long = "".join(np.random.default_rng(1).choice(list("abcdefinorst"), 20_000))
+    texts = ["", "two words", long, None, "three\nmore  words", long + " end"]
+    ids, lengths = encoder.encode(texts)
+    commits, peak = encoder.windows()
+    assert commits[[0, 1, 3]].tolist() == [0, 2, 0] and peak[[0, 1, 3]].tolist() == [0, 6, 0]
+    assert commits[2] > 50 and commits[5] == commits[2] + 1 and 128 <= peak[2] == peak[5] < 8 * pieces.STEP
+    assert encoder.texts(ids, lengths) == [t or "" for t in texts]
 
 
 def test_small_tables_round_trip(make):
