@@ -10,6 +10,7 @@ from hardwood.functions.metrics import position_group_listed
 from hardwood.functions.text import build_url, clean_number, expand_position, parse_minutes, short_name, slug
 from hardwood.operators.filters import clean_player_box, find_team, round_numeric, suggest_names
 from hardwood.operators.percentiles import percent_ranks, tercile_band
+from hardwood.operators.quantiles import exact_quantiles
 from hardwood.operators.reshape import radar_rows
 from hardwood.plans import players, teams
 from hardwood.session import materialize
@@ -224,11 +225,13 @@ def percent_rank_columns(t):
                   count(*) AS players, count(DISTINCT team_id) AS teams FROM ps GROUP BY position""",
 )
 def position_medians(t):
-    return players.player_season(t.player_box).groupBy("position").agg(
-        F.percentile("pts_total", F.lit(0.5)).alias("median_pts"), F.percentile("usage", F.lit(0.9)).alias("usage_p90"),
-        F.bround(F.avg("mpg"), 2).alias("mpg"), F.count(F.lit(1)).alias("players"),
-        F.countDistinct("team_id").alias("teams"),
+    s = players.stored_player_season(t.player_box)
+    asked = {"median_pts": ("pts_total", 0.5), "usage_p90": ("usage", 0.9)}
+    quantiles = exact_quantiles(s, asked, ["position"], ["season", "athlete_id"]).withColumnRenamed("position", "_position")
+    counts = s.groupBy("position").agg(
+        F.bround(F.avg("mpg"), 2).alias("mpg"), F.count(F.lit(1)).alias("players"), F.countDistinct("team_id").alias("teams"),
     )
+    return counts.join(quantiles, F.col("position").eqNullSafe(F.col("_position")), "left").drop("_position")
 
 
 @query(

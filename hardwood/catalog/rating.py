@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from hardwood.catalog.registry import query
 from hardwood.plans import ratings as RT
+from hardwood.schemas import HOME_TERM_EPS
 from hardwood.session import materialize
 
 GAMES = """, gm AS (SELECT h.game_id, h.season, h.game_date AS date, h.team_id AS home, a.team_id AS away, h.pts AS home_final, a.pts AS away_final,
@@ -86,6 +87,47 @@ def rating_ondate_margin(t):
     return RT.ratings_on(_games(t), "1998-02-01", "margin").select("team", F.round("rating", 6).alias("rating"), "n_games")
 
 
+# The normal equations of all games before a date, and the same conjugate gradients as a recursion.
+_ON_DATE = GAMES + """, e0 AS (SELECT row_number() OVER () AS g, home, away, CASE WHEN neutral THEN '_neutral' ELSE '_home' END AS site, home_net AS y FROM games WHERE date < DATE '1998-02-01'),
+ tm AS (SELECT g, home AS name, 1e0 AS s, y FROM e0 UNION ALL SELECT g, away, -1e0, y FROM e0 UNION ALL SELECT g, site, 1e0, y FROM e0),
+ mt AS (SELECT a.name AS a, b.name AS b, sum(a.s * b.s) + CASE WHEN a.name <> b.name THEN 0e0 WHEN a.name IN ('_home', '_neutral') THEN """ + f"{HOME_TERM_EPS!r}" + """ ELSE 3e0 END AS v
+   FROM tm a JOIN tm b ON a.g = b.g GROUP BY 1, 2),
+ sd0 AS (SELECT t.name, t.y, m.v AS d FROM (SELECT name, sum(s * y) AS y FROM tm GROUP BY 1) t JOIN mt m ON m.a = t.name AND m.b = t.name),
+ cg AS (WITH RECURSIVE w AS (
+   SELECT 0 AS k, name, d, 0e0 AS x, y AS r, y / d AS p FROM sd0
+   UNION ALL
+   SELECT k + 1, name, d, x + step * p, r - step * q, (r - step * q) / d + rn / rr * p FROM (
+     SELECT *, sum((r - step * q) * (r - step * q) / d) OVER () AS rn FROM (
+       SELECT *, rr / pq AS step FROM (
+         SELECT w.*, m.q, sum(w.r * w.r / w.d) OVER () AS rr, sum(w.p * m.q) OVER () AS pq
+         FROM w JOIN (SELECT mt.a, sum(mt.v * w.p) AS q FROM mt JOIN w ON w.name = mt.b GROUP BY mt.a) m ON m.a = w.name) z1) z2) z3
+   WHERE k < 400 AND rr > 1e-18)
+   SELECT name, x FROM w WHERE k = (SELECT max(k) FROM w))"""
+
+
+@query(
+    "rating_ondate_adjusted", ("schedule",),
+    _ON_DATE + """ SELECT cg.name AS team, round(x, 6) AS rating, cast(n AS int) AS n_games FROM cg JOIN (SELECT name, count(*) AS n FROM tm GROUP BY 1) c ON c.name = cg.name
+      WHERE cg.name NOT IN ('_home', '_neutral')""",
+)
+def rating_ondate_adjusted(t):
+    """Adjusted ratings of all games before a date, by conjugate gradients."""
+    return RT.ratings_on(_games(t), "1998-02-01").select("team", F.round("rating", 6).alias("rating"), "n_games")
+
+
+@query(
+    "rating_ridge_residual", ("schedule",),
+    _ON_DATE + " SELECT name, round(y, 6) AS y, true AS solved FROM sd0",
+)
+def rating_ridge_residual(t):
+    """The normal equations at the solution, name by name."""
+    earlier = _games(t).where(F.col("date") < "1998-02-01").withColumn("season", F.lit(0))
+    entries = materialize(RT.normal_entries(earlier).groupBy("a", "b").agg(F.sum("v").alias("v")))
+    left = RT.ridge_residual(entries, RT.ridge_solve(entries))
+    y = RT.penalised(entries, RT.RATING_LAMBDA)[1].select("name", F.round("y", 6).alias("y"))
+    return left.join(y, "name").select("name", "y", (F.abs("residual") < 1e-6).alias("solved"))
+
+
 @query(
     "spread_attach", ("schedule",),
     MARGIN + " SELECT game_id, round(spread_home, 6) AS spread_home, round(actual, 6) AS actual, n_home, n_away FROM sc",

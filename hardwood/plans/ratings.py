@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from hardwood.functions.metrics import expected_spread, net_per_100, simple_possessions
 from hardwood.operators.aggregates import regression_scores
+from hardwood.operators.quantiles import exact_quantiles
 from hardwood.schemas import CARRYOVER_DECAY, DEFAULT_PACE, HOME_TERM_EPS, LEAGUE_RULES, MIN_PACE_GAMES, RATING_LAMBDA
 from hardwood.session import materialize
 
@@ -281,15 +282,62 @@ def ratings_on(games: DataFrame, date, method: str = "adjusted", lam: float = RA
         days = team_days(earlier).groupBy("team").agg(F.sum("n").cast("int").alias("n_games"), F.sum("net").alias("_s"))
         n = F.col("n_games")
         return days.select("team", (F.col("_s") / n * (n / (n + F.lit(lam / 10)))).alias("rating"), "n_games")
-    entries = normal_entries(earlier).groupBy("a", "b").agg(F.sum("v").alias("v"))
+    entries = materialize(normal_entries(earlier).groupBy("a", "b").agg(F.sum("v").alias("v")))
+    played = entries.where("a = b").select(F.col("a").alias("name"), F.round("v").cast("int").alias("n_games"))
+    solved = ridge_solve(entries, lam).join(played, "name").where(~F.col("name").isin(HOME, NEUTRAL))
+    return solved.select(F.col("name").alias("team"), F.col("x").alias("rating"), "n_games")
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        s = _System(_names(pdf["a"], pdf["b"]))
-        s.add(pdf["a"].to_numpy(), pdf["b"].to_numpy(), pdf["v"].to_numpy())
-        beta = s.solve(lam, np.zeros((len(s.names), 1)))[:, 0]
-        return pd.DataFrame({"team": s.names[:-2], "rating": beta[:-2], "n_games": np.rint(np.diag(s.xtx)[:-2]).astype(int)})
 
-    return entries.withColumn("_g", F.lit(0)).groupBy("_g").applyInPandas(one, "team string, rating double, n_games int")
+def penalised(entries: DataFrame, lam: float) -> tuple[DataFrame, DataFrame]:
+    """(a, b, v) of the whole symmetric matrix with its penalties, and (name, y, d): right-hand side and diagonal."""
+    c = F.col
+    pen = lambda x: F.when(c(x).isin(HOME, NEUTRAL), F.lit(HOME_TERM_EPS)).otherwise(F.lit(float(lam)))
+    inner = entries.where(c("b") != TARGET)
+    matrix = inner.select("a", "b", F.when(c("a") == c("b"), c("v") + pen("a")).otherwise(c("v")).alias("v")).unionByName(
+        inner.where("a <> b").select(c("b").alias("a"), c("a").alias("b"), "v")
+    )
+    sides = entries.where(c("b") == TARGET).select(c("a").alias("name"), c("v").alias("y"))
+    diagonal = matrix.where("a = b").select(c("a").alias("name"), c("v").alias("d"))
+    return matrix, diagonal.join(sides, "name", "left").fillna(0.0, ["y"])
+
+
+def ridge_solve(entries: DataFrame, lam: float = RATING_LAMBDA, tolerance: float = 1e-11, rounds: int = 500) -> DataFrame:
+    """name, x: the penalised normal equations solved by conjugate gradients over the stored sparse entries.
+
+    A round is one join of the entries with the direction and one small aggregate; only sums come to the driver, and no task
+    holds a matrix. The diagonal scales the residuals. Ends when the scaled residual is `tolerance` of the first.
+    """
+    matrix, sides = penalised(entries, lam)
+    matrix = materialize(matrix)
+    c, r, q, d = F.col, F.col("r"), F.col("q"), F.col("d")
+
+    def with_product(state: DataFrame) -> DataFrame:
+        product = matrix.join(state.select(c("name").alias("b"), c("p").alias("_p")), "b").groupBy(c("a").alias("name")).agg(F.sum(c("v") * c("_p")).alias("q"))
+        return materialize(state.join(product, "name"))
+
+    state = with_product(sides.select("name", "d", F.lit(0.0).alias("x"), c("y").alias("r"), (c("y") / d).alias("p")))
+    first = None
+    for _ in range(rounds):
+        s = state.agg(
+            F.sum(r * r / d).alias("rr"), F.sum(c("p") * q).alias("pq"), F.sum(r * q / d).alias("rq"), F.sum(q * q / d).alias("qq")
+        ).first()
+        if s.rr is None or s.rr == 0 or (first is not None and s.rr <= tolerance**2 * first):
+            break
+        first = s.rr if first is None else first
+        step = s.rr / s.pq
+        rr = max(0.0, s.rr - 2 * step * s.rq + step * step * s.qq)
+        state = with_product(state.select(
+            "name", "d", (c("x") + step * c("p")).alias("x"), (r - step * q).alias("r"), ((r - step * q) / d + rr / s.rr * c("p")).alias("p")
+        ))
+    return state.select("name", "x")
+
+
+def ridge_residual(entries: DataFrame, solution: DataFrame, lam: float = RATING_LAMBDA) -> DataFrame:
+    """name, residual of the penalised normal equations at (name, x)."""
+    matrix, sides = penalised(entries, lam)
+    c = F.col
+    product = matrix.join(solution.select(c("name").alias("b"), "x"), "b").groupBy(c("a").alias("name")).agg(F.sum(c("v") * c("x")).alias("_ax"))
+    return sides.join(product, "name", "left").select("name", (c("y") - F.coalesce("_ax", F.lit(0.0))).alias("residual"))
 
 
 def attach_ratings(games: DataFrame, ratings: DataFrame, params: Sequence[str] = ()) -> DataFrame:
@@ -316,7 +364,8 @@ def method_report(games: DataFrame, ratings: DataFrame, by: Sequence[str] = ("me
 
 
 def spread_quantiles(scored: DataFrame, at: Sequence[float] = (0.01, 0.1, 0.5, 0.9, 0.99)) -> DataFrame:
-    return scored.agg(*[F.percentile("spread_home", F.lit(q)).alias(f"p{int(q * 100):02d}") for q in at])
+    """Exact quantiles of all spreads; no task holds them all."""
+    return exact_quantiles(scored, {f"p{int(q * 100):02d}": ("spread_home", q) for q in at}, [], ["game_id"])
 
 
 def latest_ratings(ratings: DataFrame, as_of=None) -> DataFrame:
