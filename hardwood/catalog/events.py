@@ -9,8 +9,10 @@ from hardwood.functions.clock import clock_to_seconds, period_seconds, round_hal
 from hardwood.functions.geometry import in_paint, shot_distance, shot_zone
 from hardwood.functions.text import free_throw_count
 from hardwood.operators import events as E
+from hardwood.plans import fill
 from hardwood.plans import possessions as P
 from hardwood.plans import stints as S
+from hardwood.session import materialize, scratch_folder
 
 _RX = {
     "ft": "free throw", "reb": "rebound", "oreb": "offensive rebound", "stl": "steal",
@@ -309,3 +311,61 @@ def stint_report(t):
 )
 def team_stints(t):
     return S.team_stints(S.lineup_stints(t.pbp, t.starters), min_seconds=10)
+
+
+POPULATION = ("T03", "T07", "T11", "T19")
+# The games of a population, home games first; and one game a team that the feed doesn't have.
+_WANTED = WALK + FLOOR.removeprefix(ORDERED) + f""", wanted AS (SELECT game_id, CASE WHEN home_abbreviation IN {POPULATION} THEN 1 ELSE 2 END AS run FROM event_schedule
+     WHERE home_abbreviation IN {POPULATION} OR away_abbreviation IN {POPULATION} UNION ALL SELECT concat('unplayed-', t), 2 FROM (SELECT unnest({list(POPULATION)}) AS t) u),
+  led AS (SELECT w.game_id, 'stints' AS table_name, n_rows, CASE WHEN gm.game_id IS NULL THEN 'no events' WHEN w.game_id IN (SELECT game_id FROM bad) THEN 'unresolved substitutions'
+        WHEN n_rows IS NULL THEN 'no rows' END AS reason, run FROM wanted w LEFT JOIN gm ON gm.game_id = w.game_id LEFT JOIN (SELECT game_id, count(*) AS n_rows FROM stints GROUP BY 1) n ON n.game_id = w.game_id
+    UNION ALL SELECT w.game_id, 'possessions', n_rows, CASE WHEN gm.game_id IS NULL THEN 'no events' WHEN n_rows IS NULL THEN 'no rows' END, run
+      FROM wanted w LEFT JOIN gm ON gm.game_id = w.game_id LEFT JOIN (SELECT game_id, count(*) AS n_rows FROM po GROUP BY 1) n ON n.game_id = w.game_id)"""
+
+
+def _wanted(t):
+    """All wanted games, and those of the first run."""
+    pop = list(POPULATION)
+    home, away = F.col("home_abbreviation").isin(pop), F.col("away_abbreviation").isin(pop)
+    games = t.event_schedule.where(home | away).select("game_id", home.alias("at_home"))
+    lost = t.spark.createDataFrame([(f"unplayed-{x}", False) for x in pop], "game_id string, at_home boolean")
+    every = materialize(games.unionByName(lost))
+    return every, every.where("at_home")
+
+
+def _filled(t):
+    folder = scratch_folder(t.spark, "fill")
+    every, first = _wanted(t)
+    fill.fill(t.pbp, t.starters, first, folder)
+    fill.fill(t.pbp, t.starters, every, folder)
+    if not fill.fill(t.pbp, t.starters, every, folder).isEmpty():
+        raise RuntimeError("a run over settled games has nothing to do")
+    return folder, every
+
+
+@query(
+    "population_fill", ("pbp", "event_schedule", "starters"),
+    _WANTED + " SELECT game_id, table_name, reason IS NULL AS ok, reason, coalesce(n_rows, 0) AS n_rows, run FROM led",
+)
+def population_fill(t):
+    """The ledger after two runs, of which the second takes up what the first left, and a third that finds nothing to do."""
+    return fill.ledger(t.spark, _filled(t)[0])
+
+
+@query(
+    "population_fill_report", ("pbp", "event_schedule", "starters"),
+    _WANTED + """ SELECT table_name, count(*) AS requested, count(*) FILTER (reason IS NULL) AS stored, count(reason) AS failed, 0 AS missing, cast(sum(coalesce(n_rows, 0)) AS bigint) AS n_rows
+      FROM led GROUP BY 1""",
+)
+def population_fill_report(t):
+    folder, every = _filled(t)
+    return fill.fill_report(fill.ledger(t.spark, folder), every)
+
+
+@query(
+    "population_stored_stints", ("pbp", "event_schedule", "starters"),
+    _WANTED + " SELECT * FROM stints WHERE game_id IN (SELECT game_id FROM wanted)",
+)
+def population_stored_stints(t):
+    """What a reader of the filled folder gets."""
+    return fill.stored_rows(t.spark, _filled(t)[0], "stints")
