@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from hardwood.catalog.registry import query
+from hardwood.catalog.season import _CONF
 from hardwood.catalog.team import _TEAM_GAME
 from hardwood.functions.metrics import position_group_listed
 from hardwood.functions.text import build_url, clean_number, expand_position, parse_minutes, short_name, slug
@@ -13,6 +14,7 @@ from hardwood.operators.percentiles import percent_ranks, tercile_band
 from hardwood.operators.quantiles import exact_quantiles
 from hardwood.operators.reshape import radar_rows
 from hardwood.plans import players, teams
+from hardwood.plans.season import team_conferences
 from hardwood.session import materialize
 
 _TOTALS = ["pts", "fgm", "fga", "fg3m", "fg3a", "ftm", "fta", "oreb", "dreb", "reb", "ast", "stl", "blk", "tov", "pf"]
@@ -219,6 +221,19 @@ def percent_rank_columns(t):
     return _banded(percent_ranks(s, _BANDED, [], ["season", "athlete_id"]))
 
 
+@query(
+    "percentiles_in_conference", ("player_box", "schedule"),
+    _PLAYER + _CONF + f""", pc AS (SELECT ps.*, tc.conf FROM ps LEFT JOIN tc ON tc.team_id = ps.team_id) SELECT season, athlete_id, conf, position, {pct_sql('conf, position')} FROM pc""",
+)
+def percentiles_in_conference(t):
+    """Percentiles among the players of a position in a conference."""
+    conf = team_conferences(t.schedule).select(F.col("team_id").alias("_team"), "conf")
+    s = players.stored_player_season(t.player_box)
+    s = materialize(s.join(conf, F.col("team_id") == F.col("_team"), "left").drop("_team"))
+    out = players.player_percentiles(s, ["conf", "position"])
+    return out.select("season", "athlete_id", "conf", "position", *[F.round(c, 8).alias(c) for c in _SPECS])
+
+
 @query(
     "position_medians", ("player_box",),
     _PLAYER + """ SELECT position, median(pts_total) AS median_pts, quantile_cont(usage, 0.9) AS usage_p90, round(avg(minutes_total / games_played), 2) AS mpg,

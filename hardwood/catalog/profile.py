@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from hardwood.catalog.events import WALK
 from hardwood.catalog.registry import query
+from hardwood.functions import text as X
 from hardwood.functions.text import split_at_dash
 from hardwood.functions.arrays import rows_as_json
 from hardwood.plans import profile as PR
@@ -250,3 +251,57 @@ def shot_identity(t):
 def profile_json(t):
     p = _stored_profile(t).select("league", "season", "team", "dimension", "category", "off_n", "off_ppp_pctl")
     return rows_as_json(p, ["league", "season", "team"], ["dimension", "category"])
+
+
+@query(
+    "team_profile", ("pbp",),
+    PROFILE + LABELS + f" SELECT * FROM ({_SHOWN}) q WHERE team = 'T03' AND bulletable",
+)
+def team_profile(t):
+    """One team's lines, those fit for bullets."""
+    p = _stored_profile(t)
+    out = SC.team_profile(p, "T03", SC.population_size(p), F.lit("national"), SC.default_labels(t.spark), SC.default_headers(t.spark), bulletable_only=True)
+    return out.select("league", "season", "team", "dimension", "category", "label", "bulletable", "meta", "rank", "def_display_percentile")
+
+
+@query(
+    "attack_card", ("pbp",),
+    PROFILE + """ SELECT u.league, u.season, u.team, t.team AS opponent, u.dimension, u.category, u.unit, u.source, u.off_n AS poss, u.off_freq AS freq, u.off_ppp AS ppp, u.off_ppp_pctl AS ppp_percentile,
+        t.def_ppp, t.def_ppp_pctl AS def_ppp_percentile FROM prof u JOIN prof t ON t.league = u.league AND t.season = u.season AND t.dimension = u.dimension AND t.category = u.category
+      WHERE u.team = 'T03' AND t.team = 'T07' AND u.dimension IN ('shot_zone', 'context')""",
+)
+def attack_card(t):
+    """One team's offence against another's defence, whether they meet or not."""
+    return SC.attack_index_card(_stored_profile(t), "T03", "T07", ["shot_zone", "context"])
+
+
+@query(
+    "dimension_list", ("pbp",),
+    PROFILE + LABELS + """, hd AS (SELECT * FROM (VALUES ('context', true), ('shot_zone', true), ('ball_security', false), ('creation', true)) v(dimension, ppp_meaningful)),
+      sz AS (SELECT dimension, category, count(DISTINCT team) AS teams FROM prof WHERE off_n IS NOT NULL GROUP BY 1, 2)
+      SELECT lab.dimension, lab.category, display_label, bulletable, ppp_meaningful, coalesce(teams, 0) AS teams
+      FROM lab JOIN hd ON hd.dimension = lab.dimension LEFT JOIN sz ON sz.dimension = lab.dimension AND sz.category = lab.category""",
+)
+def dimension_list(t):
+    """What can be asked for, and how many teams have it."""
+    held = _stored_profile(t).where("off_n IS NOT NULL").groupBy("dimension", "category").agg(F.countDistinct("team").alias("teams"))
+    listed = SC.dimensions(SC.default_labels(t.spark), SC.default_headers(t.spark)).join(held, ["dimension", "category"], "left")
+    return listed.select("dimension", "category", "display_label", "bulletable", "ppp_meaningful", F.coalesce("teams", F.lit(0)).alias("teams"))
+
+
+@query(
+    "standing_modes", ("pbp", "schedule"),
+    PROFILE + """, n AS (SELECT count(*) AS n FROM (SELECT home_id AS t FROM schedule UNION SELECT away_id FROM schedule) q),
+      s AS (SELECT *, cast(round_even(n - off_ppp_pctl * (n - 1) / 100e0, 0) AS int) AS place, cast(round_even(n - (100 - def_ppp_pctl) * (n - 1) / 100e0, 0) AS int) AS def_place FROM prof, n)
+      SELECT league, season, team, dimension, category, """ + _STANDS("place", "cast(off_ppp_pctl AS int)", False) + " AS auto, " + _STANDS("place", "cast(off_ppp_pctl AS int)", False, 10**9)
+    + " AS as_rank, " + _STANDS("def_place", "100 - cast(def_ppp_pctl AS int)", True, 0) + " AS defended FROM s",
+)
+def standing_modes(t):
+    """Standings in a population as large as the schedule's, which shows percentiles; as ranks; and of the defence as percentiles."""
+    p = SC.profile_rows(_stored_profile(t))
+    n = t.schedule.select(F.explode(F.array("home_id", "away_id")).alias("x")).agg(F.countDistinct("x").cast("int").alias("n"))
+    stand = lambda c, mode, **kw: X.standing(c, F.col("n"), F.lit("league"), mode, **kw)
+    return p.join(F.broadcast(n)).select(
+        "league", "season", "team", "dimension", "category", stand("ppp_percentile", "auto").alias("auto"), stand("ppp_percentile", "rank").alias("as_rank"),
+        stand(X.flip_percentile("def_ppp_percentile"), "percentile", defense=True).alias("defended"),
+    )

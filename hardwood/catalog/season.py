@@ -153,3 +153,25 @@ def scheduled_teams(t):
 )
 def resolved(t):
     return resolve_games(t.schedule, "t17", "1996-01-01", "1997-06-30")
+
+
+_ASKED = [
+    ("national", None, None), ("asia", None, None), ("conference", "t3", None), ("lakes", None, "wbb"), ("lakes", None, "nba"), ("atlantis", None, None), ("conference", "t9999", None),
+]
+
+
+@query(
+    "population_report", ("schedule",),
+    _CONF + """, known AS (SELECT string_agg(key, ', ' ORDER BY key) AS k FROM (SELECT DISTINCT conf AS key FROM tc WHERE conf IS NOT NULL UNION SELECT 'lakes') q)
+      SELECT 'national' AS population, NULL::varchar AS team, NULL::varchar AS league, count(*) AS teams, NULL::varchar AS unresolved, NULL::varchar AS error FROM tc
+      UNION ALL SELECT 'asia', NULL, NULL, count(*), NULL, NULL FROM tc WHERE regexp_matches(conf, 'asia', 'i')
+      UNION ALL SELECT 'conference', 't3', NULL, count(*), NULL, NULL FROM tc WHERE conf = (SELECT conf FROM tc WHERE team = 'T3')
+      UNION ALL SELECT 'lakes', NULL, 'wbb', count(*), (SELECT string_agg(x, ', ' ORDER BY x) FROM (SELECT unnest(['Team 1', 'Team 7', 'Team 12', 'Nowhere College']) AS x) q WHERE x NOT IN (SELECT name FROM tc)), NULL
+        FROM tc WHERE name IN ('Team 1', 'Team 7', 'Team 12')
+      UNION ALL SELECT 'lakes', NULL, 'nba', 0, NULL, 'list ''lakes'' is of league ''wbb'', not ''nba'''
+      UNION ALL SELECT 'atlantis', NULL, NULL, 0, NULL, concat('no team in ''atlantis''; there are: ', k) FROM known
+      UNION ALL SELECT 'conference', 't9999', NULL, 0, NULL, 'no team ''t9999'' in the schedule'""",
+)
+def population_report(t):
+    """Populations that are found, with schools that aren't, and the errors of those that can't be."""
+    return SE.population_report(t.schedule, _ASKED, _custom(t))

@@ -6,11 +6,11 @@ from pyspark.sql import functions as F
 
 from hardwood.catalog.registry import query
 from hardwood.functions.metrics import quadrant
-from hardwood.operators.aggregates import aggregate_games, axis_half_width
+from hardwood.operators.aggregates import aggregate_games, axis_half_width, reconcile
 from hardwood.operators.filters import (
     drop_nonstandard, keep_members, season_type_filter, valid_team_games,
 )
-from hardwood.operators.pairing import malformed_games, pair_opponents, pair_two_sided
+from hardwood.operators.pairing import malformed_games, pair_opponents, pair_two_sided, two_sides_of
 from hardwood.plans import teams
 
 RATINGS = [
@@ -275,25 +275,27 @@ def chart_frame(t):
 
 
 @query(
-    "reconcile_two_paths", ("team_box",),
-    f""", prs AS ({pairs_sql('team_box')}),
-        a AS (SELECT team_id, sum(pts) AS pts, sum(opp_pts) AS opp_pts, count(*) AS n FROM prs GROUP BY team_id),
-        b AS (SELECT opp_team_id AS team_id, sum(opp_pts) AS pts, sum(pts) AS opp_pts, count(*) AS n FROM prs GROUP BY opp_team_id)
-        SELECT count(*) AS teams, max(abs(a.pts - b.pts)) AS max_pts_diff, max(abs(a.opp_pts - b.opp_pts)) AS max_opp_diff,
-               max(abs(a.n - b.n)) AS max_games_diff FROM a JOIN b ON a.team_id = b.team_id""",
+    "reconcile_two_paths", ("team_box", "schedule"),
+    f""", prs AS ({pairs_sql('team_box')}), pr2 AS (SELECT p.*, b.season FROM prs p JOIN (SELECT DISTINCT game_id, season FROM team_box) b ON b.game_id = p.game_id),
+        a AS (SELECT season, team_id, sum(pts) AS pts, sum(opp_pts) AS opp_pts, count(*) AS games FROM pr2 GROUP BY 1, 2),
+        b AS (SELECT season, team_id, sum(pts) AS pts, sum(opp) AS opp_pts, count(*) AS games FROM (SELECT season, home_id AS team_id, home_score AS pts, away_score AS opp FROM schedule WHERE status_type_completed
+              UNION ALL SELECT season, away_id, away_score, home_score FROM schedule WHERE status_type_completed) q GROUP BY 1, 2)
+        SELECT coalesce(a.season, b.season) AS season, coalesce(a.team_id, b.team_id) AS team_id, a.pts, a.opp_pts, a.games, b.pts AS pts_other, b.opp_pts AS opp_pts_other, b.games AS games_other,
+          greatest(coalesce(abs(a.pts - b.pts), 0), coalesce(abs(a.opp_pts - b.opp_pts), 0), coalesce(abs(a.games - b.games), 0)) AS gap,
+          CASE WHEN b.team_id IS NULL THEN 'first only' WHEN a.team_id IS NULL THEN 'second only' WHEN a.pts = b.pts AND a.opp_pts = b.opp_pts AND a.games = b.games THEN 'agrees'
+               ELSE concat('differs: ', concat_ws(', ', CASE WHEN a.pts <> b.pts THEN 'pts' END, CASE WHEN a.opp_pts <> b.opp_pts THEN 'opp_pts' END, CASE WHEN a.games <> b.games THEN 'games' END)) END AS reason
+        FROM a FULL JOIN b ON a.season = b.season AND a.team_id = b.team_id""",
 )
 def reconcile_two_paths(t):
-    """Team totals seen from both sides of the pairing: the largest differences."""
-    p = pair_two_sided(t.team_box)
-    a = p.groupBy("team_id").agg(F.sum("pts").alias("a_pts"), F.sum("opp_pts").alias("a_opp"), F.count(F.lit(1)).alias("a_n"))
-    b = p.groupBy(F.col("opp_team_id").alias("team_id")).agg(
-        F.sum("opp_pts").alias("b_pts"), F.sum("pts").alias("b_opp"), F.count(F.lit(1)).alias("b_n")
+    """Season totals of each team from the paired box scores against those of the completed games of the schedule."""
+    p = pair_two_sided(t.team_box, carry=["season"]).groupBy("season", "team_id").agg(
+        F.sum("pts").alias("pts"), F.sum("opp_pts").alias("opp_pts"), F.count(F.lit(1)).alias("games")
     )
-    gap = lambda x, y: F.max(F.abs(F.col(x) - F.col(y)))
-    return a.join(b, "team_id").agg(
-        F.count(F.lit(1)).alias("teams"), gap("a_pts", "b_pts").alias("max_pts_diff"),
-        gap("a_opp", "b_opp").alias("max_opp_diff"), gap("a_n", "b_n").alias("max_games_diff"),
+    sides = two_sides_of(t.schedule.where("status_type_completed"), ["season"], ["id", "score"])
+    s = sides.groupBy("season", F.col("id").alias("team_id")).agg(
+        F.sum("score").alias("pts"), F.sum("opp_score").alias("opp_pts"), F.count(F.lit(1)).alias("games")
     )
+    return reconcile(p, s, ["season", "team_id"], ["pts", "opp_pts", "games"])
 
 
 _TEAM_GAME = """, tg AS (SELECT season, game_id, team_id, sum(minutes) AS minutes, sum(fgm) AS fgm, sum(fga) AS fga, sum(fg3m) AS fg3m,

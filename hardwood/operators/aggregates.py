@@ -116,3 +116,24 @@ def leader_probability(margin) -> Column:
 def axis_half_width(values: Sequence[Column], headroom: float = 1.15) -> Column:
     """Half width of a chart window: largest deviation from the mean with headroom, up to a half."""
     return F.ceil(F.greatest(*values) * headroom * 2) / 2
+
+
+def reconcile(left: DataFrame, right: DataFrame, keys: Sequence[str], measures: Sequence[str], tolerance: float = 1e-9) -> DataFrame:
+    """Two independently made tables side by side: keys, each measure of both, the largest gap and why a row doesn't agree.
+
+    A full outer join (NULL keys are equal), so a row that only one side has is shown and not lost.
+    """
+    c = F.col
+    named = right.select(*[c(k).alias(f"_{k}") for k in keys], *[c(m).alias(f"{m}_other") for m in measures], F.lit(True).alias("_right"))
+    both = left.select(*keys, *measures, F.lit(True).alias("_left")).join(named, [c(k).eqNullSafe(c(f"_{k}")) for k in keys], "full")
+    gaps = {m: F.abs(c(m) - c(f"{m}_other")) for m in measures}
+    far = lambda m: F.coalesce(gaps[m] > tolerance, c(m).isNotNull() | c(f"{m}_other").isNotNull())
+    differing = F.array_join(F.array_compact(F.array(*[F.when(far(m), F.lit(m)) for m in measures])), ", ")
+    reason = (
+        F.when(c("_right").isNull(), "first only").when(c("_left").isNull(), "second only")
+        .when(differing != "", F.concat(F.lit("differs: "), differing)).otherwise("agrees")
+    )
+    return both.select(
+        *[F.coalesce(k, f"_{k}").alias(k) for k in keys], *measures, *[f"{m}_other" for m in measures],
+        F.greatest(*gaps.values(), F.lit(0.0)).alias("gap"), reason.alias("reason"),
+    )

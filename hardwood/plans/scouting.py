@@ -120,8 +120,12 @@ def display_rows(
     })
 
 
-def team_profile(profile, team: str, pop_n, population, labels, headers, bulletable_only: bool = False) -> DataFrame:
-    out = display_rows(profile_rows(profile).where(F.col("team") == team), pop_n, population, labels, headers)
+def team_profile(profile, team: str, sizes: DataFrame, population, labels, headers, bulletable_only: bool = False) -> DataFrame:
+    """Display lines of one team; `sizes` has the population of each league season (`population_size`). An unknown team is an error."""
+    rows = profile_rows(profile).where(F.col("team") == team)
+    if rows.isEmpty():
+        raise LookupError(f"no profile rows for {team!r}")
+    out = display_rows(rows.join(sizes, scope_of(profile)), F.col("pop_n"), population, labels, headers)
     if bulletable_only:
         out = out.where("bulletable")
     return out.orderBy("dimension", F.desc("freq"))
