@@ -6,6 +6,7 @@ are the ids of the whole text. Words repeat, so most pieces come from the memory
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from functools import lru_cache
@@ -46,6 +47,17 @@ MARK = "\0"
 #: Pieces whose ids don't depend on a mark before or after them.
 _PLAIN_KEEPING = re.compile(r"(?:[ \n](?=\S)|(?=[^\W\d_]))[^\0]*[^\0\s]")
 _PLAIN_DROPPING = re.compile(r"[^\0]+")
+#: A word whose pieces are its letters and perhaps one mark after them, and which NFC leaves as it is.
+_WORD = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]?)")
+
+
+def byte_characters() -> dict[int, int]:
+    """The character that stands for each byte in byte-level vocabularies: printable ones for themselves, the others from 256 on."""
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = [b for b in range(256) if b not in shown]
+    return {b: b for b in shown} | {b: 256 + i for i, b in enumerate(others)}
+
+
 #: Pieces joined to one text for the library, which takes many such texts in one call without their offsets.
 TOGETHER = 100
 
@@ -64,6 +76,8 @@ class CachedEncoder:
         keeping = cut is cut_keeping_spaces
         self.plain, self.join = (_PLAIN_KEEPING, MARK) if keeping else (_PLAIN_DROPPING, f" {MARK} ")
         self.mark = self._ids(MARK)
+        self.model, self.characters, self.ends = self.tokenizer.model, byte_characters(), {"": []}
+        self.by_model = not keeping and self._splits_words()
         self._begin(limit, longest)
 
     def _begin(self, limit: int, longest: int) -> None:
@@ -74,6 +88,24 @@ class CachedEncoder:
         self.sizes = np.zeros(1 << 12, np.int64)
         self.used = self.count = 0
 
+    def _splits_words(self) -> bool:
+        """Whether the library lower-cases (after NFC), parts letters from the rest and goes on with bytes: then the letters of a
+        word can go to the library's model without the steps before it, which cost more than the model."""
+        steps = json.loads(self.tokenizer.to_str())
+        normal, pre = steps["normalizer"] or {}, steps["pre_tokenizer"] or {}
+        first = (pre.get("pretokenizers") or [{}])[0]
+        return (
+            [n["type"] for n in normal.get("normalizers", [])] == ["NFC", "Replace", "Lowercase"] and [n["type"] for n in pre.get("pretokenizers", [])] == ["Split", "ByteLevel"]
+            and "|[\\p{L}]+|" in first["pattern"].get("Regex", "") and first["behavior"] == "Removed" and first["invert"]
+        )
+
+    def _of_word(self, letters: str, end: str) -> list[int]:
+        """Ids of a `_WORD`."""
+        if end not in self.ends:
+            self.ends[end] = self._ids(end).tolist()
+        spelled = letters.lower().encode().decode("latin-1").translate(self.characters)
+        return [t.id for t in self.model.tokenize(spelled)] + self.ends[end]
+
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
 
@@ -93,6 +125,12 @@ class CachedEncoder:
     def _add(self, pieces: list[str]) -> dict[str, int]:
         """Encode the pieces, most of them many in one call, and say where each one's ids are."""
         found: dict[str, int] = {}
+        if self.by_model:
+            spelled = [(p, m) for p in pieces if len(p) <= self.longest and (m := _WORD.fullmatch(p))]
+            ids = [self._of_word(m[1], m[2]) for _, m in spelled]
+            found |= zip((p for p, _ in spelled), range(self.count, self.count + len(ids)))
+            self._store(np.array([i for x in ids for i in x], np.uint32), np.fromiter(map(len, ids), np.int64, len(ids)))
+            pieces = [p for p in pieces if p not in found]
         plain = [p for p in pieces if len(p) <= self.longest and self.plain.fullmatch(p)] if len(self.mark) == 1 else []
         parts = [plain[low : low + TOGETHER] for low in range(0, len(plain), TOGETHER)]
         coded = self.tokenizer.encode_batch_fast([self.join.join(p) for p in parts], add_special_tokens=False) if parts else []
