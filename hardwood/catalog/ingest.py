@@ -13,16 +13,16 @@ CUT = "2000-06-30"
 
 @query(
     "standardize_contract", ("team_box",),
-    """ SELECT cast(l_orderkey AS varchar) AS game_id, cast(l_suppkey AS varchar) AS team_id, sum(l_quantity) AS fga, count(*) AS fgm, sum(l_tax * 0) AS pts FROM lineitem GROUP BY 1, 2""",
+    """ SELECT cast(l_orderkey AS varchar) AS game_id, cast(l_suppkey AS varchar) AS team_id, sum(l_quantity) AS fga, sum(l_extendedprice) AS pts FROM lineitem GROUP BY 1, 2""",
 )
 def standardize_contract(t):
     """Upper-case source names, a mapping with an absent entry, text ids."""
     raw = t.lineitem.toDF(*[c.upper() for c in t.lineitem.columns])
     std = contract.standardize(
-        raw, {"L_ORDERKEY": "game_id", "L_SUPPKEY": "team_id", "L_QUANTITY": "fga", "NO_SUCH": "fta"}, required=["fga"]
+        raw, {"L_ORDERKEY": "game_id", "L_SUPPKEY": "team_id", "L_QUANTITY": "fga", "L_EXTENDEDPRICE": "pts", "NO_SUCH": "fta"}, required=["fga", "pts"]
     )
     return contract.ids_as_text(std).groupBy("game_id", "team_id").agg(
-        F.sum("fga").alias("fga"), F.count(F.lit(1)).alias("fgm"), F.sum(F.col("l_tax") * 0).alias("pts")
+        F.sum("fga").alias("fga"), F.sum("pts").alias("pts"),
     )
 
 

@@ -317,10 +317,10 @@ def name_suggestions(t):
 
 @query(
     "team_lookup", ("schedule",),
-    """, n AS (SELECT DISTINCT home_display_name AS team_name FROM schedule),
+    """, n AS (SELECT home_display_name AS team_name FROM schedule UNION SELECT away_display_name FROM schedule),
        m AS (SELECT team_name, lower(team_name) = 'team 1' AS exact FROM n WHERE contains(lower(team_name), 'team 1'))
        SELECT team_name FROM m WHERE exact OR NOT (SELECT bool_or(exact) FROM m)""",
 )
 def team_lookup(t):
-    names = t.schedule.select(F.col("home_display_name").alias("team_name")).distinct()
+    names = t.schedule.select(F.explode(F.array("home_display_name", "away_display_name")).alias("team_name")).distinct()
     return find_team(names, "Team 1")

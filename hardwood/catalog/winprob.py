@@ -232,14 +232,49 @@ def winprob_predict_given(t):
     TRAIN + f""", f AS (SELECT *, coalesce(ft_shots_remaining, 0) AS k, sqrt(cast(greatest(secs_left_game, 0) AS double)) AS t FROM good WHERE secs_left_game IS NOT NULL)
       SELECT concat_ws('|', game_id, idx, state_type, state, ball_team) AS situation_id, round(CASE WHEN secs_left_game <= 0 AND k = 0 THEN CASE WHEN ball_margin > 0 THEN 1 WHEN ball_margin < 0 THEN 0
           ELSE ({_given_sql('0e0', 'spread_ball', 'sqrt(300e0)')} + 1 - {_given_sql('0e0', '-spread_ball', 'sqrt(300e0)')}) / 2 END
-        WHEN k = 0 THEN {_given_trip(0, 0)} WHEN k = 1 THEN {_given_trip(0, 1)} WHEN k = 2 THEN {_given_trip(0, 2)} WHEN k = 3 THEN {_given_trip(0, 3)} END, 8) AS win_prob FROM f""",
+        WHEN k = 0 AND idx % 3 = 0 THEN 1 - {_given_sql('-ball_margin', '-spread_ball', 't')} WHEN k = 0 THEN {_given_trip(0, 0)} WHEN k = 1 THEN {_given_trip(0, 1)} WHEN k = 2 THEN {_given_trip(0, 2)} WHEN k = 3 THEN {_given_trip(0, 3)} END, 8) AS win_prob FROM f""",
 )
 def winprob_calculator_given(t):
-    """The batch calculator's rules on a given surface."""
+    """The batch calculator's rules on a given surface; a third of the moments are taken as the side without the ball."""
     rows = _training(t)[0].where(F.col("secs_left_game").isNotNull())
+    with_ball = (F.coalesce("ft_shots_remaining", F.lit(0)) > 0) | (F.col("idx") % 3 != 0)
     s = rows.select(
         F.concat_ws("|", "game_id", "idx", "state_type", "state", "ball_team").alias("situation_id"), F.col("secs_left_game").alias("secs"),
-        F.col("ball_margin").cast("double").alias("ball_margin"), "spread_ball", F.lit(True).alias("has_ball"),
+        F.col("ball_margin").cast("double").alias("ball_margin"), "spread_ball", with_ball.alias("has_ball"),
         F.coalesce("ft_shots_remaining", F.lit(0)).alias("ft_shots"),
     )
     return WP.score_situations(materialize(s), _given(t)).select("situation_id", F.round("win_prob", 8).alias("win_prob"))
+
+
+_MARGINS, _SECONDS = (-10, -5, -2, 0, 2, 5, 10), (5, 30, 60, 120, 300, 600, 1200, 2400)
+
+
+@query(
+    "winprob_surface_given", ("pbp",),
+    TRAIN + f", sp AS (SELECT round(avg(spread_ball), 4) AS s FROM ft2) SELECT secs, "
+    + ", ".join(f"round({_given_sql(f'{m}e0', 's', 'sqrt(secs::double)')}, 8) AS \"m{m}\"" for m in _MARGINS) + f" FROM (SELECT unnest({list(_SECONDS)}) AS secs) q, sp",
+)
+def winprob_surface_given(t):
+    """The situation surface at the mean spread of the training moments, from a given surface."""
+    spread = _features(t).agg(F.round(F.avg("spread_ball"), 4).alias("s")).first().s
+    grid = WP.predict(WP.situation_surface(t.spark, _MARGINS, _SECONDS, spread), _given(t)).withColumn("p", F.round("p", 8))
+    named = grid.withColumn("m", F.format_string("m%d", F.col("ball_margin").cast("int")))
+    return to_wide(named, ["secs"], "m", [f"m{m}" for m in _MARGINS], "p")
+
+
+def _vertices_sql() -> str:
+    axis = lambda a, i: f"(SELECT unnest(range({len(WP.AXES[a]['vertices'])})) AS {i}, unnest({WP.AXES[a]['vertices']}) AS v{i})"
+    return f"vx AS (SELECT i, j, k, vi, vj, vk FROM {axis('t', 'i')} a, {axis('ball_margin', 'j')} b, {axis('spread_ball', 'k')} c)"
+
+
+@query(
+    "winprob_bandwidth", ("pbp",),
+    TRAIN + f""", bi AS ({BINS}), {_vertices_sql()},
+      ds AS (SELECT i, j, k, n, sqrt((t - vi) * (t - vi) + (ball_margin - vj) * (ball_margin - vj) + (spread_ball - vk) * (spread_ball - vk)) AS d FROM vx, bi),
+      cu AS (SELECT i, j, k, d, sum(n) OVER (PARTITION BY i, j, k ORDER BY d) AS upto, (SELECT sum(n) FROM bi) AS total FROM ds)
+      SELECT i, j, k, round(greatest(min(d) FILTER (upto >= 0.1e0 * total) * 1.0001e0, 1e-6), 6) AS h FROM cu GROUP BY 1, 2, 3""",
+)
+def winprob_bandwidth(t):
+    """How far each vertex of the fit reaches."""
+    rows = _features(t).withColumn("spread_ball", F.round("spread_ball", 9))
+    return WP.fit_vertices(WP.binned(rows)).select("i", "j", "k", F.round("h", 6).alias("h"))

@@ -7,7 +7,8 @@ gets its own weighted local fit in parallel; prediction is a join on grid cells.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+import math
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
@@ -29,8 +30,6 @@ AXES = {
     "ball_margin": {"bin": 1.0, "vertices": [-40.0, -25.0, -15.0, -10.0, *[float(m) for m in range(-6, 7)], 10.0, 15.0, 25.0, 40.0]},
     "spread_ball": {"bin": 3.0, "vertices": [-30.0, -18.0, -9.0, 0.0, 9.0, 18.0, 30.0]},
 }
-#: Free throws of one trip that the calculator values; more give no value.
-MAX_TRIP = 6
 
 
 def event_games(ev: DataFrame) -> DataFrame:
@@ -107,12 +106,17 @@ def vertex_table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "i int, j int, k int, t double, ball_margin double, spread_ball double")
 
 
-def local_logit(x: np.ndarray, n: np.ndarray, wins: np.ndarray, at: np.ndarray, nn: float) -> float:
-    """Local quadratic logistic value at one point from binned counts (tricube, nearest share nn)."""
-    d = np.sqrt(((x - at) ** 2).sum(axis=1))
+def bandwidth(d: np.ndarray, n: np.ndarray, nn: float) -> float:
+    """The distance within which the share nn of all moments lies, and a little more."""
     order = np.argsort(d, kind="stable")
     reach = np.searchsorted(np.cumsum(n[order]), nn * n.sum())
-    h = max(d[order[min(reach, len(d) - 1)]] * 1.0001, 1e-6)
+    return max(d[order[min(reach, len(d) - 1)]] * 1.0001, 1e-6)
+
+
+def local_logit(x: np.ndarray, n: np.ndarray, wins: np.ndarray, at: np.ndarray, nn: float) -> tuple[float, float]:
+    """Local quadratic logistic value at one point from binned counts (tricube, nearest share nn), and the bandwidth."""
+    d = np.sqrt(((x - at) ** 2).sum(axis=1))
+    h = bandwidth(d, n, nn)
     near = d < h
     w = n[near] * (1 - (d[near] / h) ** 3) ** 3
     z = (x[near] - at) / h
@@ -136,35 +140,38 @@ def local_logit(x: np.ndarray, n: np.ndarray, wins: np.ndarray, at: np.ndarray,
         beta = beta + np.clip(step, -2, 2)
         if np.abs(step).max() < 1e-8:
             break
-    return float(1 / (1 + np.exp(-np.clip(beta[0], -12, 12))))
+    return float(1 / (1 + np.exp(-np.clip(beta[0], -12, 12)))), float(h)
+
+
+#: Parts that the vertices of a fit are dealt into; each part gets all bins, which the grid bounds.
+FIT_PARTS = 16
 
 
 def fit_vertices(bins: DataFrame, nn: Sequence[float] = (0.1,), folds: int | None = None) -> DataFrame:
-    """Fitted probability per vertex, neighbourhood share and (when folds are given) left-out fold.
+    """Fitted probability p and bandwidth h per vertex, neighbourhood share and (when folds are given) left-out fold.
 
-    The bins bound the counts (minutes, points and spread steps of a game, for each fold), so they travel to the tasks as a
-    constant; the vertices are what is spread over the cluster.
+    The bins bound the counts (minutes, points and spread steps of a game, for each fold). Vertices and bins meet part by part
+    in the tasks; nothing goes through the driver.
     """
     spark = bins.sparkSession
-    cols = ["t", "ball_margin", "spread_ball", "n", "wins"]
-    counts = bins.select(*([F.col("fold")] if folds else [F.lit(-1).alias("fold")]), *cols).toPandas()
-    shared = spark.sparkContext.broadcast({c: counts[c].to_numpy() for c in ["fold", *cols]})
+    counts = bins.select(*([F.col("fold")] if folds else [F.lit(-1).alias("fold")]), "t", "ball_margin", "spread_ball", "n", "wins")
+    counts = counts.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(FIT_PARTS - 1))))
     jobs = vertex_table(spark).withColumn("nn", F.explode(F.array(*[F.lit(float(x)) for x in nn])))
     jobs = jobs.withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(folds - 1))) if folds else F.lit(-1))
-
-    def fit(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        g = shared.value
-        x = np.column_stack([g["t"], g["ball_margin"], g["spread_ball"]]).astype(float)
-        n, wins, fold = g["n"].astype(float), g["wins"].astype(float), g["fold"]
-        for pdf in parts:
-            p = []
-            for r in pdf.itertuples(index=False):
-                use = fold != r.fold if r.fold >= 0 else np.ones(len(n), dtype=bool)
-                p.append(local_logit(x[use], n[use], wins[use], np.array([r.t, r.ball_margin, r.spread_ball]), r.nn))
-            yield pdf.assign(p=p)
-
-    return jobs.repartition(max(8, spark.sparkContext.defaultParallelism), "i", "j", "k", "nn", "fold").mapInPandas(
-        fit, "i int, j int, k int, t double, ball_margin double, spread_ball double, nn double, fold int, p double"
+    jobs = jobs.withColumn("_part", F.pmod(F.xxhash64("i", "j", "k", "nn", "fold"), F.lit(FIT_PARTS)).cast("int"))
+
+    def fit(asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+        held = held.sort_values(["fold", "t", "ball_margin", "spread_ball"])
+        x = held[["t", "ball_margin", "spread_ball"]].to_numpy(float)
+        n, wins, fold = held["n"].to_numpy(float), held["wins"].to_numpy(float), held["fold"].to_numpy()
+        out = []
+        for r in asked.itertuples(index=False):
+            use = fold != r.fold if r.fold >= 0 else np.ones(len(n), dtype=bool)
+            out.append(local_logit(x[use], n[use], wins[use], np.array([r.t, r.ball_margin, r.spread_ball]), r.nn) if use.any() else (None, None))
+        return asked.drop(columns="_part").assign(p=[o[0] for o in out], h=[o[1] for o in out])
+
+    return jobs.groupBy("_part").cogroup(counts.groupBy("_part")).applyInPandas(
+        fit, "i int, j int, k int, t double, ball_margin double, spread_ball double, nn double, fold int, p double, h double"
     )
 
 
@@ -251,10 +258,11 @@ def free_throw_value(with_ball: Callable[[Column], Column], without: Callable[[C
 def score_situations(situations: DataFrame, vertices: DataFrame) -> DataFrame:
     """Win probability of (situation_id, secs, ball_margin, spread_ball, has_ball, ft_shots) rows.
 
-    The margins a situation can reach (one for each free throw, up to MAX_TRIP; no value beyond) are looked up with and without the ball, then
+    The margins a situation can reach (one for each free throw) are looked up with and without the ball, then
     combined; decided and level games at zero seconds follow exact rules.
     """
     c = F.col
+    longest = situations.agg(F.max("ft_shots").alias("n")).first().n or 0
     step = F.explode(F.sequence(F.lit(0), F.coalesce(c("ft_shots"), F.lit(0))))
     asked = situations.withColumn("_j", step).select(
         "situation_id", "_j", F.inline(F.array(
@@ -271,22 +279,23 @@ def score_situations(situations: DataFrame, vertices: DataFrame) -> DataFrame:
     ).withColumn("p", F.when(c("_k") == "n", 1 - c("p")).otherwise(c("p")))
     name = lambda k, j: f"_{k}{'o' if j < 0 else j}"
     wide = looked.groupBy("situation_id").agg(*[
-        F.max(F.when((c("_k") == k) & (c("_j") == j), c("p"))).alias(name(k, j)) for k in ("w", "n") for j in range(-1, MAX_TRIP + 1)
+        F.max(F.when((c("_k") == k) & (c("_j") == j), c("p"))).alias(name(k, j)) for k in ("w", "n") for j in range(-1, longest + 1)
     ])
     at = lambda k: (lambda m: c(name(k, m)))
 
+    def last(j: int) -> Column:
+        """The last free throw, after j made ones."""
+        return FT_MAKE * at("n")(j + 1) + (1 - FT_MAKE) * (FT_OREB_KEEP * at("w")(j) + (1 - FT_OREB_KEEP) * at("n")(j))
+
     def ft(shots: int) -> Column:
-        # margins are offsets here, so the recursion reads the looked-up columns
-        def value(j: int, s: int) -> Column:
-            if s <= 1:
-                return FT_MAKE * at("n")(j + 1) + (1 - FT_MAKE) * (FT_OREB_KEEP * at("w")(j) + (1 - FT_OREB_KEEP) * at("n")(j))
-            return FT_MAKE * value(j + 1, s - 1) + (1 - FT_MAKE) * value(j, s - 1)
-        return value(0, shots)
+        # the free throws before the last one only move the margin: binomial counts of made ones
+        n = shots - 1
+        return sum((math.comb(n, m) * FT_MAKE**m * (1 - FT_MAKE) ** (n - m) * last(m) for m in range(n + 1)), F.lit(0.0))
 
     live = F.when(~c("has_ball"), c("_n0"))
-    for s in range(1, MAX_TRIP + 1):
+    for s in range(1, longest + 1):
         live = live.when(c("ft_shots") == s, ft(s))
-    live = live.when(c("ft_shots") > MAX_TRIP, None).otherwise(c("_w0"))
+    live = live.otherwise(c("_w0"))
     done = (c("secs") <= 0) & (F.coalesce(c("ft_shots"), F.lit(0)) == 0)
     p = (
         F.when(done & (c("ball_margin") > 0), 1.0).when(done & (c("ball_margin") < 0), 0.0)
