@@ -40,7 +40,7 @@ _LAST = np.iinfo(np.int64).max
 
 
 def _pack_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    squeeze = zstandard.ZstdCompressor(level=3).compress
+    squeeze = zstandard.ZstdCompressor(level=6).compress
     task, number = TaskContext.get().partitionId(), 0
     ids: list[int | None] = []
     parts: list[bytes] = []
@@ -254,7 +254,7 @@ def same_string(words: np.ndarray, one: np.ndarray, other: np.ndarray) -> np.nda
 
 
 def groups_of(words: np.ndarray, at: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each place the smallest key of all places with the same string, by sorting; and a check that fingerprints of different strings differ."""
+    """For each place the smallest key of all places with the same fingerprint, by sorting; and of those that share one, whether their strings are equal."""
     h = prints(words, at, LENGTH)
     order = np.argsort(h)
     sorted_h = h[order]
@@ -262,13 +262,13 @@ def groups_of(words: np.ndarray, at: np.ndarray, key: np.ndarray) -> tuple[np.nd
     size = np.diff(first, append=len(at))
     least = np.empty(len(at), key.dtype)
     least[order] = np.repeat(np.minimum.reduceat(key[order], first), size)
-    lead = np.empty(len(at), np.int64)
-    lead[order] = np.repeat(order[first], size)
-    return least, same_string(words, at, at[lead])
+    shared = np.repeat(size > 1, size)
+    mine, lead = at[order[shared]], at[np.repeat(order[first], size)[shared]]
+    return least, same_string(words, mine, lead)
 
 
 def smallest(words: np.ndarray, at: np.ndarray, key: np.ndarray) -> np.ndarray:
-    """As `groups_of`, by the bytes themselves where fingerprints meet."""
+    """For each place the smallest key of all places with the same string; by the bytes themselves where fingerprints of different strings meet."""
     least, right = groups_of(words, at, key)
     if right.all():
         return least
