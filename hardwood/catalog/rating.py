@@ -204,3 +204,30 @@ def rating_board(t):
     names = t.schedule.groupBy(F.col("home_id").alias("team")).agg(F.max_by("home_display_name", "game_date").alias("name"))
     b = RT.rating_board(RT.margin_ratings(g), g, names)
     return b.select("team", "name", F.round("rating", 6).alias("rating"), "n_games", "pace", "pace_games")
+
+
+_TUNED = ((1.0, 0.0), (3.0, 0.5), (3.0, 0.9), (10.0, 0.9))
+
+
+def _cell_sql(lam: float, decay: float) -> str:
+    body = MARGIN.removeprefix(", ").replace("0.3e0", f"{lam / 10!r}e0").replace("0.9e0", f"{decay!r}e0")
+    return (
+        f"SELECT {lam!r}e0 AS \"lambda\", {decay!r}e0 AS decay, season, month(date) AS month, actual, spread_home, "
+        f"CASE WHEN season = (SELECT max(season) FROM team_box) THEN 'holdout' ELSE 'tune' END AS split FROM (WITH {body} SELECT * FROM sc WHERE n_home >= 1 AND n_away >= 1) z"
+    )
+
+
+@query(
+    "rating_tune_holdout", ("schedule",),
+    ", al AS (" + " UNION ALL ".join(_cell_sql(*x) for x in _TUNED) + f"""), bc AS (SELECT split, "lambda", decay, {_SCORES} FROM al GROUP BY 1, 2, 3),
+      be AS (SELECT "lambda", decay FROM bc WHERE split = 'tune' ORDER BY rmse, "lambda", decay LIMIT 1), mi AS (SELECT al.* FROM al JOIN be ON be."lambda" = al."lambda" AND be.decay = al.decay),
+      rs AS (SELECT 'cell' AS level, NULL::int AS part, * FROM bc UNION ALL SELECT 'month', cast(month AS int), split, "lambda", decay, {_SCORES} FROM mi GROUP BY month, split, "lambda", decay
+        UNION ALL SELECT 'season', cast(season AS int), split, "lambda", decay, {_SCORES} FROM mi GROUP BY season, split, "lambda", decay)
+      SELECT rs.*, be."lambda" IS NOT NULL AS chosen FROM rs LEFT JOIN be ON be."lambda" = rs."lambda" AND be.decay = rs.decay""",
+)
+def rating_tune_holdout(t):
+    """The margin method over a grid, chosen on all seasons but the last and scored on that one."""
+    g = materialize(_games(t))
+    last = g.agg(F.max("season").alias("s")).first().s
+    out = RT.tune_holdout(g, _TUNED, [last], lambda games, lam, decay: RT.margin_ratings(games, lam, decay))
+    return out.select("level", "split", "lambda", "decay", "part", "n", *[F.round(c, 6).alias(c) for c in ("rmse", "cor", "calib_slope")], "chosen")

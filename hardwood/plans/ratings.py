@@ -8,7 +8,7 @@ summed entries of earlier months, so months and parameter cells run in parallel.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
@@ -363,6 +363,33 @@ def method_report(games: DataFrame, ratings: DataFrame, by: Sequence[str] = ("me
     return scored.groupBy(*by, *extra).agg(*regression_scores("actual", "spread_home"))
 
 
+def tune_holdout(games: DataFrame, cells: Sequence[tuple[float, float]], holdout: Sequence[int], rate: Callable[[DataFrame, float, float], DataFrame]) -> DataFrame:
+    """Scores of each (lambda, decay) cell on tuning and on held-out seasons, and the chosen cell by month and season.
+
+    `rate(games, lambda, decay)` makes a rating table. Only tuning seasons choose (least error, then smaller values). One row per
+    level (cell, month, season), split and part: lambda, decay, part, n, rmse, cor, calib_slope, chosen.
+    """
+    c = F.col
+    scored = None
+    for lam, decay in cells:
+        one = attach_ratings(games, rate(games, lam, decay)).where("n_home >= 1 AND n_away >= 1").select(
+            F.lit(float(lam)).alias("lambda"), F.lit(float(decay)).alias("decay"), "season", F.month("date").alias("month"), "actual", "spread_home",
+            F.when(c("season").isin(list(holdout)), "holdout").otherwise("tune").alias("split"),
+        )
+        scored = one if scored is None else scored.unionByName(one)
+    scored = materialize(scored)
+    scores = regression_scores("actual", "spread_home")
+    by_cell = materialize(scored.groupBy("split", "lambda", "decay").agg(*scores))
+    best = by_cell.where("split = 'tune'").agg(F.min_by(F.struct("lambda", "decay"), F.struct("rmse", "lambda", "decay")).alias("b")).select("b.*")
+    mine = scored.join(F.broadcast(best), ["lambda", "decay"])
+    level = lambda df, name, part: df.select(F.lit(name).alias("level"), "split", "lambda", "decay", part.cast("int").alias("part"), "n", "rmse", "cor", "calib_slope")
+    out = level(by_cell, "cell", F.lit(None))
+    for name in ("month", "season"):
+        out = out.unionByName(level(mine.groupBy("split", "lambda", "decay", name).agg(*scores), name, c(name)))
+    chosen = best.select("lambda", "decay", F.lit(True).alias("_chosen"))
+    return out.join(F.broadcast(chosen), ["lambda", "decay"], "left").withColumn("chosen", F.coalesce("_chosen", F.lit(False))).drop("_chosen")
+
+
 def spread_quantiles(scored: DataFrame, at: Sequence[float] = (0.01, 0.1, 0.5, 0.9, 0.99)) -> DataFrame:
     """Exact quantiles of all spreads; no task holds them all."""
     return exact_quantiles(scored, {f"p{int(q * 100):02d}": ("spread_home", q) for q in at}, [], ["game_id"])
