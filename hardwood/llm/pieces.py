@@ -45,11 +45,13 @@ class Vocabulary:
         self.rank = {self.pieces[i]: k for k, i in enumerate(order)}
         self.longest = max(map(len, self.ids))
         self.unknown = model.unk_id()
-        #: Pieces that merging gives back, and the longest of them with each pair of last characters.
+        #: Pieces that merging gives back, and the lengths they have with each three last characters, longest first.
         self.whole = {p: i for p, i in self.ids.items() if self.merged(p) == [p]}
-        self.reach: dict[str, int] = {}
+        ends: dict[str, set[int]] = {}
         for p in self.whole:
-            self.reach[p[-2:]] = max(len(p), self.reach.get(p[-2:], 1))
+            if len(p) > 2:
+                ends.setdefault(p[-3:], {2, 1}).add(len(p))
+        self.lengths = {e: tuple(sorted(n, reverse=True)) for e, n in ends.items()}
         self._apart: dict[int, bool] = {}
 
     def merged(self, text: str) -> list[str]:
@@ -83,14 +85,15 @@ class StreamingViterbi:
         self.commits = self.peak = 0
 
     def feed(self, part: str) -> list[int]:
-        whole, reach, apart = self.v.whole.get, self.v.reach.get, self.v.apart
+        whole, lengths, apart = self.v.whole.get, self.v.lengths.get, self.v.apart
         out: list[int] = []
         for low in range(0, len(part), STEP):
             self.text += part[low : low + STEP]
             text, back, last = self.text, self.back, self.last
             for end in range(len(last), len(text) + 1):
-                for start in range(max(0, end - reach(text[max(0, end - 2) : end], 1)), end):
-                    piece = whole(text[start:end])
+                for size in lengths(text[max(0, end - 3) : end], (2, 1)):
+                    start = end - size
+                    piece = whole(text[start:end]) if start >= 0 else None
                     if piece is not None and ((one := last[start]) is None or apart(one, piece)):
                         back.append(start)
                         last.append(piece)
@@ -147,7 +150,7 @@ class StreamingViterbi:
 class PieceEncoder(CachedEncoder):
     """Whole texts; parts between safe cuts (before a space mark, around a line end) are remembered."""
 
-    def __init__(self, path: str, limit: int = 400_000, longest: int = 64):
+    def __init__(self, path: str, limit: int = 1_000_000, longest: int = 64):
         self._begin(limit, longest)
         self.v = Vocabulary(path)
         if any(SPACE in p.lstrip(SPACE) or "\n" in p for p in self.v.ids):
