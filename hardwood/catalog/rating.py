@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from hardwood.catalog.registry import query
+from hardwood.operators.filters import rename_columns
 from hardwood.plans import ratings as RT
 from hardwood.schemas import HOME_TERM_EPS
 from hardwood.session import materialize
@@ -206,6 +207,18 @@ def rating_board(t):
     return b.select("team", "name", F.round("rating", 6).alias("rating"), "n_games", "pace", "pace_games")
 
 
+@query(
+    "rating_report", ("schedule",),
+    MARGIN + """ SELECT concat('Team ', mr.team) AS team_name, round(rating, 6) AS net_rating, n_games AS games FROM mr WHERE mr.date = (SELECT max(date) FROM mr)""",
+)
+def rating_report(t):
+    """The board trimmed to a report's columns and names; a column that the board doesn't have is left out."""
+    g = materialize(_games(t))
+    names = t.schedule.groupBy(F.col("home_id").alias("team")).agg(F.max_by("home_display_name", "game_date").alias("name"))
+    board = RT.rating_board(RT.margin_ratings(g), g, names).withColumn("rating", F.round("rating", 6))
+    return rename_columns(board, {"team_name": "name", "net_rating": "rating", "games": "n_games", "coach": "coach"})
+
+
 _TUNED = ((1.0, 0.0), (3.0, 0.5), (3.0, 0.9), (10.0, 0.9))
 
 

@@ -48,9 +48,6 @@ def keep_members(df: DataFrame, members: DataFrame, on: str | list[str]) -> Data
     return df.join(members.select(*([on] if isinstance(on, str) else on)), on, "left_semi")
 
 
-def drop_members(df: DataFrame, members: DataFrame, on: str | list[str]) -> DataFrame:
-    return df.join(members.select(*([on] if isinstance(on, str) else on)), on, "left_anti")
-
 
 def population_games(
     events: DataFrame, population: DataFrame, home="home_team_abbrev", away="away_team_abbrev",
@@ -132,15 +129,6 @@ def round_numeric(df: DataFrame, digits: int, skip: Sequence[str] = ()) -> DataF
     ])
 
 
-def paced_games(df: DataFrame, pace_floor: float = 20.0) -> DataFrame:
-    """Exactly two usable sides per game and a plausible pace (mean of both sides' possessions)."""
-    games = df.groupBy("game_id").agg(
-        F.count(F.lit(1)).alias("_n"),
-        F.count("poss_self").alias("_known"),
-        (F.sum("poss_self") / 2).alias("pace"),
-    ).where((F.col("_n") == 2) & (F.col("_known") == 2) & (F.col("pace") > pace_floor))
-    return df.join(games.select("game_id", "pace"), "game_id")
-
 
 def rename_columns(df: DataFrame, mapping: dict[str, str]) -> DataFrame:
     """Report trim: keep and rename the mapped columns that exist, in mapping order."""

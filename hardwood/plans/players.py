@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from hardwood.functions.metrics import floor_at_zero, position_group, ratio, used_possessions
 from hardwood.operators.aggregates import latest_attributes
-from hardwood.operators.filters import clean_player_box
+from hardwood.operators.filters import clean_player_box, minimum_sample
 from hardwood.operators.percentiles import group_averages, weighted_percentiles
 from hardwood.operators.reshape import keep_first
 from hardwood.plans.teams import team_totals
@@ -181,4 +181,4 @@ def division_dataset(
         box = box.join(teams.select("team_id").distinct(), "team_id", "left_semi")
     season = player_season(box, per=40, honour_dnp=False, collapse=False)
     starts = box.groupBy("season", "athlete_id").agg(F.min("roster_gs").alias("games_started_season"))
-    return season.join(starts, ["season", "athlete_id"], "left").where(F.col("games_played") >= min_games)
+    return minimum_sample(season.join(starts, ["season", "athlete_id"], "left"), games_played=min_games)

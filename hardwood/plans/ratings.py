@@ -395,11 +395,6 @@ def spread_quantiles(scored: DataFrame, at: Sequence[float] = (0.01, 0.1, 0.5, 0
     return exact_quantiles(scored, {f"p{int(q * 100):02d}": ("spread_home", q) for q in at}, [], ["game_id"])
 
 
-def latest_ratings(ratings: DataFrame, as_of=None) -> DataFrame:
-    """Each team's latest row on or before the date."""
-    r = ratings if as_of is None else ratings.where(F.col("date") <= F.lit(as_of).cast("date"))
-    return r.groupBy("team").agg(F.max_by(F.struct("season", "date", "rating", "n_games", "home_term", "neutral_term"), "date").alias("r")).select("team", "r.*")
-
 
 def table_dates(requests: DataFrame, ratings: DataFrame) -> DataFrame:
     """date, table_date: the last date of the rating table on or before each requested date. Dates are a calendar's worth of rows."""

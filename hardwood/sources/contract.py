@@ -59,10 +59,6 @@ def canonical_team_box(df: DataFrame, turnovers: str = "total_turnovers", keep:
     )
 
 
-def with_optional(df: DataFrame, columns: Mapping[str, str]) -> DataFrame:
-    """Add absent optional columns as typed NULLs."""
-    return df.withColumns({c: F.lit(None).cast(t) for c, t in columns.items() if c not in df.columns})
-
 
 def top_up(base: DataFrame, extra: DataFrame, keys: Sequence[str], date_col: str = "game_date") -> DataFrame:
     """Append rows newer than the base's last date: shared columns, base types, one row per key.
