@@ -236,7 +236,8 @@ def percentiles_in_conference(t):
 
 @query(
     "position_medians", ("player_box",),
-    _PLAYER + """ SELECT position, median(pts_total) AS median_pts, quantile_cont(usage, 0.9) AS usage_p90, round(avg(minutes_total / games_played), 2) AS mpg,
+    _PLAYER + """ SELECT position, median(pts_total) AS median_pts, quantile_cont(usage, 0.9) AS usage_p90, round(avg(minutes_total / games_played), 2) AS mpg, round(avg(pts_total / games_played), 6) AS ppg, round(avg(ast_total / games_played), 6) AS apg,
+                  round(avg(stl_total / games_played), 6) AS spg, round(avg(usage), 6) AS usage_mean, round(avg(efg_pct), 6) AS efg_mean,
                   count(*) AS players, count(DISTINCT team_id) AS teams FROM ps GROUP BY position""",
 )
 def position_medians(t):
@@ -244,7 +245,8 @@ def position_medians(t):
     asked = {"median_pts": ("pts_total", 0.5), "usage_p90": ("usage", 0.9)}
     quantiles = exact_quantiles(s, asked, ["position"], ["season", "athlete_id"]).withColumnRenamed("position", "_position")
     counts = s.groupBy("position").agg(
-        F.bround(F.avg("mpg"), 2).alias("mpg"), F.count(F.lit(1)).alias("players"), F.countDistinct("team_id").alias("teams"),
+        F.bround(F.avg("mpg"), 2).alias("mpg"), *[F.round(F.avg(c), 6).alias(c) for c in ("ppg", "apg", "spg")],
+        *[F.round(F.avg(c), 6).alias(f"{n}_mean") for n, c in (("usage", "usage"), ("efg", "efg_pct"))], F.count(F.lit(1)).alias("players"), F.countDistinct("team_id").alias("teams"),
     )
     return counts.join(quantiles, F.col("position").eqNullSafe(F.col("_position")), "left").drop("_position")
 

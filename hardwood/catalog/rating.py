@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from hardwood.catalog.registry import query
-from hardwood.operators.filters import rename_columns
+from hardwood.operators.filters import quarantine, rename_columns
 from hardwood.plans import ratings as RT
 from hardwood.schemas import HOME_TERM_EPS
-from hardwood.session import materialize
+from hardwood.session import materialize, scratch_folder
+from hardwood.sources.sinks import read_version, write_version
 
 GAMES = """, gm AS (SELECT h.game_id, h.season, h.game_date AS date, h.team_id AS home, a.team_id AS away, h.pts AS home_final, a.pts AS away_final,
      ((h.fga + 0.44e0 * h.fta + h.tov - h.oreb) + (a.fga + 0.44e0 * a.fta + a.tov - a.oreb)) / 2 AS pace
@@ -219,6 +220,21 @@ def rating_report(t):
     return rename_columns(board, {"team_name": "name", "net_rating": "rating", "games": "n_games", "coach": "coach"})
 
 
+@query(
+    "rating_board_snapshot", ("schedule",),
+    MARGIN + """ SELECT mr.team, round(rating, 6) AS rating, n_games, CASE WHEN n_games < 100 THEN 'too few games' END AS reject_reason, 1 AS version FROM mr WHERE mr.date = (SELECT max(date) FROM mr)""",
+)
+def rating_board_snapshot(t):
+    """The board as stored and read back: a snapshot of the teams with enough games, the others as its dead letters."""
+    g = materialize(_games(t))
+    board = RT.rating_board(RT.margin_ratings(g), g).select("team", F.round("rating", 6).alias("rating"), "n_games")
+    kept, rejected = quarantine(board, {"too few games": F.col("n_games") >= 100})
+    folder = scratch_folder(t.spark, "board")
+    version = write_version(kept, rejected, folder)
+    rows = read_version(t.spark, folder).withColumn("reject_reason", F.lit(None).cast("string"))
+    return rows.unionByName(read_version(t.spark, folder, rejected=True)).withColumn("version", F.lit(version))
+
+
 _TUNED = ((1.0, 0.0), (3.0, 0.5), (3.0, 0.9), (10.0, 0.9))
 
 

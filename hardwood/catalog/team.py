@@ -253,7 +253,8 @@ def team_games_standard(t):
                min(min_games) AS min_games, max(max_games) AS max_games,
                ceil(greatest(max(abs(ortg - avg_ortg)), max(abs(drtg - avg_drtg))) * 1.15e0 * 2) / 2 AS half_width,
                (SELECT max(game_date) FROM team_box) AS data_through,
-               sum(CASE WHEN ortg >= avg_ortg AND drtg <= avg_drtg THEN 1 ELSE 0 END)::bigint AS strong_teams
+               count(*) FILTER (ortg >= avg_ortg AND drtg <= avg_drtg) AS strong_teams, count(*) FILTER (ortg >= avg_ortg AND drtg > avg_drtg) AS attacking_teams,
+               count(*) FILTER (ortg < avg_ortg AND drtg <= avg_drtg) AS defending_teams, count(*) FILTER (ortg < avg_ortg AND drtg > avg_drtg) AS weak_teams
         FROM r JOIN a ON r.season = a.season GROUP BY r.season""",
 )
 def chart_frame(t):
@@ -264,13 +265,14 @@ def chart_frame(t):
         F.min("games").alias("min_games"), F.max("games").alias("max_games"),
     )
     through = t.team_box.agg(F.max("game_date").alias("data_through"))
-    best = quadrant("ortg", "drtg", "avg_ortg", "avg_drtg") == "good offense, good defense"
+    label = quadrant("ortg", "drtg", "avg_ortg", "avg_drtg")
+    named = {"strong": "good offense, good defense", "attacking": "good offense, bad defense", "defending": "bad offense, good defense", "weak": "bad offense, bad defense"}
     return r.join(avg, "season").groupBy("season").agg(
         F.count(F.lit(1)).alias("teams"),
         F.round(F.min("avg_ortg"), 6).alias("avg_ortg"), F.round(F.min("avg_drtg"), 6).alias("avg_drtg"),
         F.min("min_games").alias("min_games"), F.max("max_games").alias("max_games"),
         axis_half_width([F.max(F.abs(F.col("ortg") - F.col("avg_ortg"))), F.max(F.abs(F.col("drtg") - F.col("avg_drtg")))]).alias("half_width"),
-        F.sum(F.when(best, 1).otherwise(0)).alias("strong_teams"),
+        *[F.count(F.when(label == text, 1)).alias(f"{name}_teams") for name, text in named.items()],
     ).join(F.broadcast(through))
 
 
