@@ -262,6 +262,31 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def forest_roots(edges: DataFrame) -> DataFrame:
+    """node, comp of the stored edges (a, b) where a < b and no b has two: pointers to the parents double until they stand at roots."""
+    labels = edges.select(F.col("b").alias("node"), F.col("a").alias("comp"))
+    while True:
+        far = labels.select(F.col("node").alias("parent"), F.col("comp").alias("next"))
+        step = labels.join(far, F.col("comp") == F.col("parent"), "left")
+        new = materialize(step.select("node", F.coalesce("next", "comp").alias("comp"), F.col("next").isNotNull().alias("moved")))
+        labels = new.select("node", "comp")
+        if new.filter("moved").isEmpty():
+            return labels.union(labels.select(F.col("comp").alias("node"), "comp").distinct())
+
+
+def merged(comps: DataFrame, edges: DataFrame) -> DataFrame:
+    """The components `comps` (node, comp) with those that the new edges connect; only edges between components are worked on."""
+    of = lambda x: comps.select(F.col("node").alias(x), F.col("comp").alias(f"{x}_comp"))
+    apart = edges.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("a_comp", "a").alias("x"), F.coalesce("b_comp", "b").alias("y"))
+    apart = materialize(apart.filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+    if apart.isEmpty():
+        return comps
+    top = components(apart).select(F.col("node").alias("old"), F.col("comp").alias("new"))
+    known = comps.join(top, F.col("comp") == F.col("old"), "left").select("node", F.coalesce("new", "comp").alias("comp"))
+    fresh = top.join(comps.select(F.col("node").alias("old")), "old", "left_anti").select(F.col("old").alias("node"), F.col("new").alias("comp"))
+    return materialize(known.union(fresh))
+
+
 def _apart(a: str, b: str):
     """XOR population count of two sketches, in generated code."""
     return reduce(lambda x, y: x + y, [F.bit_count(F.get(a, i).bitwiseXOR(F.get(b, i))) for i in range(_WORDS)])
@@ -305,15 +330,11 @@ def near_duplicates(docs: DataFrame, percent: int = 80, doc_id: str = "doc_id",
     votes = materialize(members.filter("rep <> leader").groupBy("rep", "leader").agg(F.count(F.lit(1)).alias("votes")))
     best = F.max_by("leader", F.struct("votes", -F.col("leader"))).alias("a")
     asked = materialize(votes.groupBy(F.col("rep").alias("b")).agg(best).select("a", "b"))
-    edges = materialize(linked(asked))
-    comps = components(edges)
+    comps = materialize(forest_roots(materialize(linked(asked))))
     whole = lambda node: comps.select(F.col("node").alias(node), F.col("comp").alias(f"{node}_comp"))
     left = votes.join(asked.toDF("gone", "rep"), "rep").filter("leader <> gone").join(whole("rep"), "rep", "left").join(whole("leader"), "leader", "left")
     left = left.filter("coalesce(rep_comp, rep) <> coalesce(leader_comp, leader)")
-    more = materialize(linked(left.groupBy(F.col("rep").alias("b")).agg(best).select("a", "b")))
-    if not more.isEmpty():
-        edges = materialize(edges.union(more))
-        comps = components(edges)
+    comps = merged(comps, materialize(linked(left.groupBy(F.col("rep").alias("b")).agg(best).select("a", "b"))))
 
     def blocks(grouped: DataFrame, sizes: DataFrame) -> DataFrame:
         """(key, rep, ...) with the blocks of its key; a row for each pair of blocks that its block is in."""
@@ -329,7 +350,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, doc_id: str = "doc_id",
     work = partial(_near_forest, most=most)
     forest = materialize(met.mapInArrow(_by_group(work, False), "a long, b long").distinct())
     if not forest.isEmpty():
-        gathered = components(materialize(forest.union(edges))).toDF("rep", "key")
+        gathered = merged(comps, forest).toDF("rep", "key")
         asked = gathered.join(forest.select(F.explode(F.array("a", "b")).alias("x")).distinct().join(gathered.toDF("x", "k"), "x").select(F.col("k").alias("key")).distinct(), "key", "left_semi")
         asked = asked.join(comps, F.col("rep") == F.col("node"), "left").select("key", "rep", F.coalesce("comp", "rep").alias("comp"))
         asked = materialize(asked.join(reps.select("rep", "sketch", "n_shingles"), "rep"))
@@ -339,16 +360,14 @@ def near_duplicates(docs: DataFrame, percent: int = 80, doc_id: str = "doc_id",
         met = met.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
         work = partial(_links, most=most, percent=percent)
         links = materialize(met.mapInArrow(_by_group(work, True), "a long, b long"))
-        if not links.isEmpty():
-            comps = components(materialize(edges.union(links)))
+        comps = merged(comps, links)
     twice = able.groupBy("doc_id").agg(F.min(F.struct("d1", "d2")).alias("low"), F.max(F.struct("d1", "d2")).alias("high")).filter("low <> high")
     twice = materialize(twice.select(F.col("doc_id").alias("id"), "low"))
     if not twice.isEmpty():  # texts of one doc_id share its component
         at = nodes.select("d1", "d2", "rep")
         pairs = able.join(twice, F.col("doc_id") == F.col("id")).select("d1", "d2", F.col("low.d1").alias("l1"), F.col("low.d2").alias("l2")).distinct()
         pairs = pairs.join(at.withColumnRenamed("rep", "a"), ["d1", "d2"]).join(at.toDF("l1", "l2", "b"), ["l1", "l2"]).filter("a <> b")
-        known = comps.filter("node <> comp").select(F.col("comp").alias("a"), F.col("node").alias("b"))
-        comps = components(materialize(known.union(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())))
+        comps = merged(comps, materialize(pairs.select("a", "b").distinct()))
     placed = nodes.select("d1", "d2", "rep", "doc_id").join(comps, F.col("rep") == F.col("node"), "left")
     placed = materialize(placed.select("d1", "d2", "doc_id", F.coalesce("comp", "rep").alias("comp")))
     least = placed.groupBy("comp").agg(F.min("doc_id").alias("component"))
