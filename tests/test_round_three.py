@@ -117,3 +117,21 @@ def test_lineup_search_on_a_large_pool(spark):
     want = sorted(found)[:5]
     got = [(-r.projected_net, r.added_players) for r in best.collect()]
     assert [g[0] for g in got] == pytest.approx([x[0] for x in want], abs=0.011) and len(got) == 5
+
+
+def test_a_game_task_gets_a_bounded_number_of_rows_whatever_the_input(spark, monkeypatch, tmp_path):
+    from hardwood import session
+    from hardwood.plans import possessions as P
+    from hardwood.sources.adapters import load_view
+
+    monkeypatch.setattr(session, "TASK_ROWS", 100)
+    ev = spark.range(2000).selectExpr(
+        "id AS event_id", "timestamp_seconds(1704067200 + id) AS ts", "id % 40 AS user_id",
+        "element_at(array('purchase', 'view', 'click', 'error', 'signup'), cast(id % 5 + 1 AS int)) AS event_type", "id % 11 / 2e0 AS value",
+    )
+    ev.write.parquet(str(tmp_path / "events.parquet"))
+    pbp = load_view(spark, str(tmp_path), "pbp")
+    for df in (pbp, P.possession_rows(P.prepared_events(pbp)), P.game_states(P.possession_rows(P.prepared_events(pbp)))):
+        # AQE merges small parts, but not these
+        assert df.rdd.getNumPartitions() >= 20
+    assert session.spread(ev.limit(0), "event_id").count() == 0
