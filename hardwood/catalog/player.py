@@ -126,7 +126,7 @@ def defensive_context(t):
     _PLAYER + f" SELECT season, athlete_id, {pct_sql('position')} FROM ps",
 )
 def weighted_percentile_pos(t):
-    out = players.player_percentiles(players.stored_player_season(t.player_box))
+    out = players.player_percentiles(players.stored_player_season(t.player_box, players.percentile_columns()))
     return out.select("season", "athlete_id", *[F.round(c, 8).alias(c) for c in _SPECS])
 
 
@@ -169,8 +169,9 @@ def _flip(label: str, c: str) -> str:
     ),
 )
 def pizza_long(t):
-    season = players.player_percentiles(players.stored_player_season(t.player_box), specs=players.PERCENTILE_SPECS)
-    full = players.with_position_averages(materialize(season))
+    stored = players.stored_player_season(t.player_box, players.percentile_columns(players.PERCENTILE_SPECS))
+    season = players.player_percentiles(stored, specs=players.PERCENTILE_SPECS)
+    full = players.with_position_averages(season, of=stored)
     slices = {k: (f"{s}_pctile_pos", f"{s}_pctile_pos_pos_avg_pctile") for k, s in _SLICES.items()}
     rows = radar_rows(full, ["season", "athlete_id", "position"], slices, ["Turnover care"])
     return rows.select(
@@ -208,7 +209,7 @@ def _banded(ranks):
     _PLAYER + f", r AS ({_rank_sql(_BANDED, 'position')}) SELECT *, CASE WHEN pct <= 1e0/3 THEN 1 WHEN pct <= 2e0/3 THEN 2 WHEN pct IS NOT NULL THEN 3 END AS band, {_DIR_SQL} AS direction FROM r",
 )
 def percent_rank_bands(t):
-    s = players.stored_player_season(t.player_box)
+    s = players.stored_player_season(t.player_box, ["season", "athlete_id", "position", *_BANDED])
     return _banded(percent_ranks(s, _BANDED, ["position"], ["season", "athlete_id"], lone=0.5))
 
 
@@ -217,7 +218,7 @@ def percent_rank_bands(t):
     _PLAYER + f", r AS ({_rank_sql(_BANDED, None)}) SELECT *, CASE WHEN pct <= 1e0/3 THEN 1 WHEN pct <= 2e0/3 THEN 2 WHEN pct IS NOT NULL THEN 3 END AS band, {_DIR_SQL} AS direction FROM r",
 )
 def percent_rank_columns(t):
-    s = players.stored_player_season(t.player_box)
+    s = players.stored_player_season(t.player_box, ["season", "athlete_id", *_BANDED])
     return _banded(percent_ranks(s, _BANDED, [], ["season", "athlete_id"]))
 
 
@@ -228,7 +229,7 @@ def percent_rank_columns(t):
 def percentiles_in_conference(t):
     """Percentiles among the players of a position in a conference."""
     conf = team_conferences(t.schedule).select(F.col("team_id").alias("_team"), "conf")
-    s = players.stored_player_season(t.player_box)
+    s = players.stored_player_season(t.player_box, [*players.percentile_columns(), "team_id"])
     s = materialize(s.join(conf, F.col("team_id") == F.col("_team"), "left").drop("_team"))
     out = players.player_percentiles(s, ["conf", "position"])
     return out.select("season", "athlete_id", "conf", "position", *[F.round(c, 8).alias(c) for c in _SPECS])

@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hardwood.functions.metrics import floor_at_zero, position_group, ratio, used_possessions
-from hardwood.operators.aggregates import latest_attributes
 from hardwood.operators.filters import clean_player_box, minimum_sample
 from hardwood.operators.percentiles import group_averages, weighted_percentiles
 from hardwood.operators.reshape import keep_first
@@ -60,13 +59,15 @@ def defensive_context(clean: DataFrame, paired: DataFrame, by: Sequence[str] = (
 
 def season_totals(clean: DataFrame, keys: Sequence[str] = ("season", "athlete_id")) -> DataFrame:
     """Counting totals with the attributes of the player's last row by date."""
-    return clean.groupBy(*keys).agg(
-        *latest_attributes(clean, keys, ["athlete_name", "position_raw", "team_id"], ["game_date", "seq", "team_id"]),
+    last = ["athlete_name", "position_raw", "team_id"]
+    # dealt by player first, so that the count of different games needs no exchange of half-made sums
+    return clean.repartition(*keys).groupBy(*keys).agg(
+        F.max_by(F.struct(*last), F.struct("game_date", "seq", "team_id")).alias("_last"),
         F.countDistinct("game_id").alias("games_played"),
         F.sum(F.when(F.col("starter"), 1).otherwise(0)).alias("games_started"),
         F.sum("minutes").alias("minutes_total"),
         *[F.sum(c).alias(f"{c}_total") for c in PLAYER_COUNTS],
-    )
+    ).select("*", *[F.col(f"_last.{c}").alias(c) for c in last]).drop("_last")
 
 
 def add_player_rates(df: DataFrame, per: int = 36) -> DataFrame:
@@ -130,9 +131,16 @@ def player_season(player_box: DataFrame, per: int = 36, honour_dnp: bool = True,
     return add_player_rates(joined, per).withColumn("neg_opp_efg", -F.col("opp_efg"))
 
 
-def stored_player_season(player_box: DataFrame, **kw) -> DataFrame:
-    """The season table written once: ranking reads it several times and it is far smaller than the box."""
-    return materialize(player_season(player_box, **kw))
+def stored_player_season(player_box: DataFrame, columns: Sequence[str] | None = None, **kw) -> DataFrame:
+    """The season table (or the named columns) written once: ranking reads it several times and it is far smaller than the box."""
+    season = player_season(player_box, **kw)
+    return materialize(season if columns is None else season.select(*dict.fromkeys(columns)))
+
+
+def percentile_columns(specs: dict[str, tuple] | None = None) -> list[str]:
+    """What percentiles in a position need of the season table."""
+    specs = specs or {**PERCENTILE_SPECS, **DEFENSE_SPECS}
+    return list(dict.fromkeys(["season", "athlete_id", "position", *[c for pair in specs.values() for c in pair]]))
 
 
 def player_percentiles(
@@ -151,14 +159,14 @@ def position_averages(season: DataFrame, group: Sequence[str] = ("position",)) -
     return group_averages(season, PERCENTILE_SPECS, list(group), ["season", "athlete_id"])
 
 
-def with_position_averages(season: DataFrame, group: str = "position") -> DataFrame:
-    """Averages and their percentiles put back on the player rows."""
-    long = position_averages(season, [group])
+def with_position_averages(season: DataFrame, group: str = "position", of: DataFrame | None = None) -> DataFrame:
+    """Averages (of the rows of `of`, else of `season`) and their percentiles put back on the player rows."""
+    long = position_averages(season if of is None else of, [group])
     wide = long.groupBy(group).pivot("metric", list(PERCENTILE_SPECS)).agg(
         F.first("avg").alias("pos_avg"), F.first("avg_percentile").alias("pos_avg_pctile")
     )
     named = wide.select(F.col(group).alias("_g"), *[c for c in wide.columns if c != group])
-    return season.join(named, F.col(group).eqNullSafe(F.col("_g")), "left").drop("_g")
+    return season.join(F.broadcast(named), F.col(group).eqNullSafe(F.col("_g")), "left").drop("_g")  # one row per position
 
 
 def roster_player_box(player_box: DataFrame, roster: DataFrame) -> DataFrame:
