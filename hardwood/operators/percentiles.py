@@ -3,16 +3,20 @@
 A plain ordered window would sort one position group in one task. Here rows are range
 partitioned by (group, value, tie break), so a large group or a heavily tied value is spread over
 many partitions; per-block totals (one row per group and block) give every block its starting
-point and only the inside of a block is windowed.
+point and the inside of a block is summed up where it was sorted.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from functools import reduce
+from collections.abc import Iterator, Sequence
+from functools import partial, reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from hardwood.functions.clock import round_half_even
 from hardwood.functions.metrics import _c
@@ -29,16 +33,43 @@ def _join_null_safe(left: DataFrame, right: DataFrame, cols: Sequence[str], how:
     return left.join(renamed, cond, how).drop(*[f"_r_{c}" for c in cols])
 
 
+def _run_up(batches: Iterator[pa.RecordBatch], keys: list[str], weight: str, running: str) -> Iterator[pa.RecordBatch]:
+    """Running sums of each key's weights; the rows of a task come sorted by key."""
+    last, carried = None, 0.0
+    for batch in batches:
+        n = batch.num_rows
+        if not n:
+            continue
+        changes = np.zeros(n, dtype=bool)
+        for k in keys:
+            codes = batch.column(k).dictionary_encode("encode").indices.to_numpy(zero_copy_only=False)
+            changes[1:] |= codes[1:] != codes[:-1]
+        sums = pc.fill_null(batch.column(weight), 0.0).to_numpy(zero_copy_only=False).copy()
+        first = [batch.column(k)[0].as_py() for k in keys]
+        starts = [0, *np.flatnonzero(changes).tolist(), n]
+        for a, b in zip(starts, starts[1:]):
+            if a == 0 and first == last:
+                sums[0] += carried
+            np.cumsum(sums[a:b], out=sums[a:b])
+        last, carried = [batch.column(k)[n - 1].as_py() for k in keys], float(sums[-1])
+        yield batch.append_column(running, pa.array(sums))
+
+
 def running_total(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], weight: str,
+    df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], weight: str,
     running: str = "running", total: str = "total",
 ) -> DataFrame:
     """Running and full sum of `weight` per group in a total order, row by row."""
-    # Range bounds are sampled, so the block layout must be fixed before it is read twice.
-    blocks = materialize(
-        df.repartitionByRange(*[F.col(c) for c in (*keys, *order)])
+    cols = [F.col(c) for c in keys] + [_c(c) for c in order]
+    sorted_blocks = (
+        df.withColumn(weight, F.col(weight).cast("double"))
+        .repartitionByRange(*cols).sortWithinPartitions(*cols)
         .withColumn("_block", F.spark_partition_id())
     )
+    # Range bounds are sampled, so what a block has is written before it is read twice. A block is one task's, so the sums
+    # inside it need no further exchange.
+    schema = T.StructType([*sorted_blocks.schema.fields, T.StructField("_inside", T.DoubleType())])
+    blocks = materialize(sorted_blocks.mapInArrow(partial(_run_up, keys=list(keys), weight=weight, running="_inside"), schema))
     sums = blocks.groupBy(*keys, "_block").agg(F.sum(weight).alias("_w"))
     earlier = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     starts = sums.select(
@@ -46,14 +77,11 @@ def running_total(
         F.coalesce(F.sum("_w").over(earlier), F.lit(0.0)).alias("_before"),
         F.sum("_w").over(Window.partitionBy(*keys)).alias(total),
     )
-    inside = (
-        Window.partitionBy(*keys, "_block").orderBy(*order)
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
+    # one row per group and one more per block
     return (
-        _join_null_safe(blocks, starts, [*keys, "_block"])
-        .withColumn(running, F.col("_before") + F.sum(weight).over(inside))
-        .drop("_block", "_before")
+        _join_null_safe(blocks, F.broadcast(starts), [*keys, "_block"])
+        .withColumn(running, F.col("_before") + F.col("_inside"))
+        .drop("_block", "_before", "_inside")
     )
 
 
@@ -74,19 +102,20 @@ def weighted_percentiles(
     """Weighted cumulative share of every metric inside its group, as extra columns.
 
     `specs` maps the output column to (value, weight). A NULL value has no percentile, a NULL
-    weight is zero, a group without positive weight has none. Ties are ordered by `tie`.
+    weight is zero, a group without positive weight has none. Ties are ordered by `tie`, made of `ids` and `group`.
     """
-    tie_names = [f"_tie{i}" for i in range(len(tie))]
-    keyed = df.withColumns(dict(zip(tie_names, tie)))
+    # a metric is a number and ties are expressions while rows travel: every byte is shuffled once per metric
     long = (
-        _long(keyed, [*ids, *tie_names], group, specs)
+        _long(df, ids, group, {i: spec for i, spec in enumerate(specs.values())})
         .where(F.col("x").isNotNull())
         .withColumn("w", F.coalesce("w", F.lit(0.0)))
     )
-    scored = running_total(long, ["metric", *group], ["x", *tie_names], "w").withColumn(
-        "p", F.when(F.col("total") > 0, F.col("running") / F.col("total"))
+    scored = running_total(long, ["metric", *group], ["x", *tie], "w").select(
+        *ids, "metric", F.when(F.col("total") > 0, F.col("running") / F.col("total")).alias("p")
     )
-    wide = scored.groupBy(*ids).pivot("metric", list(specs)).agg(F.first("p"))
+    wide = scored.repartition(*ids).groupBy(*ids).agg(*[
+        F.max(F.when(F.col("metric") == i, F.col("p"))).alias(name) for i, name in enumerate(specs)
+    ])
     return df.join(wide, list(ids), "left")
 
 
@@ -104,7 +133,7 @@ def group_averages(df: DataFrame, specs: dict[str, tuple], group: Sequence[str],
         F.sum(F.when(F.col("x").isNotNull(), F.coalesce("w", F.lit(0.0)))).alias("sum_w"),
     )
     below = (
-        _join_null_safe(long, means.select(*keys, "avg"), keys)
+        _join_null_safe(long, F.broadcast(means.select(*keys, "avg")), keys)  # one row per group
         .groupBy(*keys)
         .agg(F.sum(F.when(F.col("x") <= F.col("avg"), F.coalesce("w", F.lit(0.0))).otherwise(0.0)).alias("below_w"))
     )

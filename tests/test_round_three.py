@@ -135,3 +135,45 @@ def test_a_game_task_gets_a_bounded_number_of_rows_whatever_the_input(spark, mon
         # AQE merges small parts, but not these
         assert df.rdd.getNumPartitions() >= 20
     assert session.spread(ev.limit(0), "event_id").count() == 0
+
+
+def test_running_totals_over_many_batches_shuffle_rows_once(spark):
+    from hardwood.operators.percentiles import running_total
+
+    rng = np.random.default_rng(5)
+    rows = [(g, float(rng.integers(0, 4)), i, None if i % 50 == 0 else float(rng.integers(0, 5))) for i, g in enumerate(["a", "b", None, "c"] * 500)] + [("one", 1.0, -1, 2.0)]
+    df = spark.createDataFrame(rows, "g string, x double, id int, w double").repartition(8)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        out = running_total(df, ["g"], ["x", F.col("id").cast("bigint")], "w")
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        got = {r.id: (r.running, r.total) for r in out.collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert "SortMergeJoin" not in plan and "_inside" in plan
+    assert len(got) == len(rows)
+    for g in ("a", "b", None, "c", "one"):
+        mine = sorted((r[1], r[2], r[3] or 0.0) for r in rows if r[0] == g)
+        sums = np.cumsum([m[2] for m in mine])
+        assert all(got[m[1]] == (s, sums[-1]) for m, s in zip(mine, sums))
+
+
+def test_season_totals_exchange_the_box_once(spark, tables):
+    from hardwood.operators.filters import clean_player_box
+    from hardwood.plans import players
+    from hardwood.schemas import PLAYER_COUNTS
+    from hardwood.session import materialize
+
+    clean = materialize(clean_player_box(tables.player_box))
+    out = players.season_totals(clean)
+    assert out._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    rows = [r for r in clean.collect()]
+    got = {(r.season, r.athlete_id): r for r in out.collect()}
+    assert got.keys() == {(r.season, r.athlete_id) for r in rows}
+    for key in list(got)[:40]:
+        mine = [r for r in rows if (r.season, r.athlete_id) == key]
+        last = max(mine, key=lambda r: (r.game_date, r.seq, r.team_id))
+        assert got[key].team_id == last.team_id and got[key].games_played == len({r.game_id for r in mine})
+        assert all(got[key][f"{c}_total"] == sum(r[c] for r in mine) for c in PLAYER_COUNTS)
+    kept = players.stored_player_season(tables.player_box, players.percentile_columns(players.PERCENTILE_SPECS))
+    assert "opp_efg" not in kept.columns and kept.count() == len(got)
