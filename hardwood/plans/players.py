@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hardwood.functions.metrics import floor_at_zero, position_group, ratio, used_possessions
+from hardwood.operators.aggregates import latest_attributes
 from hardwood.operators.filters import clean_player_box, minimum_sample
 from hardwood.operators.percentiles import group_averages, weighted_percentiles
 from hardwood.operators.reshape import keep_first
-from hardwood.plans.teams import team_totals
+from hardwood.plans.teams import player_team_games, team_totals
 from hardwood.schemas import PLAYER_COUNTS
 from hardwood.session import materialize
 
@@ -59,15 +60,14 @@ def defensive_context(clean: DataFrame, paired: DataFrame, by: Sequence[str] = (
 
 def season_totals(clean: DataFrame, keys: Sequence[str] = ("season", "athlete_id")) -> DataFrame:
     """Counting totals with the attributes of the player's last row by date."""
-    last = ["athlete_name", "position_raw", "team_id"]
     # dealt by player first, so that the count of different games needs no exchange of half-made sums
     return clean.repartition(*keys).groupBy(*keys).agg(
-        F.max_by(F.struct(*last), F.struct("game_date", "seq", "team_id")).alias("_last"),
+        *latest_attributes(clean, keys, ["athlete_name", "position_raw", "team_id"], ["game_date", "seq", "team_id"]),
         F.countDistinct("game_id").alias("games_played"),
         F.sum(F.when(F.col("starter"), 1).otherwise(0)).alias("games_started"),
         F.sum("minutes").alias("minutes_total"),
         *[F.sum(c).alias(f"{c}_total") for c in PLAYER_COUNTS],
-    ).select("*", *[F.col(f"_last.{c}").alias(c) for c in last]).drop("_last")
+    )
 
 
 def add_player_rates(df: DataFrame, per: int = 36) -> DataFrame:
@@ -118,10 +118,12 @@ def add_player_rates(df: DataFrame, per: int = 36) -> DataFrame:
     })
 
 
-def player_season(player_box: DataFrame, per: int = 36, honour_dnp: bool = True, collapse: bool = True) -> DataFrame:
-    """One row per player and season with totals, rates and defensive context."""
+def player_season(
+    player_box: DataFrame, per: int = 36, honour_dnp: bool = True, collapse: bool = True, game: DataFrame | None = None,
+) -> DataFrame:
+    """One row per player and season with totals, rates and defensive context; `game`: the box's team games, where stored."""
     clean = clean_player_box(player_box, honour_dnp)
-    _, paired, team_season = team_totals(player_box, honour_dnp)
+    _, paired, team_season = team_totals(player_box, honour_dnp, game)
     totals = season_totals(clean).withColumn(
         "position", position_group("position_raw") if collapse else F.col("position_raw")
     )
@@ -133,7 +135,10 @@ def player_season(player_box: DataFrame, per: int = 36, honour_dnp: bool = True,
 
 def stored_player_season(player_box: DataFrame, columns: Sequence[str] | None = None, **kw) -> DataFrame:
     """The season table (or the named columns) written once: ranking reads it several times and it is far smaller than the box."""
-    season = player_season(player_box, **kw)
+    # the box is read for totals, team games and their opponents: what it is made of is joined once
+    honour_dnp = kw.get("honour_dnp", True)
+    box = materialize(clean_player_box(player_box, honour_dnp))
+    season = player_season(box, game=materialize(player_team_games(box, honour_dnp)), **kw)
     return materialize(season if columns is None else season.select(*dict.fromkeys(columns)))
 
 

@@ -69,9 +69,9 @@ def player_team_games(player_box: DataFrame, honour_dnp: bool = True) -> DataFra
     )
 
 
-def team_totals(player_box: DataFrame, honour_dnp: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(team game, team game with opponent, team season) from player rows."""
-    game = player_team_games(player_box, honour_dnp)
+def team_totals(player_box: DataFrame, honour_dnp: bool = True, game: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(team game, team game with opponent, team season) from player rows, or from their team games where these are at hand."""
+    game = player_team_games(player_box, honour_dnp) if game is None else game
     paired = pair_opponents(
         game, ["season", "game_id"], "team_id", [f"team_{n}" for n in TEAM_TOTALS]
     )
