@@ -91,7 +91,7 @@ _RATES = [
     + ", ".join(_RATES) + " FROM ps",
 )
 def player_season(t):
-    return players.player_season(t.player_box).select(
+    return players.staged_player_season(t.player_box_by_player).select(
         "season", "athlete_id", "athlete_name", "position", "team_id", "games_played", "games_started",
         "minutes_total", "pts_total", *_RATES,
     )

@@ -46,8 +46,9 @@ def top_k_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column],
 
 def latest_attributes(df: DataFrame, keys: Sequence[str], attributes: Sequence[str], order: Sequence[str]) -> list[Column]:
     """`max_by` columns giving each attribute of the last row in the given order."""
-    key = F.struct(*[F.col(c) for c in order])
-    return [F.max_by(F.col(a), key).alias(a) for a in attributes]
+    # one aggregate for all of them, so a half-made group carries the order once
+    last = F.max_by(F.struct(*attributes), F.struct(*order))
+    return [last[a].alias(a) for a in attributes]
 
 
 def leave_one_out_mean(df: DataFrame, keys: Sequence[str], value: str, out: str) -> DataFrame:

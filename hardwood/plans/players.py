@@ -14,7 +14,7 @@ from hardwood.operators.percentiles import group_averages, weighted_percentiles
 from hardwood.operators.reshape import keep_first
 from hardwood.plans.teams import player_team_games, team_totals
 from hardwood.schemas import PLAYER_COUNTS
-from hardwood.session import materialize
+from hardwood.session import materialize, steps
 
 # output percentile -> (value, weight)
 PERCENTILE_SPECS = {
@@ -58,12 +58,17 @@ def defensive_context(clean: DataFrame, paired: DataFrame, by: Sequence[str] = (
     )
 
 
-def season_totals(clean: DataFrame, keys: Sequence[str] = ("season", "athlete_id")) -> DataFrame:
-    """Counting totals with the attributes of the player's last row by date."""
-    # dealt by player first, so that the count of different games needs no exchange of half-made sums
-    return clean.repartition(*keys).groupBy(*keys).agg(
-        *latest_attributes(clean, keys, ["athlete_name", "position_raw", "team_id"], ["game_date", "seq", "team_id"]),
-        F.countDistinct("game_id").alias("games_played"),
+def season_totals(clean: DataFrame, keys: Sequence[str] = ("season", "athlete_id"), together: bool = False) -> DataFrame:
+    """Counting totals with the attributes of the player's last row by date.
+
+    `together`: a player's rows mostly lie together in the box, so their sums are half made before the exchange, and the games
+    travel as a set. Otherwise the box is dealt by player first, and the count of games needs no exchange of half-made sums.
+    """
+    attributes = [a for a in ("athlete_name", "position_raw", "team_id") if a in clean.columns]
+    games = F.size(F.collect_set("game_id")).cast("bigint") if together else F.countDistinct("game_id")
+    return (clean if together else clean.repartition(*keys)).groupBy(*keys).agg(
+        *latest_attributes(clean, keys, attributes, ["game_date", "seq", "team_id"]),
+        games.alias("games_played"),
         F.sum(F.when(F.col("starter"), 1).otherwise(0)).alias("games_started"),
         F.sum("minutes").alias("minutes_total"),
         *[F.sum(c).alias(f"{c}_total") for c in PLAYER_COUNTS],
@@ -118,28 +123,43 @@ def add_player_rates(df: DataFrame, per: int = 36) -> DataFrame:
     })
 
 
-def player_season(
-    player_box: DataFrame, per: int = 36, honour_dnp: bool = True, collapse: bool = True, game: DataFrame | None = None,
-) -> DataFrame:
-    """One row per player and season with totals, rates and defensive context; `game`: the box's team games, where stored."""
+def player_season(player_box: DataFrame, per: int = 36, honour_dnp: bool = True, collapse: bool = True) -> DataFrame:
+    """One row per player and season with totals, rates and defensive context."""
     clean = clean_player_box(player_box, honour_dnp)
-    _, paired, team_season = team_totals(player_box, honour_dnp, game)
-    totals = season_totals(clean).withColumn(
-        "position", position_group("position_raw") if collapse else F.col("position_raw")
-    )
-    joined = totals.join(team_season, ["season", "team_id"], "left").join(
-        defensive_context(clean, paired), ["season", "athlete_id"], "left"
-    )
+    _, paired, team_season = team_totals(player_box, honour_dnp)
+    return _season_rows(season_totals(clean), team_season, defensive_context(clean, paired), per, collapse)
+
+
+def _season_rows(totals: DataFrame, team_season: DataFrame, context: DataFrame, per: int, collapse: bool) -> DataFrame:
+    named = totals.withColumn("position", position_group("position_raw") if collapse else F.col("position_raw"))
+    joined = named.join(team_season, ["season", "team_id"], "left").join(context, ["season", "athlete_id"], "left")
     return add_player_rates(joined, per).withColumn("neg_opp_efg", -F.col("opp_efg"))
 
 
+def staged_player_season(
+    player_box: DataFrame, per: int = 36, honour_dnp: bool = True, collapse: bool = True, named: bool = True,
+) -> DataFrame:
+    """The season table over stored steps, so that no more than one step's exchanges are on disk at a time.
+
+    The box is read for totals, team games and their opponents: what it is made of is joined once. `named=False` leaves out
+    the players' names.
+    """
+    clean = clean_player_box(player_box, honour_dnp)
+    box = materialize(clean if named else clean.drop("athlete_name"))
+    with steps(keep=2):
+        game = materialize(player_team_games(box, honour_dnp))
+        _, paired, team_season = team_totals(box, honour_dnp, game)
+        team_season = materialize(team_season)  # a row per team: Spark sees that before it joins the players to it
+        context = materialize(defensive_context(box, paired))
+    return _season_rows(season_totals(box, together=True), team_season, context, per, collapse)
+
+
 def stored_player_season(player_box: DataFrame, columns: Sequence[str] | None = None, **kw) -> DataFrame:
     """The season table (or the named columns) written once: ranking reads it several times and it is far smaller than the box."""
-    # the box is read for totals, team games and their opponents: what it is made of is joined once
-    honour_dnp = kw.get("honour_dnp", True)
-    box = materialize(clean_player_box(player_box, honour_dnp))
-    season = player_season(box, game=materialize(player_team_games(box, honour_dnp)), **kw)
-    return materialize(season if columns is None else season.select(*dict.fromkeys(columns)))
+    with steps():
+        season = staged_player_season(player_box, named=columns is None or "athlete_name" in columns, **kw)
+        kept = season if columns is None else season.select(*dict.fromkeys(columns))
+        return materialize(kept)
 
 
 def percentile_columns(specs: dict[str, tuple] | None = None) -> list[str]:
