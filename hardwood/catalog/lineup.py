@@ -88,7 +88,7 @@ def lineup_roster(t):
         WHEN o >= 0.7 OR f >= 0.7 THEN 'works inside' ELSE 'does some of everything' END AS role, why FROM v LEFT JOIN w USING (r)""",
 )
 def player_insight(t):
-    stored = players.stored_player_season(t.player_box, players.percentile_columns(players.PERCENTILE_SPECS))
+    stored = players.stored_player_season(t.player_box_by_player, players.percentile_columns(players.PERCENTILE_SPECS))
     s = players.player_percentiles(stored, specs=players.PERCENTILE_SPECS)
     rounded = s.withColumns({
         f"{p}_pctile_pos": F.round(f"{p}_pctile_pos", 10) for p in ("usage", "efg", "tov", "oreb", "fta_rate")

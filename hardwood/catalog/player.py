@@ -126,7 +126,7 @@ def defensive_context(t):
     _PLAYER + f" SELECT season, athlete_id, {pct_sql('position')} FROM ps",
 )
 def weighted_percentile_pos(t):
-    out = players.player_percentiles(players.stored_player_season(t.player_box, players.percentile_columns()))
+    out = players.player_percentiles(players.stored_player_season(t.player_box_by_player, players.percentile_columns()))
     return out.select("season", "athlete_id", *[F.round(c, 8).alias(c) for c in _SPECS])
 
 
@@ -143,7 +143,7 @@ _AVG = " UNION ALL ".join(
 
 @query("position_average_pctile", ("player_box",), _PLAYER + " " + _AVG)
 def position_average_pctile(t):
-    a = players.position_averages(players.stored_player_season(t.player_box))
+    a = players.position_averages(players.stored_player_season(t.player_box_by_player))
     return a.select("metric", "position", F.round("avg", 8).alias("avg"), F.round("avg_percentile", 8).alias("avg_percentile"))
 
 
@@ -209,7 +209,7 @@ def _banded(ranks):
     _PLAYER + f", r AS ({_rank_sql(_BANDED, 'position')}) SELECT *, CASE WHEN pct <= 1e0/3 THEN 1 WHEN pct <= 2e0/3 THEN 2 WHEN pct IS NOT NULL THEN 3 END AS band, {_DIR_SQL} AS direction FROM r",
 )
 def percent_rank_bands(t):
-    s = players.stored_player_season(t.player_box, ["season", "athlete_id", "position", *_BANDED])
+    s = players.stored_player_season(t.player_box_by_player, ["season", "athlete_id", "position", *_BANDED])
     return _banded(percent_ranks(s, _BANDED, ["position"], ["season", "athlete_id"], lone=0.5))
 
 
@@ -218,7 +218,7 @@ def percent_rank_bands(t):
     _PLAYER + f", r AS ({_rank_sql(_BANDED, None)}) SELECT *, CASE WHEN pct <= 1e0/3 THEN 1 WHEN pct <= 2e0/3 THEN 2 WHEN pct IS NOT NULL THEN 3 END AS band, {_DIR_SQL} AS direction FROM r",
 )
 def percent_rank_columns(t):
-    s = players.stored_player_season(t.player_box, ["season", "athlete_id", *_BANDED])
+    s = players.stored_player_season(t.player_box_by_player, ["season", "athlete_id", *_BANDED])
     return _banded(percent_ranks(s, _BANDED, [], ["season", "athlete_id"]))
 
 
@@ -242,7 +242,7 @@ def percentiles_in_conference(t):
                   count(*) AS players, count(DISTINCT team_id) AS teams FROM ps GROUP BY position""",
 )
 def position_medians(t):
-    s = players.stored_player_season(t.player_box)
+    s = players.stored_player_season(t.player_box_by_player)
     asked = {"median_pts": ("pts_total", 0.5), "usage_p90": ("usage", 0.9)}
     quantiles = exact_quantiles(s, asked, ["position"], ["season", "athlete_id"]).withColumnRenamed("position", "_position")
     counts = s.groupBy("position").agg(

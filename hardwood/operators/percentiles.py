@@ -57,14 +57,14 @@ def _run_up(batches: Iterator[pa.RecordBatch], keys: list[str], weight: str, run
 
 def running_total(
     df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], weight: str,
-    running: str = "running", total: str = "total",
+    running: str = "running", total: str = "total", spare: Sequence[str] = (),
 ) -> DataFrame:
-    """Running and full sum of `weight` per group in a total order, row by row."""
+    """Running and full sum of `weight` per group in a total order, row by row. Columns in `spare` only serve the order."""
     cols = [F.col(c) for c in keys] + [_c(c) for c in order]
     sorted_blocks = (
         df.withColumn(weight, F.col(weight).cast("double"))
         .repartitionByRange(*cols).sortWithinPartitions(*cols)
-        .withColumn("_block", F.spark_partition_id())
+        .withColumn("_block", F.spark_partition_id()).drop(*spare)
     )
     # Range bounds are sampled, so what a block has is written before it is read twice. A block is one task's, so the sums
     # inside it need no further exchange.
@@ -96,27 +96,46 @@ def _long(df: DataFrame, ids: Sequence[str], group: Sequence[str], specs: dict[s
     return out.withColumn("x", F.when(~F.isnan("x"), F.col("x")))
 
 
+#: Metrics whose rows are sorted in one exchange. All of them are worked on, one lot after the other.
+LOT = 7
+
+
 def weighted_percentiles(
     df: DataFrame, specs: dict[str, tuple], group: Sequence[str], ids: Sequence[str], tie: Sequence[Column],
+    row: str | None = None,
 ) -> DataFrame:
     """Weighted cumulative share of every metric inside its group, as extra columns.
 
     `specs` maps the output column to (value, weight). A NULL value has no percentile, a NULL
-    weight is zero, a group without positive weight has none. Ties are ordered by `tie`, made of `ids` and `group`.
+    weight is zero, a group without positive weight has none, nor has a row with a NULL id. Ties are ordered by `tie`, made of
+    `ids` and `group`. `row` names a column that numbers the stored rows of `df`: a number travels in place of the ids.
     """
-    # a metric is a number and ties are expressions while rows travel: every byte is shuffled once per metric
-    long = (
-        _long(df, ids, group, {i: spec for i, spec in enumerate(specs.values())})
-        .where(F.col("x").isNotNull())
-        .withColumn("w", F.coalesce("w", F.lit(0.0)))
-    )
-    scored = running_total(long, ["metric", *group], ["x", *tie], "w").select(
-        *ids, "metric", F.when(F.col("total") > 0, F.col("running") / F.col("total")).alias("p")
-    )
-    wide = scored.repartition(*ids).groupBy(*ids).agg(*[
+    # a metric is a number while rows travel: every byte is shuffled once per metric
+    numbered = list(enumerate(specs.values()))
+    keys, ties = [row] if row else list(ids), {f"_tie{i}": t for i, t in enumerate(tie)}
+    carried = df.withColumns(ties) if row else df
+    order = ["x", *(ties if row else tie)]
+    spare = ["x", *(ties if row else [])]
+    scored = None
+    for at in range(0, len(numbered), LOT):
+        long = (
+            _long(carried, [*keys, *ties] if row else keys, group, dict(numbered[at:at + LOT]))
+            .where(F.col("x").isNotNull())
+            .withColumn("w", F.coalesce("w", F.lit(0.0)))
+        )
+        # the rows of a lot are stored in order, so its exchange is gone before the next one's is written
+        part = running_total(long, ["metric", *group], order, "w", spare=spare).select(
+            *keys, "metric", F.when(F.col("total") > 0, F.col("running") / F.col("total")).alias("p")
+        )
+        scored = part if scored is None else scored.union(part)
+    wide = scored.repartition(*keys).groupBy(*keys).agg(*[
         F.max(F.when(F.col("metric") == i, F.col("p"))).alias(name) for i, name in enumerate(specs)
     ])
-    return df.join(wide, list(ids), "left")
+    out = df.join(wide, keys, "left")
+    if not row:
+        return out
+    known = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in ids])
+    return out.withColumns({name: F.when(known, F.col(name)) for name in specs})
 
 
 def group_averages(df: DataFrame, specs: dict[str, tuple], group: Sequence[str], ids: Sequence[str]) -> DataFrame:

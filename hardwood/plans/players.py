@@ -39,6 +39,8 @@ PER_GAME = {
     "mpg": "minutes", "ppg": "pts", "rpg": "reb", "apg": "ast", "spg": "stl", "bpg": "blk",
     "tovpg": "tov", "oreb_pg": "oreb", "dreb_pg": "dreb",
 }
+#: Number of a row of the stored season table.
+ROW = "_row"
 PER_MINUTES = ["pts", "reb", "ast", "stl", "blk", "tov", "oreb", "dreb"]
 
 
@@ -155,11 +157,14 @@ def staged_player_season(
 
 
 def stored_player_season(player_box: DataFrame, columns: Sequence[str] | None = None, **kw) -> DataFrame:
-    """The season table (or the named columns) written once: ranking reads it several times and it is far smaller than the box."""
+    """The season table (or the named columns) written once: ranking reads it several times and it is far smaller than the box.
+
+    Its rows are numbered (`ROW`): a number is shorter than a season and a player's id.
+    """
     with steps():
         season = staged_player_season(player_box, named=columns is None or "athlete_name" in columns, **kw)
         kept = season if columns is None else season.select(*dict.fromkeys(columns))
-        return materialize(kept)
+        return materialize(kept.withColumn(ROW, F.monotonically_increasing_id()))
 
 
 def percentile_columns(specs: dict[str, tuple] | None = None) -> list[str]:
@@ -175,7 +180,7 @@ def player_percentiles(
     specs = specs or {**PERCENTILE_SPECS, **DEFENSE_SPECS}
     return weighted_percentiles(
         season, specs, list(group), ["season", "athlete_id"],
-        [F.col("season"), F.col("athlete_id").cast("bigint")],
+        [F.col("season"), F.col("athlete_id").cast("bigint")], ROW if ROW in season.columns else None,
     )
 
 

@@ -83,3 +83,28 @@ def test_staged_season_has_the_same_rows(spark, box):
     few = ["season", "athlete_id", "usage"]
     kept = players.stored_player_season(box, few)
     assert sorted(map(repr, kept.select(*few).collect())) == sorted(map(repr, players.player_season(box).select(*few).collect()))
+
+
+def test_percentile_rows_travel_as_numbers_in_lots_of_metrics(spark, monkeypatch):
+    from hardwood.operators import percentiles as P
+
+    rnd = random.Random(3)
+    specs = {f"p{i}": (f"x{i}", f"w{i}") for i in range(9)}
+    values = lambda: [v for _ in specs for v in (rnd.choice([None, 0.0, round(rnd.random(), 2)]), rnd.choice([None, 0.0, 1.0, 5.0]))]
+    rows = [(2020 + i % 2, str(i) if i % 50 else None, rnd.choice(["G", "F", None]), *values(), i * 3) for i in range(600)]
+    names = ", ".join(f"{x} double, {w} double" for x, w in specs.values())
+    df = spark.createDataFrame(rows, f"season int, athlete_id string, position string, {names}, _row bigint")
+    stored = []
+    monkeypatch.setattr(P, "materialize", lambda d: stored.append(session.materialize(d)) or stored[-1])
+    tie = [F.col("season"), F.col("athlete_id").cast("bigint"), F.col("position")]
+    made = [
+        {r["_row"]: [r[p] for p in specs] for r in P.weighted_percentiles(df, specs, ["position"], ["season", "athlete_id"], tie, row).collect()}
+        for row in (None, "_row")
+    ]
+    assert made[1] == made[0] and len(made[1]) == 600
+    assert all(v is None for r in rows if r[1] is None for v in made[1][r[-1]])
+    assert any(v is not None for r in rows for v in made[1][r[-1]])
+    # no stored table holds the rows of all metrics, nor what is only needed to sort them
+    sizes = [s.select("metric").distinct().count() for s in stored[len(stored) // 2:]]
+    assert sum(sizes) == len(specs) and max(sizes) < len(specs)
+    assert all(not {"x", "season", "athlete_id"} & set(s.columns) for s in stored[len(stored) // 2:])
