@@ -65,13 +65,46 @@ def test_steps_keep_the_last_tables(spark):
     assert all(not os.path.exists(f.inputFiles()[0].removeprefix("file://")) for f in (first, a, b))
 
 
-def test_player_season_query_joins_its_tables_once(spark):
+@pytest.fixture(scope="module")
+def folder(spark, tmp_path_factory):
+    """Small tables that the box and the schedule are made of."""
+    path = tmp_path_factory.mktemp("tables")
+    made = {
+        "orders": spark.range(300).selectExpr(
+            "id AS o_orderkey", "id * 7 % 60 AS o_custkey", "date_add(DATE'2020-01-01', cast(id * 5 % 900 AS int)) AS o_orderdate",
+            "element_at(array('1-URGENT', '2-HIGH', '5-LOW'), cast(id % 3 + 1 AS int)) AS o_orderpriority", "if(id % 4 = 0, 'O', 'F') AS o_orderstatus"),
+        "lineitem": spark.range(1500).selectExpr(
+            "id % 300 AS l_orderkey", "id * 13 % 80 AS l_partkey", "id * 11 % 40 AS l_suppkey", "cast(id / 300 AS int) + 1 AS l_linenumber",
+            "cast(id % 50 AS double) AS l_quantity", "if(id % 6 = 0, 'R', 'N') AS l_returnflag"),
+        "part": spark.range(80).selectExpr("id AS p_partkey", "cast(id AS int) AS p_size"),
+        "supplier": spark.range(40).selectExpr("id AS s_suppkey", "id % 5 AS s_nationkey"),
+        "nation": spark.range(5).selectExpr("id AS n_nationkey", "id % 2 AS n_regionkey"),
+        "region": spark.range(2).selectExpr("id AS r_regionkey", "concat('R', id) AS r_name"),
+    }
+    for name, df in made.items():
+        df.write.parquet(str(path / f"{name}.parquet"))
+    return str(path)
+
+
+def test_player_season_query_joins_its_tables_once(spark, folder):
     from hardwood.catalog import query_table
 
-    out = query_table()["player_season"](spark, "/root/testdata/sf0.001")
-    assert out.count() > 0
+    out = query_table()["player_season"](spark, folder)
+    assert out.count() > 100
     # the answer is made of stored steps, so no exchange of the tables' own rows is held while it is written
-    assert not [f for f in out.inputFiles() if f.endswith(("lineitem.parquet", "orders.parquet", "part.parquet"))]
+    assert not [f for f in out.inputFiles() if any(t in f for t in ("lineitem.parquet", "orders.parquet", "part.parquet"))]
+
+
+@pytest.mark.parametrize("name", ["weighted_percentile_pos", "pizza_long"])
+def test_percentile_queries_leave_no_box_and_one_season_table(spark, folder, name):
+    from hardwood.catalog import query_table
+
+    first = len(session._STORED)
+    out = query_table()[name](spark, folder)
+    kept = [spark.read.parquet(p).columns for p in session._STORED[first:]]
+    assert out.count() > 100 and kept
+    assert not [c for c in kept if "minutes" in c]
+    assert sum("usage" in c for c in kept) == 1
 
 
 def test_staged_season_has_the_same_rows(spark, box):
