@@ -15,7 +15,7 @@ from hardwood.operators.quantiles import exact_quantiles
 from hardwood.operators.reshape import radar_rows
 from hardwood.plans import players, teams
 from hardwood.plans.season import team_conferences
-from hardwood.session import materialize
+from hardwood.session import materialize, steps
 
 _TOTALS = ["pts", "fgm", "fga", "fg3m", "fg3a", "ftm", "fta", "oreb", "dreb", "reb", "ast", "stl", "blk", "tov", "pf"]
 
@@ -228,9 +228,10 @@ def percent_rank_columns(t):
 )
 def percentiles_in_conference(t):
     """Percentiles among the players of a position in a conference."""
-    conf = team_conferences(t.schedule).select(F.col("team_id").alias("_team"), "conf")
-    s = players.stored_player_season(t.player_box, [*players.percentile_columns(), "team_id"])
-    s = materialize(s.join(conf, F.col("team_id") == F.col("_team"), "left").drop("_team"))
+    conf = materialize(team_conferences(t.schedule).select(F.col("team_id").alias("_team"), "conf"))
+    with steps():
+        s = players.stored_player_season(t.player_box_by_player, [*players.percentile_columns(), "team_id"])
+        s = materialize(s.join(conf, F.col("team_id") == F.col("_team"), "left").drop("_team"))
     out = players.player_percentiles(s, ["conf", "position"])
     return out.select("season", "athlete_id", "conf", "position", *[F.round(c, 8).alias(c) for c in _SPECS])
 

@@ -95,7 +95,7 @@ def test_player_season_query_joins_its_tables_once(spark, folder):
     assert not [f for f in out.inputFiles() if any(t in f for t in ("lineitem.parquet", "orders.parquet", "part.parquet"))]
 
 
-@pytest.mark.parametrize("name", ["weighted_percentile_pos", "pizza_long"])
+@pytest.mark.parametrize("name", ["weighted_percentile_pos", "pizza_long", "percentiles_in_conference"])
 def test_percentile_queries_leave_no_box_and_one_season_table(spark, folder, name):
     from hardwood.catalog import query_table
 
